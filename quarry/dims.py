@@ -77,7 +77,7 @@ NODE_TYPES = [
     "document_extraction", "human_review", "api_consumption",
 ]
 EXECUTION_MODES = ["INPUT", "OUTPUT", "MESSAGES", "FLOW"]
-UNSUPPORTED_NODE_TYPES = ["DOCUMENT_EXTRACTION"]
+UNSUPPORTED_NODE_TYPES = ["document_extraction"]
 OUTPUT_CHECK_EXEMPT_TYPES = ["STRUCTURED_INPUT", "STRUCTURED_OUTPUT"]
 FIELD_DRIFT_IGNORED = ["name", "description", "metadata"]
 
@@ -94,6 +94,34 @@ REMOVED_FIELDS = [
     ("file_upload", "preserveFormatting",
      "FILE_UPLOAD nodes no longer support preserveFormatting. Remove this field."),
 ]
+# Config model fields per node type (attribute names of the typed configs).
+MODEL_FIELDS = {
+    "plain_txt_input": ["placeholder"],
+    "structured_input": ["schema_"],
+    "file_upload": ["acceptedFormats", "maxFileSize", "saveToMemory"],
+    "memory_file_url": ["path"],
+    "agent": ["model", "temperature", "maxTokens", "tools", "agentId", "primaryInput",
+              "system_prompt", "use_rlm", "web_tools_enabled", "max_iterations"],
+    "rag_agent": ["agentId", "knowledgeBaseIds", "agent_name", "knowledge_base_names",
+                  "primaryInput", "topK", "system_prompt"],
+    "llm_call": ["model", "template", "system_prompt", "temperature", "maxTokens"],
+    "structured_output": ["schema_", "model", "primaryInput", "system_prompt"],
+    "retrieve": ["knowledgeBaseId", "knowledge_base_name", "knowledge_base_names", "topK",
+                 "searchQuery", "scoreThreshold", "enableReranking", "includeMetadata"],
+    "document_extraction": ["fields", "extractionMethod", "prompt", "extractTables", "extractImages"],
+    "human_review": ["review_prompt", "timeoutMinutes", "allowApprove", "allowReject", "allowEdit"],
+    "api_consumption": ["connectorId", "primaryInput", "maxRecursionDepth", "operationHint",
+                        "timeoutSeconds", "saveToMemory", "memoryFilePath",
+                        "responseVariableMappings", "headers", "callParams"],
+}
+
+# Validation check names in report order.
+CHECK_NAMES = [
+    "YAML Syntax", "WDF Schema Conformance", "Graph Reachability", "Cycle Detection",
+    "Variable References", "Unsupported Node Types", "Output Variable Paths",
+    "Inactive Node Types", "Field Coverage", "Node Type Recognition", "Edge References",
+    "Entry/Exit Points", "Node Config Validation",
+]
 # ------------------------------------------------------------ end fixed values
 
 

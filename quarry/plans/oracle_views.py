@@ -67,6 +67,15 @@ VIEWS: dict[str, str] = {
   text
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) x""",
+    "v_node_cfg": """SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS slug,
+  CASE l_partkey % 6 WHEN 0 THEN 'plain_txt_input' WHEN 1 THEN 'llm_call' WHEN 2 THEN 'retrieve'
+  WHEN 3 THEN 'rag_agent' WHEN 4 THEN 'structured_output' ELSE 'document_extraction' END AS type,
+  l_linenumber AS ln, l_quantity / 20 AS temperature, (l_linenumber - 2) * 100 AS maxTokens,
+  l_linenumber - 2 AS topK, l_quantity / 40 AS scoreThreshold,
+  CASE WHEN l_linenumber % 3 <> 0 THEN concat('agent-', cast(l_suppkey AS VARCHAR)) END AS agent_name,
+  l_linenumber % 2 = 1 AS has_kb_names,
+  concat('Use {{n', cast(l_linenumber - 1 AS VARCHAR), '.output.text}} then {{n', cast(l_suppkey % 9 AS VARCHAR), '.output.files}}') AS template
+  FROM v_line""",
 }
 
 _ORDER = list(VIEWS)
@@ -94,4 +103,10 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in needed)
+    body = sql.lstrip()
+    head = body[:40].upper()
+    if head.startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE'):].lstrip()}"
+    if head.startswith("WITH "):
+        return f"WITH {ctes},\n{body[len('WITH'):].lstrip()}"
     return f"WITH {ctes}\n{sql}"

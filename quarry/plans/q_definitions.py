@@ -1,3 +1,299 @@
-"""Registered queries."""
+"""Registered definition-check queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry import dims
+from quarry.operators import checks, graph
+from quarry.plans.catalog import query
+from quarry.plans.sqlgen import in_list, q
+from quarry.sources import fixtures as fx
+from quarry.sources import registry as reg
+
+PAT = dims.VAR_REF_PATTERN
+
+# ---------------------------------------------------------------- SQL pieces
+REFS_SQL = f"""SELECT workflow_id, slug AS node, cast(i - 1 AS INTEGER) AS ref_no,
+  regexp_extract(m[i], '{PAT}', 1) AS slug, regexp_extract(m[i], '{PAT}', 2) AS path
+FROM (SELECT workflow_id, slug, regexp_extract_all(template, '{PAT}') AS m FROM v_node_cfg) x,
+  LATERAL (SELECT unnest(generate_series(1, len(m))) AS i) g"""
+
+J1_SQL = """SELECT workflow_id, 'entry' AS kind, entry AS ref FROM v_workflows w
+  WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = w.workflow_id AND n.slug = w.entry)
+UNION ALL SELECT workflow_id, 'exit', exit FROM v_workflows w
+  WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = w.workflow_id AND n.slug = w.exit)
+UNION ALL SELECT workflow_id, 'edge_from', src FROM v_edges e
+  WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = e.workflow_id AND n.slug = e.src)
+UNION ALL SELECT workflow_id, 'edge_to', dst FROM v_edges e
+  WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = e.workflow_id AND n.slug = e.dst)"""
+
+REACH_CTES = """adj AS (SELECT DISTINCT e.workflow_id, e.src, e.dst FROM v_edges e
+  JOIN v_nodes n ON n.workflow_id = e.workflow_id AND n.slug = e.src),
+reach(workflow_id, n) AS (SELECT workflow_id, entry FROM v_workflows
+  UNION SELECT a.workflow_id, a.dst FROM reach r JOIN adj a ON a.workflow_id = r.workflow_id AND a.src = r.n),
+unreach AS (SELECT workflow_id, slug FROM v_nodes n
+  WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.workflow_id = n.workflow_id AND r.n = n.slug))"""
+
+CYCLE_CTES = """ce AS (SELECT DISTINCT x.workflow_id, x.src, x.dst FROM v_edges x WHERE x.type <> 'RECURSIVE'
+  AND EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = x.workflow_id AND n.slug = x.src)
+  AND EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = x.workflow_id AND n.slug = x.dst)),
+cr(workflow_id, a, b) AS (SELECT workflow_id, src, dst FROM ce
+  UNION SELECT cr.workflow_id, cr.a, ce.dst FROM cr JOIN ce ON ce.workflow_id = cr.workflow_id AND ce.src = cr.b),
+cyc AS (SELECT DISTINCT workflow_id, a AS n FROM cr WHERE a = b),
+fromc AS (SELECT DISTINCT cr.workflow_id, cr.b AS n FROM cr JOIN cyc c ON c.workflow_id = cr.workflow_id AND c.n = cr.a),
+toc AS (SELECT DISTINCT cr.workflow_id, cr.a AS n FROM cr JOIN cyc c ON c.workflow_id = cr.workflow_id AND c.n = cr.b),
+core AS (SELECT workflow_id, n FROM fromc INTERSECT SELECT workflow_id, n FROM toc),
+cyclic AS (SELECT workflow_id, count(*) AS n_core_nodes FROM core GROUP BY workflow_id)"""
+
+J5_SQL = """SELECT workflow_id, node, slug AS invalid_slug, concat('{{', slug, '.', arg_min(path, ref_no), '}}') AS reference
+FROM refs r WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.workflow_id = r.workflow_id AND n.slug = r.slug)
+GROUP BY workflow_id, node, slug"""
+
+
+def _reg_outputs_sql() -> str:
+    rows = []
+    for t in reg.SAMPLE["all_node_types"]:
+        outs = [v["path"] for v in t.get("output_variables", []) if v.get("path")]
+        if outs:
+            rows.append(f"({q(t['type'])}, [{', '.join(q(o) for o in outs)}])")
+    return f"(VALUES {', '.join(rows)}) AS reg(rtype, outputs)"
+
+
+J6_SQL = f"""SELECT r.workflow_id, r.node, r.slug AS referenced_node, upper(n.type) AS referenced_type, r.path,
+  array_to_string(list_sort(reg.outputs), ', ') AS valid_paths
+FROM refs r JOIN v_nodes n ON n.workflow_id = r.workflow_id AND n.slug = r.slug
+JOIN {_reg_outputs_sql()} ON reg.rtype = upper(n.type)
+WHERE upper(n.type) NOT IN {in_list(dims.OUTPUT_CHECK_EXEMPT_TYPES)} AND NOT list_contains(reg.outputs, r.path)"""
+
+INACTIVE = [t["type"] for t in reg.SAMPLE["all_node_types"] if t.get("status") == "inactive"]
+J7_SQL = f"""SELECT workflow_id, slug, type AS node_type, 'FAIL' AS status FROM v_nodes
+  WHERE type IN {in_list(dims.UNSUPPORTED_NODE_TYPES)}
+UNION ALL SELECT workflow_id, slug, upper(type), 'WARN' FROM v_nodes WHERE upper(type) IN {in_list(INACTIVE)}"""
+
+
+def _drift_rows():
+    """Per registered active type: model-only / registry-only field lists (as SQL VALUES)."""
+    rows = []
+    for t in reg.SAMPLE["all_node_types"]:
+        fields = [f["name"] for f in t.get("fields", []) if f.get("name")]
+        if t.get("status") == "inactive" or not fields:
+            continue
+        rows.append((t["type"], sorted(set(fields) - set(dims.FIELD_DRIFT_IGNORED))))
+    return rows
+
+
+def _model_sql() -> str:
+    vals = ", ".join(f"({q(t.upper())}, {q(f)})" for t, fs in dims.MODEL_FIELDS.items() for f in fs)
+    return f"(VALUES {vals}) AS mf(utype, field)"
+
+
+def _regfields_sql() -> str:
+    vals = ", ".join(f"({q(t)}, {q(f)})" for t, fs in _drift_rows() for f in fs)
+    return f"(VALUES {vals}) AS rf(utype, field)"
+
+
+J8_SQL = f"""WITH mf AS (SELECT * FROM {_model_sql()}), rf AS (SELECT * FROM {_regfields_sql()}),
+act AS (SELECT DISTINCT utype FROM rf),
+cli AS (SELECT utype, field FROM mf WHERE utype IN (SELECT utype FROM act) EXCEPT SELECT utype, field FROM rf),
+ro AS (SELECT utype, field FROM rf WHERE utype IN (SELECT utype FROM mf) EXCEPT SELECT utype, field FROM mf),
+d AS (SELECT a.utype,
+   coalesce((SELECT array_to_string(list_sort(list(field)), ', ') FROM cli WHERE cli.utype = a.utype), '') AS cli_only,
+   coalesce((SELECT array_to_string(list_sort(list(field)), ', ') FROM ro WHERE ro.utype = a.utype), '') AS registry_only
+   FROM act a WHERE a.utype IN (SELECT utype FROM mf)),
+drift AS (SELECT * FROM d WHERE cli_only <> '' OR registry_only <> '')
+SELECT DISTINCT n.workflow_id, d.utype AS node_type, d.cli_only, d.registry_only
+FROM v_nodes n JOIN drift d ON upper(n.type) = d.utype"""
+
+F23_SQL = """SELECT workflow_id, slug, type, violation FROM (
+  SELECT workflow_id, slug, type, 'temperature must be between 0 and 2' AS violation FROM v_node_cfg
+    WHERE type IN ('agent', 'llm_call') AND (temperature < 0 OR temperature > 2)
+  UNION ALL SELECT workflow_id, slug, type, 'maxTokens must be greater than 0' FROM v_node_cfg
+    WHERE type IN ('agent', 'llm_call') AND maxTokens <= 0
+  UNION ALL SELECT workflow_id, slug, type, 'topK must be greater than 0' FROM v_node_cfg
+    WHERE type IN ('rag_agent', 'retrieve') AND topK <= 0
+  UNION ALL SELECT workflow_id, slug, type, 'scoreThreshold must be between 0 and 1' FROM v_node_cfg
+    WHERE type = 'retrieve' AND (scoreThreshold < 0 OR scoreThreshold > 1)
+  UNION ALL SELECT workflow_id, slug, type, 'RAG_AGENT config requires either agentId (UUID) or agent_name' FROM v_node_cfg
+    WHERE type = 'rag_agent' AND agent_name IS NULL
+  UNION ALL SELECT workflow_id, slug, type, 'RAG_AGENT config requires either knowledgeBaseIds (UUIDs) or knowledge_base_names' FROM v_node_cfg
+    WHERE type = 'rag_agent' AND NOT has_kb_names
+  UNION ALL SELECT workflow_id, slug, type, 'RETRIEVE config requires knowledgeBaseId, knowledge_base_name, or knowledge_base_names' FROM v_node_cfg
+    WHERE type = 'retrieve' AND NOT has_kb_names) x"""
+
+P10_SQL = """SELECT workflow_id, slug, type, field, message FROM (
+  SELECT workflow_id, slug, type, 'topP' AS field, 'LLM_CALL nodes no longer support topP. Remove this field.' AS message
+    FROM v_node_cfg WHERE type = 'llm_call' AND ln % 3 = 0
+  UNION ALL SELECT workflow_id, slug, type, 'extractionPrompt', 'STRUCTURED_OUTPUT nodes no longer support extractionPrompt. Remove this field.'
+    FROM v_node_cfg WHERE type = 'structured_output' AND ln % 4 = 0
+  UNION ALL SELECT workflow_id, slug, type, 'disableRAG', 'RAG_AGENT nodes no longer support disableRAG. Remove this field.'
+    FROM v_node_cfg WHERE type = 'rag_agent' AND ln % 5 = 0) x"""
+
+F24_SQL = """SELECT workflow_id, node, field, kind, message FROM (
+  SELECT workflow_id, slug AS node, 'temperature' AS field, 'maximum' AS kind,
+    concat(cast(temperature AS VARCHAR), ' is greater than the maximum of 2') AS message FROM v_node_cfg
+    WHERE type = 'llm_call' AND temperature > 2
+  UNION ALL SELECT workflow_id, slug, 'maxTokens', 'exclusiveMinimum',
+    concat(cast(maxTokens AS VARCHAR), ' is less than or equal to the minimum of 0') FROM v_node_cfg
+    WHERE type = 'llm_call' AND maxTokens <= 0
+  UNION ALL SELECT workflow_id, slug, '(root)', 'required', '''searchQuery'' is a required property' FROM v_node_cfg
+    WHERE type = 'retrieve'
+  UNION ALL SELECT workflow_id, slug, 'topK', 'minimum', concat(cast(topK AS VARCHAR), ' is less than the minimum of 1')
+    FROM v_node_cfg WHERE type IN ('retrieve', 'rag_agent') AND topK < 1
+  UNION ALL SELECT workflow_id, slug, 'scoreThreshold', 'maximum',
+    concat(cast(scoreThreshold AS VARCHAR), ' is greater than the maximum of 1') FROM v_node_cfg
+    WHERE type = 'retrieve' AND scoreThreshold > 1) x"""
+
+REPORT_SQL = f"""WITH RECURSIVE refs AS ({REFS_SQL}),
+{REACH_CTES},
+{CYCLE_CTES},
+j1 AS ({J1_SQL}), f23 AS ({F23_SQL}), p10 AS ({P10_SQL}),
+j5 AS ({J5_SQL}), j6 AS ({J6_SQL}), j7 AS ({J7_SQL}),
+j8 AS ({J8_SQL.replace('WITH mf AS', 'SELECT * FROM (WITH mf AS')} ) z),
+fl AS (SELECT w.workflow_id,
+  (w.workflow_id IN (SELECT workflow_id FROM j1) OR w.workflow_id IN (SELECT workflow_id FROM f23)
+   OR w.workflow_id IN (SELECT workflow_id FROM p10)) AS f_schema,
+  w.workflow_id IN (SELECT workflow_id FROM unreach) AS f_reach,
+  w.workflow_id IN (SELECT workflow_id FROM cyclic) AS f_cycle,
+  w.workflow_id IN (SELECT workflow_id FROM j5) AS f_refs,
+  w.workflow_id IN (SELECT workflow_id FROM j7 WHERE status = 'FAIL') AS f_unsup,
+  w.workflow_id IN (SELECT workflow_id FROM j6) AS f_paths,
+  w.workflow_id IN (SELECT workflow_id FROM j7 WHERE status = 'WARN') AS f_inactive,
+  w.workflow_id IN (SELECT workflow_id FROM j8) AS f_drift
+  FROM v_workflows w),
+rep AS (SELECT workflow_id, check_no, check_name, status FROM (
+  SELECT workflow_id, f_schema, unnest([
+    {{'check_no': 1, 'check_name': 'YAML Syntax', 'status': 'PASS'}},
+    {{'check_no': 2, 'check_name': 'WDF Schema Conformance', 'status': CASE WHEN f_schema THEN 'FAIL' ELSE 'PASS' END}},
+    {{'check_no': 3, 'check_name': 'Graph Reachability', 'status': CASE WHEN f_reach THEN 'FAIL' ELSE 'PASS' END}},
+    {{'check_no': 4, 'check_name': 'Cycle Detection', 'status': CASE WHEN f_cycle THEN 'FAIL' ELSE 'PASS' END}},
+    {{'check_no': 5, 'check_name': 'Variable References', 'status': CASE WHEN f_refs THEN 'FAIL' ELSE 'PASS' END}},
+    {{'check_no': 6, 'check_name': 'Unsupported Node Types', 'status': CASE WHEN f_unsup THEN 'FAIL' ELSE 'PASS' END}},
+    {{'check_no': 7, 'check_name': 'Output Variable Paths', 'status': CASE WHEN f_paths THEN 'FAIL' ELSE 'PASS' END}},
+    {{'check_no': 8, 'check_name': 'Inactive Node Types', 'status': CASE WHEN f_inactive THEN 'WARN' ELSE 'PASS' END}},
+    {{'check_no': 9, 'check_name': 'Field Coverage', 'status': CASE WHEN f_drift THEN 'WARN' ELSE 'PASS' END}},
+    {{'check_no': 10, 'check_name': 'Node Type Recognition', 'status': 'PASS'}},
+    {{'check_no': 11, 'check_name': 'Edge References', 'status': 'PASS'}},
+    {{'check_no': 12, 'check_name': 'Entry/Exit Points', 'status': 'PASS'}},
+    {{'check_no': 13, 'check_name': 'Node Config Validation', 'status': 'PASS'}}], max_depth := 2) FROM fl) x
+  WHERE NOT f_schema OR check_no <= 2)"""
+
+
+# ---------------------------------------------------------------- Spark side
+def _graph(spark, sf):
+    return fx.v_workflows(spark, sf), fx.v_nodes(spark, sf), fx.v_edges(spark, sf)
+
+
+def _cfg(spark, sf):
+    return fx.v_node_configs(spark, sf)
+
+
+def _refs_impl(spark, sf):
+    cfg = _cfg(spark, sf).withColumnRenamed("slug", "node")
+    r = checks.extract_variable_refs(cfg)
+    return r.select("workflow_id", "node", F.col("ref_no").cast("int").alias("ref_no"), "slug", "path")
+
+
+@query("edge_integrity", J1_SQL)
+def edge_integrity(spark, sf):
+    w, n, e = _graph(spark, sf)
+    return graph.edge_integrity(w, n, e)
+
+
+@query("unreachable_nodes", f"WITH RECURSIVE {REACH_CTES} SELECT workflow_id, slug FROM unreach")
+def unreachable_nodes(spark, sf):
+    """G1: frontier loop from every entry at once (iterative; SQL oracle uses recursion)."""
+    w, n, e = _graph(spark, sf)
+    return graph.unreachable_nodes(w, n, e)
+
+
+@query("cyclic_workflows", f"WITH RECURSIVE {CYCLE_CTES} SELECT workflow_id, n_core_nodes FROM cyclic")
+def cyclic_workflows(spark, sf):
+    """Peel loop; ``n_core_nodes`` counts nodes on or between cycles."""
+    _, n, e = _graph(spark, sf)
+    return graph.cyclic_workflows(n, e)
+
+
+@query("extract_variable_refs", REFS_SQL)
+def extract_variable_refs(spark, sf):
+    return _refs_impl(spark, sf)
+
+
+@query("invalid_variable_refs", f"WITH refs AS ({REFS_SQL}) {J5_SQL}")
+def invalid_variable_refs(spark, sf):
+    return checks.invalid_variable_refs(_refs_impl(spark, sf), fx.v_nodes(spark, sf))
+
+
+@query("output_path_check", f"WITH refs AS ({REFS_SQL}) {J6_SQL}")
+def output_path_check(spark, sf):
+    return checks.output_path_check(_refs_impl(spark, sf), fx.v_nodes(spark, sf), reg.registry_frame(spark))
+
+
+@query("type_status_check", J7_SQL)
+def type_status_check(spark, sf):
+    return checks.type_status_check(fx.v_nodes(spark, sf), reg.registry_frame(spark))
+
+
+@query("field_drift", J8_SQL)
+def field_drift(spark, sf):
+    return checks.field_drift(fx.v_nodes(spark, sf), reg.registry_frame(spark))
+
+
+P9_PATH = ("CASE {ln} % 5 WHEN 0 THEN '/abs/out.json' WHEN 1 THEN 'a/../b.json' WHEN 2 THEN '   ' "
+           "WHEN 3 THEN '..' ELSE concat('runs/', {slug}, '/output.json') END")
+
+
+@query("path_confined", f"""
+SELECT workflow_id, slug, path, trim(path) <> '' AND NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS ok
+FROM (SELECT workflow_id, slug, {P9_PATH.format(ln='pos', slug='slug')} AS path FROM v_nodes) x""")
+def path_confined(spark, sf):
+    n = fx.v_nodes(spark, sf)
+    p = F.expr(P9_PATH.format(ln="pos", slug="slug"))
+    return n.select("workflow_id", "slug", p.alias("path")).withColumn("ok", checks.path_confined(F.col("path")))
+
+
+@query("removed_fields", P10_SQL)
+def removed_fields(spark, sf):
+    return checks.removed_fields(_cfg(spark, sf))
+
+
+@query("config_rules", F23_SQL)
+def config_rules(spark, sf):
+    return checks.config_rules(_cfg(spark, sf))
+
+
+@query("schema_rules", F24_SQL)
+def schema_rules(spark, sf):
+    return checks.schema_rules(_cfg(spark, sf))
+
+
+def _report(spark, sf):
+    w, n, e = _graph(spark, sf)
+    cfg = _cfg(spark, sf)
+    refs = _refs_impl(spark, sf)
+    registry = reg.registry_frame(spark)
+    schema_fail = (graph.edge_integrity(w, n, e).select("workflow_id")
+                   .unionByName(checks.config_rules(cfg).select("workflow_id"))
+                   .unionByName(checks.removed_fields(cfg).select("workflow_id")))
+    ts = checks.type_status_check(n, registry)
+    return checks.check_report(
+        w, n, e, registry, schema_fail,
+        graph.unreachable_nodes(w, n, e), graph.cyclic_workflows(n, e),
+        checks.invalid_variable_refs(refs, n), ts.where(F.col("status") == "FAIL"),
+        checks.output_path_check(refs, n, registry), ts.where(F.col("status") == "WARN"),
+        checks.field_drift(n, registry))
+
+
+@query("check_report", REPORT_SQL + "\nSELECT workflow_id, check_no, check_name, status FROM rep")
+def check_report(spark, sf):
+    return _report(spark, sf)
+
+
+@query("check_tally", REPORT_SQL + """
+SELECT workflow_id, cast(count_if(status = 'PASS') AS BIGINT) AS n_pass, cast(count_if(status = 'FAIL') AS BIGINT) AS n_fail,
+  cast(count_if(status = 'WARN') AS BIGINT) AS n_warn, cast(count_if(status = 'SKIP') AS BIGINT) AS n_skip,
+  CASE WHEN count_if(status = 'FAIL') > 0 THEN 'failed' WHEN count_if(status = 'WARN') > 0 THEN 'passed with warnings'
+  WHEN count_if(status = 'SKIP') > 0 THEN 'passed with skips' ELSE 'passed' END AS verdict
+FROM rep GROUP BY workflow_id""")
+def check_tally(spark, sf):
+    return checks.check_tally(_report(spark, sf))

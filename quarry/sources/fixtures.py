@@ -191,3 +191,32 @@ def runs_from_orders(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("workspace_id"),
         F.col("o_orderpriority").alias("priority"),
     )
+
+
+def v_node_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(workflow_id, slug, type, config JSON)``: numbers from ``v_line`` so some break each rule."""
+    line = v_line(spark, sf)
+    ln, q = F.col("l_linenumber"), F.col("l_quantity")
+    t = F.col("l_partkey") % 6
+    node_type = (F.when(t == 0, "plain_txt_input").when(t == 1, "llm_call")
+                 .when(t == 2, "retrieve").when(t == 3, "rag_agent")
+                 .when(t == 4, "structured_output").otherwise("document_extraction"))
+    template = F.concat(F.lit("Use {{n"), (ln - 1).cast("string"), F.lit(".output.text}} then {{n"),
+                        (F.col("l_suppkey") % 9).cast("string"), F.lit(".output.files}}"))
+    cfg = F.to_json(F.struct(
+        F.lit("m1").alias("model"),
+        template.alias("template"),
+        (q / 20).alias("temperature"),
+        ((ln - 2) * 100).alias("maxTokens"),
+        (ln - 2).alias("topK"),
+        (q / 40).alias("scoreThreshold"),
+        F.when(ln % 3 != 0, F.concat(F.lit("agent-"), F.col("l_suppkey").cast("string"))).alias("agent_name"),
+        F.when(ln % 2 == 1, F.array(F.concat(F.lit("kb-"), (F.col("l_partkey") % 7).cast("string"))))
+        .alias("knowledge_base_names"),
+        F.when(ln % 3 == 0, F.lit(0.9)).alias("topP"),
+        F.when(ln % 4 == 0, F.lit("x")).alias("extractionPrompt"),
+        F.when(ln % 5 == 0, F.lit(True)).alias("disableRAG"),
+        F.create_map(F.lit("{{ghost.output.x}}"), F.lit("key only")).alias("meta"),
+    ))
+    return line.select(F.col("l_orderkey").alias("workflow_id"), _n(ln).alias("slug"),
+                       node_type.alias("type"), cfg.alias("config"))
