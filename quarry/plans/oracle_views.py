@@ -57,7 +57,9 @@ VIEWS: dict[str, str] = {
     "v_event_lines": """SELECT run_id, seq, ts,
   CASE WHEN seq % 7 = 0 THEN ': keep-alive' WHEN seq % 11 = 0 THEN 'data: not-json'
   ELSE concat('data: {"type":"', event_type, '","node_id":"', node_id, '"',
-    CASE WHEN duration_ms IS NOT NULL THEN concat(',"duration_ms":', cast(duration_ms AS VARCHAR)) ELSE '' END, '}') END AS line
+    CASE WHEN duration_ms IS NOT NULL THEN concat(',"duration_ms":', cast(duration_ms AS VARCHAR)) ELSE '' END,
+    CASE WHEN event_type = 'STATE_DELTA' THEN concat(',"delta":[{"op":"', CASE WHEN seq % 5 = 0 THEN 'remove' ELSE 'replace' END,
+      '","path":"/node_outputs/', node_id, '","value":"v', cast(seq AS VARCHAR), '"}]') ELSE '' END, '}') END AS line
   FROM v_run_events""",
     "v_rows": """SELECT c_nationkey AS sheet, c_custkey AS row_no, c_name AS c0,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat(c_mktsegment, '|x') END AS c1
@@ -76,6 +78,18 @@ VIEWS: dict[str, str] = {
   l_linenumber % 2 = 1 AS has_kb_names,
   concat('Use {{n', cast(l_linenumber - 1 AS VARCHAR), '.output.text}} then {{n', cast(l_suppkey % 9 AS VARCHAR), '.output.files}}') AS template
   FROM v_line""",
+    "v_events": """SELECT run_id, seq, ts, body, coalesce(json_extract_string(body, '$.type'), 'UNKNOWN') AS event_type,
+  upper(coalesce(json_extract_string(body, '$.type'), 'UNKNOWN')) AS etype
+  FROM (SELECT run_id, seq, ts, trim(substr(trim(line), 6)) AS body FROM v_event_lines
+        WHERE starts_with(trim(line), 'data:')) x
+  WHERE json_valid(body) AND json_type(body) = 'OBJECT'""",
+    "v_runs": """SELECT o_orderkey AS run_id, o_orderkey AS workflow_id,
+  CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' ELSE 'running' END AS status,
+  CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' ELSE
+    CASE o_orderkey % 3 WHEN 0 THEN 'waiting_for_review' WHEN 1 THEN 'WAITING_FOR_INPUT' ELSE 'RUNNING' END END AS execution_status,
+  'n1' AS current_node_id, o_custkey % 4 AS hist_n, o_custkey % 3 AS out_n,
+  o_orderdate AS started_at, o_custkey AS workspace_id, o_orderpriority AS priority
+  FROM orders""",
 }
 
 _ORDER = list(VIEWS)

@@ -1,3 +1,251 @@
-"""Registered queries."""
+"""Registered run-event queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry import dims
+from quarry.functions import text as tf
+from quarry.operators import runs
+from quarry.plans.catalog import query
+from quarry.plans.sqlgen import in_list
+from quarry.sources import fixtures as fx
+from quarry.sources.tables import table
+
+STOP_SQL = f"etype IN {in_list(dims.TERMINAL_EVENTS + dims.PAUSING_EVENTS)}"
+TRUNC_SQL = f"""SELECT e.* FROM v_events e LEFT JOIN (SELECT run_id, min(seq) AS stop_seq FROM v_events
+  WHERE {STOP_SQL} GROUP BY run_id) s ON s.run_id = e.run_id
+  WHERE s.stop_seq IS NULL OR e.seq <= s.stop_seq"""
+CAT_PAIRS = [(n, c) for c, ns in [("lifecycle", dims.LIFECYCLE_EVENTS), ("step", dims.STEP_EVENTS),
+                                  ("state", dims.STATE_EVENTS), ("text", dims.TEXT_EVENTS),
+                                  ("tool", dims.TOOL_EVENTS), ("hitl", dims.HITL_EVENTS),
+                                  ("custom", dims.CUSTOM_EVENTS)] for n in ns]
+CAT_SQL = "CASE " + " ".join(f"WHEN etype = '{n}' THEN '{c}'" for n, c in CAT_PAIRS) + " ELSE 'unknown' END"
+
+
+def _events(spark, sf):
+    return runs.event_flags(runs.parse_event_lines(fx.event_lines(spark, sf)))
+
+
+@query("scan_event_lines", "SELECT run_id, seq, line FROM v_event_lines")
+def scan_event_lines(spark, sf):
+    """S3 over the stand-in line table (file sources use ``runs.scan_event_lines``)."""
+    return fx.event_lines(spark, sf).select("run_id", "seq", "line")
+
+
+@query("parse_event_line", """
+SELECT run_id, seq, event_type, json_extract_string(body, '$.node_id') AS node_id,
+  cast(json_extract(body, '$.duration_ms') AS BIGINT) AS duration_ms FROM v_events""")
+def parse_event_line(spark, sf):
+    e = runs.parse_event_lines(fx.event_lines(spark, sf))
+    return e.select("run_id", "seq", "event_type",
+                    F.try_variant_get("data", "$.node_id", "string").alias("node_id"),
+                    F.try_variant_get("data", "$.duration_ms", "bigint").alias("duration_ms"))
+
+
+@query("event_category", f"""
+SELECT run_id, seq, etype, {CAT_SQL} AS category, etype IN {in_list(dims.TERMINAL_EVENTS)} AS is_terminal,
+  etype IN {in_list(dims.PAUSING_EVENTS)} AS is_pausing FROM v_events""")
+def event_category(spark, sf):
+    return _events(spark, sf).select("run_id", "seq", "etype", "category", "is_terminal", "is_pausing")
+
+
+@query("truncate_run", f"SELECT run_id, seq, event_type FROM ({TRUNC_SQL}) t")
+def truncate_run(spark, sf):
+    return runs.truncate_run(_events(spark, sf)).select("run_id", "seq", "event_type")
+
+
+A12_SQL = f"""WITH t AS ({TRUNC_SQL}),
+s AS (SELECT run_id, seq, etype, coalesce(json_extract_string(body, '$.node_id'), '') AS node_id,
+  coalesce(nullif(json_extract_string(body, '$.node_slug'), ''), nullif(json_extract_string(body, '$.step_name'), ''),
+           json_extract_string(body, '$.node_id')) AS display,
+  coalesce(json_extract_string(body, '$.step_type'), '') AS step_type,
+  cast(json_extract(body, '$.duration_ms') AS BIGINT) AS dur, epoch_us(ts) AS t_us
+  FROM t WHERE etype IN ('STEP_STARTED', 'STEP_FINISHED', 'STEP_ERROR'))
+SELECT run_id, node_id, arg_max(display, seq) AS display_name,
+  CASE WHEN count_if(etype = 'STEP_STARTED') > 0 THEN arg_max(step_type, seq) FILTER (WHERE etype = 'STEP_STARTED')
+       ELSE arg_min(step_type, seq) END AS step_type,
+  CASE arg_max(etype, seq) WHEN 'STEP_STARTED' THEN 'started' WHEN 'STEP_FINISHED' THEN 'finished' ELSE 'error' END AS status,
+  CASE WHEN arg_max(etype, seq) = 'STEP_STARTED' THEN NULL
+       ELSE coalesce(arg_max_null(dur, seq),
+                     cast(floor((arg_max(t_us, seq) - arg_max(t_us, seq) FILTER (WHERE etype = 'STEP_STARTED')) / 1000) AS BIGINT)) END
+    AS duration_ms
+FROM s WHERE node_id <> '' GROUP BY run_id, node_id"""
+
+
+@query("node_run_summary", A12_SQL)
+def node_run_summary(spark, sf):
+    return runs.node_run_summary(_events(spark, sf))
+
+
+@query("progress_step", f"""WITH t AS ({TRUNC_SQL}),
+f AS (SELECT run_id, json_extract_string(body, '$.node_id') AS node_id, min(seq) AS first_seq FROM t
+  WHERE etype = 'STEP_STARTED' AND coalesce(json_extract_string(body, '$.node_id'), '') <> '' GROUP BY ALL)
+SELECT t.run_id, t.seq, t.etype, cast(sum(CASE WHEN f.first_seq = t.seq THEN 1 ELSE 0 END)
+  OVER (PARTITION BY t.run_id ORDER BY t.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS step
+FROM t LEFT JOIN f ON f.run_id = t.run_id AND f.node_id = coalesce(json_extract_string(t.body, '$.node_id'), '')""")
+def progress_step(spark, sf):
+    return runs.progress_step(_events(spark, sf))
+
+
+@query("duration_fallback", """
+SELECT run_id, seq, node_id, coalesce(dur, cast(floor((t_us - ls) / 1000) AS BIGINT)) AS duration_ms FROM (
+  SELECT run_id, seq, etype, json_extract_string(body, '$.node_id') AS node_id,
+    cast(json_extract(body, '$.duration_ms') AS BIGINT) AS dur, epoch_us(ts) AS t_us,
+    last_value(CASE WHEN etype = 'STEP_STARTED' THEN epoch_us(ts) END IGNORE NULLS) OVER (
+      PARTITION BY run_id, json_extract_string(body, '$.node_id') ORDER BY seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ls
+  FROM v_events WHERE etype IN ('STEP_STARTED', 'STEP_FINISHED', 'STEP_ERROR')
+    AND json_extract_string(body, '$.node_id') <> '') x
+WHERE etype <> 'STEP_STARTED'""")
+def duration_fallback(spark, sf):
+    return runs.duration_fallback(_events(spark, sf))
+
+
+@query("node_transitions", """
+SELECT run_id, poll_no, current_node FROM (
+  SELECT run_id, seq AS poll_no, current_node,
+    coalesce(lag(coalesce(current_node, '')) OVER (PARTITION BY run_id ORDER BY seq), '') AS prev
+  FROM (SELECT run_id, seq, CASE WHEN upper(event_type) LIKE 'STEP_%' THEN node_id END AS current_node
+        FROM v_run_events) p) x
+WHERE coalesce(current_node, '') <> '' AND current_node <> prev""")
+def node_transitions(spark, sf):
+    """W6 over polls: each run event is a poll whose current node is set on step events."""
+    e = fx.v_run_events(spark, sf)
+    polls = e.select("run_id", F.col("seq").alias("poll_no"),
+                     F.when(F.upper("event_type").startswith("STEP_"), F.col("node_id")).alias("current_node"))
+    return runs.node_transitions(polls)
+
+
+@query("interrupted_runs", f"""
+SELECT run_id, arg_max(event_type, seq) AS last_event_type FROM v_events GROUP BY run_id
+HAVING count_if({STOP_SQL}) = 0""")
+def interrupted_runs(spark, sf):
+    return runs.interrupted_runs(_events(spark, sf))
+
+
+@query("overdue_runs", f"""
+SELECT run_id, cast(floor((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000) AS BIGINT) AS elapsed_s FROM v_events
+GROUP BY run_id HAVING count_if(etype IN {in_list(dims.TERMINAL_EVENTS)}) = 0
+  AND (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000 >= {dims.RUN_TIMEOUT_S}""")
+def overdue_runs(spark, sf):
+    return runs.overdue_runs(_events(spark, sf))
+
+
+@query("latest_run", """
+SELECT workspace_id, arg_max(run_id, (started_at, run_id)) AS run_id, max(started_at) AS started_at
+FROM v_runs GROUP BY workspace_id""")
+def latest_run(spark, sf):
+    return runs.latest_run(fx.runs_from_orders(spark, sf))
+
+
+NODE_OUT_SQL = """WITH d AS (SELECT run_id, seq, json_extract_string(body, '$.delta[0].op') AS op,
+  json_extract_string(body, '$.delta[0].path') AS path, json_extract_string(body, '$.delta[0].value') AS value
+  FROM v_events WHERE etype = 'STATE_DELTA'),
+l AS (SELECT run_id, split_part(path, '/', 3) AS node_id, arg_max(op, seq) AS op, arg_max_null(value, seq) AS value
+  FROM d WHERE starts_with(path, '/node_outputs/') GROUP BY ALL)"""
+
+
+@query("node_outputs_latest", NODE_OUT_SQL + " SELECT run_id, node_id, value FROM l WHERE op <> 'remove'")
+def node_outputs_latest(spark, sf):
+    return runs.node_outputs_latest(_events(spark, sf))
+
+
+@query("events_to_ndjson", """
+SELECT run_id, seq, concat('{', CASE WHEN json_extract(body, '$.delta') IS NOT NULL
+    THEN concat('"delta":[{"op":"', json_extract_string(body, '$.delta[0].op'), '","path":"',
+                json_extract_string(body, '$.delta[0].path'), '","value":"', json_extract_string(body, '$.delta[0].value'), '"}],')
+    ELSE '' END,
+  CASE WHEN json_extract(body, '$.duration_ms') IS NOT NULL THEN concat('"duration_ms":', json_extract_string(body, '$.duration_ms'), ',') ELSE '' END,
+  '"node_id":"', json_extract_string(body, '$.node_id'), '","type":"', event_type, '"}') AS json
+FROM v_events""")
+def events_to_ndjson(spark, sf):
+    return runs.events_to_ndjson(_events(spark, sf))
+
+
+@query("run_result_json", f"""WITH t AS ({TRUNC_SQL}), f AS (SELECT run_id, arg_max(event_type, seq) AS final_status FROM t GROUP BY run_id),
+{NODE_OUT_SQL[5:]},
+o AS (SELECT run_id, string_agg(concat('"', node_id, '":"', value, '"'), ',' ORDER BY node_id) AS kv FROM l
+      WHERE op <> 'remove' GROUP BY run_id)
+SELECT f.run_id, concat('{{"run_id":"', f.run_id, '","workflow_id":null,"final_status":"', f.final_status,
+  '","node_outputs":{{', coalesce(o.kv, ''), '}}}}') AS json
+FROM f LEFT JOIN o ON o.run_id = f.run_id""")
+def run_result_json(spark, sf):
+    ev = _events(spark, sf)
+    return runs.run_result_json(ev, runs.node_outputs_latest(ev))
+
+
+@query("effective_status", f"""
+SELECT run_id, CASE WHEN upper(status) = 'RUNNING' AND upper(execution_status) IN
+  {in_list(dims.HITL_STATUSES + dims.TERMINAL_STATUSES)} THEN upper(execution_status) ELSE upper(status) END AS effective_status
+FROM v_runs""")
+def effective_status(spark, sf):
+    r = fx.runs_from_orders(spark, sf)
+    return r.select("run_id", runs.effective_status(F.col("status"), F.col("execution_status")).alias("effective_status"))
+
+
+P8_SQL = """SELECT r.run_id, n.slug AS node_id, CASE
+  WHEN upper(r.execution_status) = 'WAITING_FOR_INPUT' AND n.slug = 'n1' THEN 'WAITING_FOR_INPUT'
+  WHEN upper(r.execution_status) = 'WAITING_FOR_REVIEW' AND n.slug = 'n2' THEN 'WAITING_FOR_REVIEW'
+  WHEN n.slug = r.current_node_id AND upper(r.status) = 'RUNNING' THEN 'RUNNING'
+  WHEN n.pos <= r.out_n THEN 'COMPLETED'
+  WHEN n.pos <= r.hist_n THEN 'COMPLETED'
+  ELSE 'PENDING' END AS status
+FROM v_runs r JOIN v_nodes n ON n.workflow_id = r.workflow_id"""
+
+
+def _node_status(spark, sf):
+    r = fx.runs_from_orders(spark, sf)
+    n = fx.v_nodes(spark, sf).select("workflow_id", F.col("slug").alias("node_id"))
+    j = r.join(n, "workflow_id")
+    return j.select("run_id", "node_id", runs.node_status(
+        F.col("node_id"), F.col("execution_history"), F.col("current_node_id"), F.col("status"),
+        F.col("node_outputs"), F.col("waiting_input_node_id"), F.col("review_node_id")).alias("status"))
+
+
+@query("node_status", P8_SQL)
+def node_status(spark, sf):
+    return _node_status(spark, sf)
+
+
+@query("run_progress", f"""SELECT run_id, cast(count_if(status = 'COMPLETED') AS BIGINT) AS completed,
+  count(*) AS total FROM ({P8_SQL}) s GROUP BY run_id""")
+def run_progress(spark, sf):
+    return runs.run_progress(_node_status(spark, sf))
+
+
+A17_SQL = """WITH c AS (SELECT doc_id, attempt, result, CASE WHEN result = 'success' THEN 'success'
+    WHEN result IN ('failure', 'skipped') OR regexp_matches(result, '^http_4[0-9][0-9]$') THEN 'terminal'
+    ELSE 'retry' END AS cls FROM v_attempts WHERE attempt <= 3),
+g AS (SELECT doc_id, min(attempt) FILTER (WHERE cls <> 'retry') AS decided, max(attempt) AS last_attempt FROM c GROUP BY doc_id)
+SELECT g.doc_id, coalesce(g.decided, g.last_attempt) AS attempts_used,
+  CASE WHEN g.decided IS NULL THEN 'exhausted' WHEN d.result = 'success' THEN 'success' ELSE 'failed' END AS outcome,
+  cast(coalesce((SELECT sum(30 * c.attempt) FROM c WHERE c.doc_id = g.doc_id
+    AND c.attempt < coalesce(g.decided, g.last_attempt) AND c.attempt < 3), 0) AS BIGINT) AS wait_s
+FROM g LEFT JOIN c d ON d.doc_id = g.doc_id AND d.attempt = g.decided"""
+
+
+@query("attempt_outcome", A17_SQL)
+def attempt_outcome(spark, sf):
+    from quarry.operators.outcomes import attempt_outcome as ao
+    return ao(fx.v_attempts(spark, sf))
+
+
+@query("format_duration", """
+SELECT event_id, ms, CASE WHEN ms < 1000 THEN concat(cast(ms AS VARCHAR), 'ms') ELSE
+  CASE WHEN s <= 0 THEN '0s' ELSE concat_ws(' ', CASE WHEN s // 3600 > 0 THEN concat(cast(s // 3600 AS VARCHAR), 'h') END,
+    CASE WHEN (s % 3600) // 60 > 0 THEN concat(cast((s % 3600) // 60 AS VARCHAR), 'm') END,
+    CASE WHEN s % 60 > 0 OR (s // 3600 = 0 AND (s % 3600) // 60 = 0) THEN concat(cast(s % 60 AS VARCHAR), 's') END) END END AS text
+FROM (SELECT event_id, cast(floor(value * 1000) AS BIGINT) AS ms, cast(floor(value * 1000) AS BIGINT) // 1000 AS s FROM events) x""")
+def format_duration(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.floor(F.col("value") * 1000).cast("bigint").alias("ms"))
+    return e.select("event_id", "ms", tf.format_duration_ms(F.col("ms")).alias("text"))
+
+
+@query("event_preview", """
+SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(left(text, 200), '...') ELSE text END AS output_preview,
+  left(text, 200) AS content_preview FROM documents""")
+def event_preview(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tf.output_preview(F.col("text")).alias("output_preview"),
+                    tf.content_preview(F.col("text")).alias("content_preview"))

@@ -149,6 +149,11 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('"'),
         F.when(F.col("duration_ms").isNotNull(),
                F.concat(F.lit(',"duration_ms":'), F.col("duration_ms").cast("string"))).otherwise(F.lit("")),
+        F.when(F.col("event_type") == "STATE_DELTA",
+               F.concat(F.lit(',"delta":[{"op":"'),
+                        F.when(F.col("seq") % 5 == 0, F.lit("remove")).otherwise(F.lit("replace")),
+                        F.lit('","path":"/node_outputs/'), F.col("node_id"), F.lit('","value":"v'),
+                        F.col("seq").cast("string"), F.lit('"}]'))).otherwise(F.lit("")),
         F.lit("}"))
     line = (F.when(F.col("seq") % 7 == 0, F.lit(": keep-alive"))
             .when(F.col("seq") % 11 == 0, F.lit("data: not-json")).otherwise(body))
@@ -174,23 +179,28 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def runs_from_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Run state rows: ``orders`` as runs, status by order status, current node n1."""
+    """Run state rows: one run per order; its workflow is the order's graph (``v_nodes``)."""
     o = table(spark, sf, "orders")
-    st = F.col("o_orderstatus")
-    status = F.when(st == "F", "COMPLETED").when(st == "O", "RUNNING").otherwise("RUNNING")
+    st, k = F.col("o_orderstatus"), F.col("o_orderkey")
+    status = F.when(st == "F", "COMPLETED").when(st == "O", "RUNNING").otherwise("running")
     exec_status = (F.when(st == "F", "COMPLETED").when(st == "O", "RUNNING")
-                   .otherwise(F.when(F.col("o_orderkey") % 2 == 0, "WAITING_FOR_REVIEW")
-                              .otherwise("WAITING_FOR_INPUT")))
+                   .otherwise(F.when(k % 3 == 0, "waiting_for_review").when(k % 3 == 1, "WAITING_FOR_INPUT")
+                              .otherwise("RUNNING")))
+    hist_n = (F.col("o_custkey") % 4).cast("int")
+    out_n = (F.col("o_custkey") % 3).cast("int")
+    history = F.transform(F.sequence(F.lit(1), hist_n), lambda i: F.concat(F.lit("n"), i.cast("string")))
+    outputs = F.map_from_arrays(
+        F.transform(F.sequence(F.lit(1), out_n), lambda i: F.concat(F.lit("n"), i.cast("string"))),
+        F.transform(F.sequence(F.lit(1), out_n), lambda i: F.lit("out")))
     return o.select(
-        F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"),
-        F.col("o_orderkey").alias("workflow_id"),
-        status.alias("status"),
-        exec_status.alias("execution_status"),
-        F.lit("n1").alias("current_node_id"),
-        F.col("o_orderdate").alias("started_at"),
-        F.col("o_custkey").alias("workspace_id"),
-        F.col("o_orderpriority").alias("priority"),
-    )
+        k.alias("run_id"), k.alias("workflow_id"), status.alias("status"),
+        exec_status.alias("execution_status"), F.lit("n1").alias("current_node_id"),
+        F.when(F.upper(exec_status) == "WAITING_FOR_INPUT", F.lit("n1")).alias("waiting_input_node_id"),
+        F.when(F.upper(exec_status) == "WAITING_FOR_REVIEW", F.lit("n2")).alias("review_node_id"),
+        F.when(hist_n > 0, history).otherwise(F.array().cast("array<string>")).alias("execution_history"),
+        F.when(out_n > 0, outputs).otherwise(F.create_map().cast("map<string,string>")).alias("node_outputs"),
+        F.col("o_orderdate").alias("started_at"), F.col("o_custkey").alias("workspace_id"),
+        F.col("o_orderpriority").alias("priority"))
 
 
 def v_node_configs(spark: SparkSession, sf: str) -> DataFrame:
