@@ -9,9 +9,9 @@ from quarry import dims
 
 
 def slugify(text: Column) -> Column:
-    """lower; ``_`` and whitespace -> ``-``; drop other chars; collapse and strip ``-``."""
+    """lower; ``_`` and space -> ``-``; drop other chars; collapse and strip ``-``."""
     s = F.lower(text)
-    s = F.regexp_replace(s, r"[_\s]", "-")
+    s = F.regexp_replace(s, r"[_ ]", "-")
     s = F.regexp_replace(s, r"[^a-z0-9-]", "")
     s = F.regexp_replace(s, r"-+", "-")
     return F.regexp_replace(s, r"^-+|-+$", "")

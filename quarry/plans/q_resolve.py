@@ -1,3 +1,307 @@
-"""Registered queries."""
+"""Registered resolution / sync queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tf
+from quarry.operators import resolve as rs
+from quarry.plans.catalog import query
+from quarry.sources import fixtures as fx
+from quarry.sources.tables import table
+
+U = ("concat_ws('-', substr(md5(concat_ws('|', {a})), 1, 8), substr(md5(concat_ws('|', {a})), 9, 4), "
+     "substr(md5(concat_ws('|', {a})), 13, 4), substr(md5(concat_ws('|', {a})), 17, 4), substr(md5(concat_ws('|', {a})), 21, 12))")
+
+
+def usql(*parts: str) -> str:
+    return U.format(a=", ".join(f"cast({p} AS VARCHAR)" for p in parts))
+
+
+UUID_RE = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def _catalog(spark, sf):
+    s = table(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"),
+                    rs.uuid_of(F.lit("cat"), F.col("s_suppkey")).alias("id"))
+
+
+def _resolved(spark, sf):
+    refs = fx.v_refs(spark, sf).select(F.col("ref").alias("key"), F.substring("ref", 7, 1 << 20).alias("name"))
+    s = table(spark, sf, "supplier")
+    cache = s.where(F.col("s_suppkey") % 3 == 0).select(
+        F.concat(F.lit("agent:"), F.upper("s_name")).alias("key"), rs.uuid_of(F.lit("cache"), F.col("s_suppkey")).alias("id"))
+    return rs.resolve_names(refs, cache, _catalog(spark, sf), "first")
+
+
+J2_SQL = f"""WITH r AS (SELECT DISTINCT ref AS key, substr(ref, 7) AS name FROM v_refs),
+cache AS (SELECT concat('agent:', upper(s_name)) AS key, {usql("'cache'", 's_suppkey')} AS id FROM supplier WHERE s_suppkey % 3 = 0),
+cat AS (SELECT lower(s_name) AS lname, arg_min({usql("'cat'", 's_suppkey')}, s_suppkey) AS cat_id FROM supplier GROUP BY 1),
+res AS (SELECT r.key, r.name, coalesce(CASE WHEN regexp_matches(r.name, '{UUID_RE}') THEN r.name END, cache.id, cat.cat_id) AS id,
+  CASE WHEN regexp_matches(r.name, '{UUID_RE}') THEN 'uuid' WHEN cache.id IS NOT NULL THEN 'cache'
+       WHEN cat.cat_id IS NOT NULL THEN 'catalog' END AS resolved_by
+  FROM r LEFT JOIN cache ON cache.key = r.key LEFT JOIN cat ON cat.lname = lower(r.name))"""
+
+
+@query("resolve_names", J2_SQL + " SELECT key, name, id, resolved_by FROM res")
+def resolve_names(spark, sf):
+    return _resolved(spark, sf)
+
+
+@query("unresolved_names", J2_SQL + " SELECT key, name, (SELECT count(*) FROM supplier) AS n_available FROM res WHERE id IS NULL")
+def unresolved_names(spark, sf):
+    return rs.unresolved_names(_resolved(spark, sf), _catalog(spark, sf))
+
+
+@query("run_identifier", f"""WITH r AS (SELECT DISTINCT upper(p_name) AS key, upper(p_name) AS name FROM part),
+cache AS (SELECT upper(p_name) AS key, arg_max({usql("'local'", 'p_partkey')}, p_partkey) AS id FROM part
+  WHERE p_partkey % 4 = 0 GROUP BY 1),
+cat AS (SELECT lower(p_name) AS lname, arg_max({usql("'wf'", 'p_partkey')}, p_partkey) AS cat_id FROM part GROUP BY 1)
+SELECT r.key, r.name, coalesce(CASE WHEN regexp_matches(r.name, '{UUID_RE}') THEN r.name END, cache.id, cat.cat_id) AS id,
+  CASE WHEN regexp_matches(r.name, '{UUID_RE}') THEN 'uuid' WHEN cache.id IS NOT NULL THEN 'cache'
+       WHEN cat.cat_id IS NOT NULL THEN 'catalog' END AS resolved_by
+FROM r LEFT JOIN cache ON cache.key = r.key LEFT JOIN cat ON cat.lname = lower(r.name)""")
+def run_identifier(spark, sf):
+    """Identifier -> workflow id; the catalog's LAST row wins on duplicate names."""
+    p = table(spark, sf, "part")
+    refs = p.select(F.upper("p_name").alias("key"), F.upper("p_name").alias("name"))
+    cache = (p.where(F.col("p_partkey") % 4 == 0)
+             .groupBy(F.upper("p_name").alias("key"))
+             .agg(F.max_by(rs.uuid_of(F.lit("local"), F.col("p_partkey")), F.col("p_partkey")).alias("id")))
+    cat = p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"),
+                   rs.uuid_of(F.lit("wf"), F.col("p_partkey")).alias("id"))
+    return rs.resolve_names(refs, cache, cat, "last")
+
+
+@query("reverse_resolve", f"""WITH l AS (SELECT l_orderkey AS owner, l_linenumber AS pos, {usql("'cat'", 'l_suppkey')} AS id FROM v_line),
+c AS (SELECT {usql("'cat'", 's_suppkey')} AS id, s_name AS nm FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT owner, bool_and(c.nm IS NOT NULL) AS all_resolved,
+  CASE WHEN bool_and(c.nm IS NOT NULL) THEN string_agg(c.nm, ',' ORDER BY pos) ELSE string_agg(l.id, ',' ORDER BY pos) END AS "values"
+FROM l LEFT JOIN c ON c.id = l.id GROUP BY owner""")
+def reverse_resolve(spark, sf):
+    """Per workflow, its ordered supplier-id list becomes names only if every id resolves."""
+    line = fx.v_line(spark, sf)
+    lists = line.select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("pos"),
+                        rs.uuid_of(F.lit("cat"), F.col("l_suppkey")).alias("id"))
+    cat = _catalog(spark, sf).where(F.col("pos") % 7 != 0)
+    return rs.reverse_resolve(lists, cat)
+
+
+@query("unresolved_ids", f"""SELECT {usql("'cat'", 'l_suppkey')} AS id FROM lineitem
+EXCEPT SELECT {usql("'cat'", 's_suppkey')} FROM supplier WHERE s_suppkey % 7 <> 0""")
+def unresolved_ids(spark, sf):
+    """Referenced ids minus known ids (set difference)."""
+    ref = table(spark, sf, "lineitem").select(rs.uuid_of(F.lit("cat"), F.col("l_suppkey")).alias("id"))
+    known = _catalog(spark, sf).where(F.col("pos") % 7 != 0).select("id")
+    return ref.subtract(known)
+
+
+@query("find_by_name", """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+t AS (SELECT DISTINCT term FROM (SELECT split_part(p_name, ' ', 1) AS term FROM part UNION ALL SELECT p_name FROM part) x),
+h AS (SELECT t.term, n.name, lower(n.name) = lower(t.term) AS ex FROM t JOIN n ON contains(lower(n.name), lower(t.term))),
+g AS (SELECT term, count_if(ex) AS n_exact, min(name) FILTER (WHERE ex) AS exact_name, count(*) AS n_matches, min(name) AS any_name
+      FROM h GROUP BY term)
+SELECT t.term, CASE WHEN coalesce(n_exact, 0) = 1 THEN 'found' WHEN coalesce(n_matches, 0) = 0 THEN 'none'
+  WHEN n_matches = 1 THEN 'found' ELSE 'ambiguous' END AS verdict,
+  CASE WHEN n_exact = 1 THEN exact_name WHEN n_matches = 1 THEN any_name END AS match,
+  cast(coalesce(n_matches, 0) AS BIGINT) AS n_matches
+FROM t LEFT JOIN g USING (term)""")
+def find_by_name(spark, sf):
+    """J9 over every part name: search terms are each name and each name's first word."""
+    p = table(spark, sf, "part")
+    terms = p.select(F.split("p_name", " ").getItem(0).alias("term")).unionByName(p.select(F.col("p_name").alias("term")))
+    return rs.find_by_name(terms, p.select(F.col("p_name").alias("name")))
+
+
+@query("catalog_listing", f"""WITH w AS (SELECT {usql("'wf'", 'n_nationkey')} AS id, n_nationkey, n_regionkey, n_name FROM nation),
+m AS (SELECT w.id, concat(w.n_name, ' / ', r.r_name) AS name FROM w JOIN region r ON r.r_regionkey = w.n_regionkey WHERE w.n_regionkey <> 4)
+SELECT w.id, coalesce(m.name, concat('Workflow ', substr(w.id, 1, 8))) AS name FROM w LEFT JOIN m ON m.id = w.id""")
+def catalog_listing(spark, sf):
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
+    wf = n.select(rs.uuid_of(F.lit("wf"), F.col("n_nationkey")).alias("id"), "n_regionkey", "n_name")
+    meta = (wf.where(F.col("n_regionkey") != 4).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("id", F.concat(F.col("n_name"), F.lit(" / "), F.col("r_name")).alias("name")))
+    return rs.catalog_listing(wf.select("id"), meta)
+
+
+@query("scan_catalog", f"""SELECT {usql("'cat'", 's_suppkey')} AS id, s_name AS name, s_nationkey AS organization_id FROM supplier""")
+def scan_catalog(spark, sf):
+    """Catalog rows, organization filter and offset/limit optional; all rows by default."""
+    from quarry.sources.catalog import scan_catalog as sc
+    s = table(spark, sf, "supplier").select(
+        rs.uuid_of(F.lit("cat"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("organization_id"))
+    return sc(s)
+
+
+def _edges_pos(spark, sf):
+    from pyspark.sql import Window
+    e = fx.v_edges(spark, sf)
+    w = Window.partitionBy("workflow_id").orderBy("src", "dst", "type")
+    return e.withColumn("pos", F.row_number().over(w).cast("bigint"))
+
+
+@query("pair_by_position", f"""SELECT e.workflow_id, e.pos, e.src, e.dst, {usql("'edge'", 'l.l_orderkey', 'l.l_linenumber')} AS edge_id
+FROM (SELECT workflow_id, src, dst, row_number() OVER (PARTITION BY workflow_id ORDER BY src, dst, type) AS pos FROM v_edges) e
+JOIN (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS pos FROM v_line) l
+  ON l.l_orderkey = e.workflow_id AND l.pos = e.pos""")
+def pair_by_position(spark, sf):
+    from pyspark.sql import Window
+    resp = (fx.v_line(spark, sf)
+            .withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+                        .cast("bigint"))
+            .select(F.col("l_orderkey").alias("workflow_id"), "pos",
+                    rs.uuid_of(F.lit("edge"), F.col("l_orderkey"), F.col("l_linenumber")).alias("edge_id")))
+    return rs.pair_by_position(_edges_pos(spark, sf).select("workflow_id", "pos", "src", "dst"), resp)
+
+
+STORED_SQL = f"""SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS key,
+  {usql("'node'", 'l_orderkey', 'l_linenumber')} AS id FROM v_line WHERE l_partkey % 5 <> 0
+UNION ALL SELECT DISTINCT l_orderkey, 'n0', {usql("'node'", 'l_orderkey', '0')} FROM v_line WHERE l_orderkey % 7 = 0"""
+
+
+def _stored(spark, sf):
+    line = fx.v_line(spark, sf)
+    a = line.where(F.col("l_partkey") % 5 != 0).select(
+        F.col("l_orderkey").alias("workflow_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("key"),
+        rs.uuid_of(F.lit("node"), F.col("l_orderkey"), F.col("l_linenumber")).alias("id"))
+    b = line.where(F.col("l_orderkey") % 7 == 0).select(
+        F.col("l_orderkey").alias("workflow_id"), F.lit("n0").alias("key"),
+        rs.uuid_of(F.lit("node"), F.col("l_orderkey"), F.lit(0)).alias("id")).distinct()
+    return a.unionByName(b)
+
+
+DIFF_SQL = f"""WITH s AS ({STORED_SQL}), d AS (SELECT workflow_id, slug AS key FROM v_nodes),
+m AS (SELECT DISTINCT workflow_id FROM s)
+SELECT coalesce(d.workflow_id, s.workflow_id) AS workflow_id, coalesce(d.key, s.key) AS key, s.id,
+  CASE WHEN d.key IS NOT NULL AND s.key IS NOT NULL THEN 'kept' WHEN d.key IS NOT NULL THEN 'added' ELSE 'removed' END AS change,
+  CASE WHEN m.workflow_id IS NOT NULL THEN 'update' ELSE 'create' END AS mode
+FROM d FULL OUTER JOIN s ON s.workflow_id = d.workflow_id AND s.key = d.key
+LEFT JOIN m ON m.workflow_id = coalesce(d.workflow_id, s.workflow_id)"""
+
+
+def _diff(spark, sf):
+    d = fx.v_nodes(spark, sf).select("workflow_id", F.col("slug").alias("key"))
+    return rs.snapshot_diff(d, _stored(spark, sf))
+
+
+@query("snapshot_diff", DIFF_SQL)
+def snapshot_diff(spark, sf):
+    return _diff(spark, sf)
+
+
+@query("save_id_map", f"""SELECT workflow_id, 'node' AS kind, key,
+  coalesce(id, {usql("'new'", 'workflow_id', 'key')}) AS id FROM ({DIFF_SQL}) x WHERE change <> 'removed'""")
+def save_id_map(spark, sf):
+    """K4: the whole-map replacement per workflow (kept ids, new ids for added keys)."""
+    from quarry.sources.sinks import id_map_rows
+    return id_map_rows(_diff(spark, sf))
+
+
+FN_SQL = "CASE pos % 3 WHEN 0 THEN NULL WHEN 1 THEN type ELSE concat(type, '_2') END"
+SLUG_SQL = ("trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower({c}), '_', '-'), ' ', '-'), "
+            "'[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'))")
+
+
+@query("unique_slugs", f"""WITH RECURSIVE b AS (SELECT workflow_id, pos,
+  row_number() OVER (PARTITION BY workflow_id ORDER BY pos) AS i,
+  CASE WHEN trim(coalesce(fn, '')) <> '' THEN lower(trim(fn)) ELSE {SLUG_SQL.format(c='type')} END AS base
+  FROM (SELECT workflow_id, pos, type, {FN_SQL} AS fn FROM v_nodes) x),
+r(workflow_id, i, pos, slug, seen) AS (
+  SELECT workflow_id, i, pos, base, [base] FROM b WHERE i = 1
+  UNION ALL
+  SELECT b.workflow_id, b.i, b.pos, s.slug2, list_append(r.seen, s.slug2)
+  FROM r JOIN b ON b.workflow_id = r.workflow_id AND b.i = r.i + 1,
+  LATERAL (SELECT CASE WHEN NOT list_contains(r.seen, b.base) THEN b.base ELSE concat(b.base, '_',
+    cast((SELECT min(k) FROM range(2, len(r.seen) + 3) t(k) WHERE NOT list_contains(r.seen, concat(b.base, '_', cast(k AS VARCHAR))))
+    AS VARCHAR)) END AS slug2) s)
+SELECT workflow_id, pos, slug FROM r""")
+def unique_slugs(spark, sf):
+    n = fx.v_nodes(spark, sf).withColumn("function_name", F.expr(FN_SQL))
+    return rs.unique_slugs(n)
+
+
+@query("slugify", f"""SELECT p_partkey, {SLUG_SQL.format(c='p_name')} AS name_slug, {SLUG_SQL.format(c='p_type')} AS type_slug FROM part""")
+def slugify(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", tf.slugify(F.col("p_name")).alias("name_slug"), tf.slugify(F.col("p_type")).alias("type_slug"))
+
+
+@query("edge_key", """SELECT workflow_id, concat_ws('->', src, dst) AS key, replace(src, '-', '_') AS function_name FROM v_edges""")
+def edge_key(spark, sf):
+    e = fx.v_edges(spark, sf)
+    return e.select("workflow_id", tf.edge_key(F.col("src"), F.col("dst")).alias("key"),
+                    tf.function_name(F.col("src")).alias("function_name"))
+
+
+@query("is_uuid", f"""SELECT v, regexp_matches(v, '{UUID_RE}') AS is_uuid FROM (
+  SELECT substr(ref, 7) AS v FROM v_refs
+  UNION ALL SELECT CASE WHEN s_suppkey % 5 = 0 THEN substr({usql("'cat'", 's_suppkey')}, 1, 35)
+    WHEN s_suppkey % 2 = 1 THEN upper({usql("'cat'", 's_suppkey')}) ELSE {usql("'cat'", 's_suppkey')} END FROM supplier) x""")
+def is_uuid(spark, sf):
+    refs = fx.v_refs(spark, sf).select(F.substring("ref", 7, 1 << 20).alias("v"))
+    s = table(spark, sf, "supplier")
+    u = rs.uuid_of(F.lit("cat"), F.col("s_suppkey"))
+    ids = s.select(F.when(F.col("s_suppkey") % 5 == 0, F.substring(u, 1, 35))
+                   .when(F.col("s_suppkey") % 2 == 1, F.upper(u)).otherwise(u).alias("v"))
+    return refs.unionByName(ids).select("v", tf.is_uuid(F.col("v")).alias("is_uuid"))
+
+
+@query("rewrite_refs", f"""WITH s AS ({STORED_SQL})
+SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node,
+  concat('Use {{{{', coalesce(a.id, concat('n', cast(l.l_linenumber - 1 AS VARCHAR))), '.output.text}}}} then {{{{',
+         coalesce(b.id, concat('n', cast(l.l_suppkey % 9 AS VARCHAR))), '.output.files}}}}') AS rewritten
+FROM v_line l
+LEFT JOIN s a ON a.workflow_id = l.l_orderkey AND a.key = concat('n', cast(l.l_linenumber - 1 AS VARCHAR))
+LEFT JOIN s b ON b.workflow_id = l.l_orderkey AND b.key = concat('n', cast(l.l_suppkey % 9 AS VARCHAR))""")
+def rewrite_refs(spark, sf):
+    """template slugs -> stored node ids (slugs with no stored id are left as is)."""
+    t = fx.v_templates(spark, sf)
+    m = _stored(spark, sf).select("workflow_id", F.col("key").alias("slug"), "id")
+    return rs.rewrite_refs(t, m).select("workflow_id", "node", "rewritten")
+
+
+def _outputs(spark, sf):
+    line = fx.v_line(spark, sf)
+    slug = F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))
+    txt = line.select(F.col("l_orderkey").alias("workflow_id"), slug.alias("slug"), F.lit("text").alias("field"),
+                      F.concat(F.lit("T"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                               F.col("l_linenumber").cast("string")).alias("value"))
+    files = line.where(F.col("l_returnflag") == "A").select(
+        F.col("l_orderkey").alias("workflow_id"), slug.alias("slug"), F.lit("files").alias("field"),
+        F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("value"))
+    return txt.unionByName(files)
+
+
+@query("render_template", """WITH o AS (
+  SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS slug, 'text' AS field,
+    concat('T', cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS value FROM v_line
+  UNION ALL SELECT l_orderkey, concat('n', cast(l_linenumber AS VARCHAR)), 'files', concat('F', cast(l_partkey AS VARCHAR))
+  FROM v_line WHERE l_returnflag = 'A'),
+x AS (SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node, a.value AS v1, b.value AS v2,
+  concat('n', cast(l.l_linenumber - 1 AS VARCHAR), '.output.text') AS r1, concat('n', cast(l.l_suppkey % 9 AS VARCHAR), '.output.files') AS r2
+  FROM v_line l
+  LEFT JOIN o a ON a.workflow_id = l.l_orderkey AND a.slug = concat('n', cast(l.l_linenumber - 1 AS VARCHAR)) AND a.field = 'text'
+  LEFT JOIN o b ON b.workflow_id = l.l_orderkey AND b.slug = concat('n', cast(l.l_suppkey % 9 AS VARCHAR)) AND b.field = 'files')
+SELECT workflow_id, node, CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN concat('Use ', v1, ' then ', v2) END AS rendered,
+  array_to_string(list_sort(list_filter([CASE WHEN v1 IS NULL THEN r1 END, CASE WHEN v2 IS NULL THEN r2 END], lambda x: x IS NOT NULL)), ',') AS missing
+FROM x""")
+def render_template(spark, sf):
+    return rs.render_template(fx.v_templates(spark, sf), _outputs(spark, sf))
+
+
+ROUTE_EDGES = [("router", "escalate", "CONDITIONAL", 'priority == "1-URGENT"'),
+               ("router", "batch", "CONDITIONAL", 'priority == "5-LOW"'),
+               ("router", "audit", "STATIC", None)]
+
+
+@query("route_rows", """SELECT o_orderkey, 'escalate' AS dst FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT o_orderkey, 'batch' FROM orders WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT o_orderkey, 'audit' FROM orders""")
+def route_rows(spark, sf):
+    """Orders routed over a router node's conditional edges (``priority == "…"``) plus its static edge."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    edges = spark.createDataFrame(ROUTE_EDGES, "src string, dst string, type string, condition string")
+    return rs.route_rows(o, edges, F.create_map(F.lit("priority"), F.col("o_orderpriority"))).select("o_orderkey", "dst")
