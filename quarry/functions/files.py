@@ -44,9 +44,10 @@ def ingestable(files: DataFrame, filename_col: str = "filename") -> DataFrame:
 
 def size_reason(filename: Column, n_bytes: Column) -> Column:
     """Rejection text when ``n_bytes`` is over the limit, else null."""
-    mb = n_bytes / F.lit(1024.0 * 1024.0)
+    from quarry.functions.text import ratio_1dp
+
     max_mb = dims.MAX_FILE_SIZE_BYTES / (1024 * 1024)
-    msg = F.concat(F.lit("File "), filename, F.lit(" ("), F.format_string("%.1f", mb),
+    msg = F.concat(F.lit("File "), filename, F.lit(" ("), ratio_1dp(n_bytes, 1024 * 1024),
                    F.lit(f" MB) exceeds the {max_mb:.0f} MB limit for document parsing. "
                          "Consider splitting the document or using a text-only strategy."))
     return F.when(n_bytes > F.lit(dims.MAX_FILE_SIZE_BYTES), msg)

@@ -48,11 +48,24 @@ def format_duration_ms(ms: Column) -> Column:
         .otherwise(format_duration_s(F.floor(ms / 1000)))
 
 
+def ratio_1dp(n: Column, d: int) -> Column:
+    """``n / d`` with one decimal, ties to even on the exact value (integer ``n``, ``d`` a power of two).
+
+    ``n / d`` is exact in binary, so this equals formatting the float with
+    ``.1f``; integer arithmetic keeps it exact and JVM-side.
+    """
+    n = n.cast("long")
+    tenths, rem = F.floor(n * 10 / d).cast("long"), (n * 10) % d
+    up = (rem * 2 > d) | ((rem * 2 == d) & (tenths % 2 == 1))
+    t = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def format_size(n: Column) -> Column:
     """bytes -> ``N B`` / ``x.y KB`` / ``x.y MB``."""
     return (F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-            .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB")))
-            .otherwise(F.concat(F.format_string("%.1f", n / (1024.0 * 1024.0)), F.lit(" MB"))))
+            .when(n < 1024 * 1024, F.concat(ratio_1dp(n, 1024), F.lit(" KB")))
+            .otherwise(F.concat(ratio_1dp(n, 1024 * 1024), F.lit(" MB"))))
 
 
 def format_datetime(raw: Column) -> Column:
@@ -91,3 +104,19 @@ def parse_json_object(text: Column) -> tuple[Column, Column]:
 def is_uuid(s: Column) -> Column:
     """Strict 8-4-4-4-12 hex, case-insensitive."""
     return F.coalesce(s.rlike(dims.UUID_PATTERN), F.lit(False))
+
+
+def error_class(code: Column) -> Column:
+    """HTTP status -> error class name (fixed mapping; >= 500 server error)."""
+    return (F.when(code.isin(400, 422), "ValidationError").when(code == 401, "AuthenticationError")
+            .when(code == 403, "AuthorizationError").when(code == 404, "NotFoundError")
+            .when(code == 409, "ConflictError").when(code == 429, "RateLimitError")
+            .when(code >= 500, "ServerError").otherwise("APIError"))
+
+
+def error_message(body_json: Column) -> Column:
+    """message from ``detail``, ``detail.detail`` or ``error.message``."""
+    v = F.try_parse_json(body_json)
+    return F.coalesce(F.try_variant_get(v, "$.detail", "string"),
+                      F.try_variant_get(v, "$.detail.detail", "string"),
+                      F.try_variant_get(v, "$.error.message", "string"))
