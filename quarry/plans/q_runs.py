@@ -249,3 +249,16 @@ def event_preview(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", tf.output_preview(F.col("text")).alias("output_preview"),
                     tf.content_preview(F.col("text")).alias("content_preview"))
+
+
+@query("stream_events", """
+SELECT run_id, seq, etype, CASE WHEN etype IN ('RUN_FINISHED', 'RUN_ERROR') THEN true ELSE false END AS is_terminal,
+  etype IN ('WAITING_FOR_INPUT', 'WAITING_FOR_REVIEW') AS is_pausing FROM v_events""")
+def stream_events(spark, sf):
+    """The event lines as a file stream (``availableNow``), parsed by the batch Column code."""
+    from quarry.streaming import events as st
+
+    path = st.stage_lines(fx.event_lines(spark, sf))
+    out = st.run_to_table(st.stream_events(spark, path).select("run_id", "seq", "etype", "is_terminal", "is_pausing"),
+                          "stream-events")
+    return out
