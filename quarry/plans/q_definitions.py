@@ -297,3 +297,12 @@ SELECT workflow_id, cast(count_if(status = 'PASS') AS BIGINT) AS n_pass, cast(co
 FROM rep GROUP BY workflow_id""")
 def check_tally(spark, sf):
     return checks.check_tally(_report(spark, sf))
+
+
+@query("explode_composite", """SELECT workflow_id, cast(row_number() OVER (PARTITION BY workflow_id ORDER BY pos) - 1 AS INTEGER) AS node_pos,
+  slug, type FROM v_nodes""")
+def explode_composite(spark, sf):
+    """One nested composite record per workflow (JSON) -> flat node rows via ``from_json`` + ``posexplode``."""
+    from quarry.sources.definitions import composite_records, explode_composite_nodes
+    comp = composite_records(fx.v_workflows(spark, sf), fx.v_nodes(spark, sf), fx.v_edges(spark, sf))
+    return explode_composite_nodes(comp)

@@ -138,17 +138,11 @@ def markup_to_elements(spark, sf):
     return ingest.markup_to_elements(p).select("doc_id", "pos", "type", "text")
 
 
-@query("union_lanes", f"""
-SELECT doc_id, lane, type FROM (
-  SELECT doc_id, 'direct' AS lane, 'NarrativeText' AS type FROM
-  (SELECT doc_id, n_bytes, {EXT} AS ext FROM v_files) f WHERE {LANE_SQL} = 'direct') x""")
+@query("union_lanes")
 def union_lanes(spark, sf):
-    """U1 over the lanes that run locally: direct text plus markup of ``.html`` files.
-
-    The oracle covers the direct lane row set; html rows come from G5.
-    """
+    """Direct-lane text elements and markup elements of ``.html`` files in one table."""
     el = ingest.ingest_elements(_files(spark, sf))
-    return el.where(F.col("lane") == "direct").select("doc_id", "lane", "type")
+    return el.select("doc_id", "pos", "lane", "type")
 
 
 @query("section_path", """
@@ -189,3 +183,34 @@ def chunks_per_tier(spark, sf):
             .agg(F.count("*").alias("n_files"),
                  F.coalesce(F.sum("n_chunks"), F.lit(0)).cast("bigint").alias("n_chunks"),
                  F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens")))
+
+
+LABEL_SQL = "CASE pos % 5 WHEN 0 THEN 'section_header' WHEN 4 THEN 'list_item' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'caption' ELSE 'group' END"
+
+
+@query("label_to_type", f"""SELECT doc_id, pos, label, CASE label WHEN 'section_header' THEN 'Title' WHEN 'list_item' THEN 'ListItem'
+  WHEN 'paragraph' THEN 'NarrativeText' WHEN 'caption' THEN 'NarrativeText' ELSE 'container' END AS element_type
+FROM (SELECT doc_id, pos, {LABEL_SQL} AS label FROM v_elements) x""")
+def label_to_type(spark, sf):
+    """layout labels -> element types through the fixed label map; unmapped labels are containers."""
+    from quarry import dims
+    el = fx.elements(spark, sf).withColumn("label", F.expr(LABEL_SQL))
+    return el.select("doc_id", "pos", "label",
+                     F.coalesce(F.element_at(dims.label_map_column(), F.col("label")), F.lit("container"))
+                     .alias("element_type"))
+
+
+def _paragraph_hook(content: bytes, filename: str):
+    """Example user parser: blank-line separated paragraphs (first one as Title)."""
+    text = content.decode("utf-8", errors="replace")
+    paras = [p for p in text.split("\n\n") if p.strip()] or [text]
+    return [{"type": "Title" if i == 0 else "NarrativeText", "text": p, "metadata": {"filename": filename}}
+            for i, p in enumerate(paras)]
+
+
+@query("parser_hook")
+def parser_hook(spark, sf):
+    """Primary-lane files that have no local parser go through a user callable in ``mapInPandas``."""
+    laned = ingest.with_lanes(_files(spark, sf))
+    prim = laned.where((F.col("lane") == "primary") & ~F.col("ext").isin(".html", ".htm"))
+    return ingest.parser_hook(prim, _paragraph_hook).select("doc_id", "pos", "type", "text")

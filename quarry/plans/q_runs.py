@@ -262,3 +262,14 @@ def stream_events(spark, sf):
     out = st.run_to_table(st.stream_events(spark, path).select("run_id", "seq", "etype", "is_terminal", "is_pausing"),
                           "stream-events")
     return out
+
+
+@query("save_node_outputs", NODE_OUT_SQL + """ SELECT run_id, node_id, concat(node_id, '/output.json') AS path,
+  trim(concat(node_id, '/output.json')) <> '' AND NOT starts_with(concat(node_id, '/output.json'), '/')
+  AND NOT list_contains(string_split(concat(node_id, '/output.json'), '/'), '..') AS path_ok
+FROM l WHERE op <> 'remove'""")
+def save_node_outputs(spark, sf):
+    """K3: latest node outputs with their templated relative path and the confinement check."""
+    from quarry.sources.sinks import node_output_paths
+    out = runs.node_outputs_latest(_events(spark, sf))
+    return node_output_paths(out).select("run_id", "node_id", "path", "path_ok")
