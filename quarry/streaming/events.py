@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the run-event operators.
+"""Structured Streaming twin of the run-event parsing.
 
 The stream reads JSON records ``(run_id, seq, ts, line)`` from a folder and
 applies exactly the batch Column code (F11 parse + P6 flags). Scratch and
@@ -30,19 +30,6 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return runs.event_flags(runs.parse_event_lines(raw))
 
 
-def stream_waiting_queue(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """T3 (append mode): runs whose latest pausing event is not followed by a step or terminal event.
-
-    Event-time windows are not part of the reference; this twin keys on the
-    run and emits once the watermark passes the run's last event.
-    """
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return (ev.groupBy("run_id", F.session_window("ts", watermark))
-            .agg(F.max_by("etype", "seq").alias("last_type"))
-            .where(F.col("last_type").isin("WAITING_FOR_INPUT", "WAITING_FOR_REVIEW"))
-            .select("run_id", "last_type"))
-
-
 def run_to_table(df: DataFrame, name: str) -> DataFrame:
     """Run a streaming DataFrame with ``availableNow`` into a parquet folder and read it back."""
     spark = df.sparkSession
