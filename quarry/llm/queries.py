@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprint, shards, urls
+from quarry.llm import decontam, fingerprint, lm, packing, pii, quality, shards, simhash, urls, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,86 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
                          F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit-decreasing packing of all documents into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    _, places = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return places
+
+
+@_query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to Zstandard WARC archives and read back."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op3_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+  CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+"""
+
+
+@_query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and random-field spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.train_on(docs))
+
+
+@_query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components of all documents."""
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact benchmark windows in every document through the positional index."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+# Words of an ASCII-lowered text; windows of the lengths that the items have, joined on their text.
+ORACLE["op6_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS (
+  SELECT item_id, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+  FROM bw, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT size, win FROM items),
+at AS (
+  SELECT d.doc_id, t.i, s.size, array_to_string(d.w[t.i : t.i + s.size - 1], ' ') AS win
+  FROM dw d, (SELECT DISTINCT size FROM wins) s, unnest(range(1, len(d.w) - s.size + 2)) AS t(i)),
+hit AS (SELECT at.doc_id, at.i, at.size, at.win FROM at JOIN wins ON at.size = wins.size AND at.win = wins.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT hit.doc_id, CAST(items.item_id AS VARCHAR) AS item FROM hit JOIN items ON hit.size = items.size AND hit.win = items.win) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(named.n_items, 0) AS n_items,
+  sha256(coalesce(named.items, '')) AS items_sha256, words.n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@_query
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-mixing log-probabilities of all documents."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
