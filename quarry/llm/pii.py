@@ -5,8 +5,9 @@ labels white-space tokens with O, B-kind and I-kind from word-shape features
 of the token and its neighbours; its spans that touch no base span are added.
 It is trained from a small labelled table: windows around numbers and addresses in
 a bounded sample of the documents, labelled by the base spans, copies with a
-broken span (a wrong check digit, an octet over 255) labelled as nothing, and
-some written forms that the patterns do not cover (``VARIANTS``).
+broken span (a wrong check digit, an octet over 255) labelled as nothing, pairs
+of base spans side by side, and some written forms that the patterns do not
+cover (``VARIANTS``).
 
 A token without a digit or ``@`` is O by definition of the model. The other
 tokens form short chains with O on both sides, independent of each other given
@@ -207,6 +208,16 @@ def variant_rows(context: list[str], each: int = 40) -> list[tuple[str, list[Spa
     return rows
 
 
+def pair_rows(rows: list[tuple[str, list[Span]]], most: int = 150) -> list[tuple[str, list[Span]]]:
+    """Rows with two labelled spans side by side, which the patterns may take for one number and drop."""
+    found = [(text[s:e], k) for text, spans in rows for s, k, e in spans]
+    step = max(1, len(found) // 2)
+    out = []
+    for (a, j), (b, k) in islice(zip(found, found[step:] + found[:step]), most):
+        out.append((f"see {a} {b} here", [(4, j, 4 + len(a)), (5 + len(a), k, 5 + len(a) + len(b))]))
+    return out
+
+
 # The random field ---------------------------------------------------------------
 
 class Field:
@@ -335,7 +346,7 @@ def train_on(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_rows: int = TRAIN_
     rows = few.mapInPandas(cut, "text string, spans string")
     rows = rows.orderBy(F.xxhash64("text"), "text", "spans").limit(max_rows).collect()
     found = [(r["text"], [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]) for r in rows]
-    return train_field(found + variant_rows([t for t, _ in found[:400]]))
+    return train_field(found + variant_rows([t for t, _ in found[:400]]) + pair_rows(found))
 
 
 # Finding ------------------------------------------------------------------------

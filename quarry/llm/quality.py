@@ -239,3 +239,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     got = _plain(docs).mapInPandas(run, "doc_id string, text_score double, record_score double, score double, keep boolean")
     return got.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model keeps; nothing moves between tasks."""
+
+    @F.pandas_udf("boolean")
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, lang, source in batches:
+            b = pd.DataFrame({"text": text, "lang": lang, "source": source})
+            yield pd.Series(np.concatenate([np.empty(0, bool), *(model.score(xt, xr)[2] >= model.threshold for _, xt, xr in _views(b))]))
+
+    have = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")]
+    return docs.where(keep(F.coalesce("text", F.lit("")), *have))

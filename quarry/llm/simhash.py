@@ -247,7 +247,9 @@ def link(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if len(keys):
             yield linked(keys, fps)
 
-    keyed = distinct.select("fp").mapInPandas(emit, "key long, fp long")
+    # a named number of tasks: adaptive execution would size them by 8-byte rows that grow a hundredfold
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.select("fp").repartition(parts, "fp").mapInPandas(emit, "key long, fp long")
     met = stage(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a long, b long, over boolean"), "links")
     links = met.where("not over").select("a", "b")
     large = met.where("over").select(F.col("a").alias("key"), F.col("b").alias("fp"))
