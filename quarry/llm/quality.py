@@ -3,7 +3,8 @@
 * Text view: hashed byte trigrams of the whole text (square roots of their
   shares).
 * Record view: language, source, length and layout figures (line count and
-  length, shares of letters, digits, symbols and space, word length).
+  length, shares of letters, digits, symbols and space, word length, repeated
+  words).
 
 Both start from a bounded sample of labelled rows. In each round either view
 labels the documents of an unlabelled pool that it is most sure of, and the
@@ -17,13 +18,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 2048
+DIMS = 1024
 LANGS, SOURCES = 16, 64
 LABELLED, POOL = 3000, 3000
 ROUNDS, SURE, SHARE = 4, 0.97, 0.1
@@ -35,7 +37,7 @@ def text_view(data: np.ndarray) -> np.ndarray:
     for at in range(0, max(0, len(data) - 2), 1 << 20):
         part = data[at : at + (1 << 20) + 2].astype(np.uint32)
         key = (part[:-2] << 16 | part[1:-1] << 8 | part[2:]) * np.uint32(2654435761)
-        out += np.bincount(key >> np.uint32(32 - 11), minlength=DIMS)
+        out += np.bincount(key >> np.uint32(32 - 10), minlength=DIMS)
     return np.sqrt(out / max(1, len(data) - 2))
 
 
@@ -53,7 +55,10 @@ def record_view(data: np.ndarray, n_chars: int, lang: str | None, source: str |
     share = np.bincount(_CLASSES[data], minlength=7) / max(1, len(data))
     lines = share[6] * len(data) + 1
     spaces = share[5] * len(data) + lines
-    figures = [np.log1p(n_chars) / 10, np.log1p(lines) / 5, np.log1p(len(data) / lines) / 5, np.log1p(len(data) / spaces), *share[:6] * 4]
+    words = data.tobytes().split()
+    distinct = np.log1p(len(set(words))) / np.log(len(words) + 2)
+    again = sum(map(eq, words, words[1:])) / (len(words) + 1)
+    figures = [np.log1p(n_chars) / 10, np.log1p(lines) / 5, np.log1p(len(data) / lines) / 5, np.log1p(len(data) / spaces), *share[:6] * 4, distinct, again]
     one_hot = np.zeros(LANGS + SOURCES)
     one_hot[zlib.crc32(str(lang).encode()) % LANGS] = 0.5
     one_hot[LANGS + zlib.crc32(str(source).encode()) % SOURCES] = 0.5
@@ -79,7 +84,7 @@ class Linear:
         return ((x - self.mean) / self.scale) @ self.w + self.b
 
 
-def fit(x: np.ndarray, y: np.ndarray, decay: float, steps: int = 150) -> Linear:
+def fit(x: np.ndarray, y: np.ndarray, decay: float, steps: int = 80) -> Linear:
     """Accelerated gradient descent on the class-balanced log-loss with an L2 penalty."""
     mean, scale = x.mean(0), x.std(0) + 0.02 * max(1e-6, float(x.std()))
     z = ((x - mean) / scale).astype(np.float32)

@@ -100,10 +100,10 @@ items AS (
   SELECT item_id, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
   FROM bw, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
 wins AS (SELECT DISTINCT size, win FROM items),
-at AS (
+spot AS (
   SELECT d.doc_id, t.i, s.size, array_to_string(d.w[t.i : t.i + s.size - 1], ' ') AS win
   FROM dw d, (SELECT DISTINCT size FROM wins) s, unnest(range(1, len(d.w) - s.size + 2)) AS t(i)),
-hit AS (SELECT at.doc_id, at.i, at.size, at.win FROM at JOIN wins ON at.size = wins.size AND at.win = wins.win),
+hit AS (SELECT spot.doc_id, spot.i, spot.size, spot.win FROM spot JOIN wins ON spot.size = wins.size AND spot.win = wins.win),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
