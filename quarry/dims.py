@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 # Document formats.
 MAX_FILE_SIZE_BYTES = 52_428_800
 DIRECT_PARSE_EXTS = [".txt", ".md", ".markdown", ".csv"]
-TEXT_NATIVE_EXTS = [".txt", ".md", ".markdown", ".csv", ".html", ".htm"]
 FORMAT_TIERS = {
     "rich": [".pdf", ".docx", ".pptx"],
     "markup": [".md", ".markdown", ".html", ".htm", ".adoc", ".asciidoc", ".vtt"],
@@ -68,6 +67,9 @@ MAX_ATTEMPTS = 3
 
 # Slug / id patterns.
 UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+SLUG_REF_PATTERN = r"\{\{[a-z0-9][a-z0-9_-]*"
+UUID_REF_PATTERN = r"\{\{[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+FUNCTION_REF_PATTERN = r"\{\{[a-zA-Z_][a-zA-Z0-9_]*(?=\.)"
 VAR_REF_PATTERN = r"\{\{([a-zA-Z0-9_-]+)\.([a-zA-Z0-9_.]+)\}\}"
 
 # Node types (definition file spelling) and execution modes.

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quarry import dims
 
 
+def strip_ws(text: Column) -> Column:
+    """Strip every kind of white space at both ends (``trim`` strips blanks only)."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def slugify(text: Column) -> Column:
     """lower; ``_`` and space -> ``-``; drop other chars; collapse and strip ``-``."""
     s = F.lower(text)
@@ -69,10 +74,14 @@ def format_size(n: Column) -> Column:
 
 
 def format_datetime(raw: Column) -> Column:
-    """F8: null -> ``N/A``; ISO text (``Z`` allowed) -> ``yyyy-MM-dd HH:mm``; unparsable kept."""
-    ts = F.try_to_timestamp(F.regexp_replace(raw, "Z$", "+00:00"))
-    return F.when(raw.isNull(), F.lit("N/A")).otherwise(
-        F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm"), raw))
+    """F8: null -> ``N/A``; ISO text (``Z`` allowed) -> ``yyyy-MM-dd HH:mm``; unparsable kept.
+
+    The time is shown as written: an offset is not converted, so it is cut off before parsing.
+    """
+    local = F.regexp_replace(raw, r"(?<=\d)(Z|[+-]\d{2}:?\d{2}(:?\d{2}(\.\d+)?)?)$", "")
+    dated = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw).when(raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), local)
+    ts = F.try_to_timestamp(dated)
+    return F.when(raw.isNull(), F.lit("N/A")).otherwise(F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm"), raw))
 
 
 def output_preview(text: Column, limit: int = 200) -> Column:

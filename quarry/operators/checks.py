@@ -7,12 +7,11 @@ tables are tiny fixed dimensions and are broadcast.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import dims
+from quarry.functions.text import strip_ws
 from quarry.sources import registry as reg
 
 # Every JSON string token, consumed left to right; group 2 is ':' for object keys.
@@ -20,16 +19,19 @@ _JSON_STRING_TOKEN = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
 
 
 def string_leaves(config_json: Column) -> Column:
-    """Every string value (at any depth) of a JSON document; object keys excluded."""
-    canon = F.to_json(F.try_parse_json(config_json))
-    tokens = F.regexp_extract_all(canon, F.lit(_JSON_STRING_TOKEN), 1)
-    is_key = F.regexp_extract_all(canon, F.lit(_JSON_STRING_TOKEN), 2)
-    pairs = F.arrays_zip(tokens.alias("t"), is_key.alias("k"))
-    return F.transform(F.filter(pairs, lambda p: p["k"] == ""), lambda p: p["t"])
+    """Every string value (at any depth) of a JSON document in document order; object keys excluded.
+
+    The text itself is tokenised once it is known to be valid JSON: a parsed
+    VARIANT would give the values by sorted key.
+    """
+    valid = F.when(F.try_parse_json(config_json).isNotNull(), config_json)
+    tokens = F.regexp_extract_all(valid, F.lit(_JSON_STRING_TOKEN), F.lit(0))
+    return F.transform(F.filter(tokens, lambda t: ~t.rlike(":$")), lambda t: F.substring(t, 2, F.length(t) - 2))
 
 
 def extract_variable_refs(df: DataFrame, config_col: str = "config") -> DataFrame:
     """one row per ``{{slug.path}}`` in string leaves: adds ``ref_no, slug, path``."""
+    df = df.where(F.col(config_col).contains("{{"))  # before any parsing
     leaves = string_leaves(F.col(config_col))
     matches = F.flatten(F.transform(leaves, lambda s: F.regexp_extract_all(s, F.lit(dims.VAR_REF_PATTERN), 0)))
     x = df.select("*", F.posexplode(matches).alias("ref_no", "raw"))
@@ -105,7 +107,7 @@ def field_drift(nodes: DataFrame, registry: DataFrame) -> DataFrame:
 
 def path_confined(p: Column) -> Column:
     """Non-blank, not absolute, no ``..`` segment."""
-    return (F.trim(p) != "") & ~F.startswith(p, F.lit("/")) & ~F.array_contains(F.split(p, "/"), "..")
+    return (strip_ws(p) != "") & ~F.startswith(p, F.lit("/")) & ~F.array_contains(F.split(p, "/"), "..")
 
 
 def removed_fields(nodes: DataFrame, config_col: str = "config") -> DataFrame:
@@ -174,9 +176,11 @@ def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str
                  .when(vtype == "STRING", "string").when(vtype == "BOOLEAN", "boolean")
                  .when(vtype.startswith("ARRAY"), "array").when(vtype.startswith("OBJECT"), "object")
                  .otherwise("null"))
-    want = F.regexp_replace(arg, '"', "")
-    type_ok = (json_type == want) | ((want == "number") & (json_type == "integer")) | \
-              ((want == "integer") & (json_type == "number") & (num == F.floor(num)))
+    # a type is one name or a list of names, any of which may hold
+    wanted = F.when(arg.startswith("["), F.from_json(arg, "array<string>")).otherwise(F.array(F.regexp_replace(arg, '"', "")))
+    want = F.array_join(wanted, "', '")
+    type_ok = F.array_contains(wanted, json_type) | (F.array_contains(wanted, F.lit("number")) & (json_type == "integer")) | \
+              (F.array_contains(wanted, F.lit("integer")) & (json_type == "number") & (num == F.floor(num)))
     k = F.col("kind")
     msg = (F.when((k == "required") & val.isNull(), F.concat(F.lit("'"), F.col("field"), F.lit("' is a required property")))
            .when(val.isNull(), F.lit(None))
@@ -251,4 +255,4 @@ def check_tally(report: DataFrame) -> DataFrame:
 
 __all__ = ["extract_variable_refs", "invalid_variable_refs", "output_path_check", "type_status_check",
            "field_drift", "path_confined", "removed_fields", "config_rules", "schema_rules",
-           "check_report", "check_tally", "json"]
+           "check_report", "check_tally"]

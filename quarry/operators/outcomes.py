@@ -15,28 +15,33 @@ def attempt_class(result):
             .otherwise("retry"))
 
 
-def attempt_outcome(attempts: DataFrame, max_attempts: int = dims.MAX_ATTEMPTS,
-                    wait_s: int = dims.RETRY_WAIT_S) -> DataFrame:
-    """Attempt log ``(doc_id, attempt, result)`` -> final outcome per document.
-
-    The first success or terminal attempt decides; otherwise the document is
-    ``exhausted``. A retried attempt ``a`` waits ``wait_s * a`` seconds.
+def attempt_outcome(attempts: DataFrame, max_attempts: int = dims.MAX_ATTEMPTS, wait_s: int = dims.RETRY_WAIT_S,
+                    deadline_s: int | None = None) -> DataFrame:
+    """Attempt log ``(doc_id, attempt, result[, started_s])`` -> final outcome per document.
+
+    Within the first ``max_attempts`` attempts (and, given ``deadline_s``,
+    those started by then, in seconds since the document's start) the first
+    success or terminal result decides; otherwise the document is
+    ``exhausted``, or ``timed_out`` if the deadline stopped it. A retried
+    attempt ``a`` waits ``wait_s * a`` seconds. Logged attempts beyond the
+    policy decide nothing and are counted in ``n_past_policy``.
     """
-    a = attempts.where(F.col("attempt") <= max_attempts).withColumn("cls", attempt_class(F.col("result")))
-    deciding = F.col("cls") != "retry"
+    late = F.lit(False) if deadline_s is None else F.col("started_s") > deadline_s
+    a = attempts.withColumn("cls", attempt_class(F.col("result"))).withColumn("late", late)
+    a = a.withColumn("inside", (F.col("attempt") <= max_attempts) & ~F.col("late"))
+    deciding = F.col("inside") & (F.col("cls") != "retry")
     g = a.groupBy("doc_id").agg(
         F.min(F.when(deciding, F.col("attempt"))).alias("decided"),
         F.min_by(F.col("result"), F.when(deciding, F.col("attempt"))).alias("decided_result"),
-        F.max("attempt").alias("last_attempt"),
-        F.collect_list("attempt").alias("atts"))
+        F.max(F.when(F.col("inside"), F.col("attempt"))).alias("last_attempt"),
+        F.count_if(~F.col("inside")).alias("n_past_policy"),
+        F.bool_or(F.col("late") & (F.col("attempt") <= max_attempts)).alias("stopped"),
+        F.collect_list(F.when(F.col("inside") & (F.col("attempt") < max_attempts), F.col("attempt"))).alias("atts"))
     used = F.coalesce(F.col("decided"), F.col("last_attempt"))
-    waits = F.aggregate(F.filter("atts", lambda x: (x < used) & (x < max_attempts)),
-                        F.lit(0).cast("bigint"), lambda acc, x: acc + x * wait_s)
-    return g.select(
-        "doc_id", used.alias("attempts_used"),
-        F.when(F.col("decided").isNull(), "exhausted").when(F.col("decided_result") == "success", "success")
-        .otherwise("failed").alias("outcome"),
-        waits.alias("wait_s"))
+    waits = F.aggregate(F.filter("atts", lambda x: x < used), F.lit(0).cast("bigint"), lambda acc, x: acc + x * wait_s)
+    outcome = (F.when(F.col("decided").isNotNull(), F.when(F.col("decided_result") == "success", "success").otherwise("failed"))
+               .when(F.col("stopped"), "timed_out").otherwise("exhausted"))
+    return g.select("doc_id", used.alias("attempts_used"), outcome.alias("outcome"), waits.alias("wait_s"), "n_past_policy")
 
 
 def page_ranges(docs: DataFrame, batch_pages: int) -> DataFrame:
@@ -68,8 +73,9 @@ def merge_page_batches(batches: DataFrame) -> DataFrame:
     return b.select(
         "doc_id",
         F.flatten(F.transform(ok, lambda x: x["elements"])).alias("elements"),
-        F.array_join(F.transform(ok, lambda x: x["doctags"]), "\n").alias("doctags"),
-        F.array_join(F.transform(ok, lambda x: x["md"]), "\n\n").alias("md"),
+        # empty parts add no separator
+        F.array_join(F.filter(F.transform(ok, lambda x: x["doctags"]), lambda t: t != ""), "\n").alias("doctags"),
+        F.array_join(F.filter(F.transform(ok, lambda x: x["md"]), lambda t: t != ""), "\n\n").alias("md"),
         F.transform(ok, lambda x: x["json"]).alias("json"),
         F.transform(F.filter("bs", lambda x: x["failed"]), lambda x: x["label"]).alias("failed_batches"),
         F.size(F.filter("bs", lambda x: x["failed"])).alias("n_failed"))

@@ -2,18 +2,22 @@
 
 Catalog lookups are hash joins on ``lower(name)`` after the catalog is
 reduced to one row per name (``min_by``/``max_by`` on its position), so a
-name repeated many times never fans out. Substring search joins on the
-exploded substrings of each (bounded-length) name: an exact equi-join, no
-cross product.
+name repeated many times never fans out. Substring search joins on one rare
+n-gram of each term and verifies the hit, so work grows with the candidates
+of that n-gram, not with the square of a name's length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.functions.text import is_uuid, slugify
-from quarry.session import row_bound
+from quarry import dims
+from quarry.functions.text import is_uuid, slugify, strip_ws
 
 
 def uuid_of(*cols: Column) -> Column:
@@ -48,8 +52,8 @@ def resolve_names(refs: DataFrame, cache: DataFrame, catalog: DataFrame, pick: s
 
 def unresolved_names(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
     """Refs with no id, with the catalog size (names are listed by ``catalog_listing``)."""
-    n = catalog.count()
-    return resolved.where(F.col("id").isNull()).select("key", "name", F.lit(n).cast("bigint").alias("n_available"))
+    n = catalog.agg(F.count("*")).scalar()
+    return resolved.where(F.col("id").isNull()).select("key", "name", n.alias("n_available"))
 
 
 def reverse_resolve(lists: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -64,33 +68,45 @@ def reverse_resolve(lists: DataFrame, catalog: DataFrame) -> DataFrame:
     return g.select("owner", "all_resolved", F.array_join(out, ",").alias("values"))
 
 
-def name_substrings(names: DataFrame, max_len: int = 256) -> DataFrame:
-    """Every substring of each lower-cased name: ``(lname, sub)``; names are short identifiers."""
-    ln = F.lower(F.col("name"))
-    n = F.least(F.length(ln), F.lit(max_len))
-    starts = F.sequence(F.lit(1), n)
-    x = names.select(ln.alias("lname"), F.explode(starts).alias("s"))
-    return (x.select("lname", "s", F.explode(F.sequence(F.lit(1), F.length("lname") - F.col("s") + 1)).alias("k"))
-            .select("lname", F.substring("lname", F.col("s"), F.col("k")).alias("sub")).distinct())
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct substrings of ``size`` characters; the empty string for size 0."""
+    n = F.length(text) - size + 1
+    starts = F.when((size > 0) & (n > 0), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda i: F.substring(text, i, size))
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(F.array_distinct(cut))
 
 
 def find_by_name(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """One exact (case-insensitive) hit -> it; else substring hits 0 none / 1 it / many ambiguous."""
-    nm = names.select("name").distinct()
-    subs = name_substrings(nm)
-    t = terms.select("term", F.lower("term").alias("lterm")).distinct()
-    orig = nm.select(F.lower("name").alias("lname"), "name")
-    hits = t.join(subs, t.lterm == subs.sub).join(orig, "lname")
+    """``terms(term)`` against catalog entries ``names(id, name)``, case-insensitive.
+
+    One exact entry is found; else the entries whose name contains the term
+    decide: 0 none, 1 found, more ambiguous. Entries are counted, not names,
+    so two entries of one name are ambiguous; the empty term matches all.
+    Each name is indexed by its distinct n-grams (length 0 to 3); a term is
+    joined on its rarest n-gram of length ``min(3, length)`` and verified.
+    """
+    lname = F.lower("name")
+    sizes = F.array(*[F.lit(i) for i in range(GRAM + 1)])
+    index = names.where("name is not null").select("id", "name", F.explode(F.flatten(F.transform(sizes, lambda k: _grams(lname, k)))).alias("gram"))
+    common = index.groupBy("gram").agg(F.count("*").alias("n"))
+    t = terms.where("term is not null").select("term", F.lower("term").alias("lterm")).distinct()
+    parts = t.select("term", "lterm", F.explode(_grams(F.col("lterm"), F.least(F.lit(GRAM), F.length("lterm")))).alias("gram"))
+    # a gram that no name has settles its term: no entry can contain it
+    rare = (parts.join(common, "gram", "left").groupBy("term", "lterm")
+            .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    hits = rare.join(index, "gram").where(F.contains(lname, F.col("lterm")))
+    exact = lname == F.col("lterm")
     g = hits.groupBy("term").agg(
-        F.count_if(F.col("lname") == F.col("lterm")).alias("n_exact"),
-        F.min_by("name", F.when(F.col("lname") == F.col("lterm"), F.col("name"))).alias("exact_name"),
-        F.count("*").alias("n_matches"), F.min("name").alias("any_name"))
+        F.count_if(exact).alias("n_exact"), F.count("*").alias("n_matches"),
+        F.min(F.when(exact, F.struct("id", "name"))).alias("one_exact"), F.min(F.struct("id", "name")).alias("one"))
     out = t.join(g, "term", "left").fillna({"n_exact": 0, "n_matches": 0})
-    verdict = (F.when(F.col("n_exact") == 1, "found").when(F.col("n_matches") == 0, "none")
-               .when(F.col("n_matches") == 1, "found").otherwise("ambiguous"))
-    match = (F.when(F.col("n_exact") == 1, F.col("exact_name"))
-             .when(F.col("n_matches") == 1, F.col("any_name")))
-    return out.select("term", verdict.alias("verdict"), match.alias("match"),
+    verdict = (F.when((F.col("n_exact") == 1) | (F.col("n_matches") == 1), "found")
+               .when(F.col("n_matches") == 0, "none").otherwise("ambiguous"))
+    match = F.when(F.col("n_exact") == 1, F.col("one_exact")).when(F.col("n_matches") == 1, F.col("one"))
+    return out.select("term", verdict.alias("verdict"), match["id"].alias("match_id"), match["name"].alias("match"),
                       F.col("n_matches").cast("bigint").alias("n_matches"))
 
 
@@ -116,91 +132,119 @@ def snapshot_diff(defn: DataFrame, stored: DataFrame) -> DataFrame:
     return j.select("workflow_id", "key", "id", change.alias("change"), mode.alias("mode"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _issued(bases: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Unique slugs for the ordered bases of one workflow per row; a counter per base keeps it linear."""
+    for batch in bases:
+        out = []
+        for items in batch:
+            seen, following, slugs = set(), {}, []
+            for base in items:
+                slug, k = base, following.get(base, 2)
+                while slug in seen:
+                    slug, k = f"{base}_{k}", k + 1
+                following[base] = k
+                seen.add(slug)
+                slugs.append(slug)
+            out.append(slugs)
+        yield pd.Series(out, dtype=object)
+
+
 def unique_slugs(nodes: DataFrame) -> DataFrame:
     """Per workflow in ``pos`` order: base slug, then ``_2``, ``_3``... against all slugs issued so far.
 
-    Base = ``lower(trim(function_name))`` when set, else ``slugify(type)``.
-    The fold runs over one workflow's nodes (a definition is bounded).
+    Base = ``lower(strip(function_name))`` when set, else ``slugify(type)``.
+    One workflow's nodes are one row (a definition is bounded).
     """
-    base = F.when(F.trim(F.coalesce(F.col("function_name"), F.lit(""))) != "",
-                  F.lower(F.trim(F.col("function_name")))).otherwise(slugify(F.col("type")))
+    own = strip_ws(F.coalesce(F.col("function_name"), F.lit("")))
+    base = F.when(own != "", F.lower(own)).otherwise(slugify(F.col("type")))
     items = (nodes.withColumn("base", base).groupBy("workflow_id")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "base"))).alias("items")))
-    init = F.array().cast("array<string>")
-
-    def step(seen, e):
-        b = e["base"]
-        cand = F.filter(F.sequence(F.lit(2), F.size(seen) + 2),
-                        lambda k: ~F.array_contains(seen, F.concat(b, F.lit("_"), k.cast("string"))))
-        pick = F.when(~F.array_contains(seen, b), b) \
-            .otherwise(F.concat(b, F.lit("_"), F.element_at(cand, 1).cast("string")))
-        return F.concat(seen, F.array(pick))
-
-    out = items.select("workflow_id", "items", F.aggregate("items", init, step).alias("slugs"))
+    out = items.withColumn("slugs", _issued(F.transform("items", lambda x: x["base"])))
     z = out.select("workflow_id", F.explode(F.arrays_zip(
         F.transform("items", lambda x: x["pos"]).alias("pos"), F.col("slugs").alias("slug"))).alias("z"))
     return z.select("workflow_id", F.col("z.pos").alias("pos"), F.col("z.slug").alias("slug"))
 
 
+def _spliced(texts: DataFrame, key: list[str], text_col: str, pattern: str, lookup: DataFrame, on: list[str], out: str) -> DataFrame:
+    """Replace each ``pattern`` match of a text by ``{{`` + the looked-up value; matches without one stay.
+
+    ``lookup(*on, old, new)`` holds one row per (on, old). Matches are rows that
+    join the lookup, so no map is copied onto a text.
+    """
+    found = texts.select(*key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("ref_no", "raw"))
+    found = found.withColumn("old", F.substring("raw", 3, 1 << 30)).join(lookup, [*on, "old"], "left")
+    new = F.coalesce(F.concat(F.lit("{{"), F.col("new")), F.col("raw"))
+    g = found.select(*key, "ref_no", new.alias("value")).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("ref_no", "value"))).alias("_vals"))
+    pieces = F.split(F.col(text_col), pattern)
+    values = F.concat(F.transform(F.coalesce("_vals", F.array().cast("array<struct<ref_no:int,value:string>>")), lambda v: v["value"]),
+                      F.array(F.lit("")))
+    text = F.array_join(F.zip_with(pieces, values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return texts.join(g, key, "left").withColumn(out, text).drop("_vals")
+
+
 def rewrite_refs(texts: DataFrame, id_map: DataFrame, text_col: str = "template") -> DataFrame:
-    """``{{slug.`` -> ``{{id.`` using a per-workflow ``(workflow_id, slug, id)`` map; unknown kept."""
-    m = id_map.groupBy("workflow_id").agg(F.map_from_entries(F.collect_list(F.struct("slug", "id"))).alias("m"))
-    parts = F.split(F.col(text_col), r"\{\{")
+    """``{{slug`` -> ``{{id``, with or without a following path; unknown slugs are kept.
 
-    def fix(p, i):
-        slug = F.regexp_extract(p, r"^([a-z0-9][a-z0-9_-]*)\.", 1)
-        new_id = F.element_at(F.col("m"), slug)
-        return F.when((i > 0) & (slug != "") & new_id.isNotNull(),
-                      F.concat(new_id, F.substring(p, F.length(slug) + 1, 1 << 30))).otherwise(p)
+    ``texts(workflow_id, node, ...)`` has one row per (workflow, node);
+    ``id_map(workflow_id, slug, id)``: of several ids for a slug the smallest is taken.
+    """
+    lookup = id_map.groupBy("workflow_id", F.col("slug").alias("old")).agg(F.min("id").alias("new"))
+    return _spliced(texts, ["workflow_id", "node"], text_col, dims.SLUG_REF_PATTERN, lookup, ["workflow_id"], "rewritten")
 
-    j = texts.join(m, "workflow_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,string>")))
-    return j.withColumn("rewritten", F.array_join(F.transform(parts, fix), "{{")).drop("m")
+
+def restore_refs(texts: DataFrame, id_map: DataFrame, functions: DataFrame, text_col: str = "template") -> DataFrame:
+    """F13 reversed: ``{{id`` -> ``{{slug``, then ``{{functionName.`` -> ``{{slug.``; unknown ones are kept.
+
+    ``functions(workflow_id, function_name, slug)`` maps the mixed-case names.
+    """
+    key = ["workflow_id", "node"]
+    ids = id_map.groupBy("workflow_id", F.col("id").alias("old")).agg(F.min("slug").alias("new"))
+    names = functions.groupBy("workflow_id", F.col("function_name").alias("old")).agg(F.min("slug").alias("new"))
+    once = _spliced(texts, key, text_col, dims.UUID_REF_PATTERN, ids, ["workflow_id"], "restored")
+    return _spliced(once, key, "restored", dims.FUNCTION_REF_PATTERN, names, ["workflow_id"], "restored")
 
 
 def render_template(texts: DataFrame, outputs: DataFrame, text_col: str = "template") -> DataFrame:
     """substitute ``{{slug.output.field}}`` with upstream output values; a missing value -> error row.
 
-    ``outputs(workflow_id, slug, field, value)``. Returns ``(…, rendered, missing)``
-    where ``missing`` lists unresolved references (rendered is null then).
+    ``outputs(workflow_id, slug, field, value)``. Returns ``(workflow_id, node, rendered, missing)``
+    where ``missing`` lists unresolved references (rendered is null then); a
+    text without references is rendered as it is.
     """
-    from quarry.operators.checks import extract_variable_refs
-
-    refs = extract_variable_refs(texts.withColumn("_cfg", F.to_json(F.struct(F.col(text_col).alias("t")))),
-                                 "_cfg")
-    key = ["workflow_id", "node"]
-    o = outputs.select(F.col("workflow_id").alias("_w"), F.col("slug").alias("_slug"), F.col("field").alias("_of"),
-                       "value")
-    rr = (refs.select(*key, "ref_no", "slug", "path")
-          .withColumn("_f", F.regexp_extract("path", r"^output\.(.+)$", 1)))
-    r = (rr.join(o, (rr.workflow_id == o._w) & (rr.slug == o._slug) & (rr._f == o._of), "left")
-         .select(*key, "ref_no", "slug", "path", "value"))
+    key, pattern = ["workflow_id", "node"], dims.VAR_REF_PATTERN
+    refs = texts.select(*key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("ref_no", "raw"))
+    refs = refs.withColumn("slug", F.regexp_extract("raw", pattern, 1)).withColumn("path", F.regexp_extract("raw", pattern, 2))
+    refs = refs.withColumn("field", F.regexp_extract("path", r"^output\.(.+)$", 1))
+    r = refs.join(outputs.select("workflow_id", "slug", "field", "value"), ["workflow_id", "slug", "field"], "left")
+    lost = F.when(F.col("value").isNull(), F.concat(F.col("slug"), F.lit("."), F.col("path")))
     g = r.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("ref_no", "value"))).alias("vals"),
-        F.array_sort(F.collect_list(F.when(F.col("value").isNull(),
-                                           F.concat(F.col("slug"), F.lit("."), F.col("path"))))).alias("missing"))
-    pattern = r"\{\{[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.]+\}\}"
+        F.array_sort(F.collect_list(lost)).alias("missing"))
     j = texts.join(g, key, "left")
-    pieces = F.split(F.col(text_col), pattern)
-    rendered = F.array_join(F.zip_with(pieces, F.concat(F.transform("vals", lambda v: v["value"]), F.array(F.lit(""))),
+    missing = F.coalesce("missing", F.array().cast("array<string>"))
+    values = F.concat(F.transform(F.coalesce("vals", F.array().cast("array<struct<ref_no:int,value:string>>")), lambda v: v["value"]),
+                      F.array(F.lit("")))
+    rendered = F.array_join(F.zip_with(F.split(F.col(text_col), pattern), values,
                                        lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return j.select(*key, F.when(F.size(F.coalesce("missing", F.array())) == 0, rendered).alias("rendered"),
-                    F.array_join(F.coalesce("missing", F.array()), ",").alias("missing"))
+    return j.select(*key, F.when(F.size(missing) == 0, rendered).alias("rendered"), F.array_join(missing, ",").alias("missing"))
 
 
-def route_rows(rows: DataFrame, edges: DataFrame, column_values: Column) -> DataFrame:
-    """Rows x conditional edges on parsed ``(column, literal)`` equality; STATIC always matches.
+def route_rows(rows: DataFrame, edges: DataFrame, column_values: Column, keys: list[str] | None = None) -> DataFrame:
+    """Rows leave their router over its matching CONDITIONAL edges and all its STATIC edges.
 
-    ``edges(src, dst, type, condition)`` with conditions like ``route == "x"``;
-    ``column_values`` is a ``MAP<STRING,STRING>`` of the row's routable columns.
-    The equality is a hash join on ``(column, value)``.
+    ``rows`` and ``edges`` share the router ``keys`` (default ``src``; add the
+    workflow where there are several); ``edges(*keys, dst, type, condition)``
+    has conditions like ``route == "x"``; ``column_values`` is a
+    ``MAP<STRING,STRING>`` of the row's routable columns. Both parts are joins
+    on the router, the first on (column, literal) too.
     """
-    cond = (edges.where(F.col("type") == "CONDITIONAL")
-            .select("dst", F.regexp_extract("condition", r'^\s*(\w+)\s*==\s*"(.*)"\s*$', 1).alias("column"),
-                    F.regexp_extract("condition", r'^\s*(\w+)\s*==\s*"(.*)"\s*$', 2).alias("literal")))
-    static = edges.where(F.col("type") == "STATIC").select("dst", F.lit(1).alias("_k"))
-    if row_bound(static, 10_000) is None:
-        raise ValueError("more than 10000 STATIC out-edges on one router node")
+    keys = keys or ["src"]
+    rule = r'^\s*(\w+)\s*==\s*"(.*)"\s*$'
+    cond = edges.where((F.col("type") == "CONDITIONAL") & F.col("condition").rlike(rule)).select(
+        *keys, "dst", F.regexp_extract("condition", rule, 1).alias("column"), F.regexp_extract("condition", rule, 2).alias("literal"))
+    static = edges.where(F.col("type") == "STATIC").select(*keys, "dst")
     kv = rows.select("*", F.explode(column_values).alias("column", "literal"))
-    hit = kv.join(F.broadcast(cond), ["column", "literal"]).drop("column", "literal")
-    always = rows.withColumn("_k", F.lit(1)).join(F.broadcast(static), "_k").drop("_k")
-    return hit.unionByName(always)
+    hit = kv.join(cond, [*keys, "column", "literal"]).drop("column", "literal")
+    return hit.unionByName(rows.join(static, keys))

@@ -33,14 +33,16 @@ VIEWS: dict[str, str] = {
   concat('agent:', CASE WHEN l_linenumber % 4 = 0 THEN 'nobody' ELSE upper(s_name) END) AS ref
   FROM v_line JOIN supplier ON l_suppkey = s_suppkey""",
     "v_templates": """SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS node,
-  concat('Use {{n', cast(l_linenumber - 1 AS VARCHAR), '.output.text}} then {{n', cast(l_suppkey % 9 AS VARCHAR), '.output.files}}') AS template
+  CASE WHEN l_partkey % 7 = 0 THEN 'Nothing to fill in'
+       WHEN l_partkey % 5 = 0 THEN concat('From {{n', cast(l_linenumber - 1 AS VARCHAR), '}} on')
+       ELSE concat('Use {{n', cast(l_linenumber - 1 AS VARCHAR), '.output.text}} then {{n', cast(l_suppkey % 9 AS VARCHAR), '.output.files}}') END AS template
   FROM v_line""",
     "v_branches": """SELECT l_orderkey AS join_id, l_linenumber AS seq, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_quantity END AS v
   FROM v_line""",
     "v_attempts": """SELECT l_orderkey AS doc_id, l_linenumber AS attempt,
   CASE l_partkey % 6 WHEN 0 THEN 'success' WHEN 1 THEN 'connection_error' WHEN 2 THEN 'read_timeout'
   WHEN 3 THEN 'http_503' WHEN 4 THEN 'http_422' ELSE 'failure' END AS result
-  FROM v_line WHERE l_linenumber <= 3""",
+  FROM v_line""",
     "v_pages": """SELECT doc_id, cast(floor(n_chars / 300.0) AS BIGINT) + 1 AS pages FROM documents""",
     "v_files": """SELECT doc_id, concat('f', cast(doc_id AS VARCHAR), CASE doc_id % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.md'
   WHEN 2 THEN '.PDF' WHEN 3 THEN '.xlsx' WHEN 4 THEN '.csv' WHEN 5 THEN '.html' WHEN 6 THEN '.exe' ELSE '' END) AS filename,
@@ -76,7 +78,7 @@ VIEWS: dict[str, str] = {
   l_linenumber - 2 AS topK, l_quantity / 40 AS scoreThreshold,
   CASE WHEN l_linenumber % 3 <> 0 THEN concat('agent-', cast(l_suppkey AS VARCHAR)) END AS agent_name,
   l_linenumber % 2 = 1 AS has_kb_names,
-  concat('Use {{n', cast(l_linenumber - 1 AS VARCHAR), '.output.text}} then {{n', cast(l_suppkey % 9 AS VARCHAR), '.output.files}}') AS template
+  concat('{{n', cast(l_partkey % 8 AS VARCHAR), '.output.note}}', 'Use {{n', cast(l_linenumber - 1 AS VARCHAR), '.output.text}} then {{n', cast(l_suppkey % 9 AS VARCHAR), '.output.files}}') AS template
   FROM v_line""",
     "v_events": """SELECT run_id, seq, ts, body, coalesce(json_extract_string(body, '$.type'), 'UNKNOWN') AS event_type,
   upper(coalesce(json_extract_string(body, '$.type'), 'UNKNOWN')) AS etype

@@ -142,7 +142,9 @@ F24_SQL = """SELECT workflow_id, node, field, kind, message FROM (
     FROM v_node_cfg WHERE type IN ('retrieve', 'rag_agent') AND topK < 1
   UNION ALL SELECT workflow_id, slug, 'scoreThreshold', 'maximum',
     concat(cast(scoreThreshold AS VARCHAR), ' is greater than the maximum of 1') FROM v_node_cfg
-    WHERE type = 'retrieve' AND scoreThreshold > 1) x"""
+    WHERE type = 'retrieve' AND scoreThreshold > 1
+  UNION ALL SELECT workflow_id, slug, 'extractionPrompt', 'type', '"x" is not of type ''integer'', ''null''' FROM v_node_cfg
+    WHERE type = 'retrieve' AND ln % 4 = 0) x"""
 
 REPORT_SQL = f"""WITH RECURSIVE refs AS ({REFS_SQL}),
 {REACH_CTES},
@@ -239,12 +241,12 @@ def field_drift(spark, sf):
     return checks.field_drift(fx.v_nodes(spark, sf), reg.registry_frame(spark))
 
 
-P9_PATH = ("CASE {ln} % 5 WHEN 0 THEN '/abs/out.json' WHEN 1 THEN 'a/../b.json' WHEN 2 THEN '   ' "
+P9_PATH = ("CASE {ln} % 6 WHEN 5 THEN concat(chr(9), chr(10)) WHEN 0 THEN '/abs/out.json' WHEN 1 THEN 'a/../b.json' WHEN 2 THEN '   ' "
            "WHEN 3 THEN '..' ELSE concat('runs/', {slug}, '/output.json') END")
 
 
 @query("path_confined", f"""
-SELECT workflow_id, slug, path, trim(path) <> '' AND NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS ok
+SELECT workflow_id, slug, path, trim(path, ' ' || chr(9) || chr(10)) <> '' AND NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS ok
 FROM (SELECT workflow_id, slug, {P9_PATH.format(ln='pos', slug='slug')} AS path FROM v_nodes) x""")
 def path_confined(spark, sf):
     n = fx.v_nodes(spark, sf)

@@ -97,21 +97,33 @@ def unresolved_ids(spark, sf):
     return ref.subtract(known)
 
 
-@query("find_by_name", """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
-t AS (SELECT DISTINCT term FROM (SELECT split_part(p_name, ' ', 1) AS term FROM part UNION ALL SELECT p_name FROM part) x),
-h AS (SELECT t.term, n.name, lower(n.name) = lower(t.term) AS ex FROM t JOIN n ON contains(lower(n.name), lower(t.term))),
-g AS (SELECT term, count_if(ex) AS n_exact, min(name) FILTER (WHERE ex) AS exact_name, count(*) AS n_matches, min(name) AS any_name
-      FROM h GROUP BY term)
-SELECT t.term, CASE WHEN coalesce(n_exact, 0) = 1 THEN 'found' WHEN coalesce(n_matches, 0) = 0 THEN 'none'
-  WHEN n_matches = 1 THEN 'found' ELSE 'ambiguous' END AS verdict,
+@query("find_by_name", f"""WITH n AS (SELECT {usql("'part'", 'p_partkey')} AS id, p_name AS name FROM part
+  UNION ALL SELECT {usql("'copy'", 'p_partkey')}, p_name FROM part WHERE p_partkey % 50 = 0
+  UNION ALL SELECT {usql("'long'", 'p_partkey')}, concat(repeat('x', 300), p_name, cast(p_partkey AS VARCHAR)) FROM part WHERE p_partkey % 97 = 0),
+t AS (SELECT DISTINCT term FROM (SELECT split_part(p_name, ' ', 1) AS term FROM part UNION ALL SELECT upper(p_name) FROM part
+  UNION ALL SELECT concat(p_name, cast(p_partkey AS VARCHAR)) FROM part UNION ALL SELECT substr(p_name, 1, cast(p_partkey % 3 AS INTEGER)) FROM part) x),
+h AS (SELECT t.term, n.id, n.name, lower(n.name) = lower(t.term) AS ex FROM t JOIN n ON contains(lower(n.name), lower(t.term))),
+g AS (SELECT term, count_if(ex) AS n_exact, count(*) AS n_matches, min(id) FILTER (WHERE ex) AS exact_id, arg_min(name, id) FILTER (WHERE ex) AS exact_name,
+      min(id) AS any_id, arg_min(name, id) AS any_name FROM h GROUP BY term)
+SELECT t.term, CASE WHEN n_exact = 1 OR n_matches = 1 THEN 'found' WHEN coalesce(n_matches, 0) = 0 THEN 'none' ELSE 'ambiguous' END AS verdict,
+  CASE WHEN n_exact = 1 THEN exact_id WHEN n_matches = 1 THEN any_id END AS match_id,
   CASE WHEN n_exact = 1 THEN exact_name WHEN n_matches = 1 THEN any_name END AS match,
   cast(coalesce(n_matches, 0) AS BIGINT) AS n_matches
 FROM t LEFT JOIN g USING (term)""")
 def find_by_name(spark, sf):
-    """J9 over every part name: search terms are each name and each name's first word."""
+    """J9 over a catalog of part names, some twice and some over 300 characters long.
+
+    Terms are each name in capitals, its first word, its first 0 to 2 characters and names that only a long entry holds.
+    """
     p = table(spark, sf, "part")
-    terms = p.select(F.split("p_name", " ").getItem(0).alias("term")).unionByName(p.select(F.col("p_name").alias("term")))
-    return rs.find_by_name(terms, p.select(F.col("p_name").alias("name")))
+    k, name = F.col("p_partkey"), F.col("p_name")
+    names = p.select(rs.uuid_of(F.lit("part"), k).alias("id"), name.alias("name"))
+    names = names.unionByName(p.where(k % 50 == 0).select(rs.uuid_of(F.lit("copy"), k).alias("id"), name.alias("name")))
+    names = names.unionByName(p.where(k % 97 == 0).select(
+        rs.uuid_of(F.lit("long"), k).alias("id"), F.concat(F.repeat(F.lit("x"), F.lit(300)), name, k.cast("string")).alias("name")))
+    terms = p.select(F.explode(F.array(F.split(name, " ").getItem(0), F.upper(name), F.concat(name, k.cast("string")),
+                                       F.substring(name, F.lit(1), (k % 3).cast("int")))).alias("term"))
+    return rs.find_by_name(terms, names)
 
 
 @query("catalog_listing", f"""WITH w AS (SELECT {usql("'wf'", 'n_nationkey')} AS id, n_nationkey, n_regionkey, n_name FROM nation),
@@ -249,13 +261,18 @@ def is_uuid(spark, sf):
     return refs.unionByName(ids).select("v", tf.is_uuid(F.col("v")).alias("is_uuid"))
 
 
+REF = "concat('{{{{', coalesce({id}, concat('n', {no})), '{path}')"
+PREV, OTHER = "cast(l.l_linenumber - 1 AS VARCHAR)", "cast(l.l_suppkey % 9 AS VARCHAR)"
+
+
 @query("rewrite_refs", f"""WITH s AS ({STORED_SQL})
 SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node,
-  concat('Use {{{{', coalesce(a.id, concat('n', cast(l.l_linenumber - 1 AS VARCHAR))), '.output.text}}}} then {{{{',
-         coalesce(b.id, concat('n', cast(l.l_suppkey % 9 AS VARCHAR))), '.output.files}}}}') AS rewritten
+  CASE WHEN l.l_partkey % 7 = 0 THEN 'Nothing to fill in'
+       WHEN l.l_partkey % 5 = 0 THEN concat('From ', {REF.format(id='a.id', no=PREV, path='}} on')})
+       ELSE concat('Use ', {REF.format(id='a.id', no=PREV, path='.output.text}}')}, ' then ', {REF.format(id='b.id', no=OTHER, path='.output.files}}')}) END AS rewritten
 FROM v_line l
-LEFT JOIN s a ON a.workflow_id = l.l_orderkey AND a.key = concat('n', cast(l.l_linenumber - 1 AS VARCHAR))
-LEFT JOIN s b ON b.workflow_id = l.l_orderkey AND b.key = concat('n', cast(l.l_suppkey % 9 AS VARCHAR))""")
+LEFT JOIN s a ON a.workflow_id = l.l_orderkey AND a.key = concat('n', {PREV})
+LEFT JOIN s b ON b.workflow_id = l.l_orderkey AND b.key = concat('n', {OTHER})""")
 def rewrite_refs(spark, sf):
     """template slugs -> stored node ids (slugs with no stored id are left as is)."""
     t = fx.v_templates(spark, sf)
@@ -263,6 +280,23 @@ def rewrite_refs(spark, sf):
     return rs.rewrite_refs(t, m).select("workflow_id", "node", "rewritten")
 
 
+@query("restore_refs", f"""WITH s AS ({STORED_SQL})
+SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node,
+  concat('Take {{{{', coalesce(s.key, {usql("'node'", 'l.l_orderkey', 'l.l_linenumber')}), '.output.text}}}} or {{{{',
+    CASE WHEN l.l_linenumber > 1 THEN concat('n', cast(l.l_linenumber AS VARCHAR)) ELSE 'nodeN1' END, '.output.text}}}} or {{{{nodeN2}}}}') AS restored
+FROM v_line l LEFT JOIN s ON s.workflow_id = l.l_orderkey AND s.key = concat('n', cast(l.l_linenumber AS VARCHAR))""")
+def restore_refs(spark, sf):
+    """F13 reversed: node ids and mixed-case function names in a text -> slugs (a name without a path stays)."""
+    line, ln = fx.v_line(spark, sf), F.col("l_linenumber").cast("string")
+    node = F.concat(F.lit("n"), ln)
+    ident = rs.uuid_of(F.lit("node"), F.col("l_orderkey"), F.col("l_linenumber"))
+    t = line.select(F.col("l_orderkey").alias("workflow_id"), node.alias("node"), F.concat(
+        F.lit("Take {{"), ident, F.lit(".output.text}} or {{nodeN"), ln, F.lit(".output.text}} or {{nodeN2}}")).alias("template"))
+    names = line.where("l_linenumber > 1").select(F.col("l_orderkey").alias("workflow_id"), F.concat(F.lit("nodeN"), ln).alias("function_name"), node.alias("slug"))
+    m = _stored(spark, sf).select("workflow_id", F.col("key").alias("slug"), "id")
+    return rs.restore_refs(t, m, names).select("workflow_id", "node", "restored")
+
+
 def _outputs(spark, sf):
     line = fx.v_line(spark, sf)
     slug = F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))
@@ -280,28 +314,38 @@ def _outputs(spark, sf):
     concat('T', cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS value FROM v_line
   UNION ALL SELECT l_orderkey, concat('n', cast(l_linenumber AS VARCHAR)), 'files', concat('F', cast(l_partkey AS VARCHAR))
   FROM v_line WHERE l_returnflag = 'A'),
-x AS (SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node, a.value AS v1, b.value AS v2,
+x AS (SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node, l.l_partkey AS pk, l.l_linenumber AS ln, a.value AS v1, b.value AS v2,
   concat('n', cast(l.l_linenumber - 1 AS VARCHAR), '.output.text') AS r1, concat('n', cast(l.l_suppkey % 9 AS VARCHAR), '.output.files') AS r2
   FROM v_line l
   LEFT JOIN o a ON a.workflow_id = l.l_orderkey AND a.slug = concat('n', cast(l.l_linenumber - 1 AS VARCHAR)) AND a.field = 'text'
   LEFT JOIN o b ON b.workflow_id = l.l_orderkey AND b.slug = concat('n', cast(l.l_suppkey % 9 AS VARCHAR)) AND b.field = 'files')
-SELECT workflow_id, node, CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN concat('Use ', v1, ' then ', v2) END AS rendered,
-  array_to_string(list_sort(list_filter([CASE WHEN v1 IS NULL THEN r1 END, CASE WHEN v2 IS NULL THEN r2 END], lambda x: x IS NOT NULL)), ',') AS missing
+SELECT workflow_id, node, CASE WHEN pk % 7 = 0 THEN 'Nothing to fill in' WHEN pk % 5 = 0 THEN concat('From {{n', cast(ln - 1 AS VARCHAR), '}} on')
+  WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN concat('Use ', v1, ' then ', v2) END AS rendered,
+  CASE WHEN pk % 7 = 0 OR pk % 5 = 0 THEN '' ELSE
+  array_to_string(list_sort(list_filter([CASE WHEN v1 IS NULL THEN r1 END, CASE WHEN v2 IS NULL THEN r2 END], lambda x: x IS NOT NULL)), ',') END AS missing
 FROM x""")
 def render_template(spark, sf):
     return rs.render_template(fx.v_templates(spark, sf), _outputs(spark, sf))
 
 
-ROUTE_EDGES = [("router", "escalate", "CONDITIONAL", 'priority == "1-URGENT"'),
-               ("router", "batch", "CONDITIONAL", 'priority == "5-LOW"'),
-               ("router", "audit", "STATIC", None)]
+ROUTE_EDGES = [("r0", "escalate", "CONDITIONAL", 'priority == "1-URGENT"'),
+               ("r0", "batch", "CONDITIONAL", 'priority == "5-LOW"'),
+               ("r1", "done", "CONDITIONAL", 'status == "F"'),
+               ("r1", "batch", "CONDITIONAL", 'priority == "5-LOW"'),
+               ("r1", "broken", "CONDITIONAL", "priority is low"),
+               ("r0", "audit", "STATIC", None),
+               ("r2", "audit", "STATIC", None),
+               ("r2", "archive", "STATIC", None)]
 
 
-@query("route_rows", """SELECT o_orderkey, 'escalate' AS dst FROM orders WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT o_orderkey, 'batch' FROM orders WHERE o_orderpriority = '5-LOW'
-UNION ALL SELECT o_orderkey, 'audit' FROM orders""")
+@query("route_rows", """SELECT o_orderkey, concat('r', cast(o_orderkey % 4 AS VARCHAR)) AS src, dst FROM orders JOIN (VALUES
+  (0, 'escalate', '1-URGENT', NULL), (0, 'batch', '5-LOW', NULL), (1, 'done', NULL, 'F'), (1, 'batch', '5-LOW', NULL),
+  (0, 'audit', NULL, NULL), (2, 'audit', NULL, NULL), (2, 'archive', NULL, NULL)) AS e(r, dst, prio, stat)
+  ON o_orderkey % 4 = e.r AND (e.prio IS NULL OR e.prio = o_orderpriority) AND (e.stat IS NULL OR e.stat = o_orderstatus)""")
 def route_rows(spark, sf):
-    """Orders routed over a router node's conditional edges (``priority == "…"``) plus its static edge."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    """Orders at four routers, each with its own conditional and static edges (the fourth has none)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus",
+                                          F.concat(F.lit("r"), (F.col("o_orderkey") % 4).cast("string")).alias("src"))
     edges = spark.createDataFrame(ROUTE_EDGES, "src string, dst string, type string, condition string")
-    return rs.route_rows(o, edges, F.create_map(F.lit("priority"), F.col("o_orderpriority"))).select("o_orderkey", "dst")
+    values = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"))
+    return rs.route_rows(o, edges, values).select("o_orderkey", "src", "dst")

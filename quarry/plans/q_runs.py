@@ -217,12 +217,13 @@ def run_progress(spark, sf):
 A17_SQL = """WITH c AS (SELECT doc_id, attempt, result, CASE WHEN result = 'success' THEN 'success'
     WHEN result IN ('failure', 'skipped') OR regexp_matches(result, '^http_4[0-9][0-9]$') THEN 'terminal'
     ELSE 'retry' END AS cls FROM v_attempts WHERE attempt <= 3),
+past AS (SELECT doc_id, count_if(attempt > 3) AS n_past_policy, min(attempt) AS low FROM v_attempts GROUP BY doc_id),
 g AS (SELECT doc_id, min(attempt) FILTER (WHERE cls <> 'retry') AS decided, max(attempt) AS last_attempt FROM c GROUP BY doc_id)
-SELECT g.doc_id, coalesce(g.decided, g.last_attempt) AS attempts_used,
+SELECT past.doc_id, coalesce(g.decided, g.last_attempt) AS attempts_used,
   CASE WHEN g.decided IS NULL THEN 'exhausted' WHEN d.result = 'success' THEN 'success' ELSE 'failed' END AS outcome,
   cast(coalesce((SELECT sum(30 * c.attempt) FROM c WHERE c.doc_id = g.doc_id
-    AND c.attempt < coalesce(g.decided, g.last_attempt) AND c.attempt < 3), 0) AS BIGINT) AS wait_s
-FROM g LEFT JOIN c d ON d.doc_id = g.doc_id AND d.attempt = g.decided"""
+    AND c.attempt < coalesce(g.decided, g.last_attempt) AND c.attempt < 3), 0) AS BIGINT) AS wait_s, cast(past.n_past_policy AS BIGINT) AS n_past_policy
+FROM past LEFT JOIN g ON g.doc_id = past.doc_id LEFT JOIN c d ON d.doc_id = g.doc_id AND d.attempt = g.decided"""
 
 
 @query("attempt_outcome", A17_SQL)

@@ -30,8 +30,8 @@ def _batches(spark, sf):
         ((F.col("doc_id") + F.col("start_page")) % 7 == 0).alias("failed"),
         F.transform(F.sequence(F.col("start_page"), F.col("end_page")),
                     lambda p: F.concat(F.lit("page "), p.cast("string"))).alias("elements"),
-        F.concat(F.lit("dt"), F.col("start_page").cast("string")).alias("doctags"),
-        F.concat(F.lit("# Part "), F.col("start_page").cast("string")).alias("md"),
+        F.when(F.col("start_page") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("dt"), F.col("start_page").cast("string"))).alias("doctags"),
+        F.when(F.col("start_page") % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("# Part "), F.col("start_page").cast("string"))).alias("md"),
         F.concat(F.lit('{"start":'), F.col("start_page").cast("string"), F.lit("}")).alias("json"))
 
 
@@ -43,8 +43,8 @@ MERGE_SQL = f"""WITH r AS (SELECT doc_id, pages, start_page, CASE WHEN batched T
 b AS (SELECT *, (doc_id + start_page) % 7 = 0 AS failed FROM r),
 m AS (SELECT doc_id,
   cast(coalesce(sum(end_page - start_page + 1) FILTER (WHERE NOT failed), 0) AS INTEGER) AS n_elements,
-  coalesce(string_agg(concat('dt', cast(start_page AS VARCHAR)), chr(10) ORDER BY start_page) FILTER (WHERE NOT failed), '') AS doctags,
-  coalesce(string_agg(concat('# Part ', cast(start_page AS VARCHAR)), chr(10) || chr(10) ORDER BY start_page) FILTER (WHERE NOT failed), '') AS md,
+  coalesce(string_agg(concat('dt', cast(start_page AS VARCHAR)), chr(10) ORDER BY start_page) FILTER (WHERE NOT failed AND start_page % 3 <> 0), '') AS doctags,
+  coalesce(string_agg(concat('# Part ', cast(start_page AS VARCHAR)), chr(10) || chr(10) ORDER BY start_page) FILTER (WHERE NOT failed AND start_page % 4 <> 1), '') AS md,
   coalesce(string_agg(label, ',' ORDER BY start_page) FILTER (WHERE failed), '') AS failed_batches,
   cast(count_if(failed) AS INTEGER) AS n_failed
   FROM b GROUP BY doc_id)"""
@@ -67,10 +67,15 @@ def document_outcome(spark, sf):
     return outcomes.document_outcome(_merged(spark, sf)).select("doc_id", "outcome")
 
 
+# one table per nation and thousand customers, so a table stays small whatever the number of customers
+TABLE_ID = "sheet + 100 * cast(floor(row_no / 1000) as bigint)"
+TABLE_SQL = "sheet + 100 * (row_no // 1000)"
+
+
 def _cells(spark, sf):
     r = fx.v_rows(spark, sf)
     r0 = (F.col("row_no") % 50).cast("int")
-    base = r.select(F.col("sheet").alias("table_id"), "row_no", r0.alias("r0"), "c0", "c1")
+    base = r.select(F.expr(TABLE_ID).alias("table_id"), "row_no", r0.alias("r0"), "c0", "c1")
     a = base.select("table_id", (F.col("row_no") * 2).alias("cell_no"), F.col("c0").alias("text"), "r0",
                     F.lit(0).alias("c0"))
     b = base.where(F.col("c1").isNotNull()).select("table_id", (F.col("row_no") * 2 + 1).alias("cell_no"),
@@ -80,13 +85,15 @@ def _cells(spark, sf):
 
 def _shapes(spark, sf):
     r = fx.v_rows(spark, sf)
-    return r.groupBy(F.col("sheet").alias("table_id")).agg(
-        (F.max((F.col("row_no") % 50).cast("int")) + 1).alias("num_rows"), F.lit(2).alias("num_cols"))
+    rows = F.max((F.col("row_no") % 50).cast("int")) + 1
+    return r.groupBy(F.expr(TABLE_ID).alias("table_id")).agg(rows.alias("num_rows"), F.lit(2).alias("num_cols")).withColumn(
+        "num_rows", F.when(F.col("table_id") % 10 == 3, 0).otherwise(F.col("num_rows")))
 
 
-CELLS_SQL = """cells AS (SELECT sheet AS table_id, row_no * 2 AS cell_no, c0 AS text, cast(row_no % 50 AS INTEGER) AS r0, 0 AS c0 FROM v_rows
-  UNION ALL SELECT sheet, row_no * 2 + 1, c1, cast(row_no % 50 AS INTEGER), 1 FROM v_rows WHERE c1 IS NOT NULL),
-shapes AS (SELECT sheet AS table_id, cast(max(row_no % 50) + 1 AS INTEGER) AS num_rows, 2 AS num_cols FROM v_rows GROUP BY sheet)"""
+CELLS_SQL = f"""cells AS (SELECT {TABLE_SQL} AS table_id, row_no * 2 AS cell_no, c0 AS text, cast(row_no % 50 AS INTEGER) AS r0, 0 AS c0 FROM v_rows
+  UNION ALL SELECT {TABLE_SQL}, row_no * 2 + 1, c1, cast(row_no % 50 AS INTEGER), 1 FROM v_rows WHERE c1 IS NOT NULL),
+shapes AS (SELECT {TABLE_SQL} AS table_id, CASE WHEN ({TABLE_SQL}) % 10 = 3 THEN 0 ELSE cast(max(row_no % 50) + 1 AS INTEGER) END AS num_rows, 2 AS num_cols
+  FROM v_rows GROUP BY {TABLE_SQL})"""
 
 
 @query("cells_to_markdown", f"""WITH {CELLS_SQL},
@@ -98,7 +105,7 @@ f AS (SELECT grid.table_id, grid.r0, grid.c0, grid.num_cols, coalesce(g.text, ''
 l AS (SELECT table_id, r0, concat('| ', string_agg(text, ' | ' ORDER BY c0), ' |',
   CASE WHEN r0 = 0 THEN concat(chr(10), '| ', array_to_string(list_transform(range(0, any_value(num_cols)), lambda i: '---'), ' | '), ' |') ELSE '' END) AS line
   FROM f GROUP BY table_id, r0)
-SELECT table_id, string_agg(line, chr(10) ORDER BY r0) AS markdown FROM l GROUP BY table_id""")
+SELECT s.table_id, coalesce(string_agg(line, chr(10) ORDER BY r0), '') AS markdown FROM shapes s LEFT JOIN l ON l.table_id = s.table_id GROUP BY s.table_id""")
 def cells_to_markdown(spark, sf):
     return tables.cells_to_markdown(_cells(spark, sf), _shapes(spark, sf))
 
@@ -110,7 +117,7 @@ c AS (SELECT table_id, cell_no, r0, c0, concat(CASE WHEN r0 = 0 THEN '<th' ELSE
 rows AS (SELECT s.table_id, r.r0 FROM shapes s, LATERAL (SELECT unnest(range(0, s.num_rows)) AS r0) r),
 tr AS (SELECT rows.table_id, rows.r0, concat('<tr>', coalesce(string_agg(c.h, '' ORDER BY c.c0, c.cell_no), ''), '</tr>') AS tr
   FROM rows LEFT JOIN c ON c.table_id = rows.table_id AND c.r0 = rows.r0 GROUP BY rows.table_id, rows.r0)
-SELECT table_id, concat('<table>', string_agg(tr, '' ORDER BY r0), '</table>') AS html FROM tr GROUP BY table_id""")
+SELECT s.table_id, concat('<table>', coalesce(string_agg(tr, '' ORDER BY r0), ''), '</table>') AS html FROM shapes s LEFT JOIN tr ON tr.table_id = s.table_id GROUP BY s.table_id""")
 def cells_to_html(spark, sf):
     """A10: header cells on row 0; rows whose source row_no % 7 == 0 span two rows."""
     c = _cells(spark, sf)
@@ -120,7 +127,7 @@ def cells_to_html(spark, sf):
     return tables.cells_to_html(c, _shapes(spark, sf))
 
 
-@query("sheet_to_markdown", r"""WITH r AS (SELECT sheet % 5 AS workbook, sheet AS sheet_no, concat('sheet', cast(sheet AS VARCHAR)) AS title, row_no,
+@query("sheet_to_markdown", r"""WITH r AS (SELECT sheet % 5 + 100 * (row_no // 1000) AS workbook, sheet AS sheet_no, concat('sheet', cast(sheet AS VARCHAR)) AS title, row_no,
   regexp_replace(replace(replace(coalesce(CASE WHEN row_no % 11 = 0 THEN NULL ELSE c0 END, ''), chr(10), ' '), '|', '\|'), '^\s+|\s+$', '', 'g') AS a,
   regexp_replace(replace(replace(coalesce(c1, ''), chr(10), ' '), '|', '\|'), '^\s+|\s+$', '', 'g') AS b FROM v_rows),
 nb AS (SELECT *, row_number() OVER (PARTITION BY workbook, sheet_no ORDER BY row_no) AS k FROM r WHERE a <> '' OR b <> ''),
@@ -129,9 +136,9 @@ s AS (SELECT workbook, sheet_no, title, string_agg(concat('| ', a, ' | ', b, ' |
 SELECT workbook, 'Table' AS type, trim(string_agg(concat('## ', title, chr(10), chr(10), body), chr(10) || chr(10) ORDER BY sheet_no)) AS text
 FROM s GROUP BY workbook""")
 def sheet_to_markdown(spark, sf):
-    """Customers as workbook rows (workbook = nation % 5, sheet = nation), two cells per row."""
+    """Customers as workbook rows (a workbook per thousand customers and nation % 5, a sheet per nation), two cells per row."""
     r = fx.v_rows(spark, sf)
-    rows = r.select((F.col("sheet") % 5).alias("workbook"), F.col("sheet").alias("sheet_no"),
+    rows = r.select(F.expr("sheet % 5 + 100 * cast(floor(row_no / 1000) as bigint)").alias("workbook"), F.col("sheet").alias("sheet_no"),
                     F.concat(F.lit("sheet"), F.col("sheet").cast("string")).alias("title"), "row_no",
                     F.array(F.when(F.col("row_no") % 11 == 0, F.lit(None)).otherwise(F.col("c0")), F.col("c1")).alias("cells"))
     return tables.sheet_to_markdown(rows)
@@ -148,14 +155,14 @@ def format_size(spark, sf):
 
 
 @query("format_datetime", """SELECT event_id, CASE WHEN raw IS NULL THEN 'N/A'
-  WHEN raw = 'soon' THEN raw ELSE strftime(cast(replace(raw, 'Z', '') AS TIMESTAMP), '%Y-%m-%d %H:%M') END AS shown
-FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'Z') WHEN 1 THEN NULL ELSE 'soon' END AS raw
-  FROM events) x""")
+  WHEN raw = 'soon' THEN raw ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown
+FROM (SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN 'Z' WHEN 3 THEN '+02:00' WHEN 4 THEN '-05:30' WHEN 1 THEN NULL ELSE 'soon' END AS raw FROM events) x""")
 def format_datetime(spark, sf):
+    """F8 on times in UTC, with two offsets (shown as written), null and no time at all."""
     e = table(spark, sf, "events")
-    k = F.col("event_id") % 3
-    raw = F.when(k == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))) \
-        .when(k == 1, F.lit(None).cast("string")).otherwise(F.lit("soon"))
+    k, stamp = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = (F.when(k == 0, F.concat(stamp, F.lit("Z"))).when(k == 3, F.concat(stamp, F.lit("+02:00")))
+           .when(k == 4, F.concat(stamp, F.lit("-05:30"))).when(k == 1, F.lit(None).cast("string")).otherwise(F.lit("soon")))
     return e.select("event_id", tf.format_datetime(raw).alias("shown"))
 
 

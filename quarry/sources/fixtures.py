@@ -79,13 +79,13 @@ def v_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return v_line(spark, sf).select(
-        F.col("l_orderkey").alias("workflow_id"),
-        _n(F.col("l_linenumber")).alias("node"),
-        F.concat(F.lit("Use {{n"), (F.col("l_linenumber") - 1).cast("string"),
-                 F.lit(".output.text}} then {{n"), (F.col("l_suppkey") % 9).cast("string"),
-                 F.lit(".output.files}}")).alias("template"),
-    )
+    """Texts with two references, with a bare slug (every 5th part) or with none (every 7th)."""
+    two = F.concat(F.lit("Use {{n"), (F.col("l_linenumber") - 1).cast("string"),
+                   F.lit(".output.text}} then {{n"), (F.col("l_suppkey") % 9).cast("string"), F.lit(".output.files}}"))
+    text = (F.when(F.col("l_partkey") % 7 == 0, F.lit("Nothing to fill in"))
+            .when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("From {{n"), (F.col("l_linenumber") - 1).cast("string"), F.lit("}} on")))
+            .otherwise(two))
+    return v_line(spark, sf).select(F.col("l_orderkey").alias("workflow_id"), _n(F.col("l_linenumber")).alias("node"), text.alias("template"))
 
 
 def v_branches(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +100,7 @@ def v_attempts(spark: SparkSession, sf: str) -> DataFrame:
     result = (F.when(t == 0, "success").when(t == 1, "connection_error")
               .when(t == 2, "read_timeout").when(t == 3, "http_503")
               .when(t == 4, "http_422").otherwise("failure"))
-    return v_line(spark, sf).where(F.col("l_linenumber") <= 3).select(
+    return v_line(spark, sf).select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("attempt"),
         result.alias("result"))
 
@@ -214,6 +214,7 @@ def v_node_configs(spark: SparkSession, sf: str) -> DataFrame:
     template = F.concat(F.lit("Use {{n"), (ln - 1).cast("string"), F.lit(".output.text}} then {{n"),
                         (F.col("l_suppkey") % 9).cast("string"), F.lit(".output.files}}"))
     cfg = F.to_json(F.struct(
+        F.concat(F.lit("{{n"), (F.col("l_partkey") % 8).cast("string"), F.lit(".output.note}}")).alias("zz_note"),
         F.lit("m1").alias("model"),
         template.alias("template"),
         (q / 20).alias("temperature"),

@@ -30,7 +30,9 @@ SAMPLE = {
                                           "includeMetadata", "enableReranking"]],
          "config_json_schema": {"type": "object", "required": ["searchQuery"],
                                 "properties": {"topK": {"type": "integer", "minimum": 1},
-                                               "scoreThreshold": {"type": "number", "minimum": 0, "maximum": 1}}}},
+                                               "scoreThreshold": {"type": "number", "minimum": 0, "maximum": 1},
+                                               "extractionPrompt": {"type": ["integer", "null"]},
+                                               "agent_name": {"type": ["string", "null"]}}}},
         {"type": "RAG_AGENT", "status": "inactive",
          "output_variables": [{"path": "output.text"}],
          "fields": [{"name": n} for n in ["agentId", "knowledgeBaseIds", "topK"]],
