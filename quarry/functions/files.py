@@ -109,19 +109,35 @@ def map_to_text(m: Column) -> Column:
                                     lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 
+# Suffix rules of the MIME convention: short forms, and suffixes that only tell the encoding.
+ARCHIVE_SUFFIXES = {".svgz": ".svg.gz", ".tgz": ".tar.gz", ".taz": ".tar.gz", ".tz": ".tar.gz", ".tbz2": ".tar.bz2", ".txz": ".tar.xz"}
+ENCODING_SUFFIXES = [".gz", ".Z", ".bz2", ".xz", ".br"]
+
+
 def content_types(spark: SparkSession) -> DataFrame:
-    """P14 dimension from the Python standard MIME table (bounded, broadcast)."""
-    mimetypes.init()
-    rows = sorted(mimetypes.types_map.items())
+    """P14 dimension: the MIME table that comes with Python, without the host's own files (bounded, broadcast)."""
+    rows = sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items())
     return spark.createDataFrame(rows, "ext string, content_type string")
 
 
+def typed_ext(filename_col: str) -> Column:
+    """The suffix that tells the type: short archive forms are written out, then an encoding suffix is dropped."""
+    ext = raw_ext(filename_col)
+    name = F.col(filename_col)
+    long = F.create_map(*[F.lit(x) for kv in ARCHIVE_SUFFIXES.items() for x in kv])
+    name = F.coalesce(F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(ext)), long[F.lower(ext)]), name)
+    base, last = F.regexp_extract(name, r"([^/]*)$", 1), r"^.+(\.[^.]+)$"
+    outer = F.regexp_extract(base, last, 1)
+    inner = F.regexp_extract(F.substring(base, F.lit(1), F.length(base) - F.length(outer)), last, 1)
+    return F.when(outer.isin(ENCODING_SUFFIXES), inner).otherwise(outer)
+
+
 def with_content_type(files: DataFrame, filename_col: str = "filename") -> DataFrame:
     """MIME type by suffix (exact case first, then lower case), default octet-stream."""
     ct = content_types(files.sparkSession)
     exact = F.broadcast(ct.select(F.col("ext").alias("_e1"), F.col("content_type").alias("_ct1")))
     lower = F.broadcast(ct.select(F.col("ext").alias("_e2"), F.col("content_type").alias("_ct2")))
-    return (files.withColumn("_raw", raw_ext(filename_col))
+    return (files.withColumn("_raw", typed_ext(filename_col))
             .join(exact, F.col("_raw") == F.col("_e1"), "left")
             .join(lower, F.lower(F.col("_raw")) == F.col("_e2"), "left")
             .withColumn("content_type", F.coalesce("_ct1", "_ct2", F.lit("application/octet-stream")))

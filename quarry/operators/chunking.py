@@ -23,12 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_TOKENS = 512
-
+from quarry.functions.text import strip_ws, token_estimate
 
-def token_estimate(text):
-    """``max(1, len // 4)``."""
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
+DEFAULT_MAX_TOKENS = 512
 
 
 def section_path(elements: DataFrame) -> DataFrame:
@@ -70,7 +67,7 @@ def chunk_documents(elements: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS,
     if "page_number" not in elements.columns:
         elements = elements.withColumn("page_number", F.lit(None).cast("int"))
     el = section_path(elements.select("doc_id", "pos", "type", "text", "page_number"))
-    content = (el.where((F.col("type") != "Title") & (F.trim(F.col("text")) != ""))
+    content = (el.where((F.col("type") != "Title") & (strip_ws(F.col("text")) != ""))
                .withColumn("cost", token_estimate(F.col("text"))))
 
     if merge_peers:
@@ -91,15 +88,12 @@ def chunk_documents(elements: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS,
                    F.min("pos").alias("first_pos"),
                    F.max("cost").alias("max_cost"))
               .withColumn("body", F.array_join(F.transform("items", lambda x: x["text"]), "\n")))
-    # Oversized single elements are cut into fixed-size character pieces.
-    n_pieces = F.when(F.col("max_cost") > max_tokens,
-                      F.ceil(F.length("body") / piece).cast("int")).otherwise(1)
-    chunks = (chunks.withColumn("piece", F.explode(F.sequence(F.lit(0), n_pieces - 1)))
-              .withColumn("body", F.when(F.col("max_cost") > max_tokens,
-                                         F.substring(F.col("body"), F.col("piece") * piece + 1, piece))
-                          .otherwise(F.col("body"))))
+    # An oversized element is cut in one pass over its text.
+    cut = F.regexp_extract_all(F.col("body"), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    pieces = F.when(F.col("max_cost") > max_tokens, cut).otherwise(F.array("body"))
+    chunks = chunks.select("*", F.posexplode(pieces).alias("piece", "part")).drop("body").withColumnRenamed("part", "body")
     text = F.concat_ws("\n", F.col("section_title"), F.col("body"))
-    out = chunks.withColumn("text", text).where(F.trim(F.col("text")) != "")
+    out = chunks.withColumn("text", text).where(strip_ws(F.col("text")) != "")
     w_doc = Window.partitionBy("doc_id").orderBy("first_pos", "piece")
     return out.select(
         "doc_id",

@@ -45,7 +45,8 @@ VIEWS: dict[str, str] = {
   FROM v_line""",
     "v_pages": """SELECT doc_id, cast(floor(n_chars / 300.0) AS BIGINT) + 1 AS pages FROM documents""",
     "v_files": """SELECT doc_id, concat('f', cast(doc_id AS VARCHAR), CASE doc_id % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.md'
-  WHEN 2 THEN '.PDF' WHEN 3 THEN '.xlsx' WHEN 4 THEN '.csv' WHEN 5 THEN '.html' WHEN 6 THEN '.exe' ELSE '' END) AS filename,
+  WHEN 2 THEN '.PDF' WHEN 3 THEN '.xlsx' WHEN 4 THEN '.csv' WHEN 5 THEN '.html' WHEN 6 THEN '.exe'
+  ELSE CASE doc_id % 24 WHEN 7 THEN '.tar.gz' WHEN 15 THEN '.TGZ' ELSE '' END END) AS filename,
   text AS content, n_chars * 4000 AS n_bytes
   FROM documents""",
     "v_run_events": """SELECT concat('r', cast(user_id AS VARCHAR), '-', cast(month(ts)*100 + day(ts) AS VARCHAR)) AS run_id,

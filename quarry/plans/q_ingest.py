@@ -101,13 +101,13 @@ def parse_options(spark, sf):
 
 def _ct_sql() -> str:
     import mimetypes
-    mimetypes.init()
-    return values(sorted(mimetypes.types_map.items()), ["e", "ct"])
+    return values(sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items()), ["e", "ct"])
 
 
 @query("content_type", f"""
 SELECT f.doc_id, f.filename, coalesce(a.ct, b.ct, 'application/octet-stream') AS content_type
-FROM (SELECT doc_id, filename, regexp_extract(regexp_extract(filename, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1) AS raw FROM v_files) f
+FROM (SELECT doc_id, filename, CASE WHEN lower(filename) LIKE '%.tgz' OR filename LIKE '%.tar.gz' THEN '.tar'
+  ELSE regexp_extract(regexp_extract(filename, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1) END AS raw FROM v_files) f
 LEFT JOIN {_ct_sql().replace(' AS t(', ' AS a(')} ON f.raw = a.e
 LEFT JOIN {_ct_sql().replace(' AS t(', ' AS b(')} ON lower(f.raw) = b.e""")
 def content_type(spark, sf):
@@ -138,13 +138,28 @@ def markup_to_elements(spark, sf):
     return ingest.markup_to_elements(p).select("doc_id", "pos", "type", "text")
 
 
-@query("union_lanes")
+@query("union_lanes", f"""
+SELECT doc_id, cast(0 AS INTEGER) AS pos, CASE WHEN lane = 'primary' THEN 'markup' ELSE lane END AS lane,
+  CASE WHEN lane = 'tabular' THEN 'Table' ELSE 'NarrativeText' END AS type
+FROM (SELECT doc_id, content, ext, {LANE_SQL} AS lane FROM (SELECT doc_id, content, n_bytes, {EXT} AS ext FROM v_files) f) x
+WHERE lane = 'direct' OR (regexp_matches(content, '\\S') AND ((lane = 'primary' AND ext IN ('.html', '.htm')) OR (lane = 'tabular' AND ext = '.csv')))""")
 def union_lanes(spark, sf):
-    """Direct-lane text elements and markup elements of ``.html`` files in one table."""
+    """Direct-lane texts, markup elements of ``.html`` files and tables of ``.csv`` files in one table."""
     el = ingest.ingest_elements(_files(spark, sf))
     return el.select("doc_id", "pos", "lane", "type")
 
 
+@query("ingest_rejects", f"""
+SELECT doc_id, filename, lane, CASE WHEN lane = 'rejected' THEN concat('File ', filename, ' (', printf('%.1f', n_bytes / 1048576.0),
+  ' MB) exceeds the 50 MB limit for document parsing. Consider splitting the document or using a text-only strategy.')
+  ELSE concat('no local parser for ', CASE WHEN ext = '' THEN 'files without suffix' ELSE ext END) END AS reason
+FROM (SELECT *, {LANE_SQL} AS lane FROM (SELECT doc_id, filename, n_bytes, {EXT} AS ext FROM v_files) f) x
+WHERE NOT (lane = 'direct' OR (lane = 'primary' AND ext IN ('.html', '.htm')) OR (lane = 'tabular' AND ext = '.csv'))""")
+def ingest_rejects(spark, sf):
+    """Every file that gives no element, with the reason."""
+    return ingest.ingest_rejects(_files(spark, sf))
+
+
 @query("section_path", """
 SELECT doc_id, pos, type, section_no, nullif(section_title, '') AS section_title FROM (
   SELECT doc_id, pos, type,
@@ -158,13 +173,40 @@ def section_path(spark, sf):
         "doc_id", "pos", "type", "section_no", "section_title")
 
 
-@query("chunk_documents")
+# Content elements with their section; costs in tokens of four characters.
+CONTENT_SQL = """el AS (
+  SELECT doc_id, pos, type, text, sum(CASE WHEN type = 'Title' THEN 1 ELSE 0 END) OVER w AS section_no,
+    nullif(last_value(CASE WHEN type = 'Title' THEN text END IGNORE NULLS) OVER w, '') AS section_title
+  FROM v_elements WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+content AS (SELECT *, greatest(1, length(text) // 4) AS cost, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY pos) AS i
+  FROM el WHERE type <> 'Title' AND regexp_matches(text, '\\S'))"""
+# Chunks (doc_id, section_no, section_title, first_pos, max_cost, body) -> pieces -> rows.
+CHUNK_ROWS_SQL = """pieces AS (SELECT *, CASE WHEN max_cost > {budget} THEN substr(body, piece * 4 * {budget} + 1, 4 * {budget}) ELSE body END AS part
+  FROM (SELECT *, unnest(range(0, CASE WHEN max_cost > {budget} THEN cast(ceil(length(body) / (4.0 * {budget})) AS BIGINT) ELSE 1 END)) AS piece FROM chunks) p),
+texts AS (SELECT *, concat_ws(chr(10), section_title, part) AS text FROM pieces)
+SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY first_pos, piece) AS INTEGER) AS chunk_no, text,
+  cast(greatest(1, length(text) // 4) AS INTEGER) AS tokens, section_title, cast(NULL AS INTEGER) AS page_number, 'text' AS chunk_type
+FROM texts WHERE regexp_matches(text, '\\S')"""
+
+
+@query("chunk_documents", f"""WITH RECURSIVE {CONTENT_SQL},
+fold(doc_id, section_no, i, pos, acc, chunk) AS (
+  SELECT doc_id, section_no, i, pos, least(cost, 513), 1 FROM content WHERE i = 1
+  UNION ALL
+  SELECT c.doc_id, c.section_no, c.i, c.pos, CASE WHEN c.cost > 512 THEN 513 WHEN f.acc + c.cost > 512 THEN c.cost ELSE f.acc + c.cost END,
+    f.chunk + CASE WHEN f.acc + c.cost > 512 THEN 1 ELSE 0 END
+  FROM fold f JOIN content c ON c.doc_id = f.doc_id AND c.section_no = f.section_no AND c.i = f.i + 1),
+chunks AS (SELECT c.doc_id, c.section_no, c.section_title, min(c.pos) AS first_pos, max(c.cost) AS max_cost, string_agg(c.text, chr(10) ORDER BY c.pos) AS body
+  FROM content c JOIN fold f ON f.doc_id = c.doc_id AND f.section_no = c.section_no AND f.i = c.i GROUP BY c.doc_id, c.section_no, c.section_title, f.chunk),
+{CHUNK_ROWS_SQL.format(budget=512)}""")
 def chunk_documents(spark, sf):
-    """W2 over every line element of every document (tests compare with a brute force)."""
+    """W2 over every line element of every document."""
     return chunking.chunk_documents(fx.elements(spark, sf))
 
 
-@query("chunk_udtf")
+@query("chunk_udtf", f"""WITH {CONTENT_SQL},
+chunks AS (SELECT doc_id, section_no, section_title, pos AS first_pos, cost AS max_cost, text AS body FROM content),
+{CHUNK_ROWS_SQL.format(budget=128)}""")
 def chunk_udtf(spark, sf):
     """The chunker as a pluggable step: budget 128 tokens, peers not merged."""
     return chunking.chunk_documents(fx.elements(spark, sf), max_tokens=128, merge_peers=False)
@@ -208,9 +250,15 @@ def _paragraph_hook(content: bytes, filename: str):
             for i, p in enumerate(paras)]
 
 
-@query("parser_hook")
+@query("parser_hook", f"""
+SELECT doc_id, cast(i - 1 AS INTEGER) AS pos, CASE WHEN i = 1 THEN 'Title' ELSE 'NarrativeText' END AS type, paras[i] AS text
+FROM (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE [content] END AS paras FROM (
+  SELECT doc_id, content, list_filter(string_split(content, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S')) AS p
+  FROM (SELECT doc_id, content, n_bytes, {EXT} AS ext FROM v_files) f
+  WHERE {LANE_SQL} = 'primary' AND ext IN {in_list(INGESTABLE)} AND ext NOT IN ('.html', '.htm')) y) z,
+LATERAL (SELECT unnest(generate_series(1, len(paras))) AS i) g""")
 def parser_hook(spark, sf):
-    """Primary-lane files that have no local parser go through a user callable in ``mapInPandas``."""
-    laned = ingest.with_lanes(_files(spark, sf))
+    """Ingestable primary-lane files that have no local parser go through a user callable in ``mapInPandas``."""
+    laned = ingest.with_lanes(ff.ingestable(_files(spark, sf)))
     prim = laned.where((F.col("lane") == "primary") & ~F.col("ext").isin(".html", ".htm"))
     return ingest.parser_hook(prim, _paragraph_hook).select("doc_id", "pos", "type", "text")

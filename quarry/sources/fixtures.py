@@ -113,7 +113,8 @@ def v_pages(spark: SparkSession, sf: str) -> DataFrame:
 def v_files(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id") % 8
     ext = (F.when(k == 0, ".txt").when(k == 1, ".md").when(k == 2, ".PDF").when(k == 3, ".xlsx")
-           .when(k == 4, ".csv").when(k == 5, ".html").when(k == 6, ".exe").otherwise(""))
+           .when(k == 4, ".csv").when(k == 5, ".html").when(k == 6, ".exe")
+           .when(F.col("doc_id") % 24 == 7, ".tar.gz").when(F.col("doc_id") % 24 == 15, ".TGZ").otherwise(""))
     return table(spark, sf, "documents").select(
         "doc_id",
         F.concat(F.lit("f"), F.col("doc_id").cast("string"), ext).alias("filename"),
