@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.session import cut_and_count, cut_lineage
 
-CHECKPOINT_EVERY = 4
+COMPACT_EVERY = 6
 
 
 def edge_integrity(workflows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,31 +35,27 @@ def edge_integrity(workflows: DataFrame, nodes: DataFrame, edges: DataFrame) ->
             .unionByName(missing(edges, "dst", "edge_to")))
 
 
-def reachable(workflows: DataFrame, nodes: DataFrame, edges: DataFrame,
-              max_rounds: int | None = None) -> DataFrame:
+def reachable(workflows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Breadth-first frontier from each entry: ``(workflow_id, n)`` reached.
 
     Only edges leaving a defined node are followed (targets that are not
-    nodes are reached but lead nowhere), as in the single-graph walk.
+    nodes are reached but lead nowhere), as in the single-graph walk. One job
+    per round; the number of rounds is the longest shortest path.
     """
     node_keys = nodes.select("workflow_id", F.col("slug").alias("src")).distinct()
     adj = (edges.select("workflow_id", "src", "dst").join(node_keys, ["workflow_id", "src"], "left_semi")
            .distinct())
     adj = cut_lineage(adj.repartition("workflow_id", "src"))
-    frontier = cut_lineage(workflows.select("workflow_id", F.col("entry").alias("n")).distinct())
-    visited = frontier
-    rounds = 0
-    while True:
-        rounds += 1
+    frontier, found = cut_and_count(workflows.select("workflow_id", F.col("entry").alias("n")).distinct())
+    visited, parts = frontier, 1
+    while found:
         step = (frontier.join(adj, (frontier.workflow_id == adj.workflow_id) & (frontier.n == adj.src))
                 .select(frontier.workflow_id, adj.dst.alias("n")).distinct()
                 .join(visited, ["workflow_id", "n"], "left_anti"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty() or (max_rounds and rounds >= max_rounds):
-            break
-        visited = visited.unionByName(frontier)
-        if rounds % CHECKPOINT_EVERY == 0:
-            visited = cut_lineage(visited)
+        frontier, found = cut_and_count(step)
+        visited, parts = visited.unionByName(frontier), parts + 1
+        if parts == COMPACT_EVERY and found:
+            visited, parts = cut_lineage(visited.repartition("workflow_id", "n")), 1
     return visited
 
 
@@ -82,15 +78,12 @@ def cyclic_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
          .join(keys.withColumnRenamed("n", "src"), ["workflow_id", "src"], "left_semi")
          .join(keys.withColumnRenamed("n", "dst"), ["workflow_id", "dst"], "left_semi")
          .distinct())
-    e = cut_lineage(e)
-    size = e.count()
+    e, size = cut_and_count(e)
     while size:
         has_in = e.select("workflow_id", F.col("dst").alias("src")).distinct()
         has_out = e.select("workflow_id", F.col("src").alias("dst")).distinct()
-        nxt = cut_lineage(e.join(has_in, ["workflow_id", "src"], "left_semi")
-                          .join(has_out, ["workflow_id", "dst"], "left_semi"))
-        n = nxt.count()
-        e = nxt
+        e, n = cut_and_count(e.join(has_in, ["workflow_id", "src"], "left_semi")
+                             .join(has_out, ["workflow_id", "dst"], "left_semi"))
         if n == size:
             break
         size = n

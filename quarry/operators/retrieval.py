@@ -1,12 +1,11 @@
 """Vector top-k retrieval (L1) and per-source top-k (L2), exact.
 
-Plan: the query set is split into blocks of at most ``QUERY_BLOCK`` rows
-(size checked before anything is broadcast). For each block the corpus is
-scanned once with ``mapInPandas``: every Arrow batch scores all block
-queries with one matrix product and keeps only its own top-k per query
-(and per source for L2). Only ``k x batches`` candidates per query reach
-the shuffle, where a window keeps the global top-k (ties by ``vec_id``).
-No cross join, no all-pairs output; corpus work is linear per block.
+Every Arrow batch of the corpus is scored against a block of queries with one
+matrix product and keeps its own top-k per query (and per source for L2);
+only those candidates are shuffled, and a window keeps the global top-k (ties
+by ``vec_id``). Queries whose measured size is below the broadcast limit are
+one block on every task. Otherwise they stay distributed: query blocks and
+packed corpus batches meet by a join on the block number.
 """
 
 from __future__ import annotations
@@ -18,74 +17,74 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import row_bound
+from quarry.session import BROADCAST_LIMIT_BYTES
 
 QUERY_BLOCK = 4096
 CAND_SCHEMA = "query_id bigint, vec_id bigint, source int, score double"
 
 
-def _normalize(m: np.ndarray) -> np.ndarray:
+def _matrix(vectors) -> np.ndarray:
+    """Unit rows (zero vectors stay zero)."""
+    m = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1.0
     return m / n
 
 
-def _partial_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, threshold: float, per_source: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if b.empty:
-                continue
-            c = _normalize(np.stack([np.asarray(x, dtype=np.float64) for x in b["embedding"]]))
-            ids = b["vec_id"].to_numpy(np.int64)
-            src = b["source"].to_numpy(np.int64)
-            scores = q_mat @ c.T  # (nq, nc)
-            groups = [np.arange(len(ids))] if not per_source else \
-                [np.flatnonzero(src == s) for s in np.unique(src)]
-            out = []
-            for g in groups:
-                sg, ig = scores[:, g], ids[g]
-                for qi in range(len(q_ids)):
-                    row = sg[qi]
-                    keep = np.flatnonzero(row >= threshold)
-                    if keep.size == 0:
-                        continue
-                    order = np.lexsort((ig[keep], -row[keep]))[:k]
-                    sel = keep[order]
-                    out.append(pd.DataFrame({"query_id": q_ids[qi], "vec_id": ig[sel],
-                                             "source": src[g][sel], "score": row[sel]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return run
-
-
-def retrieve_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.0,
-                   per_source: bool = False) -> DataFrame:
+def _candidates(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, src: np.ndarray, c: np.ndarray,
+                k: int, threshold: float, per_source: bool) -> Iterator[pd.DataFrame]:
+    """All pairs that can be among the top k of their query (and source): those at or above the k-th best score here."""
+    scores = q @ c.T
+    for g in [np.flatnonzero(src == s) for s in np.unique(src)] if per_source else [np.arange(len(ids))]:
+        part = scores[:, g]
+        best = np.partition(part, len(g) - k, axis=1)[:, len(g) - k] if len(g) > k else np.full(len(q_ids), -np.inf)
+        qi, ci = np.nonzero(part >= np.maximum(best, threshold)[:, None])
+        if len(qi):
+            yield pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids[g][ci], "source": src[g][ci], "score": part[qi, ci]})
+
+
+def retrieve_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.0, per_source: bool = False,
+                   broadcast_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """L1 / L2: ``queries(query_id, embedding)`` x ``corpus(vec_id, embedding, source)``.
 
     Returns ``query_id, rank, vec_id, source, score`` with ``score >= threshold``;
     ``per_source`` ranks within each (query, source).
     """
-    spark = corpus.sparkSession
-    n = queries.count()
-    q = queries.select("query_id", "embedding").orderBy("query_id")
-    parts = []
-    for start in range(0, n, QUERY_BLOCK):
-        block_df = q.offset(start).limit(QUERY_BLOCK)
-        if row_bound(block_df, QUERY_BLOCK) is None:
-            raise ValueError("query block over its size bound")
-        block = block_df.toPandas()  # bounded: QUERY_BLOCK x dim floats
-        q_ids = block["query_id"].to_numpy(np.int64)
-        q_mat = _normalize(np.stack([np.asarray(x, dtype=np.float64) for x in block["embedding"]]))
-        fn = _partial_topk(q_ids, q_mat, k, threshold, per_source)
-        parts.append(corpus.select("vec_id", "embedding", F.col("source").cast("int").alias("source"))
-                     .mapInPandas(fn, CAND_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], CAND_SCHEMA + ", rank int")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    queries = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    corpus = corpus.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("source").cast("int").alias("source"))
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if n * width * 8 <= broadcast_bytes:
+        rows = queries.collect()  # measured above
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix([r["embedding"] for r in rows]) if rows else np.empty((0, 1))))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q_ids, q = shared.value
+            for b in batches:
+                if len(b) and len(q_ids):
+                    yield from _candidates(q_ids, q, b["vec_id"].to_numpy(np.int64), b["source"].to_numpy(np.int64), _matrix(b["embedding"]), k, threshold, per_source)
+
+        found = corpus.mapInPandas(score, CAND_SCHEMA)
+    else:
+        blocks = -(-n // QUERY_BLOCK)
+        held = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame([{"ids": b["vec_id"].to_numpy("<i8").tobytes(), "src": b["source"].to_numpy("<i8").tobytes(), "vectors": _matrix(b["embedding"]).tobytes()}])
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for q, ids, src, vectors in zip(b["q"], b["ids"], b["src"], b["vectors"]):
+                    ids, src = np.frombuffer(ids, "<i8"), np.frombuffer(src, "<i8")
+                    q_ids = np.array([x["query_id"] for x in q], np.int64)
+                    yield from _candidates(q_ids, _matrix([x["embedding"] for x in q]), ids, src, np.frombuffer(vectors).reshape(len(ids), -1), k, threshold, per_source)
+
+        packed = corpus.mapInPandas(pack, "ids binary, src binary, vectors binary")
+        packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = packed.join(held, "block").select("q", "ids", "src", "vectors").mapInPandas(meet, CAND_SCHEMA)
     keys = ["query_id", "source"] if per_source else ["query_id"]
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
-    return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "source", "score"))

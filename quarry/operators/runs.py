@@ -1,10 +1,14 @@
 """Run-event analytics (batch): parse, classify, truncate, fold, status.
 
-Event order is ``seq`` (arrival order does not survive a shuffle). Per-run
-reductions use ``groupBy`` aggregates (``max_by``/``min_by``/``count_if``),
-which Spark combines map-side, so a run holding a third of all events is
-pre-aggregated in every task before the shuffle. Truncation (W3) joins the
-events with one "first stop" row per run instead of a per-run window.
+Event order is ``seq`` (arrival order does not survive a shuffle). A line is
+parsed once, into typed columns (``typed_events``); callers that use the
+events more than once stage them. Per-run reductions use ``groupBy``
+aggregates (``max_by``/``min_by``/``count_if``), which Spark combines
+map-side. Truncation (W3) joins the events with one "first stop" row per run.
+Where an event needs its predecessors (W4-W6), a run is cut into ``seq``
+buckets: a window runs inside a bucket, and what earlier buckets contribute
+comes from one aggregated row per bucket. A run holding a third of all
+events is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import dims
+from quarry.functions.text import strip_ws
 
 STEP_STATUS = {"STEP_STARTED": "started", "STEP_FINISHED": "finished", "STEP_ERROR": "error"}
 
@@ -23,8 +28,8 @@ def parse_event_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
     ``data`` is a VARIANT; ``event_type`` defaults to ``UNKNOWN``.
     """
-    line = F.trim(F.col(line_col))
-    body = F.trim(F.substring(line, 6, 1 << 30))
+    line = strip_ws(F.col(line_col))
+    body = strip_ws(F.substring(line, 6, 1 << 30))
     v = F.try_parse_json(body)
     out = (lines.where(F.startswith(line, F.lit("data:")))
            .withColumn("data", v)
@@ -42,8 +47,29 @@ def event_flags(events: DataFrame) -> DataFrame:
             .withColumn("is_pausing", u.isin(dims.PAUSING_EVENTS)))
 
 
-def _field(name: str, typ: str = "string") -> Column:
-    return F.try_variant_get("data", f"$.{name}", typ)
+TEXT_FIELDS = ["node_id", "node_slug", "step_name", "step_type"]
+
+
+def typed_events(events: DataFrame) -> DataFrame:
+    """P6 flags and the event fields as plain columns; the VARIANT is dropped.
+
+    ``delta`` and ``outputs`` stay JSON text and are only set on the state events that have them.
+    """
+    if "node_id" in events.columns:
+        return events
+    ev = events if "etype" in events.columns else event_flags(events)
+    cols = {f: F.try_variant_get("data", f"$.{f}", "string") for f in TEXT_FIELDS}
+    cols["duration_ms"] = F.try_variant_get("data", "$.duration_ms", "bigint")
+    cols["delta"] = F.when(F.col("etype") == "STATE_DELTA", F.to_json(F.try_variant_get("data", "$.delta", "variant")))
+    cols["outputs"] = F.when(F.col("etype") == "STATE_SNAPSHOT", F.to_json(F.try_variant_get("data", "$.snapshot.node_outputs", "variant")))
+    return ev.withColumns(cols).drop("data")
+
+
+BUCKET_SEQS = 10_000
+
+
+def _bucketed(rows: DataFrame, order: str) -> DataFrame:
+    return rows.withColumn("_bucket", F.floor(F.col(order) / BUCKET_SEQS))
 
 
 # ------------------------------------------------------------------ W3
@@ -70,16 +96,13 @@ def node_run_summary(events: DataFrame, until: str = "pause") -> DataFrame:
     Duration is the last finishing event's ``duration_ms``, else the time
     since that node's latest STARTED (W5), else null; null after a STARTED.
     """
-    ev = truncate_run(events, until)
-    step = (ev.where(F.col("etype").isin(list(STEP_STATUS)))
-            .withColumn("node_id", F.coalesce(_field("node_id"), F.lit("")))
-            .where(F.col("node_id") != ""))
-    display = F.coalesce(F.nullif(_field("node_slug"), F.lit("")), F.nullif(_field("step_name"), F.lit("")),
-                         F.col("node_id"))
+    ev = truncate_run(typed_events(events), until)
+    step = ev.where(F.col("etype").isin(list(STEP_STATUS)) & (F.col("node_id") != ""))
+    display = F.coalesce(F.nullif(F.col("node_slug"), F.lit("")), F.nullif(F.col("step_name"), F.lit("")), F.col("node_id"))
     started = F.col("etype") == "STEP_STARTED"
     step = (step.withColumn("display", display)
-            .withColumn("step_type", F.coalesce(_field("step_type"), F.lit("")))
-            .withColumn("dur", _field("duration_ms", "bigint"))
+            .withColumn("step_type", F.coalesce("step_type", F.lit("")))
+            .withColumn("dur", F.col("duration_ms"))
             .withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp"))))
     agg = step.groupBy("run_id", "node_id").agg(
         F.max_by(F.struct("etype", "display", "dur", "t_us"), "seq").alias("last"),
@@ -99,46 +122,51 @@ def node_run_summary(events: DataFrame, until: str = "pause") -> DataFrame:
 
 def duration_fallback(events: DataFrame) -> DataFrame:
     """Per finishing step event, its duration or ms since the node's latest STARTED."""
-    ev = event_flags(events) if "etype" not in events.columns else events
-    ev = (ev.where(F.col("etype").isin(list(STEP_STATUS)))
-          .withColumn("node_id", _field("node_id")).where(F.col("node_id") != "")
+    ev = typed_events(events)
+    ev = (ev.where(F.col("etype").isin(list(STEP_STATUS)) & (F.col("node_id") != ""))
           .withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp"))))
-    w = Window.partitionBy("run_id", "node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last_start = F.last(F.when(F.col("etype") == "STEP_STARTED", F.col("t_us")), ignorenulls=True).over(w)
-    fin = ev.withColumn("_ls", last_start).where(F.col("etype") != "STEP_STARTED")
-    return fin.select("run_id", "seq", "node_id",
-                      F.coalesce(_field("duration_ms", "bigint"),
-                                 F.floor((F.col("t_us") - F.col("_ls")) / 1000).cast("bigint")).alias("duration_ms"))
+    ev = _bucketed(ev.select("run_id", "node_id", "seq", "etype", "duration_ms", "t_us"), "seq")
+    key, start = ["run_id", "node_id"], F.col("etype") == "STEP_STARTED"
+    per = ev.groupBy(*key, "_bucket").agg(F.max_by(F.when(start, F.col("t_us")), F.when(start, F.col("seq"))).alias("_started"))
+    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*key, "_bucket", F.last("_started", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy(*key, "_bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ev = ev.withColumn("_own", F.last(F.when(start, F.col("t_us")), ignorenulls=True).over(inside)).join(per, [*key, "_bucket"])
+    since = F.floor((F.col("t_us") - F.coalesce("_own", "_before")) / 1000).cast("bigint")
+    return ev.where(~start).select("run_id", "seq", "node_id", F.coalesce("duration_ms", since).alias("duration_ms"))
 
 
 # ------------------------------------------------------------------ W4 / W6 / W7 / W8
 def progress_step(events: DataFrame, until: str = "pause") -> DataFrame:
     """Running count of distinct nodes started so far, on every kept event."""
-    ev = truncate_run(events, until).withColumn("node_id", F.coalesce(_field("node_id"), F.lit("")))
-    first = (ev.where((F.col("etype") == "STEP_STARTED") & (F.col("node_id") != ""))
-             .groupBy("run_id", "node_id").agg(F.min("seq").alias("first_seq")))
-    flagged = ev.join(first, ["run_id", "node_id"], "left").withColumn(
-        "is_first", (F.col("seq") == F.col("first_seq")).cast("int"))
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.select("run_id", "seq", "etype", F.coalesce(F.sum("is_first").over(w), F.lit(0)).alias("step"))
+    ev = truncate_run(typed_events(events), until).select("run_id", "seq", "etype", "node_id")
+    start = (F.col("etype") == "STEP_STARTED") & (F.col("node_id") != "")
+    first = ev.where(start).groupBy("run_id", "node_id").agg(F.min("seq").alias("seq")).select("run_id", "seq", F.lit(1).alias("is_first"))
+    flagged = _bucketed(ev.join(first.groupBy("run_id", "seq").agg(F.sum("is_first").alias("is_first")), ["run_id", "seq"], "left"), "seq")
+    per = flagged.groupBy("run_id", "_bucket").agg(F.coalesce(F.sum("is_first"), F.lit(0)).alias("_n"))
+    earlier = Window.partitionBy("run_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("run_id", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("run_id", "_bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.coalesce(F.sum("is_first").over(inside), F.lit(0))
+    return flagged.withColumn("_own", step).join(per, ["run_id", "_bucket"]).select(
+        "run_id", "seq", "etype", (F.col("_own") + F.col("_before")).alias("step"))
 
 
 def node_transitions(polls: DataFrame) -> DataFrame:
     """Polls ``(run_id, poll_no, current_node)`` -> rows where the node is set and changed."""
-    w = Window.partitionBy("run_id").orderBy("poll_no")
-    cur = F.coalesce(F.col("current_node"), F.lit(""))
-    prev = F.coalesce(F.lag(cur).over(w), F.lit(""))
-    return (polls.withColumn("_prev", prev).where((cur != "") & (cur != F.col("_prev")))
-            .select("run_id", "poll_no", "current_node"))
+    rows = _bucketed(polls.select("run_id", "poll_no", "current_node", F.coalesce("current_node", F.lit("")).alias("_cur")), "poll_no")
+    per = rows.groupBy("run_id", "_bucket").agg(F.max_by("_cur", "poll_no").alias("_last"))
+    per = per.select("run_id", "_bucket", F.lag("_last").over(Window.partitionBy("run_id").orderBy("_bucket")).alias("_before"))
+    rows = rows.withColumn("_own", F.lag("_cur").over(Window.partitionBy("run_id", "_bucket").orderBy("poll_no"))).join(per, ["run_id", "_bucket"])
+    previous = F.coalesce("_own", "_before", F.lit(""))
+    return rows.where((F.col("_cur") != "") & (F.col("_cur") != previous)).select("run_id", "poll_no", "current_node")
 
 
 def interrupted_runs(events: DataFrame) -> DataFrame:
-    """Runs with no terminal or pausing event; with their last event type."""
+    """Runs whose last event is neither terminal nor pausing; with that event's type."""
     ev = event_flags(events) if "etype" not in events.columns else events
-    agg = ev.groupBy("run_id").agg(
-        F.count_if(F.col("is_terminal") | F.col("is_pausing")).alias("n_stop"),
-        F.max_by("event_type", "seq").alias("last_event_type"))
-    return agg.where(F.col("n_stop") == 0).select("run_id", "last_event_type")
+    last = ev.groupBy("run_id").agg(F.max_by(F.struct("event_type", "is_terminal", "is_pausing"), "seq").alias("l"))
+    return last.where(~F.col("l.is_terminal") & ~F.col("l.is_pausing")).select("run_id", F.col("l.event_type").alias("last_event_type"))
 
 
 def overdue_runs(events: DataFrame, limit_s: int = dims.RUN_TIMEOUT_S) -> DataFrame:
@@ -186,26 +214,24 @@ def run_progress(node_statuses: DataFrame) -> DataFrame:
 def node_outputs_latest(events: DataFrame) -> DataFrame:
     """T5: fold STATE_SNAPSHOT / STATE_DELTA ops on ``/node_outputs/<id>``: newest value per node.
 
-    A snapshot resets the fold (its ``snapshot.node_outputs`` entries count
-    as ops at that event); ``remove`` deletes the node's value.
+    A snapshot resets the fold (its ``node_outputs`` entries count as ops at
+    that event); ``remove`` deletes the node's value. ``~1`` and ``~0`` in a
+    path stand for ``/`` and ``~``. Ops on deeper paths change a part of a
+    value and leave the node's whole value as it is.
     """
-    ev = event_flags(events) if "etype" not in events.columns else events
-    snaps = ev.where(F.col("etype") == "STATE_SNAPSHOT")
-    last_snap = snaps.groupBy("run_id").agg(F.max("seq").alias("_snap"))
-    snap_ops = (snaps.join(last_snap, "run_id").where(F.col("seq") == F.col("_snap"))
-                .select("run_id", "seq", F.explode(F.from_json(
-                    F.to_json(F.try_variant_get("data", "$.snapshot.node_outputs", "variant")),
-                    "map<string,string>")).alias("node_id", "value"))
+    ev = typed_events(events)
+    snaps = ev.where(F.col("etype") == "STATE_SNAPSHOT").select("run_id", "seq", "outputs")
+    last_snap = snaps.groupBy("run_id").agg(F.max("seq").alias("_snap"), F.max_by("outputs", "seq").alias("outputs"))
+    snap_ops = (last_snap.select("run_id", F.col("_snap").alias("seq"), F.explode(F.from_json("outputs", "map<string,string>")).alias("node_id", "value"))
                 .select("run_id", "seq", F.lit(0).alias("op_pos"), "node_id", F.lit("add").alias("op"), "value"))
+    path = F.split(F.col("d.path"), "/")
     deltas = (ev.where(F.col("etype") == "STATE_DELTA")
-              .select("run_id", "seq", F.posexplode(F.from_json(
-                  F.to_json(F.try_variant_get("data", "$.delta", "variant")),
-                  "array<struct<op:string,path:string,value:string>>")).alias("op_pos", "d"))
-              .where(F.col("d.path").startswith("/node_outputs/"))
+              .select("run_id", "seq", F.posexplode(F.from_json("delta", "array<struct<op:string,path:string,value:string>>")).alias("op_pos", "d"))
+              .where(F.col("d.path").startswith("/node_outputs/") & (F.size(path) == 3))
               .select("run_id", "seq", "op_pos",
-                      F.split(F.col("d.path"), "/").getItem(2).alias("node_id"),
+                      F.replace(F.replace(path.getItem(2), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("node_id"),
                       F.col("d.op").alias("op"), F.col("d.value").alias("value")))
-    ops = snap_ops.unionByName(deltas).join(last_snap, "run_id", "left") \
+    ops = snap_ops.unionByName(deltas).join(last_snap.select("run_id", "_snap"), "run_id", "left") \
         .where(F.col("_snap").isNull() | (F.col("seq") >= F.col("_snap")))
     latest = ops.groupBy("run_id", "node_id").agg(
         F.max_by(F.struct("op", "value"), F.struct("seq", "op_pos")).alias("l"))
@@ -217,20 +243,22 @@ def events_to_ndjson(events: DataFrame) -> DataFrame:
     return events.select("run_id", "seq", F.to_json("data").alias("json"))
 
 
-def run_result_json(events: DataFrame, outputs: DataFrame, until: str = "pause") -> DataFrame:
-    """K2: one compact JSON record per run; ``node_outputs`` defaults to ``{}``."""
-    ev = truncate_run(events, until)
-    final = ev.groupBy("run_id").agg(F.max_by("event_type", "seq").alias("final_status"))
+def run_result_json(runs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """K2: one compact JSON record per run from its state.
+
+    ``runs(run_id, workflow_id, status, execution_status)`` gives the final
+    status (P7); ``outputs(run_id, node_id, value)`` the node outputs (``{}`` if none).
+    """
     outs = outputs.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("node_id", "value")))).alias("node_outputs"))
-    rec = final.join(outs, "run_id", "left").select(
-        "run_id", F.lit(None).cast("string").alias("workflow_id"), "final_status",
+    rec = runs.join(outs, "run_id", "left").select(
+        "run_id", "workflow_id", effective_status(F.col("status"), F.col("execution_status")).alias("final_status"),
         F.coalesce("node_outputs", F.create_map().cast("map<string,string>")).alias("node_outputs"))
     return rec.select("run_id", F.to_json(F.struct("run_id", "workflow_id", "final_status", "node_outputs"),
                                           {"ignoreNullFields": "false"}).alias("json"))
 
 
-def scan_event_lines(spark, path: str, run_id_from: str = "file") -> DataFrame:
+def scan_event_lines(spark, path: str) -> DataFrame:
     """S3: event text files -> ``(run_id, seq, line)``.
 
     One file per run; ``seq`` is ``monotonically_increasing_id`` which grows

@@ -53,7 +53,7 @@ VIEWS: dict[str, str] = {
   event_id AS seq, ts,
   CASE event_type WHEN 'signup' THEN 'STEP_STARTED' WHEN 'click' THEN 'step_finished' WHEN 'error' THEN 'STEP_ERROR'
   WHEN 'view' THEN 'STATE_DELTA' ELSE CASE WHEN event_id % 3 = 0 THEN 'RUN_FINISHED'
-  WHEN event_id % 3 = 1 THEN 'WAITING_FOR_REVIEW' ELSE 'MYSTERY' END END AS event_type,
+  WHEN event_id % 3 = 1 THEN 'WAITING_FOR_REVIEW' WHEN event_id % 2 = 0 THEN 'STATE_SNAPSHOT' ELSE 'MYSTERY' END END AS event_type,
   concat('n', cast(event_id % 4 AS VARCHAR)) AS node_id,
   CASE WHEN event_id % 2 = 0 THEN cast(floor(value * 10) AS BIGINT) END AS duration_ms
   FROM events""",
@@ -62,7 +62,8 @@ VIEWS: dict[str, str] = {
   ELSE concat('data: {"type":"', event_type, '","node_id":"', node_id, '"',
     CASE WHEN duration_ms IS NOT NULL THEN concat(',"duration_ms":', cast(duration_ms AS VARCHAR)) ELSE '' END,
     CASE WHEN event_type = 'STATE_DELTA' THEN concat(',"delta":[{"op":"', CASE WHEN seq % 5 = 0 THEN 'remove' ELSE 'replace' END,
-      '","path":"/node_outputs/', node_id, '","value":"v', cast(seq AS VARCHAR), '"}]') ELSE '' END, '}') END AS line
+      '","path":"/node_outputs/', node_id, CASE seq % 8 WHEN 3 THEN '/part' WHEN 4 THEN '~1x~0' ELSE '' END, '","value":"v', cast(seq AS VARCHAR), '"}]')
+      WHEN event_type = 'STATE_SNAPSHOT' THEN concat(',"snapshot":{"node_outputs":{"', node_id, '":"s', cast(seq AS VARCHAR), '"}}') ELSE '' END, '}') END AS line
   FROM v_run_events""",
     "v_rows": """SELECT c_nationkey AS sheet, c_custkey AS row_no, c_name AS c0,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat(c_mktsegment, '|x') END AS c1

@@ -8,6 +8,7 @@ from quarry import dims
 from quarry.operators import checks, graph
 from quarry.plans.catalog import query
 from quarry.plans.sqlgen import in_list, q
+from quarry.session import cut_lineage
 from quarry.sources import fixtures as fx
 from quarry.sources import registry as reg
 
@@ -186,13 +187,21 @@ def _graph(spark, sf):
     return fx.v_workflows(spark, sf), fx.v_nodes(spark, sf), fx.v_edges(spark, sf)
 
 
+def _staged_graph(spark, sf):
+    """The graph tables written once, for the loops that read them in every round."""
+    return tuple(cut_lineage(df) for df in _graph(spark, sf))
+
+
 def _cfg(spark, sf):
     return fx.v_node_configs(spark, sf)
 
 
 def _refs_impl(spark, sf):
-    cfg = _cfg(spark, sf).withColumnRenamed("slug", "node")
-    r = checks.extract_variable_refs(cfg)
+    return _refs_of(_cfg(spark, sf))
+
+
+def _refs_of(cfg):
+    r = checks.extract_variable_refs(cfg.withColumnRenamed("slug", "node"))
     return r.select("workflow_id", "node", F.col("ref_no").cast("int").alias("ref_no"), "slug", "path")
 
 
@@ -205,14 +214,14 @@ def edge_integrity(spark, sf):
 @query("unreachable_nodes", f"WITH RECURSIVE {REACH_CTES} SELECT workflow_id, slug FROM unreach")
 def unreachable_nodes(spark, sf):
     """G1: frontier loop from every entry at once (iterative; SQL oracle uses recursion)."""
-    w, n, e = _graph(spark, sf)
+    w, n, e = _staged_graph(spark, sf)
     return graph.unreachable_nodes(w, n, e)
 
 
 @query("cyclic_workflows", f"WITH RECURSIVE {CYCLE_CTES} SELECT workflow_id, n_core_nodes FROM cyclic")
 def cyclic_workflows(spark, sf):
     """Peel loop; ``n_core_nodes`` counts nodes on or between cycles."""
-    _, n, e = _graph(spark, sf)
+    _, n, e = _staged_graph(spark, sf)
     return graph.cyclic_workflows(n, e)
 
 
@@ -270,9 +279,9 @@ def schema_rules(spark, sf):
 
 
 def _report(spark, sf):
-    w, n, e = _graph(spark, sf)
-    cfg = _cfg(spark, sf)
-    refs = _refs_impl(spark, sf)
+    w, n, e = _staged_graph(spark, sf)
+    cfg = cut_lineage(_cfg(spark, sf))
+    refs = cut_lineage(_refs_of(cfg))
     registry = reg.registry_frame(spark)
     schema_fail = (graph.edge_integrity(w, n, e).select("workflow_id")
                    .unionByName(checks.config_rules(cfg).select("workflow_id"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-# Above this many bytes a side is never broadcast on our own initiative;
-# AQE may still choose a broadcast at run time from real statistics.
+# Above this many measured bytes a side is not collected for a broadcast.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
@@ -37,8 +38,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (tests, local runs) is a fresh scratch folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    local master gets a fresh scratch folder; on a cluster that is an error,
+    since executors would write to disks of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -57,12 +61,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_bound(df: DataFrame, max_rows: int) -> int | None:
-    """Exact row count when it is at most ``max_rows``, else None.
-
-    Reads at most ``max_rows + 1`` rows, so the probe stays cheap on a
-    huge input. Callers multiply by a known per-row width to decide whether
-    a side may be broadcast.
-    """
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the row count, in one job."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return cut, seen.get["n"]

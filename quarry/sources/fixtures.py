@@ -130,7 +130,7 @@ def v_run_events(spark: SparkSession, sf: str) -> DataFrame:
     mapped = (F.when(et == "signup", "STEP_STARTED").when(et == "click", "step_finished")
               .when(et == "error", "STEP_ERROR").when(et == "view", "STATE_DELTA")
               .otherwise(F.when(k == 0, "RUN_FINISHED").when(k == 1, "WAITING_FOR_REVIEW")
-                         .otherwise("MYSTERY")))
+                         .when(F.col("event_id") % 2 == 0, "STATE_SNAPSHOT").otherwise("MYSTERY")))
     return ev.select(
         F.concat(F.lit("r"), F.col("user_id").cast("string"), F.lit("-"),
                  (F.month("ts") * 100 + F.dayofmonth("ts")).cast("string")).alias("run_id"),
@@ -142,6 +142,15 @@ def v_run_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def event_run_states(spark: SparkSession, sf: str) -> DataFrame:
+    """State rows of the runs in ``v_run_events``: status from the number of events."""
+    n = v_run_events(spark, sf).groupBy("run_id").agg(F.count("*").alias("n"))
+    k = F.col("n") % 4
+    return n.select("run_id", F.concat(F.lit("w"), k.cast("string")).alias("workflow_id"),
+                    F.when(k == 0, "COMPLETED").when(k == 1, "running").otherwise("RUNNING").alias("status"),
+                    F.when(k == 2, "WAITING_FOR_INPUT").when(k == 3, "failed").alias("execution_status"))
+
+
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(run_id, seq, line)`` text lines: data lines, keep-alives and junk."""
     e = v_run_events(spark, sf)
@@ -153,8 +162,11 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "STATE_DELTA",
                F.concat(F.lit(',"delta":[{"op":"'),
                         F.when(F.col("seq") % 5 == 0, F.lit("remove")).otherwise(F.lit("replace")),
-                        F.lit('","path":"/node_outputs/'), F.col("node_id"), F.lit('","value":"v'),
-                        F.col("seq").cast("string"), F.lit('"}]'))).otherwise(F.lit("")),
+                        F.lit('","path":"/node_outputs/'), F.col("node_id"),
+                        F.when(F.col("seq") % 8 == 3, F.lit("/part")).when(F.col("seq") % 8 == 4, F.lit("~1x~0")).otherwise(F.lit("")),
+                        F.lit('","value":"v'), F.col("seq").cast("string"), F.lit('"}]')))
+        .when(F.col("event_type") == "STATE_SNAPSHOT",
+              F.concat(F.lit(',"snapshot":{"node_outputs":{"'), F.col("node_id"), F.lit('":"s'), F.col("seq").cast("string"), F.lit('"}}'))).otherwise(F.lit("")),
         F.lit("}"))
     line = (F.when(F.col("seq") % 7 == 0, F.lit(": keep-alive"))
             .when(F.col("seq") % 11 == 0, F.lit("data: not-json")).otherwise(body))

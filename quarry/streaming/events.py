@@ -41,10 +41,10 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def stage_lines(lines: DataFrame, n_files: int = 8) -> str:
+def stage_lines(lines: DataFrame) -> str:
     """Write ``(run_id, seq, ts, line)`` rows as JSON files for a file stream source."""
     spark = lines.sparkSession
     path = scratch_dir(spark, "lines")
     lines.select("run_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "line") \
-        .repartition(n_files).write.mode("overwrite").json(path)
+        .write.mode("overwrite").json(path)
     return path
