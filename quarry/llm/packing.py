@@ -13,6 +13,8 @@ then ranks the pieces of each length and looks up each rank in the plan.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,23 +26,64 @@ from quarry.llm.common import stage
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
-RANK_ROWS = 250_000
-_KEEP: dict = {}
+CACHE_WORDS = 600_000
+RANK_ROWS = 2_000
+_KEEP: dict = {}  # tokenizers and their words, one per Python worker
 
 
-def _encoder(path: str):
-    """The tokenizer of ``path`` and its cache of word -> id bytes, one per Python worker."""
-    if path not in _KEEP:
+def _id_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_level() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordIds(dict):
+    """Word -> id bytes; a word not met before is encoded by the tokenizer.
+
+    Words of ASCII characters (without ``'`` and ``<``, which start contractions
+    and special tokens) and Latin-1 letters are split here, as the tokenizer's
+    own pattern does: runs of letters, single digits, runs of others; its BPE model
+    then merges each part, and parts are kept as words of their own. All other
+    words take the tokenizer's whole path.
+    """
+
+    plain = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+    parts = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _KEEP[path] = (Tokenizer.from_file(path), {})
-    return _KEEP[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = _byte_level()
 
+    def shrink(self) -> None:
+        """Forget long words, which seldom come back; all if that is not enough."""
+        short = {w: ids for w, ids in self.items() if len(w) <= 8}
+        self.clear()
+        if len(short) <= CACHE_WORDS // 2:
+            self.update(short)
 
-def _id_bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    def whole(self, text: str) -> bytes:
+        return _id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def part(self, p: str) -> bytes:
+        found = self.get(p)
+        if found is None:
+            mapped = p if p.isascii() else "".join(map(self.alphabet.__getitem__, p.encode()))
+            found = self[p] = _id_bytes([t.id for t in self.merge(mapped)])
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        found = b"".join(map(self.part, self.parts.findall(word.lower()))) if self.plain.fullmatch(word) else self.whole(word)
+        self[word] = found
+        return found
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -51,17 +94,14 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     Texts with the separators U+001C to U+001F, which Python but not the
     tokenizer takes for white space, are encoded whole.
     """
-    tok, cache = _encoder(path)
-    split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = list({w for words in split if words for w in words if w not in cache})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = _id_bytes(e.ids)
-    return [_id_bytes(tok.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(cache.__getitem__, words))
-            for t, words in zip(texts, split)]
+    if path not in _KEEP:
+        _KEEP[path] = WordIds(path)
+    cache, out = _KEEP[path], []
+    for t in texts:
+        if len(cache) > CACHE_WORDS:
+            cache.shrink()
+        out.append(cache.whole(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else b"".join(map(cache.__getitem__, t.split())))
+    return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -176,16 +216,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, start, length``.
 
     Repeated rows are separate pieces. Ranks come from counts per (length,
-    salt), with as many salts as keep a group under ``RANK_ROWS`` rows, so a
-    length that many documents share is no single task. The plan has a few
+    salt), with as many salts for a length as keep a group near ``RANK_ROWS``
+    rows, so a length that many documents share is no single task. The plan has a few
     rows per length (at most ``capacity`` lengths), a bound that does not grow
     with the corpus, and is broadcast. An empty table gives no rows.
     """
     spark = pieces.sparkSession
     lengths = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
     runs = best_fit(lengths, capacity)
-    salts = max([1, *(-(-n // RANK_ROWS) for n in lengths.values())])
-    rows = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    salts = spark.createDataFrame([(n, -(-c // RANK_ROWS)) for n, c in lengths.items()], "length long, __salts long")
+    rows = pieces.join(F.broadcast(salts), "length")  # at most ``capacity`` rows
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start"), "__salts")).drop("__salts")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("length", "__salt").count().select("length", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "start", *[c for c in pieces.columns if c not in ("doc_id", "start", "length")])

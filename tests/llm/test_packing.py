@@ -48,6 +48,9 @@ def test_histogram_plan_is_best_fit_decreasing(seed):
 def test_ids_are_the_tokenizers(hard_docs):
     tok = Tokenizer.from_file(PATH)
     texts = [t or "" for _, t in hard_docs] + ["a\x1cb c d e don't I'LL 12 ½x", "<|endoftext|> x<|startoftext|>y", "é ́ Σας ΟΔΟΣ"]
+    rng = random.Random(9)
+    letters = "aBcÀéßñÿ×÷ªº²½µ09.,'<|>-_ \n\u00a0\u00adŁł漢\u0301"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     for t, got in zip(texts, packing.encode(texts, PATH)):
         assert got == packing._id_bytes(tok.encode(t, add_special_tokens=False).ids)
 
