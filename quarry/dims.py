@@ -117,6 +117,73 @@ MODEL_FIELDS = {
                         "responseVariableMappings", "headers", "callParams"],
 }
 
+# Config keys that never reach the service, per node type.
+CLIENT_ONLY_FIELDS = {
+    "AGENT": ["agent_name", "agentId", "primaryInput", "tools"],
+    "RAG_AGENT": ["agent_name", "agentId", "knowledge_base_names", "knowledgeBaseIds", "primaryInput"],
+    "RETRIEVE": ["knowledgeBaseId", "knowledge_base_name", "knowledge_base_names", "searchQuery", "scoreThreshold",
+                 "enableReranking", "includeMetadata"],
+    "STRUCTURED_OUTPUT": ["primaryInput"],
+    "HUMAN_REVIEW": ["review_prompt"],
+}
+# Definition key -> service key, per node type.
+SCHEMA_ALIASES = {
+    "AGENT": {"model": "model_name", "maxTokens": "max_tokens", "saveToMemory": "save_to_memory",
+              "memoryFilePath": "memory_file_path"},
+    "RAG_AGENT": {"model": "model_name", "maxTokens": "max_tokens", "topK": "top_k_results",
+                  "saveToMemory": "save_to_memory", "memoryFilePath": "memory_file_path"},
+    "LLM_CALL": {"model": "model_name", "maxTokens": "max_tokens", "template": "system_prompt",
+                 "saveToMemory": "save_to_memory", "memoryFilePath": "memory_file_path"},
+    "RETRIEVE": {"topK": "top_k_results", "scoreThreshold": "similarity_threshold", "enableReranking": "enable_reranking",
+                 "includeMetadata": "include_metadata", "saveToMemory": "save_to_memory", "memoryFilePath": "memory_file_path"},
+    "STRUCTURED_OUTPUT": {"model": "model_name", "maxTokens": "max_tokens", "schema": "output_schema",
+                          "saveToMemory": "save_to_memory", "memoryFilePath": "memory_file_path"},
+    "HUMAN_REVIEW": {"timeoutMinutes": "timeout_minutes", "allowApprove": "allow_approve", "allowReject": "allow_reject",
+                     "allowEdit": "allow_edit"},
+    "API_CONSUMPTION": {"connectorId": "connector_id", "maxRecursionDepth": "max_recursion_depth",
+                        "operationHint": "operation_hint", "timeoutSeconds": "timeout_seconds",
+                        "saveToMemory": "save_to_memory", "memoryFilePath": "memory_file_path",
+                        "responseVariableMappings": "response_variable_mappings"},
+}
+# Stored parameter key -> definition key (None: the same), per node type.
+PARAMETER_FIELDS = {
+    "PLAIN_TXT_INPUT": {"prompt": "placeholder"},
+    "FILE_UPLOAD": {"acceptedFormats": None, "maxFileSize": None, "saveToMemory": None},
+    "AGENT": {"agentId": None, "model": None, "primaryInput": None, "temperature": None, "maxTokens": None,
+              "systemPrompt": "system_prompt", "use_rlm": None, "web_tools_enabled": None, "max_iterations": None,
+              "saveToMemory": None, "memoryFilePath": None},
+    "RAG_AGENT": {"agentId": None, "knowledgeBasesOverride": "knowledgeBaseIds", "primaryInput": None, "topK": None,
+                  "systemPrompt": "system_prompt", "saveToMemory": None, "memoryFilePath": None},
+    "LLM_CALL": {"model": None, "template": None, "system_prompt": None, "systemPrompt": "system_prompt",
+                 "temperature": None, "maxTokens": None, "saveToMemory": None, "memoryFilePath": None},
+    "RETRIEVE": {"knowledgeBaseId": None, "topK": None, "searchQuery": None, "scoreThreshold": None,
+                 "saveToMemory": None, "memoryFilePath": None},
+    "STRUCTURED_OUTPUT": {"primaryInput": None, "systemPrompt": "system_prompt", "saveToMemory": None, "memoryFilePath": None},
+    "HUMAN_REVIEW": {"instructions": "review_prompt", "review_prompt": None, "timeoutMinutes": None,
+                     "requireApproval": "allowApprove", "allowDataEditing": "allowEdit"},
+    "DOCUMENT_EXTRACTION": {"extract_tables": "extractTables", "extract_images": "extractImages"},
+}
+# Stored config key -> definition key (None: the same), per node type.
+CONFIG_FIELDS = {
+    "PLAIN_TXT_INPUT": {"placeholder": None},
+    "AGENT": {"model": None, "model_name": "model", "primaryInput": None, "temperature": None, "max_tokens": "maxTokens",
+              "maxTokens": None, "tools": None, "agent_id": "agentId", "use_rlm": None, "web_tools_enabled": None,
+              "max_iterations": None},
+    "STRUCTURED_INPUT": {"schema": None},
+    "STRUCTURED_OUTPUT": {"schema": None, "model": None},
+    "RAG_AGENT": {"agent_id": "agentId", "knowledge_base_ids": "knowledgeBaseIds", "primaryInput": None},
+    "RETRIEVE": {"enable_reranking": "enableReranking", "include_metadata": "includeMetadata",
+                 "knowledge_base_id": "knowledgeBaseId", "knowledge_base_ids": "knowledgeBaseId"},
+    "HUMAN_REVIEW": {"review_prompt": None, "timeout_minutes": "timeoutMinutes", "allow_approve": "allowApprove",
+                     "allow_reject": "allowReject", "allow_edit": "allowEdit"},
+    "DOCUMENT_EXTRACTION": {"fields": None, "extractionMethod": None, "prompt": None},
+    "MEMORY_FILE_URL": {"path": None},
+}
+# References that are dropped when they are null, "" or [].
+DEPENDENCY_FIELDS = ["agentId", "knowledgeBasesOverride", "knowledgeBaseId", "agent_id", "knowledge_base_id", "knowledge_base_ids"]
+# Keys of stored records that only a canvas uses.
+UI_FIELDS = ["type", "collapsed", "validationLevel", "validationMessages", "function_name"]
+
 # Validation check names in report order.
 CHECK_NAMES = [
     "YAML Syntax", "WDF Schema Conformance", "Graph Reachability", "Cycle Detection",

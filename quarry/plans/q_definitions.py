@@ -317,3 +317,58 @@ def explode_composite(spark, sf):
     from quarry.sources.definitions import composite_records, explode_composite_nodes
     comp = composite_records(fx.v_workflows(spark, sf), fx.v_nodes(spark, sf), fx.v_edges(spark, sf))
     return explode_composite_nodes(comp)
+
+
+def _pairs(fields: dict) -> str:
+    return ", ".join(f"({q(t)}, {i}, {q(k)}, {q(v or k)})" for t, m in fields.items() for i, (k, v) in enumerate(m.items()))
+
+
+# Entries of the stand-in configs by key: (place, key, JSON value or null where absent).
+RENAME_SQL = rf"""WITH e AS (SELECT workflow_id, slug, upper(type) AS type, unnest([
+    {{'pos': 1, 'key': 'zz_note', 'value': to_json(note)}}, {{'pos': 2, 'key': 'model', 'value': '"m1"'}}, {{'pos': 3, 'key': 'template', 'value': to_json(text)}},
+    {{'pos': 4, 'key': 'temperature', 'value': regexp_replace(cast(temperature AS VARCHAR), '\.0$', '')}}, {{'pos': 5, 'key': 'maxTokens', 'value': cast(maxTokens AS VARCHAR)}}, {{'pos': 6, 'key': 'topK', 'value': cast(topK AS VARCHAR)}},
+    {{'pos': 7, 'key': 'scoreThreshold', 'value': regexp_replace(cast(scoreThreshold AS VARCHAR), '\.0$', '')}}, {{'pos': 10, 'key': 'topP', 'value': CASE WHEN ln % 3 = 0 THEN '0.9' END}},
+    {{'pos': 13, 'key': 'meta', 'value': '{{"{{{{ghost.output.x}}}}":"key only"}}'}},
+    {{'pos': 8, 'key': 'agent_name', 'value': to_json(agent_name)}}, {{'pos': 9, 'key': 'knowledge_base_names', 'value': CASE WHEN has_kb_names THEN concat('["kb-', cast(kb AS VARCHAR), '"]') END}},
+    {{'pos': 11, 'key': 'extractionPrompt', 'value': CASE WHEN ln % 4 = 0 THEN '"x"' END}}, {{'pos': 12, 'key': 'disableRAG', 'value': CASE WHEN ln % 5 = 0 THEN 'true' END}},
+    {{'pos': 14, 'key': 'system_prompt', 'value': CASE WHEN ln % 2 = 0 THEN '"late"' END}}], max_depth := 2)
+  FROM (SELECT c.*, concat('{{{{n', cast(l.l_partkey % 8 AS VARCHAR), '.output.note}}}}') AS note, l.l_partkey % 7 AS kb,
+    substr(template, length(concat('{{{{n', cast(l.l_partkey % 8 AS VARCHAR), '.output.note}}}}')) + 1) AS text
+    FROM v_node_cfg c JOIN v_line l ON l.l_orderkey = c.workflow_id AND concat('n', cast(l.l_linenumber AS VARCHAR)) = c.slug) x),
+drops AS (SELECT * FROM (VALUES {", ".join(f"({q(t)}, {q(k)})" for t, ks in dims.CLIENT_ONLY_FIELDS.items() for k in ks)}) v(type, key)),
+names AS (SELECT * FROM (VALUES {_pairs(dims.SCHEMA_ALIASES)}) v(type, rule, key, target))
+SELECT e.workflow_id, e.slug, coalesce(n.target, e.key) AS key, cast(arg_max(e.value, e.pos) AS VARCHAR) AS value
+FROM e LEFT JOIN names n ON n.type = e.type AND n.key = e.key
+WHERE e.value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM drops d WHERE d.type = e.type AND d.key = e.key) GROUP BY ALL"""
+
+
+@query("rename_config", RENAME_SQL)
+def rename_config(spark, sf):
+    """F15 over all node configs; every second one has a late ``system_prompt``."""
+    from quarry.operators import configs
+    c = _cfg(spark, sf)
+    late = F.concat(F.regexp_replace("config", r"\}$", ""), F.lit(',"system_prompt":"late"}'))
+    c = c.withColumn("config", F.when(F.substring("slug", 2, 9).cast("int") % 2 == 0, late).otherwise(F.col("config")))
+    return configs.rename_config(c)
+
+
+@query("merge_config", f"""WITH n AS (SELECT workflow_id, slug, ln, upper(type) AS type FROM (SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS slug,
+    l_linenumber AS ln, CASE l_partkey % 6 WHEN 0 THEN 'plain_txt_input' WHEN 1 THEN 'llm_call' WHEN 2 THEN 'retrieve' WHEN 3 THEN 'rag_agent'
+    WHEN 4 THEN 'structured_output' ELSE 'mystery' END AS type FROM v_line) x),
+p AS (SELECT workflow_id, slug, type, unnest([{{'key': 'systemPrompt', 'value': concat('"P', cast(ln AS VARCHAR), '"')}}, {{'key': 'topK', 'value': cast(ln AS VARCHAR)}},
+  {{'key': 'system_prompt', 'value': CASE WHEN ln % 2 = 0 THEN '"Q"' END}}, {{'key': 'agentId', 'value': CASE WHEN ln % 3 = 0 THEN '""' ELSE '"a1"' END}},
+  {{'key': 'knowledgeBaseId', 'value': CASE WHEN ln % 2 = 1 THEN '[]' END}}], max_depth := 2) FROM n),
+c AS (SELECT workflow_id, slug, type, unnest([{{'key': 'type', 'value': '"ui"'}}, {{'key': 'agent_id', 'value': concat('"c', cast(ln AS VARCHAR), '"')}},
+  {{'key': 'knowledge_base_ids', 'value': '["k"]'}}, {{'key': 'knowledge_base_id', 'value': CASE WHEN ln % 4 = 1 THEN 'null' ELSE '"kb"' END}},
+  {{'key': 'model', 'value': '"m"'}}, {{'key': 'other', 'value': '{{"x":[1,2]}}'}}], max_depth := 2) FROM n),
+pf AS (SELECT * FROM (VALUES {_pairs(dims.PARAMETER_FIELDS)}) v(type, rule, key, target)), cf AS (SELECT * FROM (VALUES {_pairs(dims.CONFIG_FIELDS)}) v(type, rule, key, target)),
+a AS (SELECT workflow_id, slug, target, arg_max(value, rule) AS value FROM p JOIN pf USING (type, key) WHERE value IS NOT NULL
+  AND NOT (key IN {in_list(dims.DEPENDENCY_FIELDS)} AND value IN ('null', '""', '[]')) GROUP BY ALL),
+b AS (SELECT workflow_id, slug, target, arg_min(value, rule) AS value FROM c JOIN cf USING (type, key) WHERE NOT (key IN {in_list(dims.DEPENDENCY_FIELDS)} AND value IN ('null', '""', '[]')) GROUP BY ALL),
+m AS (SELECT workflow_id, slug, target AS key, coalesce(a.value, b.value) AS value FROM a FULL JOIN b USING (workflow_id, slug, target))
+SELECT * FROM m UNION ALL SELECT workflow_id, slug, key, value FROM c
+  WHERE key NOT IN {in_list(dims.UI_FIELDS)} AND NOT EXISTS (SELECT 1 FROM m WHERE m.workflow_id = c.workflow_id AND m.slug = c.slug)""")
+def merge_config(spark, sf):
+    """F16 over stored nodes: parameters first, config fills the gaps, unknown types keep their config."""
+    from quarry.operators import configs
+    return configs.merge_config(fx.v_stored_nodes(spark, sf))

@@ -262,3 +262,19 @@ def parser_hook(spark, sf):
     laned = ingest.with_lanes(ff.ingestable(_files(spark, sf)))
     prim = laned.where((F.col("lane") == "primary") & ~F.col("ext").isin(".html", ".htm"))
     return ingest.parser_hook(prim, _paragraph_hook).select("doc_id", "pos", "type", "text")
+
+
+@query("layout_to_elements", """WITH l AS (SELECT doc_id, pos, text, pos // 4 AS g, pos % 4 AS k FROM v_elements),
+visits AS (SELECT doc_id, pos, text, g, CASE k WHEN 0 THEN 0 ELSE k + 1 END AS step FROM l
+  UNION ALL SELECT doc_id, pos, text, g, 1 FROM l WHERE k = 3),
+typed AS (SELECT *, CASE WHEN pos % 9 = 8 THEN 'Table' WHEN pos % 7 = 6 THEN 'Image' WHEN pos % 5 = 0 THEN 'Title' WHEN pos % 5 = 4 THEN 'ListItem'
+  WHEN pos % 5 = 3 THEN 'Header' ELSE 'NarrativeText' END AS type FROM visits),
+made AS (SELECT *, CASE WHEN type = 'Table' THEN concat('| ', text, ' |  |', chr(10), '| --- | --- |') ELSE text END AS shown FROM typed)
+SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY g, step) - 1 AS INTEGER) AS pos, type, shown AS text, cast(g + 1 AS INTEGER) AS page_number,
+  CASE WHEN type = 'Table' THEN concat('<table><tr><th colspan="2">', text, '</th></tr></table>') END AS text_as_html,
+  CASE WHEN type = 'Image' THEN concat('AA', cast(pos AS VARCHAR)) END AS image_base64, CASE WHEN type = 'Image' THEN 'image/png' END AS filetype
+FROM made WHERE shown <> '' OR type = 'Image'""")
+def layout_to_elements(spark, sf):
+    """G3 + F20: layout records of all documents -> elements in reading order."""
+    from quarry.operators import layout
+    return layout.layout_to_elements(fx.v_layouts(spark, sf))

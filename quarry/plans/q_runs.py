@@ -288,3 +288,45 @@ def save_node_outputs(spark, sf):
     from quarry.sources.sinks import node_output_paths
     out = runs.node_outputs_latest(_staged(spark, sf))
     return node_output_paths(out).select("run_id", "node_id", "path", "path_ok")
+
+
+TERM_SQL = f"""SELECT e.* FROM v_events e LEFT JOIN (SELECT run_id, min(seq) AS stop_seq FROM v_events
+  WHERE etype IN {in_list(dims.TERMINAL_EVENTS)} GROUP BY run_id) s ON s.run_id = e.run_id
+  WHERE s.stop_seq IS NULL OR e.seq <= s.stop_seq"""
+
+
+def _streamed(spark, sf, build, name):
+    """The event lines as a file stream through ``build``, run to the end (``availableNow``)."""
+    from quarry.streaming import events as st
+
+    return st.run_to_table(build(st.stream_events(spark, st.stage_lines(fx.event_lines(spark, sf)))), name)
+
+
+@query("stream_node_summary", A12_SQL.replace(TRUNC_SQL, TERM_SQL))
+def stream_node_summary(spark, sf):
+    """Per-node map state per run; the standing entry of each node after the stream."""
+    from quarry.streaming import state
+
+    return state.latest_entries(_streamed(spark, sf, state.stream_node_summary, "node-summary"))
+
+
+@query("stream_waiting_queue", f"""WITH t AS ({TERM_SQL}), l AS (SELECT run_id, arg_max(etype, seq) AS etype, max(seq) AS seq, arg_max(body, seq) AS body FROM t
+  WHERE {STOP_SQL} OR etype IN {in_list(dims.STEP_EVENTS + ['REVIEW_COMPLETE'])} GROUP BY run_id)
+SELECT run_id, seq, etype AS waiting_for, coalesce(json_extract_string(body, '$.node_id'), '') AS node_id FROM l WHERE etype IN {in_list(dims.PAUSING_EVENTS)}""")
+def stream_waiting_queue(spark, sf):
+    """Runs that wait for input or review when the stream ends."""
+    from quarry.streaming import state
+
+    changes = _streamed(spark, sf, state.stream_waiting_queue, "waiting-queue")
+    last = changes.groupBy("run_id").agg(F.max_by(F.struct("waiting", "seq", "waiting_for", "node_id"), F.struct("seq", "waiting")).alias("l"))
+    return last.where("l.waiting").select("run_id", "l.seq", "l.waiting_for", "l.node_id")
+
+
+@query("stream_timeouts", f"""SELECT run_id, cast(floor(min(epoch_us(ts)) / 1000) AS BIGINT) AS started_ms, cast(floor(min(epoch_us(ts)) / 1000) AS BIGINT) + {dims.RUN_TIMEOUT_S * 1000} AS deadline_ms
+FROM v_events GROUP BY run_id HAVING count_if(etype IN {in_list(dims.TERMINAL_EVENTS)}) = 0
+  AND cast(floor(min(epoch_us(ts)) / 1000) AS BIGINT) + {dims.RUN_TIMEOUT_S * 1000} <= (SELECT floor(max(epoch_us(ts)) / 1000) FROM v_events)""")
+def stream_timeouts(spark, sf):
+    """T4: event-time timers; runs past the limit without a terminal event when the stream's watermark passes."""
+    from quarry.streaming import state
+
+    return _streamed(spark, sf, state.stream_timeouts, "timeouts")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quarry.operators import runs
 from quarry.session import ensure_checkpoint_dir
 
+# JSON would otherwise keep milliseconds only.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 LINE_SCHEMA = "run_id string, seq bigint, ts timestamp, line string"
 
 
@@ -26,7 +28,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
     """Unbounded event lines -> parsed, classified events (streaming DataFrame)."""
-    raw = spark.readStream.schema(LINE_SCHEMA).json(path)
+    raw = spark.readStream.schema(LINE_SCHEMA).option("timestampFormat", TIME_FORMAT).json(path)
     return runs.event_flags(runs.parse_event_lines(raw))
 
 
@@ -46,5 +48,5 @@ def stage_lines(lines: DataFrame) -> str:
     spark = lines.sparkSession
     path = scratch_dir(spark, "lines")
     lines.select("run_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "line") \
-        .write.mode("overwrite").json(path)
+        .write.mode("overwrite").option("timestampFormat", TIME_FORMAT).json(path)
     return path
