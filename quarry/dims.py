@@ -59,7 +59,9 @@ PAUSING_EVENTS = ["WAITING_FOR_INPUT", "WAITING_FOR_REVIEW"]
 # Run statuses.
 TERMINAL_STATUSES = ["COMPLETED", "FAILED", "CANCELLED", "TIMED_OUT", "TIMEOUT"]
 HITL_STATUSES = ["WAITING_FOR_REVIEW", "WAITING_FOR_INPUT"]
+ENDED_STATUSES = ["COMPLETED", "FAILED", "CANCELLED", "TIMED_OUT"]
 RUN_TIMEOUT_S = 1800
+REGISTRY_TTL_HOURS = 24
 
 # Retry policy for parse attempts.
 RETRY_WAIT_S = 30

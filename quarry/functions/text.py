@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import dims
@@ -94,9 +94,11 @@ def content_preview(text: Column, limit: int = 200) -> Column:
     return F.substring(text, 1, limit)
 
 
-def unknown_preview(payload_json: Column, limit: int = 100) -> Column:
-    """unknown event payload text: over ``limit`` chars gets ``...``."""
-    return output_preview(payload_json, limit)
+def event_preview(payload_json: Column, limit: int = 100) -> Column:
+    """preview of an event payload: its ``text``, else ``content``, else ``response``, else the payload itself."""
+    v = F.try_parse_json(payload_json)
+    text = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("text", "content", "response")], payload_json)
+    return output_preview(text, limit)
 
 
 def parse_json_object(text: Column) -> tuple[Column, Column]:
@@ -123,9 +125,23 @@ def error_class(code: Column) -> Column:
             .when(code >= 500, "ServerError").otherwise("APIError"))
 
 
-def error_message(body_json: Column) -> Column:
-    """message from ``detail``, ``detail.detail`` or ``error.message``."""
+def error_message(body_json: Column, code: Column) -> Column:
+    """message from ``detail``, ``detail.detail`` or ``error.message``; else a default with the status."""
     v = F.try_parse_json(body_json)
-    return F.coalesce(F.try_variant_get(v, "$.detail", "string"),
-                      F.try_variant_get(v, "$.detail.detail", "string"),
-                      F.try_variant_get(v, "$.error.message", "string"))
+    detail = F.try_variant_get(v, "$.detail", "variant")
+    text = F.when(F.schema_of_variant(detail) == "STRING", F.try_variant_get(v, "$.detail", "string")).when(
+        F.schema_of_variant(detail).startswith("OBJECT"), F.try_variant_get(v, "$.detail.detail", "string")).otherwise(
+        F.try_variant_get(v, "$.error.message", "string"))
+    return F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("API request failed with status "), code.cast("string")))
+
+
+def retry_after(body_json: Column, code: Column) -> Column:
+    """whole seconds from ``retry_after`` of a 429 answer, else null."""
+    return F.when(code == 429, F.try_variant_get(F.try_parse_json(body_json), "$.retry_after", "int"))
+
+
+def mapped_values(rows: DataFrame, key: str, body: str, mappings: list[tuple[str, str]]) -> DataFrame:
+    """``(variable, jsonPath)`` mappings of a JSON body -> one row ``(key, variable, value)`` each; a missing path is null."""
+    v = F.try_parse_json(F.col(body))
+    picked = [F.struct(F.lit(name).alias("variable"), F.try_variant_get(v, path if path.startswith("$") else f"$.{path}", "string").alias("value")) for name, path in mappings]
+    return rows.select(key, F.inline(F.array(*picked)))

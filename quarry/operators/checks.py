@@ -204,8 +204,8 @@ def check_report(workflows: DataFrame, nodes: DataFrame, edges: DataFrame,
                  registry: DataFrame | None, schema_fail: DataFrame, unreachable: DataFrame,
                  cyclic: DataFrame, invalid_refs: DataFrame, unsupported: DataFrame,
                  bad_paths: DataFrame | None, inactive: DataFrame | None,
-                 drift: DataFrame | None) -> DataFrame:
-    """13 check rows per workflow in fixed order; schema failure stops the rest.
+                 drift: DataFrame | None, syntax_fail: DataFrame | None = None) -> DataFrame:
+    """13 check rows per workflow in fixed order; a syntax or schema failure stops the rest.
 
     Each input is a violation table with a ``workflow_id`` column; the
     report flags workflows present in it. Without a registry the three
@@ -219,7 +219,7 @@ def check_report(workflows: DataFrame, nodes: DataFrame, edges: DataFrame,
                 else spark.createDataFrame([], f"workflow_id bigint, {name} boolean"))
 
     flags = wf
-    for df, name in [(schema_fail, "f_schema"), (unreachable, "f_reach"), (cyclic, "f_cycle"),
+    for df, name in [(syntax_fail, "f_syntax"), (schema_fail, "f_schema"), (unreachable, "f_reach"), (cyclic, "f_cycle"),
                      (invalid_refs, "f_refs"), (unsupported, "f_unsup"), (bad_paths, "f_paths"),
                      (inactive, "f_inactive"), (drift, "f_drift")]:
         flags = flags.join(flag(df, name), "workflow_id", "left")
@@ -230,13 +230,14 @@ def check_report(workflows: DataFrame, nodes: DataFrame, edges: DataFrame,
             return F.lit("SKIP")
         return F.when(F.col(fail_col).isNotNull(), F.lit(bad)).otherwise(F.lit("PASS"))
 
-    statuses = [F.lit("PASS"), st("f_schema"), st("f_reach"), st("f_cycle"), st("f_refs"), st("f_unsup"),
+    statuses = [st("f_syntax"), st("f_schema"), st("f_reach"), st("f_cycle"), st("f_refs"), st("f_unsup"),
                 st("f_paths", registry_check=True), st("f_inactive", "WARN", registry_check=True),
                 st("f_drift", "WARN", registry_check=True)] + [F.lit("PASS")] * 4
     rows = F.array(*[F.struct(F.lit(i + 1).alias("check_no"), F.lit(n).alias("check_name"), s.alias("status"))
                      for i, (n, s) in enumerate(zip(dims.CHECK_NAMES, statuses))])
-    out = flags.select("workflow_id", F.col("f_schema").isNotNull().alias("stop"), F.explode(rows).alias("r"))
-    return (out.where(~F.col("stop") | (F.col("r.check_no") <= 2))
+    last = F.when(F.col("f_syntax").isNotNull(), 1).when(F.col("f_schema").isNotNull(), 2).otherwise(len(dims.CHECK_NAMES))
+    out = flags.select("workflow_id", last.alias("last"), F.explode(rows).alias("r"))
+    return (out.where(F.col("r.check_no") <= F.col("last"))
             .select("workflow_id", F.col("r.check_no").alias("check_no"),
                     F.col("r.check_name").alias("check_name"), F.col("r.status").alias("status")))
 

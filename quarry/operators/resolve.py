@@ -68,6 +68,12 @@ def reverse_resolve(lists: DataFrame, catalog: DataFrame) -> DataFrame:
     return g.select("owner", "all_resolved", F.array_join(out, ",").alias("values"))
 
 
+def reverse_resolve_one(refs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """J4, scalar form: ``(owner, id)`` -> the name of each id, or the id itself where the catalog lacks it."""
+    names = catalog.groupBy("id").agg(F.min_by("name", "pos").alias("_nm"))
+    return refs.join(names, "id", "left").select("owner", F.coalesce("_nm", "id").alias("value"), F.col("_nm").isNotNull().alias("resolved"))
+
+
 GRAM = 3
 
 

@@ -11,6 +11,7 @@ from quarry.plans.sqlgen import in_list, q
 from quarry.session import cut_lineage
 from quarry.sources import fixtures as fx
 from quarry.sources import registry as reg
+from quarry.sources.definitions import composite_records, explode_composite_edges, explode_composite_nodes, split_definitions
 
 PAT = dims.VAR_REF_PATTERN
 
@@ -153,7 +154,7 @@ REPORT_SQL = f"""WITH RECURSIVE refs AS ({REFS_SQL}),
 j1 AS ({J1_SQL}), f23 AS ({F23_SQL}), p10 AS ({P10_SQL}),
 j5 AS ({J5_SQL}), j6 AS ({J6_SQL}), j7 AS ({J7_SQL}),
 j8 AS ({J8_SQL.replace('WITH mf AS', 'SELECT * FROM (WITH mf AS')} ) z),
-fl AS (SELECT w.workflow_id,
+fl AS (SELECT w.workflow_id, (w.workflow_id % 13 = 0 OR w.workflow_id % 17 = 0) AS f_syntax,
   (w.workflow_id IN (SELECT workflow_id FROM j1) OR w.workflow_id IN (SELECT workflow_id FROM f23)
    OR w.workflow_id IN (SELECT workflow_id FROM p10)) AS f_schema,
   w.workflow_id IN (SELECT workflow_id FROM unreach) AS f_reach,
@@ -165,8 +166,8 @@ fl AS (SELECT w.workflow_id,
   w.workflow_id IN (SELECT workflow_id FROM j8) AS f_drift
   FROM v_workflows w),
 rep AS (SELECT workflow_id, check_no, check_name, status FROM (
-  SELECT workflow_id, f_schema, unnest([
-    {{'check_no': 1, 'check_name': 'YAML Syntax', 'status': 'PASS'}},
+  SELECT workflow_id, f_schema, f_syntax, unnest([
+    {{'check_no': 1, 'check_name': 'YAML Syntax', 'status': CASE WHEN f_syntax THEN 'FAIL' ELSE 'PASS' END}},
     {{'check_no': 2, 'check_name': 'WDF Schema Conformance', 'status': CASE WHEN f_schema THEN 'FAIL' ELSE 'PASS' END}},
     {{'check_no': 3, 'check_name': 'Graph Reachability', 'status': CASE WHEN f_reach THEN 'FAIL' ELSE 'PASS' END}},
     {{'check_no': 4, 'check_name': 'Cycle Detection', 'status': CASE WHEN f_cycle THEN 'FAIL' ELSE 'PASS' END}},
@@ -179,7 +180,7 @@ rep AS (SELECT workflow_id, check_no, check_name, status FROM (
     {{'check_no': 11, 'check_name': 'Edge References', 'status': 'PASS'}},
     {{'check_no': 12, 'check_name': 'Entry/Exit Points', 'status': 'PASS'}},
     {{'check_no': 13, 'check_name': 'Node Config Validation', 'status': 'PASS'}}], max_depth := 2) FROM fl) x
-  WHERE NOT f_schema OR check_no <= 2)"""
+  WHERE (NOT f_schema OR check_no <= 2) AND (NOT f_syntax OR check_no = 1))"""
 
 
 # ---------------------------------------------------------------- Spark side
@@ -287,12 +288,30 @@ def _report(spark, sf):
                    .unionByName(checks.config_rules(cfg).select("workflow_id"))
                    .unionByName(checks.removed_fields(cfg).select("workflow_id")))
     ts = checks.type_status_check(n, registry)
+    _, rejects = split_definitions(_definition_files(spark, sf))
+    syntax_fail = rejects.select(F.regexp_extract("file", r"(\d+)", 1).cast("bigint").alias("workflow_id"))
     return checks.check_report(
         w, n, e, registry, schema_fail,
         graph.unreachable_nodes(w, n, e), graph.cyclic_workflows(n, e),
         checks.invalid_variable_refs(refs, n), ts.where(F.col("status") == "FAIL"),
         checks.output_path_check(refs, n, registry), ts.where(F.col("status") == "WARN"),
-        checks.field_drift(n, registry))
+        checks.field_drift(n, registry), syntax_fail)
+
+
+def _definition_files(spark, sf):
+    """One definition text per workflow; every 13th is cut short and every 17th is a list."""
+    comp = composite_records(fx.v_workflows(spark, sf), fx.v_nodes(spark, sf), fx.v_edges(spark, sf), keep=["workflow_id"])
+    k = F.col("workflow_id")
+    text = F.when(k % 13 == 0, F.substring("json", F.lit(1), F.length("json") - 1)).when(k % 17 == 0, F.concat(F.lit("["), F.col("json"), F.lit("]"))).otherwise(F.col("json"))
+    return comp.select(F.concat(F.lit("wf-"), k.cast("string"), F.lit(".json")).alias("file"), text.alias("value"))
+
+
+@query("scan_definitions", """SELECT concat('wf-', cast(workflow_id AS VARCHAR), '.json') AS file,
+  CASE WHEN workflow_id % 13 = 0 THEN 'invalid JSON' WHEN workflow_id % 17 = 0 THEN 'not an object' ELSE 'accepted' END AS verdict FROM v_workflows""")
+def scan_definitions(spark, sf):
+    """Definition texts -> accepted ones and rejects with the reason."""
+    ok, bad = split_definitions(_definition_files(spark, sf))
+    return ok.select("file", F.lit("accepted").alias("verdict")).unionByName(bad.withColumnRenamed("reason", "verdict"))
 
 
 @query("check_report", REPORT_SQL + "\nSELECT workflow_id, check_no, check_name, status FROM rep")
@@ -314,9 +333,13 @@ def check_tally(spark, sf):
   slug, type FROM v_nodes""")
 def explode_composite(spark, sf):
     """One nested composite record per workflow (JSON) -> flat node rows via ``from_json`` + ``posexplode``."""
-    from quarry.sources.definitions import composite_records, explode_composite_nodes
-    comp = composite_records(fx.v_workflows(spark, sf), fx.v_nodes(spark, sf), fx.v_edges(spark, sf))
-    return explode_composite_nodes(comp)
+    return explode_composite_nodes(composite_records(*_graph(spark, sf)))
+
+
+@query("explode_composite_edges", "SELECT workflow_id, src, dst, type FROM v_edges")
+def explode_edges(spark, sf):
+    """The edges of the same composite records."""
+    return explode_composite_edges(composite_records(*_graph(spark, sf)))
 
 
 def _pairs(fields: dict) -> str:

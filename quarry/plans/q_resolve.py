@@ -88,6 +88,16 @@ def reverse_resolve(spark, sf):
     return rs.reverse_resolve(lists, cat)
 
 
+@query("reverse_resolve_one", f"""WITH c AS (SELECT {usql("'cat'", 's_suppkey')} AS id, s_name AS nm FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT concat(cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS owner, coalesce(c.nm, {usql("'cat'", 'l_suppkey')}) AS value, c.nm IS NOT NULL AS resolved
+FROM v_line LEFT JOIN c ON c.id = {usql("'cat'", 'l_suppkey')}""")
+def reverse_resolve_one(spark, sf):
+    """J4, scalar form: the supplier id of each line -> its name if known."""
+    refs = fx.v_line(spark, sf).select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("owner"),
+                                       rs.uuid_of(F.lit("cat"), F.col("l_suppkey")).alias("id"))
+    return rs.reverse_resolve_one(refs, _catalog(spark, sf).where(F.col("pos") % 7 != 0))
+
+
 @query("unresolved_ids", f"""SELECT {usql("'cat'", 'l_suppkey')} AS id FROM lineitem
 EXCEPT SELECT {usql("'cat'", 's_suppkey')} FROM supplier WHERE s_suppkey % 7 <> 0""")
 def unresolved_ids(spark, sf):
@@ -204,6 +214,23 @@ def snapshot_diff(spark, sf):
     return _diff(spark, sf)
 
 
+@query("snapshot_diff_edges", f"""WITH d AS (SELECT DISTINCT workflow_id, concat(src, '->', dst) AS key FROM v_edges),
+s AS (SELECT workflow_id, key, {usql("'edge'", 'workflow_id', 'key')} AS id FROM d WHERE workflow_id % 3 <> 0
+  UNION ALL SELECT DISTINCT l_orderkey, 'n0->n1', {usql("'edge'", 'l_orderkey', "'gone'")} FROM v_line WHERE l_orderkey % 7 = 0),
+m AS (SELECT DISTINCT workflow_id FROM s)
+SELECT coalesce(d.workflow_id, s.workflow_id) AS workflow_id, coalesce(d.key, s.key) AS key, s.id,
+  CASE WHEN d.key IS NOT NULL AND s.key IS NOT NULL THEN 'kept' WHEN d.key IS NOT NULL THEN 'added' ELSE 'removed' END AS change,
+  CASE WHEN m.workflow_id IS NOT NULL THEN 'update' ELSE 'create' END AS mode
+FROM d FULL OUTER JOIN s ON s.workflow_id = d.workflow_id AND s.key = d.key LEFT JOIN m ON m.workflow_id = coalesce(d.workflow_id, s.workflow_id)""")
+def snapshot_diff_edges(spark, sf):
+    """J13 on edges: definition edges ``src->dst`` against the stored edge map."""
+    d = fx.v_edges(spark, sf).select("workflow_id", tf.edge_key(F.col("src"), F.col("dst")).alias("key")).distinct()
+    stored = d.where("workflow_id % 3 <> 0").withColumn("id", rs.uuid_of(F.lit("edge"), F.col("workflow_id"), F.col("key")))
+    gone = fx.v_line(spark, sf).where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("workflow_id"), F.lit("n0->n1").alias("key"),
+                                                                  rs.uuid_of(F.lit("edge"), F.col("l_orderkey"), F.lit("gone")).alias("id")).distinct()
+    return rs.snapshot_diff(d, stored.unionByName(gone))
+
+
 @query("save_id_map", f"""SELECT workflow_id, 'node' AS kind, key,
   coalesce(id, {usql("'new'", 'workflow_id', 'key')}) AS id FROM ({DIFF_SQL}) x WHERE change <> 'removed'""")
 def save_id_map(spark, sf):

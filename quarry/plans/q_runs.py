@@ -259,11 +259,16 @@ def format_duration(spark, sf):
 
 @query("event_preview", """
 SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(left(text, 200), '...') ELSE text END AS output_preview,
-  left(text, 200) AS content_preview FROM documents""")
+  left(text, 200) AS content_preview,
+  CASE WHEN length(shown) > 100 THEN concat(left(shown, 100), '...') ELSE shown END AS payload_preview
+FROM (SELECT *, CASE doc_id % 3 WHEN 2 THEN concat('{"other":', cast(doc_id AS VARCHAR), '}') ELSE CASE WHEN text = '' THEN '{"content":""}' ELSE text END END AS shown FROM documents) x""")
 def event_preview(spark, sf):
-    d = table(spark, sf, "documents")
+    d, k = table(spark, sf, "documents"), F.col("doc_id") % 3
+    payload = (F.when(k == 0, F.to_json(F.struct(F.lit("").alias("text"), F.col("text").alias("content"))))
+               .when(k == 1, F.to_json(F.struct(F.col("text").alias("response")))).otherwise(F.concat(F.lit('{"other":'), F.col("doc_id").cast("string"), F.lit("}"))))
     return d.select("doc_id", tf.output_preview(F.col("text")).alias("output_preview"),
-                    tf.content_preview(F.col("text")).alias("content_preview"))
+                    tf.content_preview(F.col("text")).alias("content_preview"),
+                    tf.event_preview(payload).alias("payload_preview"))
 
 
 @query("stream_events", """
@@ -330,3 +335,27 @@ def stream_timeouts(spark, sf):
     from quarry.streaming import state
 
     return _streamed(spark, sf, state.stream_timeouts, "timeouts")
+
+
+@query("submission_preflight", """WITH n AS (SELECT workflow_id, slug, CASE WHEN slug = 'n2' THEN 'human_review' ELSE type END AS type FROM v_nodes),
+s AS (SELECT r.*, concat('n', cast(run_id % 4 AS VARCHAR)) AS node_id, run_id % 2 = 0 AS review, run_id % 5 <> 0 AND run_id % 3 <> 0 AS approve, run_id % 3 = 0 AS reject,
+  CASE WHEN run_id % 7 = 0 THEN '' ELSE 'why' END AS comment,
+  CASE WHEN upper(execution_status) = 'WAITING_FOR_INPUT' THEN 'n1' END AS wait_node, CASE WHEN upper(execution_status) = 'WAITING_FOR_REVIEW' THEN 'n2' END AS review_node FROM v_runs r)
+SELECT run_id AS sub_id, CASE WHEN review THEN CASE
+    WHEN approve::INT + reject::INT <> 1 THEN 'one decision needed' WHEN NOT approve AND comment = '' THEN 'comment needed' WHEN upper(status) = 'COMPLETED' THEN 'run has ended'
+    WHEN wait_node IS NOT NULL THEN 'paused for input' WHEN n.type IS NULL THEN 'node not found' WHEN n.type <> 'human_review' THEN 'not a review node'
+    WHEN coalesce(review_node, '') <> node_id THEN 'not paused for this review' ELSE 'ok' END
+  ELSE CASE WHEN n.type IS NULL THEN 'node not found' WHEN upper(status) = 'COMPLETED' THEN 'run has ended' WHEN review_node IS NOT NULL THEN 'paused for review'
+    WHEN coalesce(wait_node, '') <> node_id THEN 'not waiting for this input' ELSE 'ok' END END AS verdict
+FROM s LEFT JOIN n ON n.workflow_id = s.workflow_id AND n.slug = s.node_id""")
+def submission_preflight(spark, sf):
+    """One review decision or input per run against the run's state and nodes."""
+    from quarry.operators.preflight import submission_preflight as check
+
+    r, k = fx.runs_from_orders(spark, sf), F.col("run_id")
+    nodes = fx.v_nodes(spark, sf).select("workflow_id", F.col("slug").alias("node_id"), F.when(F.col("slug") == "n2", "human_review").otherwise(F.col("type")).alias("type"))
+    subs = r.select(k.alias("sub_id"), F.when(k % 2 == 0, "review").otherwise("input").alias("kind"), "run_id", F.concat(F.lit("n"), (k % 4).cast("string")).alias("node_id"),
+                    ((k % 5 != 0) & (k % 3 != 0)).alias("approve"), (k % 3 == 0).alias("reject"), F.lit(None).cast("boolean").alias("revise"),
+                    F.when(k % 7 == 0, "").otherwise("why").alias("comment"))
+    state = r.select("run_id", "workflow_id", "status", "execution_status", "current_node_id", "waiting_input_node_id", "review_node_id")
+    return check(subs, state, nodes)

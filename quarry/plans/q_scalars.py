@@ -166,11 +166,52 @@ def format_datetime(spark, sf):
     return e.select("event_id", tf.format_datetime(raw).alias("shown"))
 
 
-@query("json_mappings", "SELECT event_id, json_extract_string(props, '$.k') AS k_value FROM events")
+MAPPINGS = [("k_value", "k"), ("same", "$.k"), ("absent", "x.y")]
+
+
+@query("json_mappings", """SELECT event_id, variable, CASE WHEN variable <> 'absent' THEN json_extract_string(props, '$.k') END AS value
+FROM events, (VALUES ('k_value'), ('same'), ('absent')) v(variable)""")
 def json_mappings(spark, sf):
-    """response-variable mapping ``{variable: k_value, jsonPath: k}`` over ``events.props``."""
-    e = table(spark, sf, "events")
-    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k_value"))
+    """a table of response-variable mappings over ``events.props``."""
+    return tf.mapped_values(table(spark, sf, "events"), "event_id", "props", MAPPINGS)
+
+
+BODY_SQL = """CASE event_id % 6 WHEN 0 THEN concat('{"detail":"d', cast(event_id AS VARCHAR), '"}') WHEN 1 THEN '{"detail":{"detail":"inner"}}'
+  WHEN 2 THEN '{"error":{"message":"m"},"retry_after":7}' WHEN 3 THEN 'no json' WHEN 4 THEN '{"detail":null,"retry_after":"12"}' ELSE NULL END"""
+
+
+@query("error_detail", f"""SELECT event_id, code, CASE event_id % 6 WHEN 0 THEN concat('d', cast(event_id AS VARCHAR)) WHEN 1 THEN 'inner' WHEN 2 THEN 'm'
+  ELSE concat('API request failed with status ', cast(code AS VARCHAR)) END AS message,
+  CASE WHEN code = 429 THEN CASE event_id % 6 WHEN 2 THEN 7 WHEN 4 THEN 12 END END AS retry_after
+FROM (SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 429 ELSE cast(400 + event_id % 150 AS INTEGER) END AS code FROM events) x""")
+def error_detail(spark, sf):
+    """message and retry time of error answers."""
+    e = table(spark, sf, "events").select("event_id", F.expr("cast(CASE WHEN event_id % 4 = 2 THEN 429 ELSE 400 + event_id % 150 END as int)").alias("code"),
+                                          F.expr(BODY_SQL.replace("VARCHAR", "STRING")).alias("body"))
+    return e.select("event_id", "code", tf.error_message(F.col("body"), F.col("code")).alias("message"), tf.retry_after(F.col("body"), F.col("code")).alias("retry_after"))
+
+
+@query("token_estimate", "SELECT doc_id, cast(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents")
+def token_estimate(spark, sf):
+    """F5 over all documents."""
+    return table(spark, sf, "documents").select("doc_id", tf.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("registry_freshness", """SELECT s_suppkey AS key, source, CASE source WHEN 'fetch' THEN concat('new', cast(s_suppkey AS VARCHAR)) WHEN 'none' THEN NULL
+  ELSE concat('old', cast(s_suppkey AS VARCHAR)) END AS registry, source = 'stale' AS is_stale
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 'none' WHEN s_suppkey % 7 <> 0 AND s_suppkey % 50 <= 24 AND s_suppkey % 5 <> 0 THEN 'cache'
+  WHEN s_suppkey % 3 <> 0 THEN 'fetch' WHEN s_suppkey % 7 <> 0 THEN 'stale' ELSE 'none' END AS source FROM supplier) x""")
+def registry_freshness(spark, sf):
+    """caches of 0 to 49 hours (some of another host, some missing) and fetches of which a third failed."""
+    from quarry.operators.preflight import registry_freshness as fresh
+
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    now = F.lit("2024-06-10 00:00:00").cast("timestamp")
+    requests = s.select(k.alias("key"), F.when(k % 11 != 0, F.lit("https://api.example.org")).alias("host"), now.alias("now"))
+    caches = s.where(k % 7 != 0).select(k.alias("key"), F.when(k % 5 == 0, F.lit("https://old.example.org")).otherwise(F.lit("https://api.example.org//")).alias("host"),
+                                       F.timestamp_seconds(F.unix_timestamp(now) - k % 50 * 3600).alias("fetched_at"), F.concat(F.lit("old"), k.cast("string")).alias("registry"))
+    fetched = s.where(k % 3 != 0).select(k.alias("key"), F.concat(F.lit("new"), k.cast("string")).alias("registry"))
+    return fresh(requests, caches, fetched)
 
 
 @query("error_class", """SELECT doc_id, attempt, code, CASE WHEN code IN (400, 422) THEN 'ValidationError'
