@@ -30,6 +30,12 @@ def reduce_dict_merge(entries: DataFrame) -> DataFrame:
     return entries.groupBy("join_id", "key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def merged_dicts(merged: DataFrame) -> DataFrame:
+    """A2: ``reduce_dict_merge`` rows -> one map per join (the feature's result; as large as its keys)."""
+    entries = F.array_sort(F.collect_list(F.struct("key", "value")))
+    return merged.groupBy("join_id").agg(F.map_from_entries(entries).alias("merged"))
+
+
 def reduce_sum(b: DataFrame, initial: float = 0.0) -> DataFrame:
     """A3: sum of numeric outputs plus the initial value."""
     return b.groupBy("join_id").agg((F.coalesce(F.sum("v"), F.lit(0.0)) + F.lit(initial)).alias("total"))

@@ -72,6 +72,16 @@ def reduce_dict_merge(spark, sf):
     return rd.reduce_dict_merge(e)
 
 
+@query("reduce_dict_map", """SELECT join_id, string_agg(concat(key, '=', coalesce(cast(value AS VARCHAR), 'null')), ';' ORDER BY key) AS merged FROM (
+  SELECT join_id, key, arg_max_null(value, seq) AS value FROM (SELECT join_id, seq, concat('k', cast(seq % 3 AS VARCHAR)) AS key, v AS value FROM v_branches) x
+  GROUP BY join_id, key) y GROUP BY join_id""")
+def reduce_dict_map(spark, sf):
+    """A2: the merged map of each join."""
+    m = rd.merged_dicts(reduce_dict_merge(spark, sf))
+    text = F.transform(F.map_entries("merged"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("null"))))
+    return m.select("join_id", F.array_join(text, ";").alias("merged"))
+
+
 @query("reduce_sum", "SELECT join_id, round(coalesce(sum(v), 0) + 10.0, 6) AS total FROM v_branches GROUP BY join_id")
 def reduce_sum(spark, sf):
     r = rd.reduce_sum(fx.v_branches(spark, sf), initial=10.0)

@@ -5,34 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import dims
 from quarry.functions.files import basename
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None,
-               max_bytes: int | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``binaryFile`` scan -> ``(path, filename, length, content, modificationTime)``.
 
-    A filter on ``length`` is pushed into the file listing, so files over
-    ``max_bytes`` are never read (their rows can still be reported by a
-    second, content-free listing: see ``list_files``).
+    All files are rows; one over the size limit becomes a reject row further on
+    (P3). Where only names and lengths are selected, contents stay unread.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path)
-    if max_bytes is not None:
-        df = df.where(F.col("length") <= max_bytes)
-    return df.select("path", basename(F.col("path")).alias("filename"), "length", "content",
-                     "modificationTime")
-
-
-def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """File listing without content (column pruning keeps bytes unread)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", basename(F.col("path")).alias("filename"), "length")
+    return reader.load(path).select("path", basename(F.col("path")).alias("filename"), "length", "content", "modificationTime")
 
 
 def files_from_table(df: DataFrame) -> DataFrame:
@@ -43,6 +28,3 @@ def files_from_table(df: DataFrame) -> DataFrame:
     length = F.col("n_bytes") if "n_bytes" in df.columns else F.octet_length(content)
     return df.select("doc_id", F.col("filename").alias("path"), basename(F.col("filename")).alias("filename"),
                      length.cast("bigint").alias("length"), content.alias("content"))
-
-
-MAX_FILE_SIZE_BYTES = dims.MAX_FILE_SIZE_BYTES

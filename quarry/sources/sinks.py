@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.checks import path_confined
+from quarry.session import cut_lineage
 
 
 def write_ndjson(df: DataFrame, json_col: str, path: str) -> None:
@@ -21,10 +23,13 @@ def node_output_paths(outputs: DataFrame, template: str = "{node_id}/output.json
     return outputs.withColumn("path", path).withColumn("path_ok", path_confined(F.col("path")))
 
 
+BUCKETS = 64
+
+
 def save_node_outputs(outputs: DataFrame, root: str) -> None:
-    """K3: additive write, one folder per (run, node); rows with unconfined paths are not written."""
-    (node_output_paths(outputs).where("path_ok").drop("path_ok")
-     .write.mode("append").partitionBy("run_id", "node_id").json(root))
+    """K3: additive write of the confined outputs; runs share ``BUCKETS`` folders, whatever their number."""
+    (node_output_paths(outputs).where("path_ok").drop("path_ok").withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)))
+     .write.mode("append").partitionBy("bucket").json(root))
 
 
 def id_map_rows(diff: DataFrame) -> DataFrame:
@@ -37,9 +42,27 @@ def id_map_rows(diff: DataFrame) -> DataFrame:
 
 
 def save_id_map(rows: DataFrame, path: str, version: int = 1) -> None:
-    """K4: replace each written workflow's map (dynamic partition overwrite); schema version must be 1."""
+    """K4: replace each written workflow's whole map; schema version must be 1.
+
+    Workflows share ``BUCKETS`` folders. Maps of other workflows in a touched
+    folder are carried over, staged first since they are read from where the
+    new files go. The overwrite mode is set for this write alone.
+    """
     if version != 1:
         raise ValueError(f"unsupported id map version {version}; expected 1")
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("workflow_id").parquet(path)
+    spark, cols = rows.sparkSession, ["workflow_id", "kind", "key", "id", "version", "bucket"]
+    new = rows.withColumn("version", F.lit(version)).withColumn("bucket", F.pmod(F.xxhash64("workflow_id"), F.lit(BUCKETS)).cast("int")).select(cols)
+    try:
+        old = spark.read.schema(new.schema).parquet(path).select(cols)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        kept = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("workflow_id").distinct(), "workflow_id", "left_anti")
+        new = cut_lineage(new.unionByName(kept.select(cols)))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_id_map(spark: SparkSession, path: str) -> DataFrame:
+    """The stored ``(workflow_id, kind, key, id)`` rows."""
+    return spark.read.parquet(path).select("workflow_id", "kind", "key", "id")
