@@ -159,7 +159,7 @@ def config_rules(nodes: DataFrame, config_col: str = "config") -> DataFrame:
 
 
 def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str = "config") -> DataFrame:
-    """JSON-Schema subset per node type -> ``(workflow_id, node, field, kind, message)``."""
+    """JSON-Schema subset per node type -> ``(workflow_id, node, field, kind, message, suggestion)``."""
     spark = nodes.sparkSession
     rules = F.broadcast(spark.createDataFrame(reg.schema_rules(snapshot),
                                               "utype string, field string, kind string, arg string"))
@@ -185,6 +185,7 @@ def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str
     msg = (F.when((k == "required") & val.isNull(), F.concat(F.lit("'"), F.col("field"), F.lit("' is a required property")))
            .when(val.isNull(), F.lit(None))
            .when((k == "type") & ~type_ok, F.concat(sval, F.lit(" is not of type '"), want, F.lit("'")))
+           .when((k == "anyOf") & ~type_ok, F.concat(sval, F.lit(" is not valid under any of the given schemas")))
            .when((k == "minimum") & (num < argnum), F.concat(sval, F.lit(" is less than the minimum of "), arg))
            .when((k == "maximum") & (num > argnum), F.concat(sval, F.lit(" is greater than the maximum of "), arg))
            .when((k == "exclusiveMinimum") & (num <= argnum),
@@ -195,8 +196,12 @@ def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str
                                                    F.try_variant_get(val, "$", "string")),
                  F.concat(sval, F.lit(" is not one of "), arg)))
     field_out = F.when(k == "required", F.lit("(root)")).otherwise(F.col("field"))
+    named = F.concat(F.lit("'"), want, F.lit("'"))
+    fix = (F.when(k == "required", F.concat(F.lit("Add the required field '"), F.col("field"), F.lit("' to your "), F.col("utype"), F.lit(" config")))
+           .when(k == "type", F.concat(F.lit("Change the value to type "), F.when(F.size(wanted) > 1, F.concat(F.lit("["), named, F.lit("]"))).otherwise(named)))
+           .when(k == "anyOf", F.concat(F.lit("Expected "), F.array_join(wanted, " or "))))
     return (x.select("workflow_id", F.col("slug").alias("node"), field_out.alias("field"), "kind",
-                     msg.alias("message"))
+                     msg.alias("message"), fix.alias("suggestion"))
             .where(F.col("message").isNotNull()))
 
 

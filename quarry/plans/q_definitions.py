@@ -131,22 +131,25 @@ P10_SQL = """SELECT workflow_id, slug, type, field, message FROM (
   UNION ALL SELECT workflow_id, slug, type, 'disableRAG', 'RAG_AGENT nodes no longer support disableRAG. Remove this field.'
     FROM v_node_cfg WHERE type = 'rag_agent' AND ln % 5 = 0) x"""
 
-F24_SQL = """SELECT workflow_id, node, field, kind, message FROM (
+F24_SQL = """SELECT workflow_id, node, field, kind, message, suggestion FROM (
   SELECT workflow_id, slug AS node, 'temperature' AS field, 'maximum' AS kind,
-    concat(cast(temperature AS VARCHAR), ' is greater than the maximum of 2') AS message FROM v_node_cfg
+    concat(cast(temperature AS VARCHAR), ' is greater than the maximum of 2') AS message, NULL AS suggestion FROM v_node_cfg
     WHERE type = 'llm_call' AND temperature > 2
   UNION ALL SELECT workflow_id, slug, 'maxTokens', 'exclusiveMinimum',
-    concat(cast(maxTokens AS VARCHAR), ' is less than or equal to the minimum of 0') FROM v_node_cfg
+    concat(cast(maxTokens AS VARCHAR), ' is less than or equal to the minimum of 0'), NULL FROM v_node_cfg
     WHERE type = 'llm_call' AND maxTokens <= 0
-  UNION ALL SELECT workflow_id, slug, '(root)', 'required', '''searchQuery'' is a required property' FROM v_node_cfg
-    WHERE type = 'retrieve'
-  UNION ALL SELECT workflow_id, slug, 'topK', 'minimum', concat(cast(topK AS VARCHAR), ' is less than the minimum of 1')
+  UNION ALL SELECT workflow_id, slug, '(root)', 'required', '''searchQuery'' is a required property',
+    'Add the required field ''searchQuery'' to your RETRIEVE config' FROM v_node_cfg WHERE type = 'retrieve'
+  UNION ALL SELECT workflow_id, slug, 'topK', 'minimum', concat(cast(topK AS VARCHAR), ' is less than the minimum of 1'), NULL
     FROM v_node_cfg WHERE type IN ('retrieve', 'rag_agent') AND topK < 1
   UNION ALL SELECT workflow_id, slug, 'scoreThreshold', 'maximum',
-    concat(cast(scoreThreshold AS VARCHAR), ' is greater than the maximum of 1') FROM v_node_cfg
+    concat(cast(scoreThreshold AS VARCHAR), ' is greater than the maximum of 1'), NULL FROM v_node_cfg
     WHERE type = 'retrieve' AND scoreThreshold > 1
-  UNION ALL SELECT workflow_id, slug, 'extractionPrompt', 'type', '"x" is not of type ''integer'', ''null''' FROM v_node_cfg
-    WHERE type = 'retrieve' AND ln % 4 = 0) x"""
+  UNION ALL SELECT workflow_id, slug, 'extractionPrompt', 'type', '"x" is not of type ''integer'', ''null''',
+    'Change the value to type [''integer'', ''null'']' FROM v_node_cfg WHERE type = 'retrieve' AND ln % 4 = 0
+  UNION ALL SELECT c.workflow_id, c.slug, 'knowledge_base_names', 'anyOf',
+    concat('["kb-', cast(l.l_partkey % 7 AS VARCHAR), '"] is not valid under any of the given schemas'), 'Expected string or null'
+    FROM v_node_cfg c JOIN v_line l ON l.l_orderkey = c.workflow_id AND l.l_linenumber = c.ln WHERE type = 'rag_agent' AND has_kb_names) x"""
 
 REPORT_SQL = f"""WITH RECURSIVE refs AS ({REFS_SQL}),
 {REACH_CTES},

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 # Sample snapshot (test dimension data, shaped like a registry export).
 SAMPLE = {
+    "schema_definitions": {"Count": {"type": "integer", "minimum": 1}},
     "all_node_types": [
         {"type": "LLM_CALL", "status": "active",
          "output_variables": [{"path": "output.text"}, {"path": "output.response"}],
@@ -37,7 +38,8 @@ SAMPLE = {
          "output_variables": [{"path": "output.text"}],
          "fields": [{"name": n} for n in ["agentId", "knowledgeBaseIds", "topK"]],
          "config_json_schema": {"type": "object",
-                                "properties": {"topK": {"type": "integer", "minimum": 1}}}},
+                                "properties": {"topK": {"$ref": "#/$defs/Count"},
+                                               "knowledge_base_names": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}},
         {"type": "PLAIN_TXT_INPUT", "status": "active",
          "output_variables": [{"path": "output.text"}],
          "fields": [{"name": n} for n in ["placeholder", "metadata"]],
@@ -76,17 +78,23 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def schema_rules(snapshot: dict | None = None) -> list[tuple]:
     """Flatten each type's JSON Schema to ``(type, field, kind, arg)`` rules.
 
-    Supported subset: required, type, enum, minimum, maximum,
-    exclusiveMinimum, minLength on top-level properties.
+    Supported subset: required, type (one or several), anyOf of types, enum,
+    minimum, maximum, exclusiveMinimum, minLength on top-level properties.
+    A property may refer to a definition (``$ref``) of its own schema or of the
+    snapshot's shared ``schema_definitions``; its own come first.
     """
     snap = snapshot or SAMPLE
     out: list[tuple] = []
     for t in snap["all_node_types"]:
         s = t.get("config_json_schema") or {}
+        shared = {**(snap.get("schema_definitions") or {}), **(s.get("$defs") or {})}
         for f in s.get("required", []):
             out.append((t["type"], f, "required", None))
         for f, p in (s.get("properties") or {}).items():
+            p = {**shared.get(str(p.get("$ref", "")).rsplit("/", 1)[-1], {}), **p}
             for kind in ("type", "enum", "minimum", "maximum", "exclusiveMinimum", "minLength"):
                 if kind in p:
                     out.append((t["type"], f, kind, json.dumps(p[kind])))
+            if types := [x["type"] for x in p.get("anyOf", []) if "type" in x]:
+                out.append((t["type"], f, "anyOf", json.dumps(types)))
     return out
