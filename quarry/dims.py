@@ -181,6 +181,47 @@ CONFIG_FIELDS = {
     "DOCUMENT_EXTRACTION": {"fields": None, "extractionMethod": None, "prompt": None},
     "MEMORY_FILE_URL": {"path": None},
 }
+# Node type -> type name in stored parameters.
+PARAMETER_TYPES = {
+    "plain_txt_input": "plainTextInput", "structured_input": "formInput", "file_upload": "fileUpload", "agent": "agent",
+    "rag_agent": "ragAgent", "llm_call": "llmPrompt", "structured_output": "structuredOutput", "retrieve": "retrieve",
+    "document_extraction": "documentExtraction", "human_review": "humanReview", "memory_file_url": "memoryFileUrl",
+    "api_consumption": "apiConsumption",
+}
+# Definition key -> stored parameter key and how its value is carried over: as it is, as a list ("list"), with
+# slug references turned into node ids ("refs"), or as true ("true"). Of several keys for one parameter the first counts.
+PARAMETER_RULES = {
+    "plain_txt_input": [("placeholder", "prompt", "")],
+    "file_upload": [("acceptedFormats", "acceptedFormats", ""), ("maxFileSize", "maxFileSize", ""), ("saveToMemory", "saveToMemory", "")],
+    "agent": [("agent_id", "agentId", ""), ("model", "model", ""), ("temperature", "temperature", ""), ("maxTokens", "maxTokens", ""),
+              ("system_prompt", "systemPrompt", ""), ("primaryInput", "primaryInput", "refs"), ("use_rlm", "use_rlm", ""),
+              ("web_tools_enabled", "web_tools_enabled", ""), ("max_iterations", "max_iterations", ""),
+              ("saveToMemory", "saveToMemory", ""), ("memoryFilePath", "memoryFilePath", "")],
+    "rag_agent": [("agent_id", "agentId", ""), ("knowledge_base_ids", "knowledgeBasesOverride", ""), ("knowledge_base_id", "knowledgeBasesOverride", "list"),
+                  ("model", "model", ""), ("temperature", "temperature", ""), ("maxTokens", "maxTokens", ""), ("system_prompt", "systemPrompt", ""),
+                  ("topK", "topK", ""), ("primaryInput", "primaryInput", "refs"), ("saveToMemory", "saveToMemory", ""), ("memoryFilePath", "memoryFilePath", "")],
+    "llm_call": [("model", "model", ""), ("temperature", "temperature", ""), ("maxTokens", "maxTokens", ""), ("system_prompt", "systemPrompt", ""),
+                 ("template", "template", "refs"), ("saveToMemory", "saveToMemory", ""), ("memoryFilePath", "memoryFilePath", "")],
+    "retrieve": [("knowledge_base_id", "knowledge_base_ids", "list"), ("knowledgeBaseId", "knowledge_base_ids", "list"),
+                 ("knowledge_base_ids", "knowledge_base_ids", ""), ("topK", "topK", ""), ("scoreThreshold", "scoreThreshold", ""),
+                 ("searchQuery", "searchQuery", "refs"), ("saveToMemory", "saveToMemory", ""), ("memoryFilePath", "memoryFilePath", "")],
+    "human_review": [("review_prompt", "instructions", ""), ("timeoutMinutes", "timeoutMinutes", ""), ("allowApprove", "requireApproval", ""),
+                     ("allowReject", "requireApproval", "true"), ("allowEdit", "allowDataEditing", "")],
+    "document_extraction": [("extractTables", "extractTables", ""), ("extractImages", "extractImages", ""), ("fields", "fields", ""),
+                            ("extractionMethod", "extractionMethod", ""), ("prompt", "prompt", "")],
+    "structured_output": [("schema", "schema", ""), ("model", "model", ""), ("temperature", "temperature", ""), ("maxTokens", "maxTokens", ""),
+                          ("system_prompt", "systemPrompt", ""), ("primaryInput", "primaryInput", "refs"), ("saveToMemory", "saveToMemory", ""),
+                          ("memoryFilePath", "memoryFilePath", "")],
+    "api_consumption": [("connectorId", "connectorId", ""), ("primaryInput", "primaryInput", "refs"), ("maxRecursionDepth", "maxRecursionDepth", ""),
+                        ("operationHint", "operationHint", ""), ("timeoutSeconds", "timeoutSeconds", ""), ("saveToMemory", "saveToMemory", ""),
+                        ("responseVariableMappings", "responseVariableMappings", ""), ("memoryFilePath", "memoryFilePath", "refs"),
+                        ("headers", "headers", "refs"), ("callParams", "callParams", "refs")],
+}
+# Nodes without an output, nodes without an input, and defaults of a stored node.
+NO_OUTPUT_TYPES = ["structured_output"]
+NO_INPUT_TYPES = ["plain_txt_input", "structured_input", "file_upload"]
+NODE_TIMEOUT_S = 30
+NODE_RETRIES = 3
 # References that are dropped when they are null, "" or [].
 DEPENDENCY_FIELDS = ["agentId", "knowledgeBasesOverride", "knowledgeBaseId", "agent_id", "knowledge_base_id", "knowledge_base_ids"]
 # Keys of stored records that only a canvas uses.

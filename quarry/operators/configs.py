@@ -1,4 +1,4 @@
-"""Config records between their two spellings (F15 rename, F16 merge).
+"""Config records between their spellings (F15 rename, F16 merge, F17 parameters) and whole definitions.
 
 A config is a JSON object per node. It becomes one row per key with the key's
 place in the document; fixed field tables are joined on (type, key), and
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import dims
+from quarry.functions.text import function_name
+from quarry.operators.resolve import splice_refs
 
 
 def _entries(nodes: DataFrame, column: str) -> DataFrame:
@@ -61,3 +63,64 @@ def merge_config(nodes: DataFrame) -> DataFrame:
     merged = first.join(second, [*key, "target"], "full_outer").select(*key, F.col("target").alias("key"), F.coalesce("_p", "_c").alias("value"))
     left = _entries(nodes, "config").where(~F.col("key").isin(dims.UI_FIELDS)).join(merged.select(*key).distinct(), key, "left_anti")
     return merged.unionByName(left.select(*key, "key", "value"))
+
+
+def node_parameters(nodes: DataFrame, id_map: DataFrame) -> DataFrame:
+    """``nodes(workflow_id, slug, type, label, config)`` -> stored parameters ``workflow_id, slug, key, value`` (JSON text).
+
+    Every node has ``type``, ``label`` (its slug if unset) and ``function_name``;
+    config keys follow ``PARAMETER_RULES``. ``id_map(workflow_id, slug, id)`` turns
+    references into ids; in ``headers`` and ``callParams`` the whole object is rewritten.
+    """
+    key = ["workflow_id", "slug"]
+    rows = [(t.upper(), i, k, target, mode) for t, rules in dims.PARAMETER_RULES.items() for i, (k, target, mode) in enumerate(rules)]
+    table = F.broadcast(nodes.sparkSession.createDataFrame(rows, "type string, rule int, key string, target string, mode string"))
+    found = _entries(nodes, "config").join(table, ["type", "key"])
+    value = (F.when(F.col("mode") == "true", F.lit("true"))
+             .when((F.col("mode") == "list") & ~F.col("value").startswith("["), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.col("value")))
+    picked = found.groupBy(*key, "target").agg(F.min_by(F.struct(value.alias("value"), "mode"), "rule").alias("v")).select(*key, "target", "v.value", "v.mode")
+    refs = splice_refs(picked.where("mode = 'refs'"), [*key, "target"], "value", dims.SLUG_REF_PATTERN, id_map.groupBy("workflow_id", F.col("slug").alias("old")).agg(F.min("id").alias("new")),
+                       ["workflow_id"], "value")
+    carried = picked.where("mode <> 'refs'").unionByName(refs).select(*key, F.col("target").alias("key"), "value")
+    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    types = F.create_map(*[F.lit(x) for kv in dims.PARAMETER_TYPES.items() for x in kv])
+    common = nodes.select(*key, F.inline(F.array(
+        F.struct(F.lit("type").alias("key"), text(F.coalesce(types[F.col("type")], F.col("type"))).alias("value")),
+        F.struct(F.lit("label").alias("key"), text(F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("slug"))).alias("value")),
+        F.struct(F.lit("function_name").alias("key"), text(function_name(F.col("slug"))).alias("value")))))
+    prompts = carried.where("key = 'prompt'").join(nodes.where("type = 'plain_txt_input'").select(*key), key, "left_semi").select(*key, F.lit("text").alias("key"), F.lit('""').alias("value"))
+    variables = nodes.where("type = 'llm_call'").select(*key, F.lit("variables").alias("key"), F.lit("[]").alias("value"))
+    return common.unionByName(carried).unionByName(prompts).unionByName(variables)
+
+
+def assemble_definition(workflows: DataFrame, nodes: DataFrame, edges: DataFrame, id_map: DataFrame) -> DataFrame:
+    """Flat tables -> one nested record per workflow: ``workflow_id, json, unknown_edges``.
+
+    ``nodes(workflow_id, pos, slug, type)`` in ``pos`` order; ids from
+    ``id_map(workflow_id, slug, id)``. Edges that name an unknown node are left
+    out and counted. A definition is one bounded record.
+    """
+    ids = id_map.groupBy("workflow_id", "slug").agg(F.min("id").alias("id"))
+    n = nodes.join(ids, ["workflow_id", "slug"])
+    item = F.struct("pos", F.struct("id", F.upper("type").alias("config_type"), function_name(F.col("slug")).alias("function_name"),
+                                    F.lit(dims.NODE_TIMEOUT_S).alias("timeout_seconds"), F.struct(F.lit(dims.NODE_RETRIES).alias("max_retries")).alias("retry_policy")).alias("node"),
+                    F.col("type").alias("kind"))
+    per = n.groupBy("workflow_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def ports(without: list[str], name: str) -> Column:
+        kept = F.filter("items", lambda x: ~x["kind"].isin(without))
+        return F.transform(kept, lambda x: F.struct(x["node"]["id"].alias("node_id"), F.lit(name.removeprefix("node_").removesuffix("s")).alias(f"{name[5:-1]}_name"), F.lit(0).alias("sequence_order")))
+
+    def end(c: str) -> DataFrame:
+        return ids.select("workflow_id", F.col("slug").alias(c), F.col("id").alias(f"{c}_id"))
+
+    e = edges.join(end("src"), ["workflow_id", "src"], "left").join(end("dst"), ["workflow_id", "dst"], "left")
+    known = F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()
+    edge = F.struct(F.col("src_id").alias("source_node_id"), F.col("dst_id").alias("target_node_id"), F.coalesce("type", F.lit("STATIC")).alias("edge_type"))
+    links = e.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.when(known, edge))).alias("edges"), F.count_if(~known).alias("unknown_edges"))
+    w = workflows.join(end("entry"), ["workflow_id", "entry"], "left").join(end("exit"), ["workflow_id", "exit"], "left")
+    rec = w.join(per, "workflow_id", "left").join(links, "workflow_id", "left")
+    record = F.struct(F.struct(F.col("entry_id").alias("entry_point"), F.col("exit_id").alias("exit_point")).alias("workflow"),
+                      F.transform("items", lambda x: x["node"]).alias("nodes"), ports(dims.NO_OUTPUT_TYPES, "node_outputs").alias("node_outputs"),
+                      ports(dims.NO_INPUT_TYPES, "node_inputs").alias("node_inputs"), F.coalesce("edges", F.array().cast("array<struct<source_node_id:string,target_node_id:string,edge_type:string>>")).alias("edges"))
+    return rec.select("workflow_id", F.to_json(record).alias("json"), F.coalesce("unknown_edges", F.lit(0)).alias("unknown_edges"))

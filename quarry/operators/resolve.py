@@ -172,7 +172,7 @@ def unique_slugs(nodes: DataFrame) -> DataFrame:
     return z.select("workflow_id", F.col("z.pos").alias("pos"), F.col("z.slug").alias("slug"))
 
 
-def _spliced(texts: DataFrame, key: list[str], text_col: str, pattern: str, lookup: DataFrame, on: list[str], out: str) -> DataFrame:
+def splice_refs(texts: DataFrame, key: list[str], text_col: str, pattern: str, lookup: DataFrame, on: list[str], out: str) -> DataFrame:
     """Replace each ``pattern`` match of a text by ``{{`` + the looked-up value; matches without one stay.
 
     ``lookup(*on, old, new)`` holds one row per (on, old). Matches are rows that
@@ -197,7 +197,7 @@ def rewrite_refs(texts: DataFrame, id_map: DataFrame, text_col: str = "template"
     ``id_map(workflow_id, slug, id)``: of several ids for a slug the smallest is taken.
     """
     lookup = id_map.groupBy("workflow_id", F.col("slug").alias("old")).agg(F.min("id").alias("new"))
-    return _spliced(texts, ["workflow_id", "node"], text_col, dims.SLUG_REF_PATTERN, lookup, ["workflow_id"], "rewritten")
+    return splice_refs(texts, ["workflow_id", "node"], text_col, dims.SLUG_REF_PATTERN, lookup, ["workflow_id"], "rewritten")
 
 
 def restore_refs(texts: DataFrame, id_map: DataFrame, functions: DataFrame, text_col: str = "template") -> DataFrame:
@@ -208,8 +208,8 @@ def restore_refs(texts: DataFrame, id_map: DataFrame, functions: DataFrame, text
     key = ["workflow_id", "node"]
     ids = id_map.groupBy("workflow_id", F.col("id").alias("old")).agg(F.min("slug").alias("new"))
     names = functions.groupBy("workflow_id", F.col("function_name").alias("old")).agg(F.min("slug").alias("new"))
-    once = _spliced(texts, key, text_col, dims.UUID_REF_PATTERN, ids, ["workflow_id"], "restored")
-    return _spliced(once, key, "restored", dims.FUNCTION_REF_PATTERN, names, ["workflow_id"], "restored")
+    once = splice_refs(texts, key, text_col, dims.UUID_REF_PATTERN, ids, ["workflow_id"], "restored")
+    return splice_refs(once, key, "restored", dims.FUNCTION_REF_PATTERN, names, ["workflow_id"], "restored")
 
 
 def render_template(texts: DataFrame, outputs: DataFrame, text_col: str = "template") -> DataFrame:

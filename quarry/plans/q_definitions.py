@@ -398,3 +398,55 @@ def merge_config(spark, sf):
     """F16 over stored nodes: parameters first, config fills the gaps, unknown types keep their config."""
     from quarry.operators import configs
     return configs.merge_config(fx.v_stored_nodes(spark, sf))
+
+
+NODE_ID = "concat('id-', cast(workflow_id AS VARCHAR), '-', slug)"
+
+
+def _ids(spark, sf):
+    return fx.v_nodes(spark, sf).select("workflow_id", "slug", F.concat(F.lit("id-"), F.col("workflow_id").cast("string"), F.lit("-"), F.col("slug")).alias("id"))
+
+
+@query("node_parameters", f"""WITH c AS (SELECT c.*, l.l_partkey FROM v_node_cfg c JOIN v_line l ON l.l_orderkey = c.workflow_id AND l.l_linenumber = c.ln),
+t AS (SELECT *, substr(template, length(concat('{{{{n', cast(l_partkey % 8 AS VARCHAR), '.output.note}}}}')) + 1) AS text,
+  concat('n', cast(ln - 1 AS VARCHAR)) AS a FROM c),
+e AS (SELECT t.*, regexp_extract(text, 'then [{{][{{](n[0-9]+)', 1) AS b FROM t),
+r AS (SELECT e.*, coalesce(x.id, e.a) AS a_id, coalesce(y.id, e.b) AS b_id FROM e
+  LEFT JOIN (SELECT workflow_id, slug, {NODE_ID} AS id FROM v_nodes) x ON x.workflow_id = e.workflow_id AND x.slug = e.a
+  LEFT JOIN (SELECT workflow_id, slug, {NODE_ID} AS id FROM v_nodes) y ON y.workflow_id = e.workflow_id AND y.slug = e.b)
+SELECT workflow_id, slug, p.key, p.value FROM (SELECT workflow_id, slug, unnest([
+  {{'key': 'type', 'value': CASE type WHEN 'plain_txt_input' THEN '"plainTextInput"' WHEN 'llm_call' THEN '"llmPrompt"' WHEN 'retrieve' THEN '"retrieve"'
+     WHEN 'rag_agent' THEN '"ragAgent"' WHEN 'structured_output' THEN '"structuredOutput"' ELSE '"documentExtraction"' END}},
+  {{'key': 'label', 'value': CASE WHEN ln % 2 = 0 THEN concat('"Node ', cast(ln AS VARCHAR), '"') ELSE concat('"', slug, '"') END}},
+  {{'key': 'function_name', 'value': concat('"', slug, '"')}},
+  {{'key': 'model', 'value': CASE WHEN type IN ('llm_call', 'rag_agent', 'structured_output') THEN '"m1"' END}},
+  {{'key': 'temperature', 'value': CASE WHEN type IN ('llm_call', 'rag_agent', 'structured_output') THEN regexp_replace(cast(temperature AS VARCHAR), '\\.0$', '') END}},
+  {{'key': 'maxTokens', 'value': CASE WHEN type IN ('llm_call', 'rag_agent', 'structured_output') THEN cast(maxTokens AS VARCHAR) END}},
+  {{'key': 'template', 'value': CASE WHEN type = 'llm_call' THEN concat('"Use {{{{', a_id, '.output.text}}}} then {{{{', b_id, '.output.files}}}}"') END}},
+  {{'key': 'variables', 'value': CASE WHEN type = 'llm_call' THEN '[]' END}},
+  {{'key': 'topK', 'value': CASE WHEN type IN ('retrieve', 'rag_agent') THEN cast(topK AS VARCHAR) END}},
+  {{'key': 'scoreThreshold', 'value': CASE WHEN type = 'retrieve' THEN regexp_replace(cast(scoreThreshold AS VARCHAR), '\\.0$', '') END}}]) AS p FROM r) z
+WHERE p.value IS NOT NULL""")
+def node_parameters(spark, sf):
+    """F17 over all node configs; slug references become node ids."""
+    from quarry.operators import configs
+    ln = F.substring("slug", 2, 9)
+    nodes = _cfg(spark, sf).withColumn("label", F.when(ln.cast("int") % 2 == 0, F.concat(F.lit("Node "), ln)))
+    return configs.node_parameters(nodes, _ids(spark, sf))
+
+
+@query("assemble_definition", f"""WITH n AS (SELECT *, {NODE_ID} AS id FROM v_nodes),
+nj AS (SELECT workflow_id, string_agg(concat('{{"id":"', id, '","config_type":"', upper(type), '","function_name":"', slug, '","timeout_seconds":30,"retry_policy":{{"max_retries":3}}}}'), ',' ORDER BY pos) AS nodes,
+  coalesce(string_agg(concat('{{"node_id":"', id, '","output_name":"output","sequence_order":0}}'), ',' ORDER BY pos) FILTER (WHERE type <> 'structured_output'), '') AS outs,
+  coalesce(string_agg(concat('{{"node_id":"', id, '","input_name":"input","sequence_order":0}}'), ',' ORDER BY pos) FILTER (WHERE type <> 'plain_txt_input'), '') AS ins FROM n GROUP BY workflow_id),
+ed AS (SELECT e.workflow_id, a.id AS s, b.id AS d, e.type FROM v_edges e LEFT JOIN n a ON a.workflow_id = e.workflow_id AND a.slug = e.src LEFT JOIN n b ON b.workflow_id = e.workflow_id AND b.slug = e.dst),
+ej AS (SELECT workflow_id, coalesce(string_agg(concat('{{"source_node_id":"', s, '","target_node_id":"', d, '","edge_type":"', type, '"}}'), ',' ORDER BY s, d, type) FILTER (WHERE s IS NOT NULL AND d IS NOT NULL), '') AS edges,
+  count_if(s IS NULL OR d IS NULL) AS unknown_edges FROM ed GROUP BY workflow_id)
+SELECT w.workflow_id, concat('{{"workflow":{{"entry_point":"', a.id, '"', CASE WHEN b.id IS NOT NULL THEN concat(',"exit_point":"', b.id, '"') ELSE '' END, '}},"nodes":[', nodes,
+  '],"node_outputs":[', outs, '],"node_inputs":[', ins, '],"edges":[', coalesce(edges, ''), ']}}') AS json, cast(coalesce(unknown_edges, 0) AS BIGINT) AS unknown_edges
+FROM v_workflows w JOIN nj USING (workflow_id) LEFT JOIN ej USING (workflow_id)
+LEFT JOIN n a ON a.workflow_id = w.workflow_id AND a.slug = w.entry LEFT JOIN n b ON b.workflow_id = w.workflow_id AND b.slug = w.exit""")
+def assemble_definition(spark, sf):
+    """One nested record per workflow from its nodes and edges."""
+    from quarry.operators import configs
+    return configs.assemble_definition(*_graph(spark, sf), _ids(spark, sf))
