@@ -1,8 +1,9 @@
 """Definition checks over ``nodes(workflow_id, slug, type, config JSON)`` tables.
 
 F12 reference extraction, J5-J8 checks, P9/P10 field rules, F23 config
-rules, F24 JSON-Schema subset, A14 report, A15 tally. Registry and rule
-tables are tiny fixed dimensions and are broadcast.
+rules, F24 JSON-Schema subset, A14 report, A15 tally. Only the fixed rule tables
+are broadcast by hint; registry tables come from the caller, and Spark picks
+their join by size.
 """
 
 from __future__ import annotations
@@ -56,8 +57,7 @@ def output_path_check(refs: DataFrame, nodes: DataFrame, registry: DataFrame) ->
     """Refs to known nodes whose path is not a registered output of that node's type."""
     target = nodes.select("workflow_id", F.col("slug").alias("ref_slug"),
                           F.upper("type").alias("referenced_type"))
-    outs = F.broadcast(registry.where(F.size("outputs") > 0)
-                       .select(F.col("type").alias("referenced_type"), "outputs"))
+    outs = registry.where(F.size("outputs") > 0).select(F.col("type").alias("referenced_type"), "outputs")
     r = (refs.select("workflow_id", "node", F.col("slug").alias("ref_slug"), "path")
          .join(target, ["workflow_id", "ref_slug"])
          .where(~F.col("referenced_type").isin(dims.OUTPUT_CHECK_EXEMPT_TYPES))
@@ -71,7 +71,7 @@ def type_status_check(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     """Unsupported types -> FAIL, registry status ``inactive`` -> WARN."""
     unsupported = nodes.where(F.col("type").isin(dims.UNSUPPORTED_NODE_TYPES)).select(
         "workflow_id", "slug", F.col("type").alias("node_type"), F.lit("FAIL").alias("status"))
-    st = F.broadcast(registry.select(F.col("type").alias("utype"), "status"))
+    st = registry.select(F.col("type").alias("utype"), "status")
     inactive = (nodes.withColumn("utype", F.upper("type")).join(st, "utype")
                 .where(F.col("status") == "inactive")
                 .select("workflow_id", "slug", F.col("utype").alias("node_type"), F.lit("WARN").alias("status")))
@@ -91,9 +91,9 @@ def field_drift(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     rf = (active.select(F.col("type").alias("utype"), F.explode("fields").alias("field"))
           .where(~F.col("field").isin(dims.FIELD_DRIFT_IGNORED)))
     m = mf.select(F.upper("type").alias("utype"), "field", F.lit(1).alias("in_model"))
-    joined = (m.join(F.broadcast(active.select(F.col("type").alias("utype"))), "utype", "left_semi")
+    joined = (m.join(active.select(F.col("type").alias("utype")), "utype", "left_semi")
               .join(rf.withColumn("in_reg", F.lit(1)), ["utype", "field"], "full_outer")
-              .join(F.broadcast(active.select(F.col("type").alias("utype"))), "utype", "left_semi"))
+              .join(active.select(F.col("type").alias("utype")), "utype", "left_semi"))
     drift = (joined.groupBy("utype")
              .agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("in_reg").isNull(), F.col("field")))), ", ")
                   .alias("cli_only"),
@@ -101,7 +101,7 @@ def field_drift(nodes: DataFrame, registry: DataFrame) -> DataFrame:
                   .alias("registry_only"))
              .where((F.col("cli_only") != "") | (F.col("registry_only") != "")))
     used = nodes.select("workflow_id", F.upper("type").alias("utype")).distinct()
-    return used.join(F.broadcast(drift), "utype").select(
+    return used.join(drift, "utype").select(
         "workflow_id", F.col("utype").alias("node_type"), "cli_only", "registry_only")
 
 

@@ -1,8 +1,8 @@
 """W1 section path and W2 chunking (X3 is the pluggable variant).
 
 Chunk rule (our contract):
-  * Title elements open a section; the section path is the latest Title
-    text (empty parts skipped). Titles are headings, not chunk content.
+  * Title elements open a section; the section path joins the headings above
+    it (W1). Titles are headings, not chunk content.
   * Content elements (non-blank text) cost ``greatest(1, length div 4)``.
   * Walk a section by ``pos``; open a new chunk when the chunk is empty or
     when adding the element would pass ``max_tokens``.
@@ -28,14 +28,30 @@ from quarry.functions.text import strip_ws, token_estimate
 DEFAULT_MAX_TOKENS = 512
 
 
+HEADING_LEVELS = 6
+
+
 def section_path(elements: DataFrame) -> DataFrame:
-    """Add ``section_no`` and ``section_title`` to ``(doc_id, pos, type, text)``."""
+    """Add ``section_no`` and ``section_title`` to ``(doc_id, pos, type, text[, level])``.
+
+    ``section_title`` is the heading path: the latest Title of each level that
+    no Title of a higher rank has followed, joined by `` > ``, empty ones left
+    out. A Title without a ``level`` has level 1, deeper ones than 6 count as 6.
+    """
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_title = F.col("type") == "Title"
-    heading = F.last(F.when(is_title, F.col("text")), ignorenulls=True).over(w)
-    return (elements
-            .withColumn("section_no", F.sum(is_title.cast("int")).over(w))
-            .withColumn("section_title", F.nullif(heading, F.lit(""))))
+    level = F.least(F.lit(HEADING_LEVELS), F.greatest(F.lit(1), F.coalesce(F.col("level"), F.lit(1)))) if "level" in elements.columns else F.lit(1)
+    used = HEADING_LEVELS if "level" in elements.columns else 1
+    out = elements.withColumn("section_no", F.sum(is_title.cast("int")).over(w))
+    at = [F.max(F.when(is_title & (level == i), F.struct("pos", "text"))).over(w) for i in range(1, used + 1)]
+    out = out.withColumns({f"_h{i}": c for i, c in enumerate(at)})
+    parts, above = [], F.lit(-1)
+    for i in range(used):
+        here = F.coalesce(F.col(f"_h{i}.pos"), F.lit(-1))
+        parts.append(F.when(here > above, F.nullif(F.col(f"_h{i}.text"), F.lit(""))))
+        above = F.greatest(above, here)
+    path = F.concat_ws(" > ", *parts)
+    return out.withColumn("section_title", F.nullif(path, F.lit(""))).drop(*[f"_h{i}" for i in range(used)])
 
 
 def _chunk_starts(content: DataFrame, max_tokens: int) -> DataFrame:
@@ -60,13 +76,14 @@ def _chunk_starts(content: DataFrame, max_tokens: int) -> DataFrame:
 
 def chunk_documents(elements: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS,
                     merge_peers: bool = True) -> DataFrame:
-    """``(doc_id, pos, type, text[, page_number])`` -> chunk rows.
+    """``(doc_id, pos, type, text[, page_number][, level])`` -> chunk rows.
 
     Output: ``doc_id, chunk_no, text, tokens, section_title, page_number, chunk_type``.
     """
     if "page_number" not in elements.columns:
         elements = elements.withColumn("page_number", F.lit(None).cast("int"))
-    el = section_path(elements.select("doc_id", "pos", "type", "text", "page_number"))
+    level = ["level"] if "level" in elements.columns else []
+    el = section_path(elements.select("doc_id", "pos", "type", "text", "page_number", *level))
     content = (el.where((F.col("type") != "Title") & (strip_ws(F.col("text")) != ""))
                .withColumn("cost", token_estimate(F.col("text"))))
 

@@ -2,8 +2,7 @@
 
 Each ``@query`` function takes ``(spark, sf_dir)`` and returns a DataFrame
 whose column names equal the oracle's. ``sql=None`` marks a query that SQL
-cannot express (iterative or stateful); it is then checked against a brute
-force on small fixtures in ``tests/``.
+cannot express; ``tests/`` then holds it against literal cases.
 """
 
 from __future__ import annotations

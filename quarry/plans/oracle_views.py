@@ -70,7 +70,7 @@ VIEWS: dict[str, str] = {
   FROM customer""",
     "v_elements": """SELECT doc_id, cast(pos - 1 AS INTEGER) AS pos,
   CASE WHEN (pos - 1) % 5 = 0 THEN 'Title' WHEN (pos - 1) % 5 = 4 THEN 'ListItem' ELSE 'NarrativeText' END AS type,
-  text
+  text, CASE WHEN (pos - 1) % 5 = 0 THEN cast(((pos - 1) // 5) % 3 + 1 AS INTEGER) END AS level
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) x""",
     "v_node_cfg": """SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS slug,

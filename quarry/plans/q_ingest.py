@@ -133,7 +133,7 @@ def sanitize_text(spark, sf):
 
 @query("markup_to_elements")
 def markup_to_elements(spark, sf):
-    """G5 on ``pages.html``: element rows per page (checked by invariants in tests)."""
+    """G5 on ``pages.html``: element rows per page (literal cases in tests)."""
     p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html", F.col("url").alias("filename"))
     return ingest.markup_to_elements(p).select("doc_id", "pos", "type", "text")
 
@@ -160,24 +160,24 @@ def ingest_rejects(spark, sf):
     return ingest.ingest_rejects(_files(spark, sf))
 
 
-@query("section_path", """
-SELECT doc_id, pos, type, section_no, nullif(section_title, '') AS section_title FROM (
-  SELECT doc_id, pos, type,
-    cast(sum(CASE WHEN type = 'Title' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS section_no,
-    last_value(CASE WHEN type = 'Title' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title
-  FROM v_elements) x""")
+# Elements with their section number and heading path of three levels.
+SECTION_SQL = """sec AS (SELECT *, sum(CASE WHEN type = 'Title' THEN 1 ELSE 0 END) OVER w AS section_no,
+    coalesce(max(CASE WHEN level = 1 THEN pos END) OVER w, -1) AS p1, coalesce(max(CASE WHEN level = 2 THEN pos END) OVER w, -1) AS p2,
+    coalesce(max(CASE WHEN level = 3 THEN pos END) OVER w, -1) AS p3, last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER w AS t1,
+    last_value(CASE WHEN level = 2 THEN text END IGNORE NULLS) OVER w AS t2, last_value(CASE WHEN level = 3 THEN text END IGNORE NULLS) OVER w AS t3
+  FROM v_elements WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+el AS (SELECT doc_id, pos, type, text, section_no, nullif(concat_ws(' > ', CASE WHEN p1 > -1 THEN nullif(t1, '') END, CASE WHEN p2 > p1 THEN nullif(t2, '') END,
+    CASE WHEN p3 > greatest(p1, p2) THEN nullif(t3, '') END), '') AS section_title FROM sec)"""
+
+
+@query("section_path", f"WITH {SECTION_SQL} SELECT doc_id, pos, type, cast(section_no AS BIGINT) AS section_no, section_title FROM el")
 def section_path(spark, sf):
     return chunking.section_path(fx.elements(spark, sf)).select(
         "doc_id", "pos", "type", "section_no", "section_title")
 
 
 # Content elements with their section; costs in tokens of four characters.
-CONTENT_SQL = """el AS (
-  SELECT doc_id, pos, type, text, sum(CASE WHEN type = 'Title' THEN 1 ELSE 0 END) OVER w AS section_no,
-    nullif(last_value(CASE WHEN type = 'Title' THEN text END IGNORE NULLS) OVER w, '') AS section_title
-  FROM v_elements WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+CONTENT_SQL = SECTION_SQL + """,
 content AS (SELECT *, greatest(1, length(text) // 4) AS cost, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY pos) AS i
   FROM el WHERE type <> 'Title' AND regexp_matches(text, '\\S'))"""
 # Chunks (doc_id, section_no, section_title, first_pos, max_cost, body) -> pieces -> rows.
@@ -212,7 +212,23 @@ def chunk_udtf(spark, sf):
     return chunking.chunk_documents(fx.elements(spark, sf), max_tokens=128, merge_peers=False)
 
 
-@query("chunks_per_tier")
+# One element per file here: texts as they are, pages without markup, tables of unquoted rows.
+TIER_SQL = rf"""WITH f AS (SELECT doc_id, content, n_bytes, {EXT} AS ext FROM v_files), g AS (SELECT *, {LANE_SQL} AS lane FROM f WHERE ext IN {in_list(INGESTABLE)}),
+lines AS (SELECT doc_id, i, list_transform(string_split(all_lines[i], ','), lambda c: replace(regexp_replace(c, '^\s+|\s+$', '', 'g'), '|', '\|')) AS cells
+  FROM (SELECT doc_id, string_split(content, chr(10)) AS all_lines FROM g WHERE lane = 'tabular' AND ext = '.csv') x, LATERAL (SELECT unnest(generate_series(1, len(all_lines))) AS i) y),
+full_rows AS (SELECT *, row_number() OVER w AS k, first_value(len(cells)) OVER w AS width FROM lines WHERE len(list_filter(cells, lambda c: c <> '')) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+texts AS (SELECT doc_id, content AS text FROM g WHERE lane = 'direct'
+  UNION ALL SELECT doc_id, trim(regexp_replace(content, '\s+', ' ', 'g')) FROM g WHERE lane = 'primary' AND ext IN ('.html', '.htm')
+  UNION ALL SELECT doc_id, string_agg(concat('| ', array_to_string(list_resize(cells, width, ''), ' | '), ' |',
+    CASE WHEN k = 1 THEN concat(chr(10), '| ', array_to_string(list_resize(CAST([] AS VARCHAR[]), width, '---'), ' | '), ' |') ELSE '' END), chr(10) ORDER BY k) FROM full_rows GROUP BY doc_id),
+sized AS (SELECT doc_id, length(text) AS n FROM texts WHERE regexp_matches(text, '\S')),
+counted AS (SELECT doc_id, CASE WHEN n // 4 > 512 THEN cast(ceil(n / 2048.0) AS BIGINT) ELSE 1 END AS n_chunks,
+  CASE WHEN n // 4 > 512 THEN (n // 2048) * 512 + CASE WHEN n % 2048 > 0 THEN greatest(1, (n % 2048) // 4) ELSE 0 END ELSE greatest(1, n // 4) END AS tokens FROM sized)
+SELECT t.tier, g.lane, count(*) AS n_files, cast(coalesce(sum(n_chunks), 0) AS BIGINT) AS n_chunks, cast(coalesce(sum(tokens), 0) AS BIGINT) AS tokens
+FROM g LEFT JOIN {TIERS_SQL} ON g.ext = t.ext2 LEFT JOIN counted USING (doc_id) GROUP BY t.tier, g.lane"""
+
+
+@query("chunks_per_tier", TIER_SQL)
 def chunks_per_tier(spark, sf):
     """Flagship: files -> P1-P4 -> F2 | G5 -> U1 -> F1 -> W1/W2 -> chunk counts per tier and lane."""
     files = _files(spark, sf)

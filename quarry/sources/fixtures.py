@@ -183,12 +183,13 @@ def v_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf: str) -> DataFrame:
-    """``(doc_id, pos, type, text)``: one element per text line of a document."""
+    """``(doc_id, pos, type, text, level)``: one element per text line of a document; headings of three levels in turn."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     x = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     p = F.col("pos") % 5
     etype = F.when(p == 0, "Title").when(p == 4, "ListItem").otherwise("NarrativeText")
-    return x.select("doc_id", F.col("pos").cast("int").alias("pos"), etype.alias("type"), "text")
+    level = F.when(p == 0, F.floor(F.col("pos") / 5) % 3 + 1).cast("int")
+    return x.select("doc_id", F.col("pos").cast("int").alias("pos"), etype.alias("type"), "text", level.alias("level"))
 
 
 def runs_from_orders(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,3 +49,12 @@ def test_content_types(spark):
     got = {r.filename: r.content_type for r in ff.with_content_type(rows).collect()}
     assert got == {"a.txt": "text/plain", "a.tar.gz": "application/x-tar", "b.TGZ": "application/x-tar", "c.gz": "application/octet-stream", "d.txt.gz": "text/plain",
                    "e.HTML": "text/html", "noext": "application/octet-stream", "dir.x/f": "application/octet-stream", ".hidden": "application/octet-stream", "g.svgz": "image/svg+xml"}
+
+
+def test_heading_paths(spark):
+    rows = [(1, "Title", "A", 1), (2, "Title", "B", 2), (3, "NarrativeText", "x", None), (4, "Title", "C", 3), (5, "Title", "D", 2), (6, "NarrativeText", "y", None),
+            (7, "Title", "", 1), (8, "Title", "E", 4), (9, "NarrativeText", "z", None), (10, "Title", "F", None)]
+    el = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, pos int, type string, text string, level int")
+    got = {r.pos: r.section_title for r in chunking.section_path(el).collect()}
+    assert (got[1], got[3], got[4], got[6], got[7], got[9], got[10]) == ("A", "A > B", "A > B > C", "A > D", None, "E", "F")
+    assert chunking.section_path(el.drop("level")).where("pos = 6").first()["section_title"] == "D"
