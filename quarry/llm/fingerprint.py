@@ -31,6 +31,7 @@ LANES = 128
 _PAIR = (1 << 32) | 1  # picks bits j and j + 32 of a hash into two 32-bit fields
 SPLITTERS = 1024
 BUCKET_ROWS = 2000
+MAX_RANGES = 1 << 20
 
 
 def member_hashes(text: Column) -> Column:
@@ -100,21 +101,22 @@ def with_next(df: DataFrame, key: str, carried: list[str], prepare: Callable[[Da
     After the last row comes the first. Nulls of ``key`` sort first, rows with
     equal keys are ordered by the carried columns. One shuffle of the rows:
     they go to key ranges (``SPLITTERS`` quantiles, each cut into even widths
-    of about ``BUCKET_ROWS`` rows, so no bucket but that of one repeated key
-    can hold more than 1/1024 of the rows), and a window looks ahead inside a
-    range. The last row of a range takes the first row of the next range from
-    a table with one row per range.
+    of about ``BUCKET_ROWS`` rows, more if that made over ``MAX_RANGES`` ranges,
+    so no range but that of one repeated key can hold more than 1/1024 of the
+    rows), and a window looks ahead inside a range. The last row of a range
+    takes the first row of the next range from a table with one row per range.
     """
     df = df.withColumn("__k", order_key(key))
     stats = df.agg(F.count("*").alias("n"), F.percentile_approx("__k", [i / SPLITTERS for i in range(1, SPLITTERS)], 20000).alias("cuts"), F.max("__k").alias("hi"), F.min("__k").alias("lo")).first()
     if not stats["n"]:
         return prepare(df.drop("__k")).withColumn("next", F.struct(*carried))
     cuts = sorted({stats["lo"], *stats["cuts"]})
-    fine = max(1, -(-stats["n"] // (BUCKET_ROWS * len(cuts))))
+    per_range = max(BUCKET_ROWS, -(-stats["n"] // MAX_RANGES))
+    fine = max(1, -(-stats["n"] // (per_range * len(cuts))))
     low = F.array(*[F.lit(c).cast("long") for c in cuts])
     high = F.array(*[F.lit(c).cast("long") for c in [*cuts[1:], stats["hi"] + 1 if stats["hi"] < 2**63 - 1 else stats["hi"]]])
     # few documents share few ranges: merge the quantile ranges up to BUCKET_ROWS rows
-    merged = max(1, BUCKET_ROWS * len(cuts) // max(1, stats["n"]))
+    merged = max(1, per_range * len(cuts) // stats["n"])
 
     def placed(frame: DataFrame) -> DataFrame:
         frame = frame.withColumn("__r", F.size(F.filter(low, lambda c: c <= F.col("__k"))))
@@ -124,15 +126,14 @@ def with_next(df: DataFrame, key: str, carried: list[str], prepare: Callable[[Da
         sub = F.least(F.lit(fine - 1), F.greatest(F.lit(0), sub)).cast("long")
         return frame.withColumn("__b", F.floor((F.col("__r") - 1) / merged).cast("long") * fine + sub).drop("__r")
 
-    df = placed(df)
     order = Window.partitionBy("__b").orderBy("__k", *carried)
-    rows = prepare(df).withColumn("__own", F.lead(F.struct(*carried)).over(order))
+    rows = prepare(placed(df).repartition("__b")).withColumn("__own", F.lead(F.struct(*carried)).over(order))
     # one row per range: its successor's first key, then that first row itself
     firsts = placed(df.select("__k")).groupBy("__b").agg(F.min("__k").alias("__first"))
     ranges = Window.orderBy("__b")
-    follow = firsts.select(F.col("__b").alias("__prev"), F.coalesce(F.lead("__b").over(ranges), F.first("__b").over(ranges)).alias("__b"), F.coalesce(F.lead("__first").over(ranges), F.first("__first").over(ranges)).alias("__k"))
-    heads = prepare(df.join(follow, ["__b", "__k"])).groupBy("__prev").agg(F.min(F.struct(*carried)).alias("__head"))
-    heads = heads.withColumnRenamed("__prev", "__b")
+    follow = firsts.select("__b", F.col("__first").alias("__k"), F.coalesce(F.lag("__b").over(ranges), F.max("__b").over(Window.partitionBy())).alias("__prev"))
+    heads = prepare(placed(df).join(F.broadcast(follow), ["__b", "__k"]))  # at most about MAX_RANGES rows of three numbers
+    heads = heads.groupBy(F.col("__prev").alias("__b")).agg(F.min(F.struct(*carried)).alias("__head"))
     return rows.join(heads, "__b", "left").withColumn("next", F.coalesce("__own", "__head")).drop("__b", "__k", "__own", "__head")
 
 
