@@ -63,3 +63,16 @@ def ascii_lower(c: Column) -> Column:
 def order_key(c: str) -> Column:
     """A total order on a nullable bigint: nulls sort first."""
     return F.coalesce(F.col(c), F.lit(-(2**63)))
+
+
+def hashed_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, those whose keys hash lowest.
+
+    Rows are thinned by hash to about four times as many before they are
+    ordered, so what tasks send on does not grow with their number. Where few
+    distinct keys repeat often, the sample may be smaller.
+    """
+    total, h = df.count(), F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    if total > 4 * most:
+        df = df.where(h < F.lit((1 << 40) * 4 * most // total))
+    return df.orderBy(h, *keys).limit(most)

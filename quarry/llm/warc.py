@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, stage
+from quarry.llm.common import hashed_sample, scratch, stage
 
 # Fixed by the format.
 DICT_MAGIC = 0x184D2A5D
@@ -75,9 +75,9 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def train_dictionary(records: DataFrame, samples: int = 400, sample_bytes: int = 8192, size: int = 32768) -> bytes:
-    """A dictionary from at most ``samples`` payload heads chosen by digest; empty if there is too little to learn from."""
+    """A dictionary from at most ``samples`` payload heads chosen by hash; empty if there is too little to learn from."""
     got = records.select("digest", F.substring("payload", 1, sample_bytes).alias("p")).where("octet_length(p) >= 64")
-    got = [bytes(r["p"]) for r in got.orderBy("digest").limit(samples).collect()]
+    got = [bytes(r["p"]) for r in hashed_sample(got, ["digest"], samples).select("p").collect()]
     try:
         return zstd.train_dictionary(size, got).as_bytes() if len(got) >= 16 else b""
     except zstd.ZstdError:
