@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import hashed_sample
+
 KINDS = ["email", "ip", "card", "phone"]
 STATES = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 TRAIN_DOCS = 4000
@@ -335,7 +337,7 @@ def _gradients(field: Field, x: np.ndarray, y: np.ndarray, live: np.ndarray) ->
 
 def train_on(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_rows: int = TRAIN_ROWS) -> Field:
     """Fit on at most ``max_rows`` windows from the ``max_docs`` documents that come first by hash of their id."""
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    chosen = hashed_sample(docs.select("doc_id").where("doc_id is not null"), ["doc_id"], max_docs).distinct()
     few = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import hashed_sample
+
 DIMS = 1024
 LANGS, SOURCES = 16, 64
 LABELLED, POOL = 3000, 3000
@@ -212,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = LABELLED, max_
     named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
 
     def first(rows: DataFrame, n: int) -> list:
-        return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+        return hashed_sample(rows, ["doc_id"], n).collect()
 
     chosen = [(r["doc_id"], r["y"]) for r in first(named.join(ids, "doc_id", "left_semi"), max_labelled)]
     if len({y for _, y in chosen}) < 2:

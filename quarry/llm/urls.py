@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower
+from quarry.llm.common import ascii_lower, hashed_sample
 
 # Fixed by the task: verdict and rule.
 RULES = [
@@ -111,8 +111,7 @@ def _joined(rows: DataFrame, model: UrlModel) -> DataFrame:
 def train(labelled: DataFrame, max_train: int = 20000, max_keys: int = 1000, trees: int = 12, depth: int = 4) -> UrlModel:
     """Fit on a table ``url, label`` (1 = block); at most ``max_train`` rows, by hash of the url."""
     sample = labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null")
-    sample = sample.orderBy(F.xxhash64("url"), "url", "label").limit(max_train)
-    rows = lexical(parsed(sample)).persist()
+    rows = lexical(parsed(hashed_sample(sample, ["url", "label"], max_train))).persist()
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         rows.unpersist()
