@@ -359,3 +359,19 @@ def submission_preflight(spark, sf):
                     F.when(k % 7 == 0, "").otherwise("why").alias("comment"))
     state = r.select("run_id", "workflow_id", "status", "execution_status", "current_node_id", "waiting_input_node_id", "review_node_id")
     return check(subs, state, nodes)
+
+
+@query("templated_output_paths", NODE_OUT_SQL + """, o AS (SELECT run_id, node_id, value FROM l WHERE op <> 'remove'),
+p AS (SELECT *, CASE WHEN NOT regexp_matches(node_id, '^[a-zA-Z0-9_-]+$') THEN concat('out/{{', node_id, '.output.text}}.json')
+  WHEN node_id = 'n1' THEN NULL WHEN node_id = 'n2' THEN concat('/abs/', value, '.json') ELSE concat('out/', value, '.json') END AS path FROM o)
+SELECT run_id, node_id, value, path, coalesce(path NOT LIKE '/%' AND NOT list_contains(string_split(path, '/'), '..'), false) AS path_ok FROM p""")
+def templated_output_paths(spark, sf):
+    """K3 with templates: each node's path names its own output (``n1`` refers to a field that is missing, ``n2`` leaves the root)."""
+    from quarry.sources.sinks import templated_output_paths as paths
+
+    out = cut_lineage(runs.node_outputs_latest(_staged(spark, sf)))
+    n = F.col("node_id")
+    ref = F.concat(F.lit("{{"), n, F.when(n == "n1", F.lit(".output.other")).otherwise(F.lit(".output.text")), F.lit("}}.json"))
+    templates = out.select("run_id", "node_id", F.concat(F.when(n == "n2", F.lit("/abs/")).otherwise(F.lit("out/")), ref).alias("template"))
+    values = out.select("run_id", n.alias("slug"), F.lit("text").alias("field"), "value")
+    return paths(out, templates, values)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.checks import path_confined
+from quarry.operators.resolve import render_template
 from quarry.session import cut_lineage
 
 
@@ -23,6 +24,18 @@ def node_output_paths(outputs: DataFrame, template: str = "{node_id}/output.json
     return outputs.withColumn("path", path).withColumn("path_ok", path_confined(F.col("path")))
 
 
+def templated_output_paths(outputs: DataFrame, templates: DataFrame, values: DataFrame) -> DataFrame:
+    """K3 with a path template per (run, node): references are rendered (F14), then the path is checked.
+
+    ``templates(run_id, node_id, template)``, ``values(run_id, slug, field,
+    value)``. A template with a missing value gives a null path, which is not ok.
+    """
+    texts = templates.select(F.col("run_id").alias("workflow_id"), F.col("node_id").alias("node"), "template")
+    rendered = render_template(texts, values.withColumnRenamed("run_id", "workflow_id"))
+    paths = rendered.select(F.col("workflow_id").alias("run_id"), F.col("node").alias("node_id"), F.col("rendered").alias("path"))
+    return outputs.join(paths, ["run_id", "node_id"], "left").withColumn("path_ok", F.coalesce(path_confined(F.col("path")), F.lit(False)))
+
+
 BUCKETS = 64
 
 
