@@ -112,7 +112,7 @@ def shape(word: str) -> tuple[str, str, int]:
         if coarse.strip(".,;:!?()|\"'") == "d.d.d.d":
             fine += "/octets" if all(len(p) <= 3 and int(p) <= 255 for p in core.split(".")) else "/broken"
         elif len(digits) > 11:
-            fine += f"/{min(20, len(digits))}" + ("/luhn" if luhn(digits) else "/broken")
+            fine += f"/{min(20, len(digits))}" + ("/luhn" if len(digits) < 20 and luhn(digits) else "/broken")
     return fine, coarse, kind
 
 
