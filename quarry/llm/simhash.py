@@ -279,7 +279,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     marked = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(link(marked.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(nodes.join(lowest, "root").select("fp", "component_id"), "components")
+    # only linked fingerprints need their component's lowest id; both sides are staged, so that a
+    # component with very many fingerprints is a skewed join, which adaptive execution splits
+    linked = stage(nodes.join(roots, "fp"), "linked")
+    lowest = stage(linked.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    low = linked.join(lowest, "root").select("fp", "component_id")
+    named = stage(nodes.join(low, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
