@@ -57,3 +57,14 @@ def test_run(spark, folder, no_docs, tmp_path):
     for t in ("benchmark", "labels"):
         spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_of_one_id_are_told_apart(spark, tmp_path):
+    """Rows of one doc_id, or of none, are dropped for what their own text holds."""
+    far = ["one two three four five six seven", "red green blue white black grey pink", "north south east west up down left"]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (3, "a copy of this text stays once"), (7, "a copy of this text stays once"), (7, "but this one is alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda d: sorted((str(r.doc_id), r.text) for r in d.collect())
+    assert kept(corpus_pipeline.near_dedup_stage(spark, docs, "")) == sorted((str(d), t) for d, t in {*rows} - {rows[4]})
+    spark.createDataFrame([(1, far[0]), (2, rows[5][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert kept(corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))) == sorted((str(d), t) for d, t in rows[1:5])
