@@ -37,3 +37,16 @@ def test_sparse_keys_and_one_row(spark, no_docs):
     check(rows, got, 5)
     assert len(shards.shard_by_bytes(spark.createDataFrame(rows[:1], "doc_id long, text string"), 8).collect()) == 1
     assert shards.shard_by_bytes(no_docs, 8).collect() == []
+
+
+def test_rows_of_one_id_are_cut(spark):
+    """A third of the bytes has no id and a third is one repeated row: shards stay equal to a row's bytes."""
+    rows = [(None, f"text {i:03}") for i in range(100)] + [(5, "same 000")] * 100 + [(1000 + i, f"text {i:03}") for i in range(100)]
+    got = shards.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8, tolerance=0).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(d), t) for d, t in rows)
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+    for s in range(8):
+        mine = [r for r in got if r.shard == s]
+        assert abs(sum(r.size for r in mine) - 300 * 9 / 8) <= 9
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
