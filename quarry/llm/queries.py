@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, fingerprint, lm, packing, pii, quality, shards, simhash, urls, warc
+from quarry.llm import decontam, fingerprint, licences, lm, packing, pii, quality, shards, simhash, urls, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-trained quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return licences.report(licences.scan(table(spark, sf_dir, "documents")), len(licences.PHRASES))
+
+
+def _licence_sql() -> str:
+    """Templates as rows (number, label, least words in place, word, position, is key), then line-ups by plain joins."""
+    rows = []
+    for t in licences.Index((*licences.PHRASES, *licences.NOTICES)).templates:
+        vocabulary = licences.words_of((*licences.PHRASES, *licences.NOTICES)[t.number].text)
+        rows += [f"({t.number}, '{t.label}', {t.least}, '{w.decode()}', {i}, {str(i in t.key).lower()})" for i, w in enumerate(vocabulary)]
+    return r"""
+WITH t(tmpl, label, least, word, pos, key) AS (VALUES """ + ",\n".join(rows) + r"""),
+size AS (SELECT tmpl, label, least, count(*) AS words, count(*) FILTER (WHERE key) AS keys FROM t GROUP BY ALL),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT r, w[i] AS word, i - 1 AS pos FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] IN (SELECT word FROM t)),
+entry AS (SELECT DISTINCT ON (tmpl) tmpl, word, pos FROM t WHERE key ORDER BY tmpl, pos),
+starts AS (SELECT r, tmpl, f.pos - entry.pos AS start FROM f JOIN entry ON f.word = entry.word),
+met AS (
+  SELECT s.r, s.tmpl, s.start, count(*) AS hits, count(*) FILTER (WHERE t.key) AS keys
+  FROM starts s JOIN t ON t.tmpl = s.tmpl JOIN f ON f.r = s.r AND f.pos = s.start + t.pos AND f.word = t.word GROUP BY ALL),
+place AS (
+  SELECT met.r, met.tmpl, size.label, greatest(met.start, 0) AS start, met.hits / size.words AS share
+  FROM met JOIN size ON met.tmpl = size.tmpl WHERE met.keys = size.keys AND met.hits >= size.least),
+doc AS (
+  SELECT r, count(*) FILTER (WHERE tmpl < 3) AS n_base, min(start) FILTER (WHERE tmpl < 3) AS first_word, max(start) FILTER (WHERE tmpl < 3) AS last_word, max(share) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE tmpl < 3) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM place GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN doc ON d.r = doc.r
+"""
+
+
+ORACLE["op12_licences"] = _licence_sql()
