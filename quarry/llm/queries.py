@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, fingerprint, licences, lm, packing, pii, quality, shards, simhash, urls, warc
+from quarry.llm import conversations, decontam, fingerprint, licences, lm, packing, pii, quality, shards, simhash, urls, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,70 @@ FROM d LEFT JOIN doc ON d.r = doc.r
 
 
 ORACLE["op12_licences"] = _licence_sql()
+
+
+@_query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least repair of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(rows, conversations.damage(rows))
+
+
+def _conversation_sql() -> str:
+    """A forward pass per row: the best (cost, audit, repaired rows) of the four states."""
+    def put(state: str, cost: str, letter: str, line: str | None) -> str:
+        out = f"{state}.o" if line is None else f"list_append({state}.o, {line})"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {out}}}"
+
+    def best(*ways: str) -> str:
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def free(state: str, cost: str, letter: str, line: str, when: str = "true") -> str:
+        return f"CASE WHEN NOT must_go AND {when} THEN {put(state, cost, letter, line)} ELSE {none} END"
+
+    none = "{'c': 1000000000, 'a': '', 'o': []::VARCHAR[]}"
+    user, assistant, own = "'user:' || text", "'assistant:' || text", "role || ':' || text"
+    closed = f"SELECT conv, i, n0 AS s0, n1 AS s1, e2 AS s2, {best('n3', put('e2', '2', 'I', chr(39) + 'assistant:' + chr(39)))} AS s3 FROM (SELECT *, {best('n2', *[put(s, '2', 'I', chr(39) + 'user:' + chr(39)) for s in ('n0', 'n1', 'n3')])} AS e2 FROM ("
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CAST(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS VARCHAR) AS k FROM conversations),
+{_CRC_SQL}
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM d JOIN crc USING (k) WHERE f <> 0),
+ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (
+  SELECT ids.conv, turn, role, text, rtrim(text, E' \\t\\n\\x0b\\x0c\\r') AS body, row_number() OVER (PARTITION BY ids.conv ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+  FROM damaged JOIN ids ON damaged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+flagged AS (
+  SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again, body <> '' AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+    left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS earlier FROM numbered),
+lines AS (SELECT *, blank OR again AS must_go, CAST(cut AS INTEGER) AS pays FROM flagged),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+    count(*) FILTER (WHERE cut AND NOT again) AS truncated, count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM lines GROUP BY conv),
+walk AS (
+  {closed}SELECT conv, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} AS n0, {none} AS n1, {none} AS n2, {none} AS n3 FROM ids))
+  UNION ALL
+  {closed}SELECT lines.conv, lines.i, {put('s0', '3', 'D', None)} AS n0,
+    {best(put('s1', '3', 'D', None), free('s0', 'pays', 'K', own, "initial = 's'"))} AS n1,
+    {best(put('s2', '3', 'D', None), *[w for s in ('s0', 's1', 's3') for w in (free(s, 'pays', 'K', own, "initial = 'u'"), free(s, '2 + pays', 'R', user))])} AS n2,
+    {best(put('s3', '3', 'D', None), free('s2', 'pays', 'K', own, "initial = 'a'"), free('s2', '2 + pays', 'R', assistant))} AS n3
+  FROM walk JOIN lines ON lines.conv = walk.conv AND lines.i = walk.i + 1))),
+final AS (SELECT conv, i, {best('s0', 's3')} AS s FROM walk)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(final.s.c AS BIGINT) AS cost, final.s.a AS audit, sha256(array_to_string(final.s.o, chr(10))) AS repaired_sha256
+FROM ids LEFT JOIN counts ON counts.conv = ids.conv JOIN final ON final.conv = ids.conv AND final.i = coalesce(counts.n, 0)
+"""
+
+
+# crc32 modulo 20 of every distinct key, bit by bit: 8 steps per character
+_CRC_SQL = """keys AS (SELECT DISTINCT k FROM d),
+bits(k, step, v) AS (
+  SELECT k, 0, 4294967295::BIGINT FROM keys
+  UNION ALL
+  SELECT k, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT k, step, CASE WHEN step % 8 = 0 THEN xor(v, ascii(substr(k, step // 8 + 1, 1))) ELSE v END AS x FROM bits WHERE step < 8 * length(k))),
+crc AS (SELECT k, xor(v, 4294967295) % 20 AS f FROM bits WHERE step = 8 * length(k)),"""
+
+ORACLE["op13_conversations"] = _conversation_sql()
