@@ -110,7 +110,7 @@ def shape(word: str) -> tuple[str, str, int]:
         core = word.strip(".,;:!?()|\"'")
         digits = _NO_DIGITS.sub("", word)
         if coarse.strip(".,;:!?()|\"'") == "d.d.d.d":
-            fine += "/octets" if all(len(p) <= 3 and int(p) <= 255 for p in core.split(".")) else "/broken"
+            fine += "/octets" if all(p and len(p) <= 3 and int(p) <= 255 for p in core.split(".")) else "/broken"
         elif len(digits) > 11:
             fine += f"/{min(20, len(digits))}" + ("/luhn" if len(digits) < 20 and luhn(digits) else "/broken")
     return fine, coarse, kind
@@ -167,7 +167,10 @@ def _turned(text: str, step: int) -> str:
 
 
 def labelled_windows(text: str, around: int = 60, most: int = 20) -> list[tuple[str, list[Span]]]:
-    """Training rows from one text: a window around each of its first ``most`` chains, and again with a base span broken."""
+    """Training rows from one text: a window around each of its first ``most`` chains, and again with a base span broken.
+
+    Chains longer than ``40 * around`` characters give no training row (they are decoded like all others).
+    """
     rows, base = [], base_spans(text)
     for at, _, _ in islice(chains(text), most):
         start, end = at[0][0], at[-1][1]

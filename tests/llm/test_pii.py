@@ -127,3 +127,12 @@ def test_query_shape_and_redaction(spark, docs, hard_docs, no_docs):
     n = {r.doc_id: r for r in pii.find_personal_data(docs, pii.train_on(docs)).collect()}
     assert len(n) == len({d for d, _ in hard_docs})
     assert pii.find_personal_data(no_docs, pii.train_on(no_docs)).collect() == []
+
+
+def test_any_text_is_decoded(field):
+    rng = random.Random(9)
+    odd = ["1..2.3.4", ".1.2.3.4", "1.2..3.4.", "::1.2.3.4::", "1.2.3.4....", "9" * 300 + ".1.1.1", "@", "@1", "1@", "+", "1...2...3...4", "٣.١.٢.٤", "1.2.3.４"]
+    texts = odd + [" ".join(odd)] + ["".join(rng.choice("ab@.-+ 0123456789().,_é\n") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
+    for text, (base, spans) in zip(texts, pii.find_spans(texts, field)):
+        assert base == pii.base_spans(text) and set(base) <= set(spans)
+        assert all(0 <= s < e <= len(text) for s, _, e in spans)
