@@ -31,7 +31,7 @@ DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-SALTS = 16
+HOT = 1000
 MIN_PAYLOAD = 100
 _CHUNK = 256 << 10
 
@@ -43,16 +43,22 @@ def plan_records(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     smallest page_id is the response, the others revisit it (rows repeated with
     that smallest id are responses too, since none can revisit itself; a null
     page_id is never the smallest unless all are null, and then all are
-    responses). Null html is an empty payload. A payload that many pages share
-    is counted before the shuffle and looked up under ``SALTS`` salts.
+    responses). Null html is an empty payload. Payloads are counted before the
+    shuffle: the ``HOT`` most shared ones are looked up from a broadcast table of
+    as many rows and their pages are spread over all tasks, so no other payload
+    than those of at most 1/``HOT`` of the pages is a join key.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.where(F.octet_length("payload") >= min_payload)
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = firsts.select("digest", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["digest", "salt"], "left")
+    firsts = stage(firsts, "payloads")
+    hot = firsts.orderBy(F.desc("n"), "digest").limit(HOT)
+    cold = firsts.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select(F.col("digest").alias("key"), F.col("first").alias("cold"))
+    rows = rows.join(F.broadcast(hot.select("digest", F.col("first").alias("hot"))), "digest", "left")
+    # what the broadcast table has answered needs no partner: it gets a key of its own
+    rows = rows.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string")))
+    joined = rows.join(cold, "key", "left").withColumn("first", F.coalesce("hot", "cold"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
                          F.when(again, F.col("first")).alias("refers_to"))
@@ -106,7 +112,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes = b"", dat
             for page_id, url, payload, digest, refers in zip(b["page_id"].array, b["url"].array, b["payload"].array, b["digest"].array, b["refers_to"].array):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    out, n, size = fs.open_output_stream(f"{base}/{name}"), 0, len(skip)
+                    out, n, size = fs.open_output_stream(f"{base}/{name}", compression=None), 0, len(skip)
                     out.write(skip)
                 frame = pack.compress(record_bytes(None if pd.isna(page_id) else int(page_id), None if pd.isna(url) else url, bytes(payload), digest,
                                                    None if pd.isna(refers) else int(refers), date))
@@ -211,7 +217,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
             for archive, expected in zip(b["archive"], b["records"]):
                 fs, path = pafs.FileSystem.from_uri(archive)
                 rows, size, n = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
                         try:
                             row = parse_record(data)

@@ -73,3 +73,30 @@ def test_damaged_records():
                 good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"WARC-Date:", b"WARC-Date"), good + b"x"):
         with pytest.raises(ValueError):
             warc.parse_record(bad)
+
+
+def test_files_have_a_frame_per_record(spark, rows):
+    """Read as bytes: a skippable frame first, then as many frames as the manifest has records."""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    samples = [b"<html>%d text text text" % i * 20 for i in range(300)]
+    dictionary = zstd.train_dictionary(2000, samples).as_bytes()
+    manifest = warc.write_archives(warc.plan_records(pages), warc.scratch(spark, "t"), dictionary).collect()
+    for r in manifest:
+        data = open(r.archive.removeprefix("file://"), "rb").read()
+        magic, size = struct.unpack("<II", data[:8])
+        assert magic == warc.DICT_MAGIC and len(data) == r.bytes
+        at, n = 8 + size, 0
+        known = zstd.ZstdCompressionDict(zstd.ZstdDecompressor().decompress(data[8:at]))
+        while at < len(data):
+            assert data[at : at + 4] == struct.pack("<I", warc.ZSTD_MAGIC)
+            frame = zstd.ZstdDecompressor(dict_data=known).decompressobj()
+            assert frame.decompress(data[at:]).startswith(b"WARC/1.1\r\n")
+            at, n = len(data) - len(frame.unused_data), n + 1
+        assert n == r.records
+
+
+def test_payloads_beyond_the_broadcast_table(spark, rows, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 1)
+    rows = rows + [(200 + i, "http://two", "<b>second" + "payload " * 30) for i in range(5)] + [(300 + i, "u", "<b>third" + "payload " * 30) for i in range(3)]
+    got = warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), len(r.payload), r.digest, r.record_type, str(r.refers_to)) for r in got) == sorted(brute(rows))
