@@ -3,7 +3,8 @@
 A text is the multiset of its lines (paragraphs) plus, under a second seed, of
 their sentences, so that a text of one long paragraph still has several
 members. Each member hashes to a wide vector of 128 entries of -1 or +1; the
-fingerprint is the sum of those vectors modulo 2**16.
+fingerprint is the sum of those vectors modulo 2**32 (no text has enough
+members to wrap).
 
 * Order does not matter: equal multisets give equal fingerprints.
 * Sums are linear: members can be added or removed without the rest of the
@@ -52,7 +53,7 @@ def _summed_bits(hashes: Column) -> list[Column]:
 
 
 def lanes_of(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add ``out``: the 128 lanes (array<smallint>) of ``text``; other columns stay."""
+    """Add ``out``: the 128 lanes (array<int>) of ``text``; other columns stay."""
     h, packed, n = f"__{out}_h", f"__{out}_p", f"__{out}_n"
     df = df.withColumn(h, member_hashes(text))
     second = F.transform(F.col(h), lambda x: F.xxhash64(x))
@@ -60,28 +61,28 @@ def lanes_of(df: DataFrame, text: Column, out: str) -> DataFrame:
     df = df.withColumn(f"{packed}2", F.array(*_summed_bits(second))).drop(h)
     low = F.lit(0xFFFFFFFF).cast("long")
     ones = F.flatten(F.transform(F.concat(packed, f"{packed}2"), lambda x: F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 32))))
-    # centred sum 2 * ones - n, kept modulo 2**16 as a signed 16-bit number
-    df = df.withColumn(out, F.transform(ones, lambda x: _signed16(x * 2 - F.col(n))))
+    # centred sum 2 * ones - n, kept modulo 2**32 as a signed 32-bit number
+    df = df.withColumn(out, F.transform(ones, lambda x: _signed32(x * 2 - F.col(n))))
     return df.drop(packed, f"{packed}2", n)
 
 
-def _signed16(x: Column) -> Column:
-    return ((x + 32768).bitwiseAND(F.lit(0xFFFF).cast("long")) - 32768).cast("smallint")
+def _signed32(x: Column) -> Column:
+    return ((x + 2147483648).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - 2147483648).cast("int")
 
 
 def add_lanes(a: Column, b: Column) -> Column:
     """Fingerprint of the union (with repeats) of two multisets."""
-    return F.zip_with(a, b, lambda x, y: _signed16(x.cast("long") + y.cast("long")))
+    return F.zip_with(a, b, lambda x, y: _signed32(x.cast("long") + y.cast("long")))
 
 
 def remove_lanes(a: Column, b: Column) -> Column:
     """Fingerprint of ``a`` without the members of ``b``."""
-    return F.zip_with(a, b, lambda x, y: _signed16(x.cast("long") - y.cast("long")))
+    return F.zip_with(a, b, lambda x, y: _signed32(x.cast("long") - y.cast("long")))
 
 
 def to_string(lanes: Column) -> Column:
-    """Four hex digits per lane."""
-    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0")), "")
+    """Eight hex digits per lane."""
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -47,3 +47,10 @@ def test_no_python_and_empty(docs, no_docs):
     assert fingerprint.edit_report(no_docs).collect() == []
     plan = fingerprint.edit_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+def test_many_equal_lines_do_not_wrap(spark):
+    rows = [(0, "\n".join(["ab"] * 65_536)), (1, "\n".join(["cd"] * 65_536)), (2, "\n".join(["ab"] * 20_000)), (3, "")]
+    got = {r.doc_id: r for r in fingerprint.edit_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 4
+    assert got[0].near_next < 0.3 and got[2].near_edited > 0.6
