@@ -4,13 +4,14 @@ Rules are ``(verdict, "host/path")`` pairs; a rule fits its host and all
 subdomains where the url's path starts with the rule's path, and the longest
 fitting rule decides. Urls that no rule fits go to a boosted-tree model
 (``pyspark.ml``), trained on labelled urls: by default those that a rule
-labels, up to ``max_train`` of them by hash of the url (the bound of the sample is
-a parameter; every url is scored).
+labels, up to ``max_train`` distinct urls of them by hash (the bound of the sample
+is a parameter; every url is scored).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, hashed_sample
+from quarry.llm.common import ascii_lower
 
 # Fixed by the task: verdict and rule.
 RULES = [
@@ -96,7 +97,7 @@ class UrlModel:
 
 
 def _rates(labelled: DataFrame, key: str, keep: int) -> DataFrame:
-    """Smoothed block rate per key of the ``keep`` most frequent keys of the labelled sample."""
+    """Smoothed block rate per key of the ``keep`` most frequent keys of all labelled rows."""
     got = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("k"))
     got = got.orderBy(F.desc("n"), key).limit(keep)
     return got.select(key, ((F.col("k") + 1) / (F.col("n") + 2)).alias(f"f_{key}_rate"), F.log1p("n").alias(f"f_{key}_count"))
@@ -108,23 +109,48 @@ def _joined(rows: DataFrame, model: UrlModel) -> DataFrame:
     return rows.fillna({"f_suffix_rate": 0.5, "f_suffix_count": 0.0, "f_head_rate": 0.5, "f_head_count": 0.0})
 
 
+def _sampled(labelled: DataFrame, label: float, distinct: int, most: int) -> DataFrame:
+    """At most ``most`` distinct urls of one label, those that hash lowest, with the number of their rows (``n``).
+
+    Thinned by hash before the shuffle, to about four times as many distinct
+    urls as are wanted; a hot url is counted where it is read.
+    """
+    h = F.pmod(F.xxhash64("url"), F.lit(1 << 40))
+    rows = labelled.where(F.col("label") == label)
+    if distinct > 4 * most:
+        rows = rows.where(h < F.lit((1 << 40) * 4 * most // distinct))
+    return rows.groupBy("url", "label").agg(F.count("*").alias("n")).orderBy(h, "url").limit(most)
+
+
 def train(labelled: DataFrame, max_train: int = 20000, max_keys: int = 1000, trees: int = 12, depth: int = 4) -> UrlModel:
-    """Fit on a table ``url, label`` (1 = block); at most ``max_train`` rows, by hash of the url."""
-    sample = labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null")
-    rows = lexical(parsed(hashed_sample(sample, ["url", "label"], max_train))).persist()
-    seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    """Fit on a table ``url, label`` (1 = block).
+
+    The trees see at most ``max_train`` distinct urls, as many of each class as
+    there are, up to half of that number; a url weighs as many rows as it has,
+    and a class as many as it has in the table. Suffix and first-path
+    statistics come from all labelled rows.
+    """
+    rows = labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null")
+    seen = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("url").alias("urls")).collect()}
     if len(seen) < 2:
-        rows.unpersist()
         return UrlModel(None, None, None, next(iter(seen), 0.0))
     spark = rows.sparkSession
+    keyed = lexical(parsed(rows)).select("suffix", "head", "label")
     fixed = []
     for key in ("suffix", "head"):
-        got = _rates(rows, key, max_keys)
+        got = _rates(keyed, key, max_keys)
         fixed.append(spark.createDataFrame(got.collect(), got.schema))
     model = UrlModel(None, fixed[0], fixed[1], 0.0)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_joined(rows, model)).select("features", "label")
-    model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7, stepSize=0.3).fit(vectors.coalesce(2))
-    rows.unpersist()
+    parts = [_sampled(rows, label, r["urls"], max_train // len(seen)) for label, r in sorted(seen.items())]
+    sample = lexical(parsed(reduce(DataFrame.union, parts))).persist()
+    held = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    share = F.lit(1.0)
+    for label, r in seen.items():
+        share = F.when(F.col("label") == label, F.lit(r["n"] / held[label])).otherwise(share)
+    total = sum(r["n"] for r in seen.values())
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_joined(sample.withColumn("weight", F.col("n") * share / F.lit(total)), model)).select("features", "label", "weight")
+    model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7, stepSize=0.3, weightCol="weight").fit(vectors.coalesce(2))
+    sample.unpersist()
     return model
 
 

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import urls
 
@@ -58,3 +59,14 @@ def test_one_class_and_empty(spark, pages):
     only = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.net/")], "page_id long, url string")
     assert {r.verdict for r in urls.judge(only).collect()} == {"allow"}
     assert urls.judge(pages[1].limit(0)).collect() == []
+
+
+def test_many_rows_of_few_urls(spark):
+    """Two classes of few, often repeated urls both reach the trees; a hot url does not push the others out."""
+    hot = spark.range(300_000).select(F.concat(F.lit("http://a.example/"), (F.col("id") % 2).cast("string")).alias("url"), F.lit(0.0).alias("label"))
+    rare = spark.createDataFrame([(f"http://b.example/x{i % 2}?q=1&r=2&s=3", 1.0) for i in range(40)], "url string, label double")
+    model = urls.train(hot.union(rare), max_train=400)
+    assert model.trees is not None
+    got = urls.score(urls.parsed(spark.createDataFrame([("http://a.example/0", 0), ("http://b.example/x1?q=1&r=2&s=3", 1)], "url string, label int")), model).collect()
+    assert all((r.block_score >= 0.5) == (r.label == 1) for r in got)
+    assert {r.suffix: r.f_suffix_count for r in model.suffixes.collect()}["example"] > 12  # log of all 300,040 rows
