@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from quarry.llm.common import stage
 
 WINDOW = 10
+STRETCH = 2
 SEGMENT_TOKENS = 1_000_000
 BLOCK_BYTES = 16 << 20
 
@@ -44,10 +45,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-INDEX_SCHEMA = "doc_ids array<string>, doc_starts binary, doc_words binary, terms binary, list_starts binary, positions binary"
+INDEX_SCHEMA = "doc_ids array<string>, doc_rows binary, doc_starts binary, doc_words binary, terms binary, list_starts binary, positions binary"
 
 
-def _segment(ids: list, texts: list[list[bytes]]) -> dict:
+def _segment(ids: list, rows: list[int], texts: list[list[bytes]]) -> dict:
     numbers: defaultdict = defaultdict(itertools.count().__next__)
     counts = np.array([len(w) for w in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(counts + 1)[:-1]]).astype(np.int64)
@@ -59,31 +60,34 @@ def _segment(ids: list, texts: list[list[bytes]]) -> dict:
     term = place[term]
     order = np.argsort(term, kind="stable")
     lists = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    return {"doc_ids": ids, "doc_starts": starts.astype("<i8").tobytes(), "doc_words": counts.astype("<i8").tobytes(), "terms": b" ".join(terms),
+    return {"doc_ids": ids, "doc_rows": np.array(rows, "<i8").tobytes(), "doc_starts": starts.astype("<i8").tobytes(), "doc_words": counts.astype("<i8").tobytes(), "terms": b" ".join(terms),
             "list_starts": lists.astype("<i8").tobytes(), "positions": position[order].astype("<i4").tobytes()}
 
 
 def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """The index of ``doc_id, text``, written once to the shared folder.
 
+    Each row gets a number of its own, so rows that share an id, or have none,
+    stay apart; the numbers hold because they are written with the index.
     Documents stay whole: a segment ends with the document that takes it past
     ``segment_tokens``, so memory follows that bound plus the longest document.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, size = [], [], 0
+        ids, numbers, texts, size = [], [], [], 0
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for doc_id, number, text in zip(b["doc_id"], b["row"], b["text"]):
                 ids.append(doc_id)
+                numbers.append(number)
                 texts.append(words_of(text))
                 size += len(texts[-1]) + 1
                 if size >= segment_tokens:
-                    yield pd.DataFrame([_segment(ids, texts)])
-                    ids, texts, size = [], [], 0
+                    yield pd.DataFrame([_segment(ids, numbers, texts)])
+                    ids, numbers, texts, size = [], [], [], 0
         if ids:
-            yield pd.DataFrame([_segment(ids, texts)])
+            yield pd.DataFrame([_segment(ids, numbers, texts)])
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return stage(rows.mapInPandas(build, INDEX_SCHEMA), "index")
 
 
@@ -92,6 +96,7 @@ class Segment:
 
     def __init__(self, row):
         self.ids = list(row.doc_ids)
+        self.rows = np.frombuffer(row.doc_rows, "<i8")
         self.starts = np.frombuffer(row.doc_starts, "<i8")
         self.counts = np.frombuffer(row.doc_words, "<i8")
         self.lists = np.frombuffer(row.list_starts, "<i8")
@@ -153,12 +158,38 @@ class Segment:
         return at
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
+    def gathered(self, terms: np.ndarray, width: int) -> list[int]:
+        """Documents with a stretch of ``width`` words that holds all ``terms``.
+
+        Starts from the places that ``near`` leaves; for each, the starts of a
+        stretch that holds the place are narrowed term by term.
+        """
+        terms = np.unique(terms)
+        found: list[int] = []
+        for p in self.near(terms.tolist(), width - 1).tolist():
+            doc = int(np.searchsorted(self.starts, p, side="right") - 1)
+            if found and found[-1] == doc:
+                continue
+            low, high = max(p - width + 1, int(self.starts[doc])), min(p + width - 1, int(self.starts[doc] + self.counts[doc]) - 1)
+            starts = np.ones(width, bool)  # of the stretches from p - width + 1 to p
+            for t in terms:
+                places = self.positions[self.lists[t] : self.lists[t + 1]]
+                places = places[np.searchsorted(places, low) : np.searchsorted(places, high, side="right")] - (p - width + 1)
+                edges = np.zeros(2 * width + 1, np.int64)
+                np.add.at(edges, np.maximum(places - width + 1, 0), 1)
+                np.add.at(edges, places + 1, -1)
+                starts &= np.cumsum(edges)[:width] > 0
+            if starts.any():
+                found.append(doc)
+        return found
+
+
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The test items (item_id as string, words) in blocks of about ``block_bytes`` of text, by hash of the row.
 
-    Items with null ids or without words have no windows and are left out.
+    Items without words have no windows and are left out; null ids stay null.
     """
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for i in range(blocks):
@@ -185,7 +216,7 @@ def _windows(items: list[tuple[str, list[bytes]]], window: int) -> tuple[list[by
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Exact matches ``doc_id, item_id, start, stop`` (word positions, stop exclusive).
+    """Exact matches ``row, doc_id, item_id, start, stop`` (row number, word positions, stop exclusive).
 
     A window is ``window`` consecutive words of an item (all of a shorter
     item). Overlapping occurrences of one item's windows are merged into one
@@ -217,14 +248,14 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, block_byte
                     head = np.flatnonzero(fresh)
                     tail = np.r_[head[1:], len(doc)] - 1
                     base = seg.starts[doc[head]]
-                    yield pd.DataFrame({"doc_id": [seg.ids[d] for d in doc[head]], "item_id": [names[i] for i in item[head]],
+                    yield pd.DataFrame({"row": seg.rows[doc[head]], "doc_id": [seg.ids[d] for d in doc[head]], "item_id": [names[i] for i in item[head]],
                                         "start": start[head] - base, "stop": stop[tail] - base})
 
-        part = index.mapInPandas(search, "doc_id string, item_id string, start long, stop long")
+        part = index.mapInPandas(search, "row long, doc_id string, item_id string, start long, stop long")
         got = part if got is None else got.union(part)
     if got is None:
-        return index.sparkSession.createDataFrame([], "doc_id long, item_id string, start long, stop long")
-    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "item_id", "start", "stop")
+        return index.sparkSession.createDataFrame([], "row long, doc_id long, item_id string, start long, stop long")
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def proximity(index: DataFrame, items: DataFrame, slop: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -251,35 +282,64 @@ def proximity(index: DataFrame, items: DataFrame, slop: int, block_bytes: int =
     return got.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def gathered(index: DataFrame, items: DataFrame, stretch: int = STRETCH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Proximity matches ``row, doc_id, item_id``: all words of the item stand, in any order, inside some
+    stretch of the document that is ``stretch`` times as long as the item."""
+    got = None
+    for block in item_blocks(items, block_bytes):
+        shared = index.sparkSession.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for row in b.itertuples(index=False):
+                    seg, rows = Segment(row), []
+                    for name, words in shared.value:
+                        rows += [(seg.rows[d], seg.ids[d], name) for d in seg.gathered(seg.numbers(words), stretch * len(words))]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["row", "doc_id", "item_id"])
+
+        part = index.mapInPandas(search, "row long, doc_id string, item_id string")
+        got = part if got is None else got.union(part)
+    if got is None:
+        return index.sparkSession.createDataFrame([], "row long, doc_id long, item_id string")
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def document_words(index: DataFrame) -> DataFrame:
-    """``doc_id, n_words`` of every indexed document."""
+    """``row, doc_id, n_words`` of every indexed document."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                yield pd.DataFrame({"doc_id": list(row.doc_ids), "n_words": np.frombuffer(row.doc_words, "<i8")})
+                yield pd.DataFrame({"row": np.frombuffer(row.doc_rows, "<i8"), "doc_id": list(row.doc_ids), "n_words": np.frombuffer(row.doc_words, "<i8")})
 
-    return index.select("doc_ids", "doc_words").mapInPandas(count, "doc_id string, n_words long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return index.select("doc_ids", "doc_rows", "doc_words").mapInPandas(count, "row long, doc_id string, n_words long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: ``n_words, n_hit, n_items, items_sha256, contaminated``.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, stretch: int | None = None) -> DataFrame:
+    """Per document: ``n_words, n_hit, n_items, items_sha256, contaminated``, with ``stretch`` also ``n_near``.
 
-    A word is hit if it lies in an occurrence of any window. Null texts have no
-    words; an item without words has no window; an empty table of items leaves
-    every document clean. Rows that share a doc_id are each reported, with the
-    spans found in any of them; extra columns are ignored.
+    A word is hit if it lies in an occurrence of any window; ``n_near`` counts
+    the items whose words are all gathered in one place (``gathered``). Null
+    texts have no words; an item without words has no window; all items with
+    null ids count as one item, whose id is not in the hash; an empty table of
+    items leaves every document clean. Rows that share a doc_id, or have none,
+    are each reported with their own spans; extra columns are ignored.
     """
     index = build_index(docs)
     spans = stage(matches(index, items, window).distinct(), "matches")
     # union of spans per document: a span adds what lies beyond all earlier stops
-    by_start = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    flat = spans.select("doc_id", "start", "stop").distinct()
+    by_start = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    flat = spans.select("row", "start", "stop").distinct()
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(by_start), F.lit(0))))
-    hits = flat.withColumn("new", new).groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
-    names = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    hits = hits.join(names.withColumnRenamed("doc_id", "named"), F.col("doc_id").eqNullSafe(F.col("named"))).drop("named")
-    rows = document_words(index).join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    hits = flat.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"))
+    names = spans.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("unnamed"))
+    rows = document_words(index).join(hits.join(names, "row"), "row", "left")
     items_text = F.coalesce(F.array_join("items", ","), F.lit(""))
-    return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-                       F.sha2(items_text, 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    n_items = F.when(F.col("items").isNull(), 0).otherwise(F.size("items") + F.col("unnamed")).cast("long")
+    more = []
+    if stretch is not None:
+        near = gathered(index, items, stretch).groupBy("row").agg((F.count_distinct("item_id") + F.max(F.col("item_id").isNull().cast("long"))).alias("n_near"))
+        rows, more = rows.join(near, "row", "left"), [F.coalesce("n_near", F.lit(0)).alias("n_near")]
+    return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), n_items.alias("n_items"), F.sha2(items_text, 256).alias("items_sha256"),
+                       F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *more)

@@ -86,31 +86,39 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact benchmark windows in every document through the positional index."""
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    """Exact benchmark windows in every document, and items gathered in one place, through the positional index."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, stretch=2)
 
 
 # Words of an ASCII-lowered text; windows of the lengths that the items have, joined on their text.
 ORACLE["op6_decontamination"] = r"""
 WITH dw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 items AS (
   SELECT item_id, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
   FROM bw, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
 wins AS (SELECT DISTINCT size, win FROM items),
 spot AS (
-  SELECT d.doc_id, t.i, s.size, array_to_string(d.w[t.i : t.i + s.size - 1], ' ') AS win
+  SELECT d.r, t.i, s.size, array_to_string(d.w[t.i : t.i + s.size - 1], ' ') AS win
   FROM dw d, (SELECT DISTINCT size FROM wins) s, unnest(range(1, len(d.w) - s.size + 2)) AS t(i)),
-hit AS (SELECT spot.doc_id, spot.i, spot.size, spot.win FROM spot JOIN wins ON spot.size = wins.size AND spot.win = wins.win),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+hit AS (SELECT spot.r, spot.i, spot.size, spot.win FROM spot JOIN wins ON spot.size = wins.size AND spot.win = wins.win),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
 named AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT hit.doc_id, CAST(items.item_id AS VARCHAR) AS item FROM hit JOIN items ON hit.size = items.size AND hit.win = items.win) GROUP BY doc_id)
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT hit.r, CAST(items.item_id AS VARCHAR) AS item FROM hit JOIN items ON hit.size = items.size AND hit.win = items.win) GROUP BY r),
+need AS (SELECT k, item_id, 2 * len(w) AS width, len(list_distinct(w)) AS n, unnest(list_distinct(w)) AS word FROM bw WHERE len(w) > 0),
+pos AS (SELECT r, i, w[i] AS word FROM dw, unnest(range(1, len(w) + 1)) AS t(i) WHERE w[i] IN (SELECT word FROM need)),
+able AS (SELECT p.r, need.k FROM (SELECT DISTINCT r, word FROM pos) p JOIN need ON p.word = need.word GROUP BY p.r, need.k, need.n HAVING count(*) = need.n),
+place AS (SELECT able.r, able.k, need.item_id, need.width, need.n, pos.i, pos.word FROM able JOIN need ON able.k = need.k JOIN pos ON pos.r = able.r AND pos.word = need.word),
+close AS (
+  SELECT a.r, a.k, a.item_id FROM place a JOIN place b ON a.r = b.r AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.width
+  GROUP BY a.r, a.k, a.item_id, a.i, a.n HAVING count(DISTINCT b.word) = a.n),
+near AS (SELECT r, count(*) AS n_near FROM (SELECT DISTINCT r, item_id FROM close) GROUP BY r)
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(named.n_items, 0) AS n_items,
-  sha256(coalesce(named.items, '')) AS items_sha256, words.n_hit IS NOT NULL AS contaminated
-FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+  sha256(coalesce(named.items, '')) AS items_sha256, words.n_hit IS NOT NULL AS contaminated, coalesce(near.n_near, 0) AS n_near
+FROM dw LEFT JOIN words USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)
 """
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -16,21 +17,17 @@ def brute(docs, items, window):
     wins = {}
     for i, t in items:
         w = words(t)
-        if i is not None:
-            for a in range(max(1, len(w) - window + 1) if w else 0):
-                wins.setdefault(tuple(w[a : a + window]), set()).add(str(i))
-    found = {}
+        for a in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[a : a + window]), set()).add(i)
     for d, t in docs:
         w = words(t)
-        hit, names = found.setdefault(d, (set(), set()))
+        hit, names = set(), set()
         for a in range(len(w)):
             for n in {len(x) for x in wins}:
                 if tuple(w[a : a + n]) in wins and a + n <= len(w):
                     hit.update(range(a, a + n))
                     names.update(wins[tuple(w[a : a + n])])
-    for d, t in docs:
-        hit, names = found[d]
-        yield str(d), len(words(t)), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
+        yield str(d), len(words(t)), len(hit), len(names), hashlib.sha256(",".join(sorted(str(n) for n in names if n is not None)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +71,28 @@ def test_empty(docs, no_docs, items, hard_docs):
     assert decontam.contamination(no_docs, items[1]).collect() == []
     got = decontam.contamination(docs, items[1].limit(0)).collect()
     assert len(got) == len(hard_docs) and not any(r.contaminated for r in got)
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "short"), (1, text), (None, "clean"), (None, text), (None, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, text)], "item_id long, text string")
+    got = sorted((r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(docs, items).collect())
+    assert got == [(1, 0, 0, False), (1, 0, 0, False), (3, 0, 0, False), (11, 11, 2, True), (11, 11, 2, True)]
+
+
+@pytest.mark.parametrize("tokens", [10, 1_000_000])
+def test_gathered_matches_brute_force(spark, tokens):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40)))) for i in range(150)]
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 7)))) for i in range(40)]
+    want = set()
+    for d, t in docs:
+        for i, u in items:
+            w, need = t.split(), set(u.split())
+            width = 2 * len(u.split())
+            if need and any(need <= set(w[s : s + width]) for s in range(len(w))):
+                want.add((d, str(i)))
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"), tokens)
+    got = [(r.doc_id, r.item_id) for r in decontam.gathered(index, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
