@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from quarry import dims
 
 
+# The code points that Unicode calls white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(text: Column) -> Column:
-    """Strip every kind of white space at both ends (``trim`` strips blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Strip every kind of white space at both ends (``trim`` strips blanks only).
+
+    Each end is read once; a pattern such as ``\\s+$`` would start anew at every inner run of blanks.
+    """
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def slugify(text: Column) -> Column:

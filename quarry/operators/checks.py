@@ -15,19 +15,25 @@ from quarry import dims
 from quarry.functions.text import strip_ws
 from quarry.sources import registry as reg
 
-# Every JSON string token, consumed left to right; group 2 is ':' for object keys.
-_JSON_STRING_TOKEN = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+# Control characters never stand in a JSON text as such, so these two can hold the place of an escape.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
 
 
 def string_leaves(config_json: Column) -> Column:
     """Every string value (at any depth) of a JSON document in document order; object keys excluded.
 
-    The text itself is tokenised once it is known to be valid JSON: a parsed
-    VARIANT would give the values by sorted key.
+    The text itself is cut at its quotes once it is known to be valid JSON: a
+    parsed VARIANT would give the values by sorted key. Escaped backslashes and
+    quotes are put aside first, so the quotes left are the ends of strings and
+    every second part is a string, a key if a colon follows. All steps are
+    linear and none recurses, whatever the length of a string.
     """
     valid = F.when(F.try_parse_json(config_json).isNotNull(), config_json)
-    tokens = F.regexp_extract_all(valid, F.lit(_JSON_STRING_TOKEN), F.lit(0))
-    return F.transform(F.filter(tokens, lambda t: ~t.rlike(":$")), lambda t: F.substring(t, 2, F.length(t) - 2))
+    plain = F.replace(F.replace(valid, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    parts = F.split(plain, '"')
+    pairs = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda s, after: F.struct(s.alias("s"), after.alias("after")))
+    strings = F.filter(pairs, lambda p, i: (i % 2 == 1) & ~F.startswith(F.ltrim(p["after"], F.lit(" \t\r\n")), F.lit(":")))
+    return F.transform(strings, lambda p: F.replace(F.replace(p["s"], F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\")))
 
 
 def extract_variable_refs(df: DataFrame, config_col: str = "config") -> DataFrame:

@@ -18,7 +18,7 @@ PAT = dims.VAR_REF_PATTERN
 # ---------------------------------------------------------------- SQL pieces
 REFS_SQL = f"""SELECT workflow_id, slug AS node, cast(i - 1 AS INTEGER) AS ref_no,
   regexp_extract(m[i], '{PAT}', 1) AS slug, regexp_extract(m[i], '{PAT}', 2) AS path
-FROM (SELECT workflow_id, slug, regexp_extract_all(template, '{PAT}') AS m FROM v_node_cfg) x,
+FROM (SELECT workflow_id, slug, regexp_extract_all(concat(template, CASE WHEN workflow_id % 97 = 0 OR (workflow_id % 5003 = 0 AND slug = 'n1') THEN '{{{{ghost.output.late}}}}' ELSE '' END), '{PAT}') AS m FROM v_node_cfg) x,
   LATERAL (SELECT unnest(generate_series(1, len(m))) AS i) g"""
 
 J1_SQL = """SELECT workflow_id, 'entry' AS kind, entry AS ref FROM v_workflows w
@@ -200,8 +200,19 @@ def _cfg(spark, sf):
     return fx.v_node_configs(spark, sf)
 
 
+def _long_cfg(spark, sf):
+    """The configs, some with one more field: a prompt of thousands of escapes and, at its end, a reference.
+
+    Every 97th workflow gets about 3,000 characters, the first node of every 5003rd one million.
+    """
+    k = F.col("workflow_id")
+    times = F.when((k % 5003 == 0) & (F.col("slug") == "n1"), 33_000).when(k % 97 == 0, 100)
+    prompt = F.concat(F.substring("config", F.lit(1), F.length("config") - 1), F.lit(',"prompt" : "'), F.repeat(F.lit(r'He said \"go\" to C:\\x\\ \u00e9\n '), times), F.lit('{{ghost.output.late}}"}'))
+    return _cfg(spark, sf).withColumn("config", F.coalesce(prompt, "config"))
+
+
 def _refs_impl(spark, sf):
-    return _refs_of(_cfg(spark, sf))
+    return _refs_of(_long_cfg(spark, sf))
 
 
 def _refs_of(cfg):
@@ -285,7 +296,7 @@ def schema_rules(spark, sf):
 def _report(spark, sf):
     w, n, e = _staged_graph(spark, sf)
     cfg = cut_lineage(_cfg(spark, sf))
-    refs = cut_lineage(_refs_of(cfg))
+    refs = cut_lineage(_refs_impl(spark, sf))
     registry = reg.registry_frame(spark)
     schema_fail = (graph.edge_integrity(w, n, e).select("workflow_id")
                    .unionByName(checks.config_rules(cfg).select("workflow_id"))
