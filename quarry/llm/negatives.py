@@ -194,7 +194,7 @@ def searched(rows: DataFrame, anchors: DataFrame, same: bool, k: int) -> DataFra
     none = F.lit(None)
     data = rows.select("shard", F.lit(0).alias("tag"), "at", "row", "id", "none", "label", "v", none.cast("array<struct<w:long,least:long,most:long>>").alias("windows"))
     asked = anchors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards).cast("long"))).alias("shard"), F.lit(1).alias("tag"), F.col("row").alias("at"), "row", F.lit(0).cast("long").alias("id"), F.lit(False).alias("none"), "label", "v", "windows")
-    stream = data.unionByName(asked).repartition(shards + 1, "shard").sortWithinPartitions("shard", "tag", "at")
+    stream = data.unionByName(asked).repartitionByRange(shards + 1, "shard").sortWithinPartitions("shard", "tag", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("score", pa.int64()), ("none", pa.bool_()), ("id", pa.int64()), ("row", pa.int64())])
