@@ -1,11 +1,15 @@
-"""Registered resolution / sync queries."""
+"""Registered resolution / sync queries."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tf
 from quarry.operators import resolve as rs
+from quarry.operators import suggest as sg
 from quarry.plans.catalog import query
 from quarry.sources import fixtures as fx
 from quarry.sources.tables import table
@@ -136,6 +140,45 @@ def find_by_name(spark, sf):
     return rs.find_by_name(terms, names)
 
 
+def _catalog_names(spark, sf):
+    """Part, supplier, customer and nation names, each part name also in capitals."""
+    p, s, c, n = (table(spark, sf, t) for t in ("part", "supplier", "customer", "nation"))
+    parts = p.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    rows = [parts.select((F.col("k") * 10).alias("pos"), F.col("p_name").alias("name")), parts.select((F.col("k") * 10 + 1).alias("pos"), F.upper("p_name").alias("name")),
+            s.select((F.col("s_suppkey") * 10 + 2).alias("pos"), F.col("s_name").alias("name")), c.select((F.col("c_custkey") * 10 + 3).alias("pos"), F.col("c_name").alias("name")),
+            n.select((F.col("n_nationkey") * 10 + 4).alias("pos"), F.col("n_name").alias("name"))]
+    return reduce(DataFrame.unionByName, [r.withColumn("pos", F.col("pos").cast("long")) for r in rows])
+
+
+def _asked_names(spark, sf):
+    """Misspelt names: part names without their second letter, reversed or with one word only; numbers and nations garbled; and nobody."""
+    p, s, n = (table(spark, sf, t) for t in ("part", "supplier", "nation"))
+    name = F.col("p_name")
+    parts = p.select("p_name").distinct().select(F.explode(F.array(F.concat(F.substring(name, 1, 1), F.substring(name, 3, 99)), F.reverse(name), F.split(name, " ").getItem(0), F.concat(name, F.lit(" "), name))).alias("target"))
+    numbers = s.select(F.explode(F.array(F.upper("s_name"), F.replace("s_name", F.lit("ppl"), F.lit("pl")), F.concat(F.lit("Customer"), F.substring("s_name", 9, 11)))).alias("target"))
+    return reduce(DataFrame.unionByName, [parts, numbers, n.select(F.replace("n_name", F.lit("NATION_"), F.lit("nation ")).alias("target")), spark.createDataFrame([("nobody",), ("",), ("zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz",)], "target string")])
+
+
+@query("suggest_names", """WITH p AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1),
+cat AS (SELECT lower(name) AS name, arg_max(name, pos) AS shown FROM (SELECT k * 10 AS pos, p_name AS name FROM p UNION ALL SELECT k * 10 + 1, upper(p_name) FROM p
+  UNION ALL SELECT s_suppkey * 10 + 2, s_name FROM supplier UNION ALL SELECT c_custkey * 10 + 3, c_name FROM customer UNION ALL SELECT n_nationkey * 10 + 4, n_name FROM nation) x GROUP BY 1),
+t AS (SELECT DISTINCT target FROM (SELECT unnest([concat(substr(p_name, 1, 1), substr(p_name, 3)), reverse(p_name), split_part(p_name, ' ', 1), concat(p_name, ' ', p_name)]) AS target FROM p
+  UNION ALL SELECT unnest([upper(s_name), replace(s_name, 'ppl', 'pl'), concat('Customer', substr(s_name, 9, 11))]) FROM supplier
+  UNION ALL SELECT replace(n_name, 'NATION_', 'nation ') FROM nation UNION ALL SELECT unnest(['nobody', '', 'zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz'])) y),
+s AS (SELECT target, shown, cat.name, CASE WHEN greatest(length(target), length(cat.name)) = 0 THEN 1.0 ELSE 1 - levenshtein(lower(target), cat.name) / greatest(length(target), length(cat.name)) END AS score FROM t, cat),
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, name DESC) AS rank FROM s WHERE score >= 0.4)
+SELECT target, cast(rank AS INTEGER) AS rank, shown AS name, cast(score AS DOUBLE) AS score FROM r WHERE rank <= 3""")
+def suggest_names(spark, sf):
+    """J10 by edit distance over a catalog of all names of the tables."""
+    return sg.suggest_names(_asked_names(spark, sf), _catalog_names(spark, sf), measure="edit")
+
+
+@query("suggest_names_ratio")
+def suggest_names_ratio(spark, sf):
+    """J10 by matching blocks (no SQL for that measure; held against brute force in tests)."""
+    return sg.suggest_names(_asked_names(spark, sf), _catalog_names(spark, sf), measure="ratio")
+
+
 @query("catalog_listing", f"""WITH w AS (SELECT {usql("'wf'", 'n_nationkey')} AS id, n_nationkey, n_regionkey, n_name FROM nation),
 m AS (SELECT w.id, concat(w.n_name, ' / ', r.r_name) AS name FROM w JOIN region r ON r.r_regionkey = w.n_regionkey WHERE w.n_regionkey <> 4)
 SELECT w.id, coalesce(m.name, concat('Workflow ', substr(w.id, 1, 8))) AS name FROM w LEFT JOIN m ON m.id = w.id""")
