@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry import dims
 from quarry.operators import checks, graph
 from quarry.plans.catalog import query
 from quarry.plans.sqlgen import in_list, q
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, ensure_checkpoint_dir
+from quarry.sources import definition_files
 from quarry.sources import fixtures as fx
 from quarry.sources import registry as reg
 from quarry.sources.definitions import composite_records, explode_composite_edges, explode_composite_nodes, split_definitions
@@ -328,6 +331,64 @@ def scan_definitions(spark, sf):
     return ok.select("file", F.lit("accepted").alias("verdict")).unionByName(bad.withColumnRenamed("reason", "verdict"))
 
 
+def _yaml_files(spark, sf):
+    """A folder of YAML streams with one definition per workflow, written by Spark.
+
+    Every 13th text breaks the syntax in its second line, every 17th is a list, every 19th lacks its edges.
+    """
+    w, n, e = _graph(spark, sf)
+    k, quoted = F.col("workflow_id"), lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    nl = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    one = nl("  ", F.col("slug"), ":\n    type: ", F.col("type"), "\n    execution_mode: ", F.when(F.col("pos") % 2 == 0, F.lit("FLOW")).otherwise(F.lit("INPUT")),
+             "\n    config: {place: ", F.col("pos").cast("string"), ', note: "{{', F.col("slug"), '.output.text}} \\"x\\""}\n')
+    nodes = n.groupBy("workflow_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("y")))), lambda x: x["y"]), "").alias("nodes"))
+    two = nl("  - from: ", quoted("src"), "\n    to: ", quoted("dst"), F.when(F.col("type") != "STATIC", nl("\n    type: ", F.col("type"))).otherwise(F.lit("")), "\n")
+    edges = e.groupBy("workflow_id").agg(F.array_join(F.array_sort(F.collect_list(two)), "").alias("edges"))
+    full = nl("---\nname: wf-", k.cast("string"), F.when(k % 13 == 0, F.lit(": broken")).otherwise(F.lit("")), "\nentry: ", F.col("entry"), "\nexit: ", F.col("exit"), "\nnodes:\n", F.col("nodes"),
+              F.when(k % 19 == 0, F.lit("")).otherwise(F.coalesce(nl("edges:\n", F.col("edges")), F.lit("edges: []\n"))))
+    text = F.when((k % 17 == 0) & (k % 13 != 0), nl("---\n- wf-", k.cast("string"), "\n")).otherwise(full)
+    folder = f"{ensure_checkpoint_dir(spark)}/definitions-{uuid.uuid4().hex}"
+    w.join(nodes, "workflow_id").join(edges, "workflow_id", "left").select(text.alias("value")).write.text(folder)
+    return folder
+
+
+def _definitions(spark, sf):
+    return definition_files.read_definitions(spark, _yaml_files(spark, sf), many=True)
+
+
+_SOUND = "workflow_id % 13 <> 0 AND workflow_id % 17 <> 0 AND workflow_id % 19 <> 0"
+
+
+@query("definition_workflows", f"""SELECT concat('wf-', cast(workflow_id AS VARCHAR)) AS name, entry, exit, (SELECT cast(count(*) AS INTEGER) FROM v_nodes n WHERE n.workflow_id = w.workflow_id) AS n_nodes,
+  (SELECT cast(count(*) AS INTEGER) FROM v_edges e WHERE e.workflow_id = w.workflow_id) AS n_edges FROM v_workflows w WHERE {_SOUND}""")
+def definition_workflows(spark, sf):
+    """The workflow rows of YAML files."""
+    return definition_files.workflow_rows(_definitions(spark, sf)).select("name", "entry", "exit", "n_nodes", "n_edges")
+
+
+@query("definition_nodes", f"""SELECT concat('wf-', cast(workflow_id AS VARCHAR)) AS name, cast(row_number() OVER (PARTITION BY workflow_id ORDER BY pos) - 1 AS INTEGER) AS pos, slug, type,
+  CASE WHEN pos % 2 = 0 THEN 'FLOW' ELSE 'INPUT' END AS execution_mode, concat('{{"place":', cast(pos AS VARCHAR), ',"note":"{{{{', slug, '.output.text}}}} \\"x\\""}}') AS config FROM v_nodes WHERE {_SOUND}""")
+def definition_nodes(spark, sf):
+    """The node rows of YAML files."""
+    return definition_files.node_rows(_definitions(spark, sf)).select("name", "pos", "slug", "type", "execution_mode", "config")
+
+
+@query("definition_edges", f"SELECT concat('wf-', cast(workflow_id AS VARCHAR)) AS name, src, dst, type FROM v_edges WHERE {_SOUND}")
+def definition_edges(spark, sf):
+    """The edge rows of YAML files."""
+    return definition_files.edge_rows(_definitions(spark, sf)).select("name", "src", "dst", "type")
+
+
+@query("definition_rejects", """SELECT kind, line, col, message, count(*) AS n FROM (
+  SELECT CASE WHEN workflow_id % 13 = 0 THEN 'syntax' ELSE 'schema' END AS kind, CASE WHEN workflow_id % 13 = 0 THEN 2 END AS line,
+    CASE WHEN workflow_id % 13 = 0 THEN cast(length(concat('name: wf-', cast(workflow_id AS VARCHAR), ':')) AS INTEGER) END AS col,
+    CASE WHEN workflow_id % 13 = 0 THEN 'mapping values are not allowed here' WHEN workflow_id % 17 = 0 THEN 'a definition is a mapping' ELSE 'edges: Field required' END AS message
+  FROM v_workflows WHERE workflow_id % 13 = 0 OR workflow_id % 17 = 0 OR workflow_id % 19 = 0) x GROUP BY ALL""")
+def definition_rejects(spark, sf):
+    """Bad definitions by kind, line, column and message."""
+    return definition_files.reject_rows(_definitions(spark, sf)).groupBy("kind", "line", "col", "message").agg(F.count("*").alias("n"))
+
+
 @query("check_report", REPORT_SQL + "\nSELECT workflow_id, check_no, check_name, status FROM rep")
 def check_report(spark, sf):
     return _report(spark, sf)
