@@ -37,6 +37,16 @@ def retrieve_top_k(spark, sf):
     return r.select("query_id", "rank", "vec_id", "source", F.round("score", 6).alias("score"))
 
 
+@query("retrieve_results", f"""SELECT query_id, cast(count(*) AS INTEGER) AS n, string_agg(concat(cast(rank AS VARCHAR), ':', cast(t.vec_id AS VARCHAR), ':', coalesce(md5(d.text), '-'), ':', coalesce(d.lang, '-')), ' ' ORDER BY rank) AS results
+FROM ({L1_SQL}) t LEFT JOIN documents d ON d.doc_id = t.vec_id GROUP BY query_id""")
+def retrieve_results(spark, sf):
+    """L1 with the content (a document's text, shown as its hash) and metadata (its language) of every result."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), F.struct("lang").alias("metadata"))
+    top = rt.retrieve_top_k(_queries(spark, sf), _corpus(spark, sf), k=5, threshold=0.2)
+    shown = F.transform("results", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["vec_id"].cast("string"), F.coalesce(F.md5(r["content"]), F.lit("-")), F.coalesce(r["metadata"]["lang"], F.lit("-"))))
+    return rt.with_content(top, docs).select("query_id", F.size("results").alias("n"), F.array_join(shown, " ").alias("results"))
+
+
 L2_SQL = """SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, cast(source AS INTEGER) AS source, round(score, 6) AS score FROM (
   SELECT q.vec_id AS query_id, c.vec_id, c.label AS source, s.score,
     row_number() OVER (PARTITION BY q.vec_id, c.label ORDER BY s.score DESC, c.vec_id) AS rank
