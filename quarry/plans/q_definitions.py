@@ -231,18 +231,38 @@ def edge_integrity(spark, sf):
 
 @query("unreachable_nodes", f"WITH RECURSIVE {REACH_CTES} SELECT workflow_id, slug FROM unreach")
 def unreachable_nodes(spark, sf):
-    """G1: frontier loop from every entry at once (iterative; SQL oracle uses recursion)."""
+    """G1: walks from every entry at once, doubled round by round (SQL oracle uses recursion)."""
     w, n, e = _staged_graph(spark, sf)
     return graph.unreachable_nodes(w, n, e)
 
 
 @query("cyclic_workflows", f"WITH RECURSIVE {CYCLE_CTES} SELECT workflow_id, n_core_nodes FROM cyclic")
 def cyclic_workflows(spark, sf):
-    """Peel loop; ``n_core_nodes`` counts nodes on or between cycles."""
+    """``n_core_nodes`` counts nodes on or between cycles."""
     _, n, e = _staged_graph(spark, sf)
     return graph.cyclic_workflows(n, e)
 
 
+@query("cycle_members", f"""WITH RECURSIVE {CYCLE_CTES}
+SELECT a.workflow_id, a.a AS n, min(a.b) AS component FROM cr a JOIN cr b ON a.workflow_id = b.workflow_id AND a.a = b.b AND a.b = b.a GROUP BY 1, 2""")
+def cycle_members(spark, sf):
+    """Nodes that lie on a cycle, by strongly connected component."""
+    _, n, e = _staged_graph(spark, sf)
+    return graph.cycle_members(n, e)
+
+
+@query("cycle_witness", f"""WITH RECURSIVE {CYCLE_CTES},
+f AS (SELECT ce.workflow_id, ce.src, min(ce.dst) AS dst FROM ce JOIN core a ON a.workflow_id = ce.workflow_id AND a.n = ce.src JOIN core b ON b.workflow_id = ce.workflow_id AND b.n = ce.dst GROUP BY 1, 2),
+walk(workflow_id, n, seen, again) AS (SELECT workflow_id, min(src), list_value(min(src)), false FROM f GROUP BY 1
+  UNION ALL SELECT w.workflow_id, f.dst, list_append(w.seen, f.dst), list_contains(w.seen, f.dst) FROM walk w JOIN f ON f.workflow_id = w.workflow_id AND f.src = w.n WHERE NOT w.again),
+ring AS (SELECT workflow_id, seen[list_position(seen, n) : len(seen) - 1] AS r FROM walk WHERE again)
+SELECT workflow_id, array_to_string(r[list_position(r, list_min(r)) :] || r[1 : list_position(r, list_min(r)) - 1] || [list_min(r)], ' -> ') AS cycle_path FROM ring""")
+def cycle_witness(spark, sf):
+    """One cycle of each cyclic workflow."""
+    _, n, e = _staged_graph(spark, sf)
+    return graph.cycle_witness(n, e)
+
+
 @query("extract_variable_refs", REFS_SQL)
 def extract_variable_refs(spark, sf):
     return _refs_impl(spark, sf)
