@@ -180,7 +180,8 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             colour, changed = moved.drop("new"), seen.changed
         back = ways.join(colour.select("workflow_id", F.col("n").alias("src"), F.col("c").alias("cs")), ["workflow_id", "src"]).join(
             colour.select("workflow_id", F.col("n").alias("dst"), F.col("c").alias("cd")), ["workflow_id", "dst"]).where("cs = cd")
-        found = _strides(colour.where("n = c").select("workflow_id", "n"), back.select("workflow_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = colour.select("workflow_id", F.col("c").alias("n")).distinct()  # a component's least node has its own name as colour
+        found = _strides(roots, back.select("workflow_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
         part = cut_lineage(colour.join(found, ["workflow_id", "n"], "left_semi").withColumnRenamed("c", "component"))
         parts.append(part)
         left, n = cut_and_count(left.join(part, ["workflow_id", "n"], "left_anti"))
