@@ -1,7 +1,7 @@
 """Definition checks over ``nodes(workflow_id, slug, type, config JSON)`` tables.
 
 F12 reference extraction, J5-J8 checks, P9/P10 field rules, F23 config
-rules, F24 JSON-Schema subset, A14 report, A15 tally. Only the fixed rule tables
+rules, A14 report, A15 tally (F24 is in ``contract``). Only the fixed rule tables
 are broadcast by hint; registry tables come from the caller, and Spark picks
 their join by size.
 """
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from quarry import dims
 from quarry.functions.text import strip_ws
-from quarry.sources import registry as reg
 
 # Control characters never stand in a JSON text as such, so these two can hold the place of an escape.
 _BACKSLASH, _QUOTE = "\x01", "\x02"
@@ -164,53 +163,6 @@ def config_rules(nodes: DataFrame, config_col: str = "config") -> DataFrame:
     return nodes.select("workflow_id", "slug", "type", F.explode(arr).alias("violation"))
 
 
-def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str = "config") -> DataFrame:
-    """JSON-Schema subset per node type -> ``(workflow_id, node, field, kind, message, suggestion)``."""
-    spark = nodes.sparkSession
-    rules = F.broadcast(spark.createDataFrame(reg.schema_rules(snapshot),
-                                              "utype string, field string, kind string, arg string"))
-    x = nodes.withColumn("utype", F.upper("type")).join(rules, "utype")
-    v = F.try_parse_json(F.col(config_col))
-    val = F.try_variant_get(v, F.concat(F.lit("$."), F.col("field")), "variant")
-    vtype = F.schema_of_variant(val)
-    num = F.try_variant_get(v, F.concat(F.lit("$."), F.col("field")), "double")
-    sval = F.to_json(val)
-    arg = F.col("arg")
-    argnum = arg.cast("double")
-    json_type = (F.when(vtype.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
-                 .when(vtype.startswith("DECIMAL") | vtype.isin("DOUBLE", "FLOAT"), "number")
-                 .when(vtype == "STRING", "string").when(vtype == "BOOLEAN", "boolean")
-                 .when(vtype.startswith("ARRAY"), "array").when(vtype.startswith("OBJECT"), "object")
-                 .otherwise("null"))
-    # a type is one name or a list of names, any of which may hold
-    wanted = F.when(arg.startswith("["), F.from_json(arg, "array<string>")).otherwise(F.array(F.regexp_replace(arg, '"', "")))
-    want = F.array_join(wanted, "', '")
-    type_ok = F.array_contains(wanted, json_type) | (F.array_contains(wanted, F.lit("number")) & (json_type == "integer")) | \
-              (F.array_contains(wanted, F.lit("integer")) & (json_type == "number") & (num == F.floor(num)))
-    k = F.col("kind")
-    msg = (F.when((k == "required") & val.isNull(), F.concat(F.lit("'"), F.col("field"), F.lit("' is a required property")))
-           .when(val.isNull(), F.lit(None))
-           .when((k == "type") & ~type_ok, F.concat(sval, F.lit(" is not of type '"), want, F.lit("'")))
-           .when((k == "anyOf") & ~type_ok, F.concat(sval, F.lit(" is not valid under any of the given schemas")))
-           .when((k == "minimum") & (num < argnum), F.concat(sval, F.lit(" is less than the minimum of "), arg))
-           .when((k == "maximum") & (num > argnum), F.concat(sval, F.lit(" is greater than the maximum of "), arg))
-           .when((k == "exclusiveMinimum") & (num <= argnum),
-                 F.concat(sval, F.lit(" is less than or equal to the minimum of "), arg))
-           .when((k == "minLength") & (F.length(F.try_variant_get(val, "$", "string")) < argnum),
-                 F.concat(sval, F.lit(" is too short")))
-           .when((k == "enum") & ~F.array_contains(F.from_json(arg, "array<string>"),
-                                                   F.try_variant_get(val, "$", "string")),
-                 F.concat(sval, F.lit(" is not one of "), arg)))
-    field_out = F.when(k == "required", F.lit("(root)")).otherwise(F.col("field"))
-    named = F.concat(F.lit("'"), want, F.lit("'"))
-    fix = (F.when(k == "required", F.concat(F.lit("Add the required field '"), F.col("field"), F.lit("' to your "), F.col("utype"), F.lit(" config")))
-           .when(k == "type", F.concat(F.lit("Change the value to type "), F.when(F.size(wanted) > 1, F.concat(F.lit("["), named, F.lit("]"))).otherwise(named)))
-           .when(k == "anyOf", F.concat(F.lit("Expected "), F.array_join(wanted, " or "))))
-    return (x.select("workflow_id", F.col("slug").alias("node"), field_out.alias("field"), "kind",
-                     msg.alias("message"), fix.alias("suggestion"))
-            .where(F.col("message").isNotNull()))
-
-
 def check_report(workflows: DataFrame, nodes: DataFrame, edges: DataFrame,
                  registry: DataFrame | None, schema_fail: DataFrame, unreachable: DataFrame,
                  cyclic: DataFrame, invalid_refs: DataFrame, unsupported: DataFrame,
@@ -266,5 +218,5 @@ def check_tally(report: DataFrame) -> DataFrame:
 
 
 __all__ = ["extract_variable_refs", "invalid_variable_refs", "output_path_check", "type_status_check",
-           "field_drift", "path_confined", "removed_fields", "config_rules", "schema_rules",
+           "field_drift", "path_confined", "removed_fields", "config_rules",
            "check_report", "check_tally"]

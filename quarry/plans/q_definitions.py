@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry import dims
-from quarry.operators import checks, graph
+from quarry.operators import checks, contract, graph
 from quarry.plans.catalog import query
 from quarry.plans.sqlgen import in_list, q
 from quarry.session import cut_lineage, ensure_checkpoint_dir
@@ -134,25 +134,29 @@ P10_SQL = """SELECT workflow_id, slug, type, field, message FROM (
   UNION ALL SELECT workflow_id, slug, type, 'disableRAG', 'RAG_AGENT nodes no longer support disableRAG. Remove this field.'
     FROM v_node_cfg WHERE type = 'rag_agent' AND ln % 5 = 0) x"""
 
+# The client-only keys are gone and the others renamed before a schema sees a config.
 F24_SQL = """SELECT workflow_id, node, field, kind, message, suggestion FROM (
   SELECT workflow_id, slug AS node, 'temperature' AS field, 'maximum' AS kind,
     concat(cast(temperature AS VARCHAR), ' is greater than the maximum of 2') AS message, NULL AS suggestion FROM v_node_cfg
     WHERE type = 'llm_call' AND temperature > 2
-  UNION ALL SELECT workflow_id, slug, 'maxTokens', 'exclusiveMinimum',
+  UNION ALL SELECT workflow_id, slug, 'max_tokens', 'exclusiveMinimum',
     concat(cast(maxTokens AS VARCHAR), ' is less than or equal to the minimum of 0'), NULL FROM v_node_cfg
     WHERE type = 'llm_call' AND maxTokens <= 0
-  UNION ALL SELECT workflow_id, slug, '(root)', 'required', '''searchQuery'' is a required property',
-    'Add the required field ''searchQuery'' to your RETRIEVE config' FROM v_node_cfg WHERE type = 'retrieve'
-  UNION ALL SELECT workflow_id, slug, 'topK', 'minimum', concat(cast(topK AS VARCHAR), ' is less than the minimum of 1'), NULL
+  UNION ALL SELECT workflow_id, slug, '(root)', 'required', '''owner'' is a required property', 'Add the required field ''owner'' to your LLM_CALL config' FROM v_node_cfg WHERE type = 'llm_call'
+  UNION ALL SELECT workflow_id, slug, 'meta.{{ghost.output.x}}', 'type', '''key only'' is not of type ''integer''', 'Change the value to type ''integer''' FROM v_node_cfg WHERE type = 'llm_call'
+  UNION ALL SELECT workflow_id, slug, '(root)', 'required', '''query'' is a required property',
+    'Add the required field ''query'' to your RETRIEVE config' FROM v_node_cfg WHERE type = 'retrieve'
+  UNION ALL SELECT workflow_id, slug, 'meta', 'closed', 'Additional properties are not allowed (''{{ghost.output.x}}'' was unexpected)', NULL FROM v_node_cfg WHERE type = 'retrieve'
+  UNION ALL SELECT workflow_id, slug, 'top_k_results', 'minimum', concat(cast(topK AS VARCHAR), ' is less than the minimum of 1'), NULL
     FROM v_node_cfg WHERE type IN ('retrieve', 'rag_agent') AND topK < 1
-  UNION ALL SELECT workflow_id, slug, 'scoreThreshold', 'maximum',
-    concat(cast(scoreThreshold AS VARCHAR), ' is greater than the maximum of 1'), NULL FROM v_node_cfg
-    WHERE type = 'retrieve' AND scoreThreshold > 1
-  UNION ALL SELECT workflow_id, slug, 'extractionPrompt', 'type', '"x" is not of type ''integer'', ''null''',
+  UNION ALL SELECT workflow_id, slug, 'extractionPrompt', 'type', '''x'' is not of type ''integer'', ''null''',
     'Change the value to type [''integer'', ''null'']' FROM v_node_cfg WHERE type = 'retrieve' AND ln % 4 = 0
-  UNION ALL SELECT c.workflow_id, c.slug, 'knowledge_base_names', 'anyOf',
-    concat('["kb-', cast(l.l_partkey % 7 AS VARCHAR), '"] is not valid under any of the given schemas'), 'Expected string or null'
-    FROM v_node_cfg c JOIN v_line l ON l.l_orderkey = c.workflow_id AND l.l_linenumber = c.ln WHERE type = 'rag_agent' AND has_kb_names) x"""
+  UNION ALL SELECT c.workflow_id, c.slug, 'zz_note', 'anyOf',
+    concat('''{{n', cast(l.l_partkey % 8 AS VARCHAR), '.output.note}}'' is not valid under any of the given schemas'), 'Expected number or null'
+    FROM v_node_cfg c JOIN v_line l ON l.l_orderkey = c.workflow_id AND l.l_linenumber = c.ln WHERE type = 'rag_agent'
+  UNION ALL SELECT c.workflow_id, c.slug, 'knowledge_base_names.0', 'type',
+    concat('''kb-', cast(l.l_partkey % 7 AS VARCHAR), ''' is not of type ''integer'''), 'Change the value to type ''integer'''
+    FROM v_node_cfg c JOIN v_line l ON l.l_orderkey = c.workflow_id AND l.l_linenumber = c.ln WHERE type = 'structured_output' AND has_kb_names) x"""
 
 REPORT_SQL = f"""WITH RECURSIVE refs AS ({REFS_SQL}),
 {REACH_CTES},
@@ -313,7 +317,7 @@ def config_rules(spark, sf):
 
 @query("schema_rules", F24_SQL)
 def schema_rules(spark, sf):
-    return checks.schema_rules(_cfg(spark, sf))
+    return contract.schema_rules(_cfg(spark, sf))
 
 
 def _report(spark, sf):

@@ -21,25 +21,26 @@ SAMPLE = {
          "output_variables": [{"path": "output.text"}, {"path": "output.response"}],
          "fields": [{"name": n} for n in ["name", "description", "model", "template",
                                           "system_prompt", "temperature", "maxTokens", "stream"]],
-         "config_json_schema": {"type": "object", "required": ["model", "template"],
+         "config_json_schema": {"type": "object", "required": ["model_name", "system_prompt", "owner"],
                                 "properties": {"temperature": {"type": "number", "minimum": 0, "maximum": 2},
-                                               "maxTokens": {"type": "integer", "exclusiveMinimum": 0},
-                                               "model": {"type": "string", "minLength": 1}}}},
+                                               "max_tokens": {"type": "integer", "exclusiveMinimum": 0},
+                                               "model_name": {"type": "string", "minLength": 1},
+                                               "meta": {"type": "object", "additionalProperties": {"type": "integer"}}}}},
         {"type": "RETRIEVE", "status": "active",
          "output_variables": [{"path": "output.results"}, {"path": "output.files"}, {"path": "output.text"}],
          "fields": [{"name": n} for n in ["knowledgeBaseId", "topK", "searchQuery", "scoreThreshold",
                                           "includeMetadata", "enableReranking"]],
-         "config_json_schema": {"type": "object", "required": ["searchQuery"],
-                                "properties": {"topK": {"type": "integer", "minimum": 1},
-                                               "scoreThreshold": {"type": "number", "minimum": 0, "maximum": 1},
+         "config_json_schema": {"type": "object", "required": ["query"],
+                                "properties": {"top_k_results": {"type": "integer", "minimum": 1},
+                                               "meta": {"type": "object", "additionalProperties": False, "properties": {"a": {"$ref": "#/$defs/Count"}}},
                                                "extractionPrompt": {"type": ["integer", "null"]},
                                                "agent_name": {"type": ["string", "null"]}}}},
         {"type": "RAG_AGENT", "status": "inactive",
          "output_variables": [{"path": "output.text"}],
          "fields": [{"name": n} for n in ["agentId", "knowledgeBaseIds", "topK"]],
          "config_json_schema": {"type": "object",
-                                "properties": {"topK": {"$ref": "#/$defs/Count"},
-                                               "knowledge_base_names": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}},
+                                "properties": {"top_k_results": {"$ref": "#/$defs/Count"},
+                                               "zz_note": {"anyOf": [{"type": "number"}, {"type": "null"}]}}}},
         {"type": "PLAIN_TXT_INPUT", "status": "active",
          "output_variables": [{"path": "output.text"}],
          "fields": [{"name": n} for n in ["placeholder", "metadata"]],
@@ -47,7 +48,8 @@ SAMPLE = {
         {"type": "STRUCTURED_OUTPUT", "status": "active",
          "output_variables": [{"path": "output.data"}],
          "fields": [{"name": n} for n in ["schema", "model", "primaryInput"]],
-         "config_json_schema": {"type": "object", "required": ["model"]}},
+         "config_json_schema": {"type": "object", "required": ["model_name"],
+                                "properties": {"knowledge_base_names": {"type": "array", "items": {"type": "integer"}}}}},
     ]
 }
 
@@ -73,28 +75,3 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         F.expr("filter(transform(output_variables, v -> v.path), p -> p is not null)").alias("outputs"),
         F.expr("filter(transform(fields, f -> f.name), p -> p is not null)").alias("fields"),
         F.to_json("config_json_schema").alias("config_schema"))
-
-
-def schema_rules(snapshot: dict | None = None) -> list[tuple]:
-    """Flatten each type's JSON Schema to ``(type, field, kind, arg)`` rules.
-
-    Supported subset: required, type (one or several), anyOf of types, enum,
-    minimum, maximum, exclusiveMinimum, minLength on top-level properties.
-    A property may refer to a definition (``$ref``) of its own schema or of the
-    snapshot's shared ``schema_definitions``; its own come first.
-    """
-    snap = snapshot or SAMPLE
-    out: list[tuple] = []
-    for t in snap["all_node_types"]:
-        s = t.get("config_json_schema") or {}
-        shared = {**(snap.get("schema_definitions") or {}), **(s.get("$defs") or {})}
-        for f in s.get("required", []):
-            out.append((t["type"], f, "required", None))
-        for f, p in (s.get("properties") or {}).items():
-            p = {**shared.get(str(p.get("$ref", "")).rsplit("/", 1)[-1], {}), **p}
-            for kind in ("type", "enum", "minimum", "maximum", "exclusiveMinimum", "minLength"):
-                if kind in p:
-                    out.append((t["type"], f, kind, json.dumps(p[kind])))
-            if types := [x["type"] for x in p.get("anyOf", []) if "type" in x]:
-                out.append((t["type"], f, "anyOf", json.dumps(types)))
-    return out

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tf
-from quarry.operators import checks, outcomes, resolve, tables
+from quarry.operators import checks, contract, outcomes, resolve, tables
 
 
 def test_find_by_name_counts_entries(spark):
@@ -56,7 +56,7 @@ def test_references_come_in_document_order(spark):
 def test_types_may_be_lists(spark):
     snap = {"all_node_types": [{"type": "T", "config_json_schema": {"properties": {"f": {"type": ["string", "null"]}, "g": {"type": "integer"}}}}]}
     rows = spark.createDataFrame([(1, "a", "t", '{"f": "x", "g": 1.0}'), (1, "b", "t", '{"f": null, "g": 2}'), (1, "c", "t", '{"f": 3}')], "workflow_id long, slug string, type string, config string")
-    got = [(r.node, r.message, r.suggestion) for r in checks.schema_rules(rows, snap).collect()]
+    got = [(r.node, r.message, r.suggestion) for r in contract.schema_rules(rows, snap).collect()]
     assert got == [("c", "3 is not of type 'string', 'null'", "Change the value to type ['string', 'null']")]
 
 
@@ -64,7 +64,7 @@ def test_schemas_share_definitions_and_alternatives(spark):
     snap = {"schema_definitions": {"N": {"type": "integer"}, "M": {"type": "string"}}, "all_node_types": [{"type": "T", "config_json_schema": {
         "$defs": {"M": {"type": "boolean"}}, "properties": {"a": {"$ref": "#/$defs/N"}, "b": {"$ref": "#/$defs/M"}, "c": {"anyOf": [{"type": "string"}, {"type": "number"}]}}}}]}
     rows = [(1, "ok", "t", '{"a": 1, "b": true, "c": 2}'), (1, "bad", "t", '{"a": "x", "b": "y", "c": []}')]
-    got = {(r.node, r.field): (r.kind, r.suggestion) for r in checks.schema_rules(spark.createDataFrame(rows, "workflow_id long, slug string, type string, config string"), snap).collect()}
+    got = {(r.node, r.field): (r.kind, r.suggestion) for r in contract.schema_rules(spark.createDataFrame(rows, "workflow_id long, slug string, type string, config string"), snap).collect()}
     assert got == {("bad", "a"): ("type", "Change the value to type 'integer'"), ("bad", "b"): ("type", "Change the value to type 'boolean'"), ("bad", "c"): ("anyOf", "Expected string or number")}
 
 
