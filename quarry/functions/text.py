@@ -103,10 +103,10 @@ def content_preview(text: Column, limit: int = 200) -> Column:
 
 
 def event_preview(payload_json: Column, limit: int = 100) -> Column:
-    """preview of an event payload: its ``text``, else ``content``, else ``response``, else the payload itself."""
+    """preview of an event payload: its ``text``, else ``content``, else ``response`` (200 characters), else the payload itself (``limit``)."""
     v = F.try_parse_json(payload_json)
-    text = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("text", "content", "response")], payload_json)
-    return output_preview(text, limit)
+    text = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("text", "content", "response")])
+    return F.coalesce(output_preview(text), output_preview(payload_json, limit))
 
 
 def parse_json_object(text: Column) -> tuple[Column, Column]:

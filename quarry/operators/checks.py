@@ -8,6 +8,8 @@ their join by size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,18 +176,12 @@ def check_report(workflows: DataFrame, nodes: DataFrame, edges: DataFrame,
     report flags workflows present in it. Without a registry the three
     registry checks are SKIP.
     """
-    spark = workflows.sparkSession
-    wf = workflows.select("workflow_id").distinct()
-
-    def flag(df, name):
-        return (df.select("workflow_id").distinct().withColumn(name, F.lit(True)) if df is not None
-                else spark.createDataFrame([], f"workflow_id bigint, {name} boolean"))
-
-    flags = wf
-    for df, name in [(syntax_fail, "f_syntax"), (schema_fail, "f_schema"), (unreachable, "f_reach"), (cyclic, "f_cycle"),
-                     (invalid_refs, "f_refs"), (unsupported, "f_unsup"), (bad_paths, "f_paths"),
-                     (inactive, "f_inactive"), (drift, "f_drift")]:
-        flags = flags.join(flag(df, name), "workflow_id", "left")
+    parts = [(syntax_fail, "f_syntax"), (schema_fail, "f_schema"), (unreachable, "f_reach"), (cyclic, "f_cycle"), (invalid_refs, "f_refs"),
+             (unsupported, "f_unsup"), (bad_paths, "f_paths"), (inactive, "f_inactive"), (drift, "f_drift")]
+    # all findings in one table and one aggregation; every workflow is in it once without a finding
+    rows = [df.select("workflow_id", F.lit(name).alias("found")) for df, name in parts if df is not None]
+    every = reduce(DataFrame.union, [workflows.select("workflow_id", F.lit(None).cast("string").alias("found"), F.lit(True).alias("own")), *[r.withColumn("own", F.lit(False)) for r in rows]])
+    flags = every.groupBy("workflow_id").agg(F.max("own").alias("own"), *[F.max(F.when(F.col("found") == name, True)).alias(name) for _, name in parts]).where("own")
     has_reg = registry is not None
 
     def st(fail_col, bad="FAIL", registry_check=False):

@@ -20,6 +20,9 @@ one section and emits only chunk start positions; texts never enter it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,24 @@ from quarry.functions.text import strip_ws, token_estimate
 DEFAULT_MAX_TOKENS = 512
 
 
-HEADING_LEVELS = 6
+# Distinct heading levels up to which each has window columns of its own.
+WINDOW_LEVELS = 12
+
+
+def _path_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Heading paths of sorted elements: a stack of the titles that are open."""
+    doc, number, stack = None, 0, []
+    for b in batches:
+        numbers, paths = [], []
+        for d, kind, level, text in zip(b["doc_id"], b["type"], b["_level"], b["text"]):
+            if d != doc:
+                doc, number, stack = d, 0, []
+            if kind == "Title":
+                number += 1
+                stack = [*(s for s in stack if s[0] < level), (level, text)]
+            numbers.append(number)
+            paths.append(" > ".join(t for _, t in stack if t) or None)
+        yield b.drop(columns="_level").assign(section_no=numbers, section_title=paths)
 
 
 def section_path(elements: DataFrame) -> DataFrame:
@@ -36,14 +56,23 @@ def section_path(elements: DataFrame) -> DataFrame:
 
     ``section_title`` is the heading path: the latest Title of each level that
     no Title of a higher rank has followed, joined by `` > ``, empty ones left
-    out. A Title without a ``level`` has level 1, deeper ones than 6 count as 6.
+    out. A Title without a ``level`` has level 1; there may be any number of
+    levels: up to ``WINDOW_LEVELS`` that occur are window columns, more are
+    folded in one sorted pass per document.
     """
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_title = F.col("type") == "Title"
-    level = F.least(F.lit(HEADING_LEVELS), F.greatest(F.lit(1), F.coalesce(F.col("level"), F.lit(1)))) if "level" in elements.columns else F.lit(1)
-    used = HEADING_LEVELS if "level" in elements.columns else 1
+    level, levels = F.lit(1), [1]
+    if "level" in elements.columns:
+        level = F.greatest(F.lit(1), F.coalesce(F.col("level"), F.lit(1)))
+        levels = sorted(r[0] for r in elements.where(is_title).select(level.alias("l")).distinct().limit(WINDOW_LEVELS + 1).collect()) or [1]
+    if len(levels) > WINDOW_LEVELS:
+        rows = elements.withColumn("_level", level).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema)
+        return rows.select(*elements.columns, "_level").mapInPandas(_path_fold, f"{schema}, section_no long, section_title string")
+    used = len(levels)
     out = elements.withColumn("section_no", F.sum(is_title.cast("int")).over(w))
-    at = [F.max(F.when(is_title & (level == i), F.struct("pos", "text"))).over(w) for i in range(1, used + 1)]
+    at = [F.max(F.when(is_title & (level == i), F.struct("pos", "text"))).over(w) for i in levels]
     out = out.withColumns({f"_h{i}": c for i, c in enumerate(at)})
     parts, above = [], F.lit(-1)
     for i in range(used):

@@ -50,10 +50,23 @@ def resolve_names(refs: DataFrame, cache: DataFrame, catalog: DataFrame, pick: s
     return j.select("key", "name", rid.alias("id"), by.alias("resolved_by"))
 
 
-def unresolved_names(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Refs with no id, with the catalog size (names are listed by ``catalog_listing``)."""
+def available_names(catalog: DataFrame, kind: str) -> DataFrame:
+    """One row per catalog: ``catalog, n_available, names`` in catalog order; an unnamed entry is ``(unnamed)``."""
+    entries = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", F.lit("(unnamed)")).alias("name"))))
+    one = catalog.agg(F.count("*").alias("n_available"), F.array_join(F.transform(entries, lambda e: e["name"]), ", ").alias("names"))
+    return one.select(F.lit(kind).alias("catalog"), "n_available", "names")
+
+
+def unresolved_names(resolved: DataFrame, catalog: DataFrame, kind: str = "agent") -> DataFrame:
+    """Refs with no id: ``key, name, n_available, catalog, message``.
+
+    The names that the message announces are the row of ``available_names`` for
+    ``catalog``; they are kept once, not once per reference.
+    """
     n = catalog.agg(F.count("*")).scalar()
-    return resolved.where(F.col("id").isNull()).select("key", "name", n.alias("n_available"))
+    start = F.concat(F.lit(f"Cannot resolve {kind} '"), F.col("name"), F.lit("'. "))
+    message = F.when(F.col("n_available") > 0, F.concat(start, F.lit(f"Available {kind}s:"))).otherwise(F.concat(start, F.lit(f"No {kind}s available in this organization.")))
+    return resolved.where(F.col("id").isNull()).select("key", "name", n.alias("n_available"), F.lit(kind).alias("catalog")).withColumn("message", message)
 
 
 def reverse_resolve(lists: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -215,7 +228,7 @@ def restore_refs(texts: DataFrame, id_map: DataFrame, functions: DataFrame, text
 def render_template(texts: DataFrame, outputs: DataFrame, text_col: str = "template") -> DataFrame:
     """substitute ``{{slug.output.field}}`` with upstream output values; a missing value -> error row.
 
-    ``outputs(workflow_id, slug, field, value)``. Returns ``(workflow_id, node, rendered, missing)``
+    ``outputs(workflow_id, slug, field, value)``: of several values of a field the smallest is taken. Returns ``(workflow_id, node, rendered, missing)``
     where ``missing`` lists unresolved references (rendered is null then); a
     text without references is rendered as it is.
     """
@@ -223,7 +236,8 @@ def render_template(texts: DataFrame, outputs: DataFrame, text_col: str = "templ
     refs = texts.select(*key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("ref_no", "raw"))
     refs = refs.withColumn("slug", F.regexp_extract("raw", pattern, 1)).withColumn("path", F.regexp_extract("raw", pattern, 2))
     refs = refs.withColumn("field", F.regexp_extract("path", r"^output\.(.+)$", 1))
-    r = refs.join(outputs.select("workflow_id", "slug", "field", "value"), ["workflow_id", "slug", "field"], "left")
+    known = outputs.groupBy("workflow_id", "slug", "field").agg(F.min("value").alias("value"))
+    r = refs.join(known, ["workflow_id", "slug", "field"], "left")
     lost = F.when(F.col("value").isNull(), F.concat(F.col("slug"), F.lit("."), F.col("path")))
     g = r.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("ref_no", "value"))).alias("vals"),

@@ -186,6 +186,19 @@ def latest_run(runs: DataFrame) -> DataFrame:
         F.max("started_at").alias("started_at"))
 
 
+def run_context(last: DataFrame, asked: DataFrame) -> DataFrame:
+    """``last(workspace_id, run_id)`` and ``asked(workspace_id, run_id or null)`` -> ``workspace_id, run_id, verdict, expected``.
+
+    Without a run id the last run is meant; another id than that of the last run
+    is a mismatch (``expected`` names the last run), as is any id where there is none.
+    """
+    j = asked.select("workspace_id", F.col("run_id").alias("want")).join(last.select("workspace_id", F.col("run_id").alias("have")), "workspace_id", "left")
+    want, have = F.col("want"), F.col("have")
+    verdict = (F.when(have.isNull() & want.isNull(), "no last run").when(have.isNull(), "run id without a last run")
+               .when(want != have, "mismatch").otherwise("found"))
+    return j.select("workspace_id", F.when(verdict == "found", have).alias("run_id"), verdict.alias("verdict"), F.when(verdict == "mismatch", have).alias("expected"))
+
+
 # ------------------------------------------------------------------ P7 / P8 / A13
 def effective_status(status: Column, exec_status: Column) -> Column:
     """A RUNNING run reports its state's waiting or terminal status instead."""

@@ -321,22 +321,25 @@ def schema_rules(spark, sf):
 
 
 def _report(spark, sf):
+    """The checks that a syntax or schema failure would stop run on the other workflows only."""
     w, n, e = _staged_graph(spark, sf)
-    cfg = cut_lineage(_cfg(spark, sf))
-    refs = cut_lineage(_refs_impl(spark, sf))
+    cfg = cut_lineage(_long_cfg(spark, sf))
     registry = reg.registry_frame(spark)
-    schema_fail = (graph.edge_integrity(w, n, e).select("workflow_id")
-                   .unionByName(checks.config_rules(cfg).select("workflow_id"))
-                   .unionByName(checks.removed_fields(cfg).select("workflow_id")))
-    ts = checks.type_status_check(n, registry)
     _, rejects = split_definitions(_definition_files(spark, sf))
-    syntax_fail = rejects.select(F.regexp_extract("file", r"(\d+)", 1).cast("bigint").alias("workflow_id"))
+    syntax_fail = cut_lineage(rejects.select(F.regexp_extract("file", r"(\d+)", 1).cast("bigint").alias("workflow_id")))
+    schema_fail = cut_lineage(graph.edge_integrity(w, n, e).select("workflow_id")
+                              .unionByName(checks.config_rules(cfg).select("workflow_id"))
+                              .unionByName(checks.removed_fields(cfg).select("workflow_id")).distinct())
+    stopped = cut_lineage(syntax_fail.union(schema_fail).distinct())
+    w2, n2, e2, cfg2 = (cut_lineage(df.join(stopped, "workflow_id", "left_anti")) for df in (w, n, e, cfg))
+    refs = cut_lineage(_refs_of(cfg2))
+    ts = checks.type_status_check(n2, registry)
     return checks.check_report(
         w, n, e, registry, schema_fail,
-        graph.unreachable_nodes(w, n, e), graph.cyclic_workflows(n, e),
-        checks.invalid_variable_refs(refs, n), ts.where(F.col("status") == "FAIL"),
-        checks.output_path_check(refs, n, registry), ts.where(F.col("status") == "WARN"),
-        checks.field_drift(n, registry), syntax_fail)
+        graph.unreachable_nodes(w2, n2, e2), graph.cyclic_workflows(n2, e2),
+        checks.invalid_variable_refs(refs, n2), ts.where(F.col("status") == "FAIL"),
+        checks.output_path_check(refs, n2, registry), ts.where(F.col("status") == "WARN"),
+        checks.field_drift(n2, registry), syntax_fail)
 
 
 def _definition_files(spark, sf):

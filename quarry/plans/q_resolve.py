@@ -53,11 +53,18 @@ def resolve_names(spark, sf):
     return _resolved(spark, sf)
 
 
-@query("unresolved_names", J2_SQL + " SELECT key, name, (SELECT count(*) FROM supplier) AS n_available FROM res WHERE id IS NULL")
+@query("unresolved_names", J2_SQL + """ SELECT key, name, (SELECT count(*) FROM supplier) AS n_available, 'agent' AS catalog,
+  concat('Cannot resolve agent ', chr(39), name, chr(39), '. Available agents:') AS message FROM res WHERE id IS NULL""")
 def unresolved_names(spark, sf):
     return rs.unresolved_names(_resolved(spark, sf), _catalog(spark, sf))
 
 
+@query("available_names", "SELECT 'agent' AS catalog, count(*) AS n_available, string_agg(s_name, ', ' ORDER BY s_suppkey) AS names FROM supplier")
+def available_names(spark, sf):
+    """The names that an unresolved reference could have meant."""
+    return rs.available_names(_catalog(spark, sf), "agent")
+
+
 @query("run_identifier", f"""WITH r AS (SELECT DISTINCT upper(p_name) AS key, upper(p_name) AS name FROM part),
 cache AS (SELECT upper(p_name) AS key, arg_max({usql("'local'", 'p_partkey')}, p_partkey) AS id FROM part
   WHERE p_partkey % 4 = 0 GROUP BY 1),
@@ -331,18 +338,15 @@ def is_uuid(spark, sf):
     return refs.unionByName(ids).select("v", tf.is_uuid(F.col("v")).alias("is_uuid"))
 
 
-REF = "concat('{{{{', coalesce({id}, concat('n', {no})), '{path}')"
-PREV, OTHER = "cast(l.l_linenumber - 1 AS VARCHAR)", "cast(l.l_suppkey % 9 AS VARCHAR)"
-
-
-@query("rewrite_refs", f"""WITH s AS ({STORED_SQL})
-SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node,
-  CASE WHEN l.l_partkey % 7 = 0 THEN 'Nothing to fill in'
-       WHEN l.l_partkey % 5 = 0 THEN concat('From ', {REF.format(id='a.id', no=PREV, path='}} on')})
-       ELSE concat('Use ', {REF.format(id='a.id', no=PREV, path='.output.text}}')}, ' then ', {REF.format(id='b.id', no=OTHER, path='.output.files}}')}) END AS rewritten
-FROM v_line l
-LEFT JOIN s a ON a.workflow_id = l.l_orderkey AND a.key = concat('n', {PREV})
-LEFT JOIN s b ON b.workflow_id = l.l_orderkey AND b.key = concat('n', {OTHER})""")
+# One row per reference, one join, then back to one row per text.
+@query("rewrite_refs", f"""WITH s AS MATERIALIZED ({STORED_SQL}),
+t AS MATERIALIZED (SELECT l_orderkey AS workflow_id, l_linenumber AS ln, l_partkey AS pk, concat('n', cast(l_linenumber - 1 AS VARCHAR)) AS a, concat('n', cast(l_suppkey % 9 AS VARCHAR)) AS b FROM v_line),
+need AS MATERIALIZED (SELECT workflow_id, ln, 1 AS side, a AS key FROM t UNION ALL SELECT workflow_id, ln, 2, b FROM t),
+met AS MATERIALIZED (SELECT n.workflow_id, n.ln, max(coalesce(s.id, n.key)) FILTER (WHERE side = 1) AS a, max(coalesce(s.id, n.key)) FILTER (WHERE side = 2) AS b
+  FROM need n LEFT JOIN s ON s.workflow_id = n.workflow_id AND s.key = n.key GROUP BY n.workflow_id, n.ln)
+SELECT t.workflow_id, concat('n', cast(t.ln AS VARCHAR)) AS node, CASE WHEN pk % 7 = 0 THEN 'Nothing to fill in' WHEN pk % 5 = 0 THEN concat('From {{{{', met.a, '}}}} on')
+  ELSE concat('Use {{{{', met.a, '.output.text}}}} then {{{{', met.b, '.output.files}}}}') END AS rewritten
+FROM t JOIN met ON met.workflow_id = t.workflow_id AND met.ln = t.ln""")
 def rewrite_refs(spark, sf):
     """template slugs -> stored node ids (slugs with no stored id are left as is)."""
     t = fx.v_templates(spark, sf)
@@ -379,21 +383,16 @@ def _outputs(spark, sf):
     return txt.unionByName(files)
 
 
-@query("render_template", """WITH o AS (
-  SELECT l_orderkey AS workflow_id, concat('n', cast(l_linenumber AS VARCHAR)) AS slug, 'text' AS field,
-    concat('T', cast(l_orderkey AS VARCHAR), '-', cast(l_linenumber AS VARCHAR)) AS value FROM v_line
-  UNION ALL SELECT l_orderkey, concat('n', cast(l_linenumber AS VARCHAR)), 'files', concat('F', cast(l_partkey AS VARCHAR))
-  FROM v_line WHERE l_returnflag = 'A'),
-x AS (SELECT l.l_orderkey AS workflow_id, concat('n', cast(l.l_linenumber AS VARCHAR)) AS node, l.l_partkey AS pk, l.l_linenumber AS ln, a.value AS v1, b.value AS v2,
-  concat('n', cast(l.l_linenumber - 1 AS VARCHAR), '.output.text') AS r1, concat('n', cast(l.l_suppkey % 9 AS VARCHAR), '.output.files') AS r2
-  FROM v_line l
-  LEFT JOIN o a ON a.workflow_id = l.l_orderkey AND a.slug = concat('n', cast(l.l_linenumber - 1 AS VARCHAR)) AND a.field = 'text'
-  LEFT JOIN o b ON b.workflow_id = l.l_orderkey AND b.slug = concat('n', cast(l.l_suppkey % 9 AS VARCHAR)) AND b.field = 'files')
-SELECT workflow_id, node, CASE WHEN pk % 7 = 0 THEN 'Nothing to fill in' WHEN pk % 5 = 0 THEN concat('From {{n', cast(ln - 1 AS VARCHAR), '}} on')
-  WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN concat('Use ', v1, ' then ', v2) END AS rendered,
-  CASE WHEN pk % 7 = 0 OR pk % 5 = 0 THEN '' ELSE
-  array_to_string(list_sort(list_filter([CASE WHEN v1 IS NULL THEN r1 END, CASE WHEN v2 IS NULL THEN r2 END], lambda x: x IS NOT NULL)), ',') END AS missing
-FROM x""")
+@query("render_template", """WITH l AS MATERIALIZED (SELECT l_orderkey AS workflow_id, l_linenumber AS ln, l_partkey AS pk, l_suppkey % 9 AS other, l_returnflag AS flag FROM v_line),
+o AS MATERIALIZED (SELECT workflow_id, ln AS no, 'text' AS field, concat('T', cast(workflow_id AS VARCHAR), '-', cast(ln AS VARCHAR)) AS value FROM l
+  UNION ALL SELECT workflow_id, ln, 'files', concat('F', cast(pk AS VARCHAR)) FROM l WHERE flag = 'A'),
+need AS MATERIALIZED (SELECT workflow_id, ln, ln - 1 AS no, 'text' AS field FROM l UNION ALL SELECT workflow_id, ln, other, 'files' FROM l),
+met AS MATERIALIZED (SELECT n.workflow_id, n.ln, max(o.value) FILTER (WHERE n.field = 'text') AS v1, max(o.value) FILTER (WHERE n.field = 'files') AS v2,
+    coalesce(string_agg(concat('n', cast(n.no AS VARCHAR), '.output.', n.field), ',' ORDER BY concat('n', cast(n.no AS VARCHAR), '.output.', n.field)) FILTER (WHERE o.value IS NULL), '') AS missing
+  FROM need n LEFT JOIN o ON o.workflow_id = n.workflow_id AND o.no = n.no AND o.field = n.field GROUP BY n.workflow_id, n.ln)
+SELECT l.workflow_id, concat('n', cast(l.ln AS VARCHAR)) AS node, CASE WHEN pk % 7 = 0 THEN 'Nothing to fill in' WHEN pk % 5 = 0 THEN concat('From {{n', cast(l.ln - 1 AS VARCHAR), '}} on')
+  WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN concat('Use ', v1, ' then ', v2) END AS rendered, CASE WHEN pk % 7 = 0 OR pk % 5 = 0 THEN '' ELSE missing END AS missing
+FROM l JOIN met ON met.workflow_id = l.workflow_id AND met.ln = l.ln""")
 def render_template(spark, sf):
     return rs.render_template(fx.v_templates(spark, sf), _outputs(spark, sf))
 

@@ -145,6 +145,21 @@ def latest_run(spark, sf):
     return runs.latest_run(fx.runs_from_orders(spark, sf))
 
 
+@query("run_context", """WITH last AS (SELECT workspace_id, arg_max(run_id, (started_at, run_id)) AS run_id FROM v_runs GROUP BY workspace_id),
+asked AS (SELECT c_custkey AS workspace_id, CASE c_custkey % 3 WHEN 0 THEN (SELECT run_id FROM last l WHERE l.workspace_id = c_custkey) WHEN 1 THEN -1 - c_custkey END AS asked FROM customer)
+SELECT a.workspace_id, CASE WHEN l.run_id IS NOT NULL AND (asked IS NULL OR asked = l.run_id) THEN l.run_id END AS run_id,
+  CASE WHEN l.run_id IS NULL AND asked IS NULL THEN 'no last run' WHEN l.run_id IS NULL THEN 'run id without a last run' WHEN asked <> l.run_id THEN 'mismatch' ELSE 'found' END AS verdict,
+  CASE WHEN asked <> l.run_id THEN l.run_id END AS expected
+FROM asked a LEFT JOIN last l ON l.workspace_id = a.workspace_id""")
+def run_context(spark, sf):
+    """The run that each workspace means: a third asks for its last run, a third for another, a third for none."""
+    last = runs.latest_run(fx.runs_from_orders(spark, sf))
+    k = F.col("c_custkey")
+    mine = last.select(F.col("workspace_id").alias("c_custkey"), "run_id")
+    asked = table(spark, sf, "customer").select("c_custkey").join(mine, "c_custkey", "left")
+    return runs.run_context(last, asked.select(k.alias("workspace_id"), F.when(k % 3 == 0, F.col("run_id")).when(k % 3 == 1, -1 - k).alias("run_id")))
+
+
 NODE_OUT_SQL = """WITH snap AS (SELECT run_id, max(seq) AS seq, arg_max(body, seq) AS body FROM v_events WHERE etype = 'STATE_SNAPSHOT' GROUP BY run_id),
 sn AS (SELECT run_id, seq, k AS node_id, json_extract_string(body, concat('$.snapshot.node_outputs.', k)) AS value
   FROM (SELECT run_id, seq, body, unnest(json_keys(body, '$.snapshot.node_outputs')) AS k FROM snap) x),
@@ -260,12 +275,12 @@ def format_duration(spark, sf):
 @query("event_preview", """
 SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(left(text, 200), '...') ELSE text END AS output_preview,
   left(text, 200) AS content_preview,
-  CASE WHEN length(shown) > 100 THEN concat(left(shown, 100), '...') ELSE shown END AS payload_preview
-FROM (SELECT *, CASE doc_id % 3 WHEN 2 THEN concat('{"other":', cast(doc_id AS VARCHAR), '}') ELSE CASE WHEN text = '' THEN '{"content":""}' ELSE text END END AS shown FROM documents) x""")
+  CASE WHEN length(shown) > most THEN concat(left(shown, most), '...') ELSE shown END AS payload_preview
+FROM (SELECT *, CASE doc_id % 3 WHEN 2 THEN 100 ELSE 200 END AS most, CASE doc_id % 3 WHEN 2 THEN concat('{"other":', cast(doc_id AS VARCHAR), ',"more":"', repeat('x', cast(doc_id % 200 AS INTEGER)), '"}') ELSE CASE WHEN text = '' THEN '{"content":""}' ELSE text END END AS shown FROM documents) x""")
 def event_preview(spark, sf):
     d, k = table(spark, sf, "documents"), F.col("doc_id") % 3
     payload = (F.when(k == 0, F.to_json(F.struct(F.lit("").alias("text"), F.col("text").alias("content"))))
-               .when(k == 1, F.to_json(F.struct(F.col("text").alias("response")))).otherwise(F.concat(F.lit('{"other":'), F.col("doc_id").cast("string"), F.lit("}"))))
+               .when(k == 1, F.to_json(F.struct(F.col("text").alias("response")))).otherwise(F.concat(F.lit('{"other":'), F.col("doc_id").cast("string"), F.lit(',"more":"'), F.repeat(F.lit("x"), (F.col("doc_id") % 200).cast("int")), F.lit('"}'))))
     return d.select("doc_id", tf.output_preview(F.col("text")).alias("output_preview"),
                     tf.content_preview(F.col("text")).alias("content_preview"),
                     tf.event_preview(payload).alias("payload_preview"))

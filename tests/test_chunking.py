@@ -76,3 +76,24 @@ def test_partition_count_invariance(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     b = sorted(chunk_documents(df, 32).collect())
     assert a == b
+
+
+def test_headings_of_any_depth(spark, monkeypatch):
+    """Window columns and the sorted pass give the same paths, and no level is folded into another."""
+    from quarry.operators import chunking
+
+    rng = random.Random(4)
+    rows = [(d, p, "Title" if rng.random() < 0.5 else "NarrativeText", rng.choice(["", "A", "B", "C"]) + str(p % 7), rng.choice([None, 0, 1, 2, 5, 7, 8, 9, 20])) for d in range(12) for p in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, type string, text string, level int").repartition(5)
+    want = {}
+    for d in range(12):
+        stack = []
+        for _, p, kind, text, level in (r for r in rows if r[0] == d):
+            if kind == "Title":
+                stack = [s for s in stack if s[0] < max(1, level or 1)] + [(max(1, level or 1), text)]
+            want[d, p] = " > ".join(t for _, t in stack if t) or None
+    for most in (12, 3):
+        monkeypatch.setattr(chunking, "WINDOW_LEVELS", most)
+        got = chunking.section_path(df).collect()
+        assert {(r.doc_id, r.pos): r.section_title for r in got} == want
+        assert max(r.section_no for r in got) > 10
