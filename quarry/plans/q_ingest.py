@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry import dims
 from quarry.functions import files as ff
 from quarry.operators import chunking, ingest
+from quarry.operators import chunk_udtf as chunk_table
 from quarry.plans.catalog import query
 from quarry.plans.sqlgen import ext_sql, in_list, q, values
 from quarry.sources import fixtures as fx
@@ -208,8 +209,10 @@ def chunk_documents(spark, sf):
 chunks AS (SELECT doc_id, section_no, section_title, pos AS first_pos, cost AS max_cost, text AS body FROM content),
 {CHUNK_ROWS_SQL.format(budget=128)}""")
 def chunk_udtf(spark, sf):
-    """The chunker as a pluggable step: budget 128 tokens, peers not merged."""
-    return chunking.chunk_documents(fx.elements(spark, sf), max_tokens=128, merge_peers=False)
+    """The chunker as a SQL table function: budget 128 tokens, peers not merged."""
+    chunk_table.register(spark)
+    call = "SELECT * FROM chunk_elements(TABLE({elements}) PARTITION BY doc_id ORDER BY (pos), 128, false, 'chars4')"
+    return spark.sql(call, elements=fx.elements(spark, sf))
 
 
 # One element per file here: texts as they are, pages without markup, tables of unquoted rows.

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from quarry.operators import chunk_udtf
 from quarry.operators.chunking import chunk_documents
 
 
@@ -97,3 +100,27 @@ def test_headings_of_any_depth(spark, monkeypatch):
         got = chunking.section_path(df).collect()
         assert {(r.doc_id, r.pos): r.section_title for r in got} == want
         assert max(r.section_no for r in got) > 10
+
+
+@pytest.mark.parametrize("budget, merge", [(20, True), (7, False)])
+def test_table_function_equals_the_operator(spark, budget, merge):
+    rng = random.Random(9)
+    kinds, texts = ["Title", "NarrativeText", "NarrativeText", "ListItem"], ["short", "", " \u2003", "some words here " * 3, "x" * 300, "line\n" * 9, None]
+    rows = [(d, p, rng.choice(kinds), rng.choice(texts), rng.choice([None, 1, 2, 3]), rng.choice([None, 4, 5])) for d in range(25) for p in range(rng.randint(0, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, type string, text string, level int, page_number int")
+    chunk_udtf.register(spark)
+    call = f"SELECT * FROM chunk_elements(TABLE({{e}}) PARTITION BY doc_id ORDER BY (pos), {budget}, {str(merge).lower()}, 'chars4')"
+    got = spark.sql(call, e=df)
+    want = chunk_documents(df, budget, merge).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_other_tokenizers(spark, monkeypatch):
+    monkeypatch.setitem(chunk_udtf.TOKENIZERS, "letters", chunk_udtf.Tokenizer(len, lambda t, n: [t[i : i + n] for i in range(0, len(t), n)]))
+    chunk_udtf.register(spark, "chunk_more")
+    df = spark.createDataFrame([(1, 0, "Title", "T"), (1, 1, "P", "a b c d e"), (1, 2, "P", "f g")], "doc_id long, pos int, type string, text string")
+    run = lambda budget, name: [(r.chunk_no, r.text, r.tokens) for r in spark.sql(f"SELECT * FROM chunk_more(TABLE({{e}}) PARTITION BY doc_id ORDER BY (pos), {budget}, true, '{name}')", e=df).orderBy("chunk_no").collect()]
+    assert run(4, "words") == [(1, "T\na b c d", 5), (2, "T\ne", 2), (3, "T\nf g", 3)]
+    assert run(5, "letters") == [(1, "T\na b c", 7), (2, "T\n d e", 6), (3, "T\nf g", 5)]
+    with pytest.raises(Exception, match="unknown tokenizer"):
+        run(4, "none")
