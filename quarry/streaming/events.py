@@ -32,11 +32,14 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return runs.event_flags(runs.parse_event_lines(raw))
 
 
-def run_to_table(df: DataFrame, name: str) -> DataFrame:
-    """Run a streaming DataFrame with ``availableNow`` into a parquet folder and read it back."""
+def run_to_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame with ``availableNow`` into a parquet folder and read it back.
+
+    With ``folder`` its output and checkpoint are kept there, and a later run goes on from them.
+    """
     spark = df.sparkSession
-    out = scratch_dir(spark, f"{name}-out")
-    ckpt = scratch_dir(spark, f"{name}-ckpt")
+    folder = folder or scratch_dir(spark, name)
+    out, ckpt = f"{folder}/out", f"{folder}/ckpt"
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

@@ -3,8 +3,13 @@
 Each is a ``transformWithStateInPandas`` processor keyed by run. State lives in
 the state store with its checkpoint in the shared folder. A pause keeps state,
 since the run goes on; only a terminal event drops it, leaving a flag that
-keeps late events of an ended run from starting it anew. Within a micro-batch
-a run's events are taken in ``seq`` order.
+keeps late events of an ended run from starting it anew. In a stream that runs
+on, the flag should go too: T4 drops it by an event-time timer, T2 and T3 by a
+time to live, ``keep`` milliseconds. A time to live needs processing time, which
+keeps a stream busy for ever, so a run to the end of the input
+(``availableNow``) leaves ``keep`` out. Within a micro-batch a run's events are taken in
+``seq`` order. A node summary may start from the state that a batch of earlier
+events leaves (``node_state``).
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quarry import dims
 from quarry.operators import runs
 
+KEEP_ENDED = 7 * 24 * 3600 * 1000  # milliseconds
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SUMMARY_SCHEMA = "run_id string, node_id string, seq long, display_name string, step_type string, status string, duration_ms long"
 QUEUE_SCHEMA = "run_id string, seq long, waiting boolean, waiting_for string, node_id string"
@@ -35,11 +41,14 @@ def _text(value) -> str:
 
 
 class _Ended(StatefulProcessor):
-    """A processor with a flag for runs that have ended."""
+    """A processor with a flag for runs that have ended, which lives for ``keep`` milliseconds (null: as long as the state)."""
+
+    def __init__(self, keep: int | None = None):
+        self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ended = handle.getValueState("ended", "ended boolean")
+        self.ended = handle.getValueState("ended", "ended boolean", self.keep)
 
     def close(self) -> None:
         pass
@@ -52,6 +61,13 @@ class NodeSummary(_Ended):
         super().init(handle)
         self.nodes = handle.getMapState("nodes", "node_id string", "started_us long, step_type string")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in initialState.itertuples(index=False):
+            if r.ended:
+                self.ended.update((True,))
+            else:
+                self.nodes.updateValue((r.node_id,), (None if pd.isna(r.started_us) else int(r.started_us), _text(r.step_type)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.ended.exists():
             return
@@ -108,8 +124,9 @@ class WaitingQueue(_Ended):
 class Timeouts(_Ended):
     """T4: an event-time timer per run, set by its first event and dropped by a terminal one."""
 
-    def __init__(self, limit_s: int):
-        self.limit_ms = limit_s * 1000
+    def __init__(self, limit_s: int, keep: int = KEEP_ENDED):
+        super().__init__(None)  # event time has no time to live
+        self.limit_ms, self.stay = limit_s * 1000, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -123,32 +140,59 @@ class Timeouts(_Ended):
                 self.started.update((first,))
                 self.handle.registerTimer(first + self.limit_ms)
             if batch["is_terminal"].any():
-                self.handle.deleteTimer(self.started.get()[0] + self.limit_ms)
+                first = self.started.get()[0]
+                self.handle.deleteTimer(first + self.limit_ms)
                 self.started.clear()
                 self.ended.update((True,))
+                self.handle.registerTimer(first + self.limit_ms + self.stay)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.started.exists():
+        if self.ended.exists():
+            self.ended.clear()
+        elif self.started.exists():
             first = self.started.get()[0]
             yield pd.DataFrame([(key[0], first, first + self.limit_ms)], columns=["run_id", "started_ms", "deadline_ms"])
 
 
-def _processed(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+def _processed(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", start: DataFrame | None = None) -> DataFrame:
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     ev = runs.typed_events(events).select("run_id", "seq", "ts", "etype", "is_terminal", "is_pausing", *runs.TEXT_FIELDS, "duration_ms")
-    return ev.groupBy("run_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
+    return ev.groupBy("run_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode,
+                                                          initialState=None if start is None else start.groupBy("run_id"))
+
+
+def _mode(keep: int | None) -> str:
+    return "None" if keep is None else "ProcessingTime"
+
+
+def node_state(events: DataFrame) -> DataFrame:
+    """The state that T2 holds after a batch of events: ``run_id, node_id, started_us, step_type, ended``.
+
+    A run that has ended is one row with ``ended``; of others each node has the
+    time and type of its last start, or the type of its first event.
+    """
+    ev = runs.typed_events(events).select("run_id", "seq", "ts", "etype", "is_terminal", "node_id", "step_type")
+    ended = ev.groupBy("run_id").agg(F.max("is_terminal").alias("ended")).where("ended").select("run_id")
+    steps = ev.where(F.col("etype").isin(*runs.STEP_STATUS) & (F.coalesce("node_id", F.lit("")) != "")).join(ended, "run_id", "left_anti")
+    began = F.when(F.col("etype") == "STEP_STARTED", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.coalesce("step_type", F.lit("")).alias("kind")))
+    rows = steps.groupBy("run_id", "node_id").agg(F.max_by(began, F.when(began.isNotNull(), F.col("seq"))).alias("b"), F.min_by(F.coalesce("step_type", F.lit("")), "seq").alias("kind"))
+    rows = rows.select("run_id", "node_id", F.col("b.us").alias("started_us"), F.coalesce("b.kind", "kind").alias("step_type"), F.lit(False).alias("ended"))
+    return rows.unionByName(ended.select("run_id", F.lit("").alias("node_id"), F.lit(None).cast("long").alias("started_us"), F.lit("").alias("step_type"), F.lit(True).alias("ended")))
+
 
+def stream_node_summary(events: DataFrame, start: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+    """Changes of A12 entries up to each run's terminal event; the last per (run, node) is its entry.
 
-def stream_node_summary(events: DataFrame) -> DataFrame:
-    """Changes of A12 entries up to each run's terminal event; the last per (run, node) is its entry."""
-    return _processed(events, NodeSummary(), SUMMARY_SCHEMA)
+    ``start``: a state from ``node_state``, where the stream goes on from a batch. ``keep``: see above.
+    """
+    return _processed(events, NodeSummary(keep), SUMMARY_SCHEMA, _mode(keep), start)
 
 
-def stream_waiting_queue(events: DataFrame) -> DataFrame:
+def stream_waiting_queue(events: DataFrame, keep: int | None = None) -> DataFrame:
     """When runs begin and cease to wait for input or review."""
-    return _processed(events, WaitingQueue(), QUEUE_SCHEMA)
+    return _processed(events, WaitingQueue(keep), QUEUE_SCHEMA, _mode(keep))
 
 
 def stream_timeouts(events: DataFrame, limit_s: int = dims.RUN_TIMEOUT_S, delay: str = "0 seconds") -> DataFrame:
