@@ -8,15 +8,18 @@ whose output grows with the group, as the feature requires.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DataType, DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
-_CUSTOM: dict[str, Callable] = {}
+_CUSTOM: dict[str, tuple[Callable, DataType]] = {}
 
 
 def reduce_list_append(b: DataFrame) -> DataFrame:
@@ -57,18 +60,71 @@ def reduce_null(b: DataFrame) -> DataFrame:
 
 
 def register_reducer(name: str, fn: Callable[[pd.Series], float], return_type: DataType | None = None) -> None:
-    """Register a CUSTOM reducer: ``fn(values: pd.Series) -> scalar`` as a grouped-aggregate pandas UDF."""
-    _CUSTOM[name] = pandas_udf(fn, return_type or DoubleType())
+    """Register a CUSTOM reducer: ``fn(values: pd.Series) -> scalar`` over the outputs of one join."""
+    _CUSTOM[name] = fn, return_type or DoubleType()
+
+
+def _starts(ids: pa.Array) -> np.ndarray:
+    """Places where a new value begins in an ordered column; nulls are one value, and so are NaNs."""
+    a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
+    new = pc.fill_null(pc.not_equal(a, b), pc.xor(a.is_null(), b.is_null()))
+    if pa.types.is_floating(ids.type):
+        new = pc.and_not(new, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return np.r_[0, np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1]
 
 
 def reduce_custom(b: DataFrame, name: str) -> DataFrame:
-    """Apply a registered custom reducer per join (Arrow-batched, one call per group)."""
-    udf = _CUSTOM[name]
-    return b.groupBy("join_id").agg(udf(F.col("v")).alias("result"))
+    """Apply a registered custom reducer per join, one call per group.
+
+    Rows come sorted by join and a task cuts whole Arrow batches into groups;
+    only the group that a batch leaves open is carried on.
+    """
+    fn, kind = _CUSTOM[name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(ids: pa.Array, v: pa.Array, first: np.ndarray) -> pa.RecordBatch:
+            ends = [*first[1:].tolist(), len(ids)]
+            if pa.types.is_floating(v.type):
+                values = v.to_numpy(zero_copy_only=False)  # nulls become NaN, as in a group of its own
+                results = [fn(pd.Series(values[s:e])) for s, e in zip(first.tolist(), ends)]
+            else:
+                results = [fn(v.slice(s, e - s).to_pandas()) for s, e in zip(first.tolist(), ends)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.Array.from_pandas(results, type=to_arrow_type(kind))], ["join_id", "result"])
+
+        def joined(parts: list[pa.Array]) -> pa.Array:
+            return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+        held: list[pa.RecordBatch] = []  # the open group
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held:
+                edge = _starts(pa.concat_arrays([held[-1].column(0).slice(held[-1].num_rows - 1), batch.column(0)]))
+                end = int(edge[1]) - 1 if len(edge) > 1 else batch.num_rows
+                if end:
+                    held.append(batch.slice(0, end))
+                if end == batch.num_rows:
+                    continue
+                yield out(*(joined([h.column(i) for h in held]) for i in (0, 1)), np.array([0]))
+                batch = batch.slice(end)
+            first = _starts(batch.column(0))
+            if len(first) > 1:
+                yield out(batch.column(0).slice(0, int(first[-1])), batch.column(1).slice(0, int(first[-1])), first[:-1])
+            held = [batch.slice(int(first[-1]))]
+        if held:
+            yield out(*(joined([h.column(i) for h in held]) for i in (0, 1)), np.array([0]))
+
+    rows = b.select("join_id", "v").repartition("join_id").sortWithinPartitions("join_id")
+    return rows.mapInArrow(run, StructType([StructField("join_id", b.schema["join_id"].dataType), StructField("result", kind)]))
 
 
 def _median(v: pd.Series) -> float:
-    return float(v.dropna().median()) if v.notna().any() else None
+    a = v.to_numpy()
+    a = np.sort(a[a == a])
+    n = len(a)
+    if not n:
+        return None
+    return float(a[n // 2]) if n % 2 else float((a[n // 2 - 1] + a[n // 2]) / 2)
 
 
 register_reducer("median", _median)
