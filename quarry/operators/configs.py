@@ -15,12 +15,24 @@ from quarry.functions.text import function_name
 from quarry.operators.resolve import splice_refs
 
 
-def _entries(nodes: DataFrame, column: str) -> DataFrame:
-    """``workflow_id, slug, type, pos, key, value``: top-level entries in document order, values as JSON text."""
-    doc = F.try_parse_json(F.col(column))
-    keys = nodes.select("workflow_id", "slug", F.upper("type").alias("type"), doc.alias("doc"), F.posexplode(F.json_object_keys(F.col(column))).alias("pos", "key"))
-    value = F.try_variant_get("doc", F.concat(F.lit("$['"), F.col("key"), F.lit("']")), "variant")
-    return keys.select("workflow_id", "slug", "type", "pos", "key", F.to_json(value).alias("value"))
+KEY = ["workflow_id", "slug"]
+
+
+def _entries(nodes: DataFrame, *columns: str) -> DataFrame:
+    """``workflow_id, slug, type, source, pos, key, value``: top-level entries of each column in document order, values as JSON text.
+
+    A document is read once into a map. One that is no sound value (a key
+    twice) gives its keys without values. The whole documents are moved to
+    their node, so that grouping by node and further columns moves no entries.
+    """
+    def entries(c: str) -> Column:
+        found = F.map_entries(F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, "map<string,variant>")))
+        bare = F.transform(F.json_object_keys(c), lambda k: F.struct(k.alias("key"), F.lit(None).cast("variant").alias("value")))
+        return F.transform(F.coalesce(found, bare), lambda e, i: F.struct(F.lit(c).alias("source"), i.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
+
+    every = F.concat(*[F.coalesce(entries(c), F.array().cast("array<struct<source:string,pos:int,key:string,value:variant>>")) for c in columns])
+    placed = nodes.select(*KEY, F.upper("type").alias("type"), *columns).repartition(*KEY)
+    return placed.select(*KEY, "type", F.inline(every)).withColumn("value", F.to_json("value"))
 
 
 def _table(nodes: DataFrame, fields: dict[str, dict[str, str | None]]) -> DataFrame:
@@ -51,18 +63,15 @@ def merge_config(nodes: DataFrame) -> DataFrame:
     what is left (the first listed field wins). Empty dependency references are
     dropped. Where nothing matches, the config itself without its UI keys stays.
     """
-    key = ["workflow_id", "slug"]
-
-    def picked(column: str, fields: dict, pick) -> DataFrame:
-        rows = _entries(nodes, column).join(_table(nodes, fields), ["type", "key"])
-        rows = rows.where(~(F.col("key").isin(dims.DEPENDENCY_FIELDS) & _empty(F.col("value"))))
-        return rows.groupBy(*key, "target").agg(pick("value", "rule").alias("value"))
-
-    first = picked("parameters", dims.PARAMETER_FIELDS, F.max_by).withColumnRenamed("value", "_p")
-    second = picked("config", dims.CONFIG_FIELDS, F.min_by).withColumnRenamed("value", "_c")
-    merged = first.join(second, [*key, "target"], "full_outer").select(*key, F.col("target").alias("key"), F.coalesce("_p", "_c").alias("value"))
-    left = _entries(nodes, "config").where(~F.col("key").isin(dims.UI_FIELDS)).join(merged.select(*key).distinct(), key, "left_anti")
-    return merged.unionByName(left.select(*key, "key", "value"))
+    fields = [(source, t, i, k, v or k) for source, table in (("parameters", dims.PARAMETER_FIELDS), ("config", dims.CONFIG_FIELDS)) for t, m in table.items() for i, (k, v) in enumerate(m.items())]
+    table = F.broadcast(nodes.sparkSession.createDataFrame(fields, "source string, type string, rule int, key string, target string"))
+    rows = _entries(nodes, "parameters", "config").join(table, ["source", "type", "key"])
+    rows = rows.where(~(F.col("key").isin(dims.DEPENDENCY_FIELDS) & _empty(F.col("value"))))
+    rule = lambda source: F.when(F.col("source") == source, F.col("rule"))
+    merged = rows.groupBy(*KEY, "target").agg(F.max_by("value", rule("parameters")).alias("_p"), F.min_by("value", rule("config")).alias("_c"))
+    merged = merged.select(*KEY, F.col("target").alias("key"), F.coalesce("_p", "_c").alias("value"))
+    left = _entries(nodes, "config").where(~F.col("key").isin(dims.UI_FIELDS)).join(merged.select(*KEY).distinct(), KEY, "left_anti")
+    return merged.unionByName(left.select(*KEY, "key", "value"))
 
 
 def node_parameters(nodes: DataFrame, id_map: DataFrame) -> DataFrame:

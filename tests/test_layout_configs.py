@@ -32,3 +32,12 @@ def test_merge_prefers_parameters_and_drops_empty_references(spark):
             (1, "c", "mystery", "{}", '{"type": "t", "keep": 1, "collapsed": true}'), (1, "d", "human_review", '{"instructions": "i", "review_prompt": "r"}', "{}")]
     got = {(r.slug, r.key): r.value for r in configs.merge_config(spark.createDataFrame(rows, "workflow_id long, slug string, type string, parameters string, config string")).collect()}
     assert got == {("a", "model"): '"p"', ("a", "agentId"): '"c"', ("a", "maxTokens"): "4", ("b", "knowledgeBaseId"): '["k"]', ("c", "keep"): "1", ("d", "review_prompt"): '"r"'}
+
+
+def test_entries_are_read_once_and_grouped_where_they_are(spark):
+    """Keys with quotes are keys; documents are moved to their node, not their entries."""
+    rows = [(1, "a", "other", """{"it's": 1.50, "b\\"": "x"}"""), (1, "a", "other", '{"it\\u0027s": 1.50}'), (None, None, "other", '{"k": null}'), (2, "b", "other", '{"k": 1, "k": 2}'), (3, "c", "other", "[1]")]
+    got = configs.rename_config(spark.createDataFrame(rows, "workflow_id long, slug string, type string, config string"))
+    assert sorted((r.workflow_id or 0, r.key, r.value) for r in got.collect()) == [(0, "k", "null"), (1, 'b"', '"x"'), (1, "it's", "1.5"), (2, "k", None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
