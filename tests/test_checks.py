@@ -51,3 +51,11 @@ def test_strip_is_linear_and_whole(spark):
     got = [r.t for r in df.collect()]
     assert got == ["a" + blanks + "b", "", "", None, "a" + " " * 1_000_000 + "b"]
     assert time.time() - started < 20
+
+
+def test_refs_are_found_without_a_step_per_string(spark):
+    """One pass of built-in functions over a config: no function is called for each of its strings."""
+    df = spark.createDataFrame([(1, '{"{{k.k}}" : ["{{a.b}}{{c.d}}", {"x":"\\\\"}], "y":"\\"{{e.f}}:"}')], "i int, config string")
+    refs = checks.extract_variable_refs(df)
+    assert [(r.slug, r.path) for r in refs.orderBy("ref_no").collect()] == [("a", "b"), ("c", "d"), ("e", "f")]
+    assert "lambda" not in refs._jdf.queryExecution().toString()
