@@ -88,3 +88,25 @@ def test_many_documents_and_groups(spark, tmp_path):
     assert df.read_definitions(spark, f"file://{tmp_path}", many=True).rdd.getNumPartitions() == 1
     with pytest.raises(Exception):
         df.read_definitions(spark, "/nowhere/at/all").collect()
+
+
+PLAIN = [GOOD, "a: 1\nb: [x, 2.5, ~, yes, 0x1f, 1e3, 2024-01-31, 'q', \"\\u00e9\\n\"]\nc: {d: {e: []}}\n1: {2024-01-31: t}\na: again\n", "- a\n-\n  - b: \n", "just text", "|\n  block\n  text\n", "a: null\n~: b\n", "'': ''"]
+OTHER = ["a: &x 1\nb: *x", "a: {<<: {b: 1}}", "a: !!str 1", "? [a]\n: b", "[" * 60 + "]" * 60, "", "# nothing", "a: 1\n---\nb: 2", "a: 2024-02-31", "a: =", "a: [", "a: b: c", "\x00"]
+
+
+def outcome(text, by):
+    try:
+        return repr(by(text))
+    except (df.Bad, df.yaml.YAMLError, ValueError, TypeError) as e:
+        return type(e).__name__ if by is df.yaml.safe_load else "bad"
+
+
+def test_plain_texts_are_read_from_events(monkeypatch):
+    """Plain texts never build a node tree; all others give what the safe loader gives."""
+    wanted = {t: outcome(t, df.yaml.safe_load) for t in PLAIN + OTHER}
+    for t in OTHER:
+        got = outcome(t, lambda x: df.load(x, False))
+        assert got == wanted[t] or (got == "bad" and wanted[t].endswith("Error")), t
+    monkeypatch.setattr(df.yaml, "load", None)
+    monkeypatch.setattr(df.yaml, "safe_load", None)
+    assert [outcome(t, lambda x: df.load(x, False)) for t in PLAIN] == [wanted[t] for t in PLAIN]
