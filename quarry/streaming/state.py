@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,7 +33,10 @@ TIMEOUT_SCHEMA = "run_id string, started_ms long, deadline_ms long"
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     parts = list(rows)
-    return pd.concat(parts).sort_values("seq") if parts else pd.DataFrame()
+    if not parts:
+        return pd.DataFrame()
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return batch if len(batch) == 1 else batch.sort_values("seq")
 
 
 def _text(value) -> str:
@@ -71,11 +74,11 @@ class NodeSummary(_Ended):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.ended.exists():
             return
-        out = []
+        out, held, ended = [], {}, False  # a node's state is read once and written once
         for r in _ordered(rows).itertuples(index=False):
             node = _text(r.node_id)
             if r.etype in runs.STEP_STATUS and node:
-                known = self.nodes.getValue((node,)) if self.nodes.containsKey((node,)) else None
+                known = held[node] if node in held else self.nodes.getValue((node,))
                 t_us = int(r.ts.value // 1000)
                 duration = None if pd.isna(r.duration_ms) else int(r.duration_ms)
                 if r.etype == "STEP_STARTED":
@@ -84,12 +87,17 @@ class NodeSummary(_Ended):
                     if duration is None and known is not None and known[0] is not None:
                         duration = (t_us - known[0]) // 1000
                     known = (known[0], known[1]) if known is not None else (None, _text(r.step_type))
-                self.nodes.updateValue((node,), known)
+                held[node] = known
                 out.append((key[0], node, int(r.seq), _text(r.node_slug) or _text(r.step_name) or node, known[1], runs.STEP_STATUS[r.etype], duration))
             if r.is_terminal:
-                self.nodes.clear()
-                self.ended.update((True,))
+                ended = True
                 break
+        if ended:
+            self.nodes.clear()
+            self.ended.update((True,))
+        else:
+            for node, known in held.items():
+                self.nodes.updateValue((node,), known)
         if out:
             names = ["run_id", "node_id", "seq", "display_name", "step_type", "status", "duration_ms"]
             yield pd.DataFrame(out, columns=names).astype({"duration_ms": "Int64"})
@@ -134,17 +142,18 @@ class Timeouts(_Ended):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.ended.exists():
-            batch = _ordered(rows)
-            if not self.started.exists():
-                first = int(batch["ts"].min().value // 1_000_000)
-                self.started.update((first,))
-                self.handle.registerTimer(first + self.limit_ms)
+            batch = pd.concat(list(rows))
+            known = self.started.get()
+            first = int(batch["ts"].min().value // 1_000_000) if known is None else known[0]
             if batch["is_terminal"].any():
-                first = self.started.get()[0]
-                self.handle.deleteTimer(first + self.limit_ms)
-                self.started.clear()
+                if known is not None:
+                    self.handle.deleteTimer(first + self.limit_ms)
+                    self.started.clear()
                 self.ended.update((True,))
                 self.handle.registerTimer(first + self.limit_ms + self.stay)
+            elif known is None:
+                self.started.update((first,))
+                self.handle.registerTimer(first + self.limit_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -155,10 +164,13 @@ class Timeouts(_Ended):
             yield pd.DataFrame([(key[0], first, first + self.limit_ms)], columns=["run_id", "started_ms", "deadline_ms"])
 
 
-def _processed(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", start: DataFrame | None = None) -> DataFrame:
+def _processed(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", start: DataFrame | None = None, only: Column | None = None) -> DataFrame:
+    """``only``: the events that the processor acts on; the others never reach it."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     ev = runs.typed_events(events).select("run_id", "seq", "ts", "etype", "is_terminal", "is_pausing", *runs.TEXT_FIELDS, "duration_ms")
+    if only is not None:
+        ev = ev.where(only)
     return ev.groupBy("run_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode,
                                                           initialState=None if start is None else start.groupBy("run_id"))
 
@@ -187,12 +199,14 @@ def stream_node_summary(events: DataFrame, start: DataFrame | None = None, keep:
 
     ``start``: a state from ``node_state``, where the stream goes on from a batch. ``keep``: see above.
     """
-    return _processed(events, NodeSummary(keep), SUMMARY_SCHEMA, _mode(keep), start)
+    acts = (F.col("etype").isin(*runs.STEP_STATUS) & (F.coalesce("node_id", F.lit("")) != "")) | F.col("is_terminal")
+    return _processed(events, NodeSummary(keep), SUMMARY_SCHEMA, _mode(keep), start, acts)
 
 
 def stream_waiting_queue(events: DataFrame, keep: int | None = None) -> DataFrame:
     """When runs begin and cease to wait for input or review."""
-    return _processed(events, WaitingQueue(keep), QUEUE_SCHEMA, _mode(keep))
+    acts = F.col("is_pausing") | F.col("is_terminal") | F.col("etype").isin("REVIEW_COMPLETE", *dims.STEP_EVENTS)
+    return _processed(events, WaitingQueue(keep), QUEUE_SCHEMA, _mode(keep), only=acts)
 
 
 def stream_timeouts(events: DataFrame, limit_s: int = dims.RUN_TIMEOUT_S, delay: str = "0 seconds") -> DataFrame:

@@ -1,5 +1,6 @@
 """State that starts from a batch, and flags of ended runs that go."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.operators import runs
@@ -45,3 +46,79 @@ def test_ended_flags_live_for_their_time(spark):
             finally:
                 q.stop()
         assert spark.read.parquet(f"{folder}/out").count() == 1 + reopened
+
+
+class Handle:
+    """State in memory that notes the calls that reach it."""
+
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, name, *_):
+        return Held(name, self.calls)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append(("registerTimer", at))
+
+    def deleteTimer(self, at):
+        self.calls.append(("deleteTimer", at))
+
+
+class Held:
+    def __init__(self, name, calls):
+        self.name, self.calls, self.rows = name, calls, {}
+
+    def _noted(self, call, value=None):
+        self.calls.append((self.name, call))
+        return value
+
+    def exists(self):
+        return self._noted("exists", bool(self.rows))
+
+    def get(self):
+        return self._noted("get", self.rows.get(None))
+
+    def update(self, value):
+        self._noted("update")
+        self.rows[None] = value
+
+    def clear(self):
+        self._noted("clear")
+        self.rows = {}
+
+    def containsKey(self, key):
+        return self._noted("containsKey", key in self.rows)
+
+    def getValue(self, key):
+        return self._noted("getValue", self.rows.get(key))
+
+    def updateValue(self, key, value):
+        self._noted("updateValue")
+        self.rows[key] = value
+
+
+def batch(*kinds):
+    rows = [(i, pd.Timestamp(1000 + i, unit="s"), k, k == "RUN_FINISHED", "n1", "", "", "t", None) for i, k in enumerate(kinds)]
+    return iter([pd.DataFrame(rows, columns=["seq", "ts", "etype", "is_terminal", "node_id", "node_slug", "step_name", "step_type", "duration_ms"])])
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """A run that ends in its first batch sets one timer, and a node's entry is read and written once."""
+    handle, run = Handle(), state.Timeouts(60, keep=5000)
+    run.init(handle)
+    assert list(run.handleInputRows(("r",), batch("STEP_STARTED", "RUN_FINISHED"), None)) == []
+    assert [c for c in handle.calls if "Timer" in c[0]] == [("registerTimer", 1_000_000 + 60_000 + 5000)] and len(handle.calls) <= 4
+
+    handle, run = Handle(), state.Timeouts(60, keep=5000)
+    run.init(handle)
+    list(run.handleInputRows(("r",), batch("STEP_STARTED"), None))
+    list(run.handleInputRows(("r",), batch("RUN_FINISHED"), None))
+    assert [c for c in handle.calls if "Timer" in c[0]] == [("registerTimer", 1_060_000), ("deleteTimer", 1_060_000), ("registerTimer", 1_065_000)]
+
+    handle, run = Handle(), state.NodeSummary()
+    run.init(handle)
+    (out,) = run.handleInputRows(("r",), batch("STEP_STARTED", "STEP_FINISHED", "STEP_STARTED", "STEP_FINISHED"), None)
+    assert out["duration_ms"].fillna(-1).tolist() == [-1, 1000, -1, 1000] and run.nodes.rows == {("n1",): (1_002_000_000, "t")}
+    assert handle.calls == [("ended", "exists"), ("nodes", "getValue"), ("nodes", "updateValue")]
