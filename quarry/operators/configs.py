@@ -32,7 +32,8 @@ def _entries(nodes: DataFrame, *columns: str) -> DataFrame:
 
     every = F.concat(*[F.coalesce(entries(c), F.array().cast("array<struct<source:string,pos:int,key:string,value:variant>>")) for c in columns])
     placed = nodes.select(*KEY, F.upper("type").alias("type"), *columns).repartition(*KEY)
-    return placed.select(*KEY, "type", F.inline(every)).withColumn("value", F.to_json("value"))
+    # an inner explode would have Spark filter by the same entries first, and so read the documents twice
+    return placed.select(*KEY, "type", F.inline_outer(every)).where("source is not null").withColumn("value", F.to_json("value"))
 
 
 def _table(nodes: DataFrame, fields: dict[str, dict[str, str | None]]) -> DataFrame:

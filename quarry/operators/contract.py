@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import configs
-from quarry.session import BROADCAST_LIMIT_BYTES, cut_and_count
+from quarry.session import BROADCAST_LIMIT_BYTES, stage_and_count
 from quarry.sources import registry as reg
 
 KINDS = ["type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "pattern"]
@@ -162,7 +162,9 @@ def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str
     rules, links = flatten(snapshot or reg.SAMPLE)
     rule_table = _small(spark.createDataFrame(rules, "utype string, place int, kind string, arg string"), rules)
     by = {how: _small(spark.createDataFrame([(t, p, name, c) for t, p, h, name, c in links if h == how], f"utype string, place int, key string, {how} int"), links) for how in ("property", "item", "extra")}
-    level, n = cut_and_count(_roots(nodes, config_col))
+    # levels are staged as columns: the names in a document, which each of its values carries, are kept once a file
+    places = _small(spark.createDataFrame(sorted({(t, p) for t, p, *_ in rules + links}), "utype string, place int"), rules + links)
+    level, n = stage_and_count(_roots(nodes, config_col).join(places, ["utype", "place"], "left_semi").select(*LEVEL))
     parts = []
     while n:
         broken = level.join(rule_table, ["utype", "place"]).where(_violated(F.col("v"), F.col("kind"), F.col("arg")))
@@ -174,7 +176,8 @@ def schema_rules(nodes: DataFrame, snapshot: dict | None = None, config_col: str
         child = F.coalesce("property", F.when(F.col("key").isNull(), F.col("item")).otherwise(F.col("extra")))
         step = F.coalesce("key", F.col("pos").cast("string"))
         path = F.when(F.col("path") == "", step).otherwise(F.concat("path", F.lit("."), step))
-        level, n = cut_and_count(inner.where(child.isNotNull()).select("workflow_id", "node", "utype", child.alias("place"), path.alias("path"), F.col("value").alias("v")).select(*LEVEL))
+        inner = inner.where(child.isNotNull()).select("workflow_id", "node", "utype", child.alias("place"), path.alias("path"), F.col("value").alias("v"))
+        level, n = stage_and_count(inner.join(places, ["utype", "place"], "left_semi").select(*LEVEL))
 
     @F.pandas_udf("message string, suggestion string")
     def words(kind: pd.Series, value: pd.Series, arg: pd.Series, utype: pd.Series) -> pd.DataFrame:

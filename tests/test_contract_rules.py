@@ -36,3 +36,17 @@ def test_nested_and_recursive_schemas(spark):
 
 def test_empty(spark):
     assert contract.schema_rules(spark.createDataFrame([], NODES)).collect() == []
+
+
+def test_levels_are_staged_as_columns(spark):
+    import glob
+
+    from quarry.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    snap = {"all_node_types": [{"type": "T", "config_json_schema": {"properties": {"a": {"type": "integer"}, "free": {}}}}]}
+    before = set(glob.glob(f"{folder}/staged-*"))
+    got = contract.schema_rules(spark.createDataFrame([(1, "a", "t", '{"a": "x", "free": {"b": 1}}'), (1, "b", "other", '{"a": "x"}')], NODES), snap).collect()
+    assert [(r.node, r.field, r.kind) for r in got] == [("a", "a", "type")]
+    counts = sorted(spark.read.parquet(p).count() for p in set(glob.glob(f"{folder}/staged-*")) - before)
+    assert counts == [0, 1, 1]  # neither the type without a schema nor the place without rules
