@@ -41,3 +41,13 @@ def test_entries_are_read_once_and_grouped_where_they_are(spark):
     assert sorted((r.workflow_id or 0, r.key, r.value) for r in got.collect()) == [(0, "k", "null"), (1, 'b"', '"x"'), (1, "it's", "1.5"), (2, "k", None)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_a_record_is_read_once_for_all_its_lists(spark, capsys):
+    item = lambda text: {"self_ref": "#/x/0", "label": "text", "text": text}
+    rows = [(1, json.dumps({"texts": [item("first"), item("second")], "tables": None, "pictures": [item("third")]})), (1, json.dumps({"groups": [{"self_ref": ""}]})), (None, json.dumps({"texts": [item("n")]})), (2, None)]
+    got = layout.layout_items(spark.createDataFrame(rows, "doc_id long, layout string"))
+    capsys.readouterr()
+    got.explain()
+    assert capsys.readouterr().out.count("from_json(") == 1
+    assert {(r.doc_id, r.ref, r.item.text) for r in got.collect()} == {(1, "#/x/0", "third"), (None, "#/x/0", "n")}
