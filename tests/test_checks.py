@@ -59,3 +59,19 @@ def test_refs_are_found_without_a_step_per_string(spark):
     refs = checks.extract_variable_refs(df)
     assert [(r.slug, r.path) for r in refs.orderBy("ref_no").collect()] == [("a", "b"), ("c", "d"), ("e", "f")]
     assert "lambda" not in refs._jdf.queryExecution().toString()
+
+
+def test_config_rules_at_their_bounds_and_read_once(spark, capsys):
+    rows = [("agent", '{"temperature": 2, "max_iterations": 0.5, "maxTokens": 1}'), ("agent", '{"temperature": -0.1, "max_iterations": 0}'), ("llm_call", '{"temperature": "NaN", "maxTokens": 0, "max_iterations": 0}'),
+            ("retrieve", '{"topK": 0, "scoreThreshold": 1.1, "knowledge_base_name": ""}'), ("rag_agent", '{"agentId": "", "knowledgeBaseIds": []}'), ("rag_agent", "no json"), ("odd", '{"topK": 0}'), (None, '{"topK": 0}'), ("human_review", None)]
+    df = spark.createDataFrame([(i, "s", t, c) for i, (t, c) in enumerate(rows)], "workflow_id int, slug string, type string, config string")
+    got = checks.config_rules(df)
+    per = {}
+    for r in got.collect():
+        per.setdefault(r.workflow_id, []).append(r.violation.split(" ")[0])
+    assert {k: sorted(v) for k, v in per.items()} == {1: ["max_iterations", "temperature"], 2: ["maxTokens", "temperature"], 3: ["RETRIEVE", "scoreThreshold", "topK"], 4: ["RAG_AGENT", "RAG_AGENT"], 5: ["RAG_AGENT", "RAG_AGENT"], 6: ["unknown"]}
+    # no filter on the generated arrays, which would make them twice
+    for plan in (got, checks.extract_variable_refs(df), checks.removed_fields(df)):
+        capsys.readouterr()
+        plan.explain()
+        assert "size(" not in capsys.readouterr().out

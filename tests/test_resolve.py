@@ -88,3 +88,17 @@ def test_attempts_past_the_policy_and_the_deadline(spark):
     rows = spark.createDataFrame(log, "doc_id int, attempt int, result string, started_s int")
     got = {r.doc_id: (r.attempts_used, r.outcome, r.wait_s, r.n_past_policy) for r in outcomes.attempt_outcome(rows, deadline_s=1800).collect()}
     assert got == {1: (3, "exhausted", 90, 1), 2: (1, "timed_out", 0, 1), 3: (2, "success", 30, 0)}
+
+
+def test_tasks_follow_the_input_and_change_no_row(spark):
+    from quarry.session import ROWS_PER_TASK, tasks_for
+
+    assert tasks_for(spark, 0) == spark.sparkContext.defaultParallelism and tasks_for(spark, 100 * ROWS_PER_TASK + 1) == 101
+    defs = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (None, 1, "d")], "workflow_id long, pos long, src string")
+    ids = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (2, 1, "z"), (None, 1, "w")], "workflow_id long, pos long, edge_id string")
+    d, s = defs.select("workflow_id", F.col("src").alias("key")), spark.createDataFrame([(1, "a", "i"), (1, "q", "j"), (None, "d", "k"), (3, "r", "l")], "workflow_id long, key string, id string")
+    texts = spark.createDataFrame([(1, "n", "{{a.output.t}} {{b.output.t}}"), (1, "m", "{{a.output.t}}"), (2, "n", "plain"), (None, "n", "{{a.output.t}}"), (3, "n", None)], "workflow_id long, node string, template string")
+    outs = spark.createDataFrame([(1, "a", "t", "v"), (1, "a", "t", "u"), (None, "a", "t", "w")], "workflow_id long, slug string, field string, value string")
+    for run in (lambda **k: resolve.pair_by_position(defs, ids, **k), lambda **k: resolve.snapshot_diff(d, s, **k), lambda **k: resolve.render_template(texts, outs, **k)):
+        got = [sorted(map(repr, run(**k).collect())) for k in ({}, {"tasks": 3})]
+        assert got[0] == got[1] and got[0]
