@@ -51,3 +51,22 @@ def test_a_record_is_read_once_for_all_its_lists(spark, capsys):
     got.explain()
     assert capsys.readouterr().out.count("from_json(") == 1
     assert {(r.doc_id, r.ref, r.item.text) for r in got.collect()} == {(1, "#/x/0", "third"), (None, "#/x/0", "n")}
+
+
+def test_texts_are_written_once(spark):
+    """The walk carries numbers and paths: what the job keeps on disk is about one copy of the texts, however deep they lie."""
+    import glob
+    import os
+    import random
+
+    from quarry.session import ensure_checkpoint_dir
+
+    rng = random.Random(3)
+    texts = [{"self_ref": f"#/texts/{i}", "label": "text", "orig": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5000)), "children": [{"$ref": f"#/texts/{i + 1}"}]} for i in range(12)]
+    rows = [(d, json.dumps({"body": {"children": [{"$ref": "#/texts/0"}]}, "texts": texts})) for d in range(4)]
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(p) for p in glob.glob(f"{folder}/**", recursive=True) if os.path.isfile(p))
+    before = size()
+    got = layout.layout_to_elements(spark.createDataFrame(rows, "doc_id long, layout string")).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.pos, r.text) for r in got] == [(d, i, t["orig"]) for d in range(4) for i, t in enumerate(texts)]
+    assert size() - before < 1.5 * 4 * 12 * 5000
