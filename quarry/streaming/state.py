@@ -1,7 +1,12 @@
 """Stateful run-event streams (T2 node summary, T3 waiting queue, T4 timeouts).
 
-Each is a ``transformWithStateInPandas`` processor keyed by run. State lives in
-the state store with its checkpoint in the shared folder. A pause keeps state,
+Each is a ``transformWithStateInPandas`` processor. A call from Spark to Python and
+each call to the state store cost far more than an event, so the key is a bucket of
+runs (``buckets``, by hash of the run): its state is one packed value, read once and
+written once a batch, and has one timer, the earliest of its runs. With ``buckets=None``
+the key is the run, for streams of few, long runs. State lives in the state store
+with its checkpoint in the shared folder; ``buckets`` must stay as it was when a
+stream goes on from a checkpoint. A pause keeps state,
 since the run goes on; only a terminal event drops it, leaving a flag that
 keeps late events of an ended run from starting it anew. In a stream that runs
 on, the flag should go too: T4 drops it by an event-time timer, T2 and T3 by a
@@ -14,10 +19,11 @@ events leaves (``node_state``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +31,7 @@ from quarry import dims
 from quarry.operators import runs
 
 KEEP_ENDED = 7 * 24 * 3600 * 1000  # milliseconds
+BUCKETS = 1024
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SUMMARY_SCHEMA = "run_id string, node_id string, seq long, display_name string, step_type string, status string, duration_ms long"
 QUEUE_SCHEMA = "run_id string, seq long, waiting boolean, waiting_for string, node_id string"
@@ -36,7 +43,7 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     if not parts:
         return pd.DataFrame()
     batch = parts[0] if len(parts) == 1 else pd.concat(parts)
-    return batch if len(batch) == 1 else batch.sort_values("seq")
+    return batch if len(batch) == 1 else batch.sort_values("seq", kind="stable")
 
 
 def _text(value) -> str:
@@ -164,15 +171,182 @@ class Timeouts(_Ended):
             yield pd.DataFrame([(key[0], first, first + self.limit_ms)], columns=["run_id", "started_ms", "deadline_ms"])
 
 
-def _processed(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", start: DataFrame | None = None, only: Column | None = None) -> DataFrame:
+class _Bucket(StatefulProcessor):
+    """A processor for a bucket of runs; ``known`` has what it keeps of each run, packed as one value.
+
+    Of a run that has ended it keeps a number: when it ended, or 0 where flags have no time to live (``keep`` null).
+    """
+
+    def __init__(self, keep: int | None = None):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.packed = handle.getValueState("runs", "packed string", None)
+
+    def read(self, now: int) -> dict:
+        held = self.packed.get()
+        known = {run: was for run, was in json.loads(held[0])} if held is not None else {}
+        return known if self.keep is None else {run: was for run, was in known.items() if not isinstance(was, int) or was + self.keep > now}
+
+    def write(self, known: dict) -> None:
+        self.packed.update((json.dumps(list(known.items()), separators=(",", ":")),))
+
+    def now(self, timerValues) -> int:
+        return 0 if self.keep is None else int(timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _run(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _columns(batch: pd.DataFrame, *names: str) -> list[list]:
+    return [batch[n].tolist() for n in names]
+
+
+def _since_epoch(ts: pd.Series, unit: int) -> pd.Series:
+    """Times as whole numbers of so many nanoseconds."""
+    return ts.astype("datetime64[ns]").astype("int64") // unit
+
+
+class NodeSummaries(_Bucket):
+    """``NodeSummary`` for a bucket of runs: of a run it keeps start and step type by node."""
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        known = self.read(now := self.now(timerValues))
+        for run, node, started, kind, ended in zip(*_columns(initialState, "run_id", "node_id", "started_us", "step_type", "ended")):
+            if ended:
+                known[_run(run)] = now
+            elif not isinstance(nodes := known.setdefault(_run(run), {}), int):
+                nodes[node] = (None if pd.isna(started) else int(started), _text(kind))
+        self.write(known)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, out, acted = self.read(now := self.now(timerValues)), [], False
+        batch = _ordered(rows)
+        events = _columns(batch, "run_id", "seq", "etype", "is_terminal", *runs.TEXT_FIELDS, "duration_ms")
+        for run, seq, etype, terminal, node, slug, name, kind, duration, t_us in zip(*events, _since_epoch(batch["ts"], 1000).tolist()):
+            nodes = known.get(run := _run(run), {})
+            if isinstance(nodes, int):
+                continue
+            node = _text(node)
+            if etype in runs.STEP_STATUS and node:
+                was, duration = nodes.get(node), None if pd.isna(duration) else int(duration)
+                if etype == "STEP_STARTED":
+                    was, duration = (t_us, _text(kind)), None
+                else:
+                    if duration is None and was is not None and was[0] is not None:
+                        duration = (t_us - was[0]) // 1000
+                    was = was if was is not None else (None, _text(kind))
+                nodes[node] = was
+                known[run], acted = nodes, True
+                out.append((run, node, int(seq), _text(slug) or _text(name) or node, was[1], runs.STEP_STATUS[etype], duration))
+            if terminal:
+                known[run], acted = now, True
+        if acted:
+            self.write(known)
+        if out:
+            names = ["run_id", "node_id", "seq", "display_name", "step_type", "status", "duration_ms"]
+            yield pd.DataFrame(out, columns=names).astype({"duration_ms": "Int64"})
+
+
+class WaitingQueues(_Bucket):
+    """``WaitingQueue`` for a bucket of runs: of a run it keeps what it waits for."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, out, acted = self.read(now := self.now(timerValues)), [], False
+        for run, seq, etype, terminal, pausing, node in zip(*_columns(_ordered(rows), "run_id", "seq", "etype", "is_terminal", "is_pausing", "node_id")):
+            was = known.get(run := _run(run))
+            if isinstance(was, int):
+                continue
+            if pausing:
+                known[run], acted = (etype, _text(node)), True
+                out.append((run, int(seq), True, etype, _text(node)))
+            elif (terminal or etype == "REVIEW_COMPLETE" or etype in dims.STEP_EVENTS) and was is not None:
+                acted = known.pop(run) is not None
+                out.append((run, int(seq), False, *was))
+            if terminal:
+                known[run], acted = now, True
+        if acted:
+            self.write(known)
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "seq", "waiting", "waiting_for", "node_id"])
+
+
+class TimeoutsOfRuns(_Bucket):
+    """``Timeouts`` for a bucket of runs: of a run it keeps its first event's time and when something is due (null: no more).
+
+    A run that has ended is due when its flag goes; the bucket's timer stands at the earliest that is due.
+    """
+
+    def __init__(self, limit_s: int, keep: int = KEEP_ENDED):
+        super().__init__(None)
+        self.limit_ms, self.stay = limit_s * 1000, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _set(self, known: dict, at: int | None) -> None:
+        """Write the runs and move the timer, which stands at ``at``."""
+        self.write(known)
+        due = min((d for _, d, _ in known.values() if d is not None), default=None)
+        if due == at:
+            return
+        if at is not None:
+            self.handle.deleteTimer(at)
+        if due is None:
+            self.timer.clear()
+        else:
+            self.timer.update((due,))
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, acted = self.read(0), False
+        batch = pd.concat([b[["run_id", "ts", "is_terminal"]] for b in rows])
+        per = batch.assign(run_id=[_run(r) for r in batch["run_id"]]).groupby("run_id", dropna=False, sort=False).agg(ts=("ts", "min"), ended=("is_terminal", "any"))
+        for run, first, ends in zip(per.index.tolist(), _since_epoch(per["ts"], 1_000_000).tolist(), per["ended"].tolist()):
+            first, _, ended = known.get(run := _run(run), (first, None, False))
+            if ended or not ends and run in known:
+                continue
+            known[run], acted = (first, first + self.limit_ms + (self.stay if ends else 0), ends), True
+        if acted:
+            at = self.timer.get()
+            self._set(known, None if at is None else at[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, passed, out = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), []
+        known = self.read(0)
+        for run, (first, due, ended) in list(known.items()):
+            if due is None or not (due <= at or due < passed):
+                continue
+            if ended:
+                del known[run]
+            else:
+                known[run] = (first, None, False)
+                out.append((run, first, first + self.limit_ms))
+        self._set(known, None)  # the timer that rings is gone
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "started_ms", "deadline_ms"])
+
+
+def _processed(events: DataFrame, processor: StatefulProcessor, schema: str, buckets: int | None, time_mode: str = "None", start: DataFrame | None = None, only: Column | None = None) -> DataFrame:
     """``only``: the events that the processor acts on; the others never reach it."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     ev = runs.typed_events(events).select("run_id", "seq", "ts", "etype", "is_terminal", "is_pausing", *runs.TEXT_FIELDS, "duration_ms")
     if only is not None:
         ev = ev.where(only)
-    return ev.groupBy("run_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode,
-                                                          initialState=None if start is None else start.groupBy("run_id"))
+
+    def keyed(df: DataFrame) -> GroupedData:
+        return df.groupBy("run_id") if buckets is None else df.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets))).groupBy("bucket")
+
+    return keyed(ev).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode,
+                                               initialState=None if start is None else keyed(start))
 
 
 def _mode(keep: int | None) -> str:
@@ -194,24 +368,24 @@ def node_state(events: DataFrame) -> DataFrame:
     return rows.unionByName(ended.select("run_id", F.lit("").alias("node_id"), F.lit(None).cast("long").alias("started_us"), F.lit("").alias("step_type"), F.lit(True).alias("ended")))
 
 
-def stream_node_summary(events: DataFrame, start: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+def stream_node_summary(events: DataFrame, start: DataFrame | None = None, keep: int | None = None, buckets: int | None = BUCKETS) -> DataFrame:
     """Changes of A12 entries up to each run's terminal event; the last per (run, node) is its entry.
 
-    ``start``: a state from ``node_state``, where the stream goes on from a batch. ``keep``: see above.
+    ``start``: a state from ``node_state``, where the stream goes on from a batch. ``keep``, ``buckets``: see above.
     """
     acts = (F.col("etype").isin(*runs.STEP_STATUS) & (F.coalesce("node_id", F.lit("")) != "")) | F.col("is_terminal")
-    return _processed(events, NodeSummary(keep), SUMMARY_SCHEMA, _mode(keep), start, acts)
+    return _processed(events, NodeSummary(keep) if buckets is None else NodeSummaries(keep), SUMMARY_SCHEMA, buckets, _mode(keep), start, acts)
 
 
-def stream_waiting_queue(events: DataFrame, keep: int | None = None) -> DataFrame:
+def stream_waiting_queue(events: DataFrame, keep: int | None = None, buckets: int | None = BUCKETS) -> DataFrame:
     """When runs begin and cease to wait for input or review."""
     acts = F.col("is_pausing") | F.col("is_terminal") | F.col("etype").isin("REVIEW_COMPLETE", *dims.STEP_EVENTS)
-    return _processed(events, WaitingQueue(keep), QUEUE_SCHEMA, _mode(keep), only=acts)
+    return _processed(events, WaitingQueue(keep) if buckets is None else WaitingQueues(keep), QUEUE_SCHEMA, buckets, _mode(keep), only=acts)
 
 
-def stream_timeouts(events: DataFrame, limit_s: int = dims.RUN_TIMEOUT_S, delay: str = "0 seconds") -> DataFrame:
+def stream_timeouts(events: DataFrame, limit_s: int = dims.RUN_TIMEOUT_S, delay: str = "0 seconds", buckets: int | None = BUCKETS) -> DataFrame:
     """T4: runs without a terminal event when the watermark passes their first event by ``limit_s``."""
-    return _processed(events.withWatermark("ts", delay), Timeouts(limit_s), TIMEOUT_SCHEMA, "EventTime")
+    return _processed(events.withWatermark("ts", delay), Timeouts(limit_s) if buckets is None else TimeoutsOfRuns(limit_s), TIMEOUT_SCHEMA, buckets, "EventTime")
 
 
 def latest_entries(changes: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """State that starts from a batch, and flags of ended runs that go."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -122,3 +124,56 @@ def test_state_is_read_and_written_once_a_batch():
     (out,) = run.handleInputRows(("r",), batch("STEP_STARTED", "STEP_FINISHED", "STEP_STARTED", "STEP_FINISHED"), None)
     assert out["duration_ms"].fillna(-1).tolist() == [-1, 1000, -1, 1000] and run.nodes.rows == {("n1",): (1_002_000_000, "t")}
     assert handle.calls == [("ended", "exists"), ("nodes", "getValue"), ("nodes", "updateValue")]
+
+
+EVENTS = ["run_id", "seq", "ts", "etype", "is_terminal", "is_pausing", "node_id", "node_slug", "step_name", "step_type", "duration_ms"]
+KINDS = ["STEP_STARTED", "STEP_FINISHED", "STEP_ERROR", "WAITING_FOR_INPUT", "REVIEW_COMPLETE", "RUN_FINISHED"]
+
+
+def mixed_batches():
+    """Four batches of events of 30 runs, out of order; one run has no id."""
+    rng = random.Random(6)
+    seqs = rng.sample(range(1000), 600)
+    rows = []
+    for i, seq in enumerate(seqs):
+        run, kind = rng.randrange(30), rng.choices(KINDS, [5, 5, 2, 2, 1, 1 if i > 300 else 0])[0]
+        rows.append((f"r{run}" if run else None, seq, pd.Timestamp(1000 + seq, unit="s"), kind, kind == "RUN_FINISHED", kind == "WAITING_FOR_INPUT", rng.choice(["n1", "n2", "", None]), rng.choice(["", None, "s"]), "", rng.choice([None, "t"]), rng.choice([None, 5.0])))
+    return [pd.DataFrame(rows[i : i + 150], columns=EVENTS) for i in range(0, 600, 150)]
+
+
+def test_buckets_of_runs_give_what_single_runs_give():
+    """And a bucket's state is read and written once a batch, however many runs it has."""
+    rows = lambda parts: sorted((tuple(None if pd.isna(v) else v for v in r) for p in parts for r in p.itertuples(index=False)), key=str)
+    batches = mixed_batches()
+    for single, many in ((state.NodeSummary, state.NodeSummaries), (state.WaitingQueue, state.WaitingQueues)):
+        want, alone = [], {}
+        for b in batches:
+            for run in {r if isinstance(r, str) else None for r in b["run_id"]}:
+                if run not in alone:
+                    alone[run] = single()
+                    alone[run].init(Handle())
+                part = b[b["run_id"].isna()] if run is None else b[b["run_id"] == run]
+                want += alone[run].handleInputRows((run,), iter([part]), None)
+        handle, bucket, got = Handle(), many(), []
+        bucket.init(handle)
+        for b in batches:
+            got += bucket.handleInputRows((0,), iter([b[:70], b[70:]]), None)
+        assert rows(got) == rows(want) and len(rows(got)) > 100
+        assert handle.calls == [("runs", "get"), ("runs", "update")] * len(batches)
+
+
+def test_timeouts_of_buckets(spark):
+    """Deadlines at, before and after the watermark, an end after the deadline, and flags that go: as for single runs."""
+    def line(run, at, kind="STEP_STARTED"):
+        return (run, at, pd.Timestamp(10_000 + at, unit="s").to_pydatetime(), f'data: {{"type":"{kind}","node_id":"n1"}}')
+
+    parts = [[line("a", 0), line("b", 60), line("c", 10), line("c", 20, "RUN_FINISHED"), line("d", 30), line("f", 5), line(None, 1)],
+             [line("d", 61, "RUN_FINISHED"), line("a", 62), line("e", 200), line("f", 90, "RUN_FINISHED"), line("f", 91)], [line("b", 201), line("g", 400)]]
+    got = {}
+    for buckets in (None, 2):
+        path, folder = st.scratch_dir(spark, "lines"), st.scratch_dir(spark, "timeouts")
+        for rows in parts:
+            spark.createDataFrame(rows, "run_id string, seq long, ts timestamp, line string").write.mode("append").option("timestampFormat", st.TIME_FORMAT).json(path)
+            found = st.run_to_table(state.stream_timeouts(st.stream_events(spark, path), limit_s=60, buckets=buckets), "timeouts", folder)
+        got[buckets] = sorted(map(repr, found.collect()))
+    assert got[2] == got[None] and len(got[2]) >= 4
