@@ -10,8 +10,11 @@ A test phrase is looked up inside each segment on its own: its terms are
 ordered by the length of their lists in that segment, the rarest list, shifted
 by the term's offset, gives the candidate starts, and the list of each further
 term, shifted by its offset, is intersected with them. All phrases of a block
-take each step together, in numpy. Segments need no shuffle, and test items
-come in blocks of bounded size.
+whose rarest word (among the items) the segment has take each step together, in
+numpy. Segments need no shuffle, and test items come in blocks of bounded size.
+
+A segment is a row of some 300 KB, its lists packed, and a task opens one at a time;
+row groups are small. So memory follows neither the file nor the task that reads it.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +35,8 @@ from quarry.llm.common import stage
 
 WINDOW = 10
 STRETCH = 2
-SEGMENT_TOKENS = 1_000_000
+SEGMENT_TOKENS = 1 << 17
+GROUP_BYTES = 8 << 20  # of the index that a writer or reader holds at a time
 BLOCK_BYTES = 16 << 20
 
 # Word characters: 0-9, a-z (A-Z fold to them) and everything beyond ASCII.
@@ -46,6 +52,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 INDEX_SCHEMA = "doc_ids array<string>, doc_rows binary, doc_starts binary, doc_words binary, terms binary, list_starts binary, positions binary"
+_INDEX = pa.schema([("doc_ids", pa.list_(pa.string())), *((c, pa.binary()) for c in ("doc_rows", "doc_starts", "doc_words", "terms", "list_starts", "positions"))])
+
+
+def _packed(data: bytes) -> bytes:
+    return zstd.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstd.ZstdDecompressor().decompress(data)
 
 
 def _segment(ids: list, rows: list[int], texts: list[list[bytes]]) -> dict:
@@ -60,8 +75,8 @@ def _segment(ids: list, rows: list[int], texts: list[list[bytes]]) -> dict:
     term = place[term]
     order = np.argsort(term, kind="stable")
     lists = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    return {"doc_ids": ids, "doc_rows": np.array(rows, "<i8").tobytes(), "doc_starts": starts.astype("<i8").tobytes(), "doc_words": counts.astype("<i8").tobytes(), "terms": b" ".join(terms),
-            "list_starts": lists.astype("<i8").tobytes(), "positions": position[order].astype("<i4").tobytes()}
+    return {"doc_ids": ids, "doc_rows": np.array(rows, "<i8").tobytes(), "doc_starts": starts.astype("<i8").tobytes(), "doc_words": counts.astype("<i8").tobytes(), "terms": _packed(b" ".join(terms)),
+            "list_starts": _packed(lists.astype("<i8").tobytes()), "positions": _packed(position[order].astype("<i4").tobytes())}
 
 
 def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
@@ -73,35 +88,36 @@ def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFr
     ``segment_tokens``, so memory follows that bound plus the longest document.
     """
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, numbers, texts, size = [], [], [], 0
         for b in batches:
-            for doc_id, number, text in zip(b["doc_id"], b["row"], b["text"]):
+            for doc_id, number, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text")):
                 ids.append(doc_id)
                 numbers.append(number)
-                texts.append(words_of(text))
+                texts.append(words_of(text.as_py()))
                 size += len(texts[-1]) + 1
                 if size >= segment_tokens:
-                    yield pd.DataFrame([_segment(ids, numbers, texts)])
+                    yield pa.RecordBatch.from_pylist([_segment(ids, numbers, texts)], schema=_INDEX)
                     ids, numbers, texts, size = [], [], [], 0
         if ids:
-            yield pd.DataFrame([_segment(ids, numbers, texts)])
+            yield pa.RecordBatch.from_pylist([_segment(ids, numbers, texts)], schema=_INDEX)
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return stage(rows.mapInPandas(build, INDEX_SCHEMA), "index")
+    return stage(rows.mapInArrow(build, INDEX_SCHEMA), "index", dictionary=False, group_bytes=GROUP_BYTES)
 
 
 class Segment:
     """One segment, opened for lookups."""
 
-    def __init__(self, row):
-        self.ids = list(row.doc_ids)
-        self.rows = np.frombuffer(row.doc_rows, "<i8")
-        self.starts = np.frombuffer(row.doc_starts, "<i8")
-        self.counts = np.frombuffer(row.doc_words, "<i8")
-        self.lists = np.frombuffer(row.list_starts, "<i8")
-        self.positions = np.frombuffer(row.positions, "<i4").astype(np.int64)
-        self.terms = {t: i for i, t in enumerate(row.terms.split(b" "))} if row.terms else {}
+    def __init__(self, row: dict):
+        self.ids = row["doc_ids"]
+        self.rows = np.frombuffer(row["doc_rows"], "<i8")
+        self.starts = np.frombuffer(row["doc_starts"], "<i8")
+        self.counts = np.frombuffer(row["doc_words"], "<i8")
+        self.lists = np.frombuffer(_unpacked(row["list_starts"]), "<i8")
+        self.positions = np.frombuffer(_unpacked(row["positions"]), "<i4").astype(np.int64)
+        terms = _unpacked(row["terms"])
+        self.terms = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
         # (term, position) in one sorted array: a list is a slice, membership a binary search
         self.keys = (np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.lists)) << 32) | self.positions
 
@@ -184,6 +200,13 @@ class Segment:
         return found
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
+    """The segments of an index, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Segment({c: b.column(c)[i].as_py() for c in b.schema.names})
+
+
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The test items (item_id as string, words) in blocks of about ``block_bytes`` of text, by hash of the row.
 
@@ -215,6 +238,27 @@ def _windows(items: list[tuple[str, list[bytes]]], window: int) -> tuple[list[by
     return list(numbers), terms, sizes, pairs
 
 
+def _by_rarest(terms: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows in order of their rarest word (by windows that hold it), and where each word's windows begin."""
+    live = np.arange(terms.shape[1])[None, :] < sizes[:, None]
+    often = np.bincount(terms[live], minlength=vocabulary)
+    rarest = terms[np.arange(len(terms)), np.where(live, often[terms], np.iinfo(np.int64).max).argmin(axis=1)]
+    order = np.argsort(rarest, kind="stable")
+    return order, np.searchsorted(rarest[order], np.arange(vocabulary + 1))
+
+
+def _with_first(items: list[tuple[str | None, list[bytes]]]) -> dict[bytes, list[tuple[str | None, list[bytes]]]]:
+    """The items by their rarest word (by items that hold it)."""
+    often: defaultdict = defaultdict(int)
+    for _, words in items:
+        for w in set(words):
+            often[w] += 1
+    found: defaultdict = defaultdict(list)
+    for item in items:
+        found[min(item[1], key=lambda w: (often[w], w))].append(item)
+    return dict(found)
+
+
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact matches ``row, doc_id, item_id, start, stop`` (row number, word positions, stop exclusive).
 
@@ -226,32 +270,38 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, block_byte
     for block in item_blocks(items, block_bytes):
         vocabulary, terms, sizes, pairs = _windows(block, window)
         names = [name for name, _ in block]
-        shared = index.sparkSession.sparkContext.broadcast((vocabulary, terms, sizes, pairs, names))  # at most block_bytes of text
+        known = {w: i for i, w in enumerate(vocabulary)}
+        shared = index.sparkSession.sparkContext.broadcast((known, terms, sizes, pairs, names, *_by_rarest(terms, sizes, len(known))))  # at most block_bytes of text
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vocabulary, terms, sizes, pairs, names = shared.value
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, terms, sizes, pairs, names, by_rarest, begin = shared.value
             first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
-            for b in batches:
-                for row in b.itertuples(index=False):
-                    seg = Segment(row)
-                    found, start = seg.phrases(seg.numbers(vocabulary)[terms], sizes)
-                    if not len(found):
-                        continue
-                    n = (first[1:] - first[:-1])[found]
-                    item = pairs[np.repeat(first[found], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), 1]
-                    start, stop = np.repeat(start, n), np.repeat(start + sizes[found], n)
-                    doc = np.searchsorted(seg.starts, start, side="right") - 1
-                    order = np.lexsort((start, item, doc))
-                    doc, item, start, stop = doc[order], item[order], start[order], stop[order]
-                    # windows of one item have one length, so sorted starts have sorted stops
-                    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > stop[:-1])]
-                    head = np.flatnonzero(fresh)
-                    tail = np.r_[head[1:], len(doc)] - 1
-                    base = seg.starts[doc[head]]
-                    yield pd.DataFrame({"row": seg.rows[doc[head]], "doc_id": [seg.ids[d] for d in doc[head]], "item_id": [names[i] for i in item[head]],
-                                        "start": start[head] - base, "stop": stop[tail] - base})
-
-        part = index.mapInPandas(search, "row long, doc_id string, item_id string, start long, stop long")
+            for seg in _opened(batches):
+                at = {known[t]: i for t, i in seg.terms.items() if t in known}
+                number = np.full(len(known), -1, np.int64)
+                number[list(at)] = list(at.values())
+                met = np.flatnonzero(number >= 0)
+                n = begin[met + 1] - begin[met]
+                window = by_rarest[np.repeat(begin[met], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+                found, start = seg.phrases(number[terms[window]], sizes[window])
+                if not len(found):
+                    continue
+                found = window[found]
+                n = (first[1:] - first[:-1])[found]
+                item = pairs[np.repeat(first[found], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), 1]
+                start, stop = np.repeat(start, n), np.repeat(start + sizes[found], n)
+                doc = np.searchsorted(seg.starts, start, side="right") - 1
+                order = np.lexsort((start, item, doc))
+                doc, item, start, stop = doc[order], item[order], start[order], stop[order]
+                # windows of one item have one length, so sorted starts have sorted stops
+                fresh = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > stop[:-1])]
+                head = np.flatnonzero(fresh)
+                tail = np.r_[head[1:], len(doc)] - 1
+                base = seg.starts[doc[head]]
+                yield pa.RecordBatch.from_arrays([pa.array(seg.rows[doc[head]], pa.int64()), pa.array([seg.ids[d] for d in doc[head]], pa.string()), pa.array([names[i] for i in item[head]], pa.string()),
+                                                  pa.array(start[head] - base, pa.int64()), pa.array(stop[tail] - base, pa.int64())], ["row", "doc_id", "item_id", "start", "stop"])
+
+        part = index.mapInArrow(search, "row long, doc_id string, item_id string, start long, stop long")
         got = part if got is None else got.union(part)
     if got is None:
         return index.sparkSession.createDataFrame([], "row long, doc_id long, item_id string, start long, stop long")
@@ -264,18 +314,17 @@ def proximity(index: DataFrame, items: DataFrame, slop: int, block_bytes: int =
     for block in item_blocks(items, block_bytes):
         shared = index.sparkSession.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for row in b.itertuples(index=False):
-                    seg, rows = Segment(row), []
-                    for name, words in shared.value:
-                        at = seg.near([int(x) for x in seg.numbers(words)], slop)
-                        doc = np.searchsorted(seg.starts, at, side="right") - 1
-                        rows += [(seg.ids[d], name, int(p - seg.starts[d])) for d, p in zip(doc, at)]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "position"])
-
-        part = index.mapInPandas(search, "doc_id string, item_id string, position long")
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for seg in _opened(batches):
+                rows = []
+                for name, words in shared.value:
+                    at = seg.near([int(x) for x in seg.numbers(words)], slop)
+                    doc = np.searchsorted(seg.starts, at, side="right") - 1
+                    rows += [{"doc_id": seg.ids[d], "item_id": name, "position": int(p - seg.starts[d])} for d, p in zip(doc, at)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.string()), ("item_id", pa.string()), ("position", pa.int64())]))
+
+        part = index.mapInArrow(search, "doc_id string, item_id string, position long")
         got = part if got is None else got.union(part)
     if got is None:
         return index.sparkSession.createDataFrame([], "doc_id long, item_id string, position long")
@@ -287,18 +336,18 @@ def gathered(index: DataFrame, items: DataFrame, stretch: int = STRETCH, block_b
     stretch of the document that is ``stretch`` times as long as the item."""
     got = None
     for block in item_blocks(items, block_bytes):
-        shared = index.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for row in b.itertuples(index=False):
-                    seg, rows = Segment(row), []
-                    for name, words in shared.value:
-                        rows += [(seg.rows[d], seg.ids[d], name) for d in seg.gathered(seg.numbers(words), stretch * len(words))]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["row", "doc_id", "item_id"])
-
-        part = index.mapInPandas(search, "row long, doc_id string, item_id string")
+        shared = index.sparkSession.sparkContext.broadcast(_with_first(block))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for seg in _opened(batches):
+                rows = []
+                for first in seg.terms.keys() & shared.value.keys():
+                    for name, words in shared.value[first]:
+                        rows += [{"row": int(seg.rows[d]), "doc_id": seg.ids[d], "item_id": name} for d in seg.gathered(seg.numbers(words), stretch * len(words))]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.string()), ("item_id", pa.string())]))
+
+        part = index.mapInArrow(search, "row long, doc_id string, item_id string")
         got = part if got is None else got.union(part)
     if got is None:
         return index.sparkSession.createDataFrame([], "row long, doc_id long, item_id string")

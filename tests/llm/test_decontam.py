@@ -96,3 +96,17 @@ def test_gathered_matches_brute_force(spark, tokens):
     index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"), tokens)
     got = [(r.doc_id, r.item_id) for r in decontam.gathered(index, spark.createDataFrame(items, "item_id long, text string")).collect()]
     assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_index_is_read_in_small_pieces(spark, monkeypatch):
+    """Rows are packed and row groups small, so that a reader of a large file holds a few segments, not all."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 1 << 18)
+    rng = random.Random(2)
+    docs = [(i, " ".join("".join(rng.choices("abcdefghijkl", k=6)) for _ in range(5000))) for i in range(60)]
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 5000)
+    (file,) = index.inputFiles()
+    parts = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert parts.num_rows == 60 and max(parts.row_group(i).total_byte_size for i in range(parts.num_row_groups)) < 1 << 19
+    assert decontam.SEGMENT_TOKENS <= 1 << 17 and decontam.document_words(index).agg({"n_words": "sum"}).first()[0] == 300_000
