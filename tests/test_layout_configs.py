@@ -70,3 +70,20 @@ def test_texts_are_written_once(spark):
     got = layout.layout_to_elements(spark.createDataFrame(rows, "doc_id long, layout string")).orderBy("doc_id", "pos").collect()
     assert [(r.doc_id, r.pos, r.text) for r in got] == [(d, i, t["orig"]) for d in range(4) for i, t in enumerate(texts)]
     assert size() - before < 1.5 * 4 * 12 * 5000
+
+
+def test_parameters_are_read_once(spark):
+    """Documents are parsed once; rows of one node share their parameters, and each has its own type, label and name."""
+    rows = [(1, "a", "llm_call", "", '{"model": "m", "template": "to {{b.x}} and {{zz.y}}"}'), (1, "a", "plain_txt_input", "L", '{"placeholder": "p"}'), (1, "b-c", "retrieve", None, '{"knowledge_base_id": "k", "knowledge_base_ids": ["q"]}'),
+            (2, "d", "agent", None, '{"model": 1, "model": 2}'), (None, "e", "plain_txt_input", None, '{"placeholder": 1.50}'), (3, "f", "mystery", None, "[1]")]
+    nodes = spark.createDataFrame(rows, "workflow_id long, slug string, type string, label string, config string")
+    ids = spark.createDataFrame([(1, "b", "id-b"), (1, "b", "id-c")], "workflow_id long, slug string, id string")
+    got = configs.node_parameters(nodes, ids)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "from_json" not in plan
+    found = sorted((r.workflow_id or 0, r.slug, r.key, r.value or "none") for r in got.collect())
+    three = lambda k, s, t, label: [(k, s, "type", t), (k, s, "label", label), (k, s, "function_name", f'"{s.replace("-", "_")}"')]
+    assert found == sorted([
+        *three(1, "a", '"llmPrompt"', '"a"'), *three(1, "a", '"plainTextInput"', '"L"'), (1, "a", "variables", "[]"), (1, "a", "model", '"m"'), (1, "a", "template", '"to {{id-b.x}} and {{zz.y}}"'),
+        (1, "a", "prompt", '"p"'), (1, "a", "text", '""'), *three(1, "b-c", '"retrieve"', '"b-c"'), (1, "b-c", "knowledge_base_ids", '["k"]'),
+        *three(2, "d", '"agent"', '"d"'), (2, "d", "model", "none"), *three(0, "e", '"plainTextInput"', '"e"'), (0, "e", "prompt", "1.5"), *three(3, "f", '"mystery"', '"f"')])
