@@ -50,3 +50,14 @@ def test_levels_are_staged_as_columns(spark):
     assert [(r.node, r.field, r.kind) for r in got] == [("a", "a", "type")]
     counts = sorted(spark.read.parquet(p).count() for p in set(glob.glob(f"{folder}/staged-*")) - before)
     assert counts == [0, 1, 1]  # neither the type without a schema nor the place without rules
+
+
+def test_a_value_is_read_once_for_all_rules(spark):
+    """Type, text and keys of a value are read beside it, not by every rule that meets it; rows of one node are settled together."""
+    snap = {"all_node_types": [{"type": "T", "config_json_schema": {"required": ["a", "b"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1, "enum": [2, 3]}}}}]}
+    rows = [(1, "x", "t", '{"a": 0}'), (1, "x", "t", '{"c": 1}'), (None, "y", "t", '{"a": 2}'), (2, "z", "t", '{"a": 2, "a": 3}'), (3, "w", "t", "[]")]
+    found = contract.schema_rules(spark.createDataFrame(rows, NODES), snap)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") <= 2 * plan.count("Union") + 2
+    got = sorted((r.workflow_id or 0, r.field, r.kind) for r in found.collect())
+    assert got == sorted(2 * [(1, "(root)", "closed"), (1, "(root)", "required"), (1, "a", "enum"), (1, "a", "minimum")] + 2 * [(0, "(root)", "required")])
