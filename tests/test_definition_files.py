@@ -110,3 +110,24 @@ def test_plain_texts_are_read_from_events(monkeypatch):
     monkeypatch.setattr(df.yaml, "load", None)
     monkeypatch.setattr(df.yaml, "safe_load", None)
     assert [outcome(t, lambda x: df.load(x, False)) for t in PLAIN] == [wanted[t] for t in PLAIN]
+
+
+SIMPLE = ["name: a\nedges:\n- from: n1\n  to: 'it''s'\n-   from: x\n    to: \"a \\\"b\\\"\\n\"\n\nlast:\n", "a: {b: [1, 2.5, yes, 'x'], \"c\": {}, d: null}\nb:\n    c: 2024-01-31\n    d: http://x/y\na: again\n", "- a\n- b: 1\n  c:\n    - -5\n", "k: {n: \"{{n1.output.text}} \\\"x\\\"\"}"]
+NOT_SIMPLE = ["a: b: c", "a: x #c", "a: |\n  b\n", "a: b\n  c", "a: [b, ]", "a: {b:1}", "a: &x 1", "a: \"\\u00e9\"", "a:\n\tb: 1", "? a", "a: [b: c]", "a: 1\n b: 2", "a: '", "---\na: 1", "-\n  - a", "a: {b}", "", "x"]
+
+
+def test_simple_texts_are_read_line_by_line(monkeypatch):
+    """They need no parser and give what it gives; all others are left to it."""
+    for t in SIMPLE:
+        assert repr(df._simple(t)) == repr(df.yaml.safe_load(t)), t
+    for t in NOT_SIMPLE:
+        with pytest.raises(df._Other):
+            df._simple(t)
+        assert outcome(t, lambda x: df.load(x, False)) in (outcome(t, df.yaml.safe_load), "bad"), t
+    monkeypatch.setattr(df, "_plain", None)
+    monkeypatch.setattr(df.yaml, "load", None)
+    monkeypatch.setattr(df.yaml, "safe_load", None)
+    assert [df.definition("f.yaml", 0, 1, t).get("error", {}).get("kind") for t in SIMPLE] == ["schema"] * 4
+    good = df.definition("f.yaml", 0, 1, "name: n\nentry: a\nexit: b\nnodes:\n  a: {type: agent, config: {k: [1]}}\nedges:\n  - from: a\n    to: b\n")
+    (batch,) = df._batches(iter([good, df.definition("g.yaml", 1, 9, "- x\n")]))
+    assert batch.to_pylist()[0] == {f: good.get(f) for f in batch.schema.names} and batch.to_pylist()[1]["nodes"] is None
